@@ -13,8 +13,9 @@ Batch plan: a run of consecutive same-step records always starts with an
 emission (its step differs from whatever was emitted last), so runs are
 independent.  Run numbers come from one sort-based window per key
 (``lag`` + running sum, spill-capable), and the sequential rule is applied
-per (key, run) with ``applyInPandas``: a hot key is split into its runs
-instead of landing in one Python task.
+to bounded groups of whole runs with ``applyInPandas``: a hot key is split
+into many groups instead of landing in one Python task.  (A single run of
+unbounded length stays sequential: the rule itself is a recurrence.)
 """
 
 from __future__ import annotations
@@ -28,39 +29,49 @@ from pyspark.sql import types as T
 from cadenza import constants as K
 
 
-def _throttle_mask(progress: np.ndarray, delta: float) -> np.ndarray:
-    """Emission mask inside one run (same step throughout)."""
+RUNS_PER_GROUP = 4096
+
+
+def _throttle_mask(runs: np.ndarray, progress: np.ndarray, delta: float) -> np.ndarray:
+    """Emission mask over rows in (ts, tie) order; ``runs`` numbers the runs
+    of equal step.  The first row of every run is emitted."""
     keep = np.zeros(len(progress), dtype=bool)
-    if len(progress) == 0:
-        return keep
-    last = progress[0]
-    keep[0] = True
-    for i in range(1, len(progress)):
+    last = 0.0
+    prev_run = None
+    for i in range(len(progress)):
+        r = runs[i]
         p = progress[i]
-        if abs(p - last) >= delta:
+        if r != prev_run or abs(p - last) >= delta:
             keep[i] = True
             last = p
+            prev_run = r
     return keep
 
 
 def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
              ts: str = "ts", tie: str = "event_id", step: str = "event_type",
-             progress: str = "value") -> DataFrame:
-    """Emitted records (all input columns), per key in (ts, tie) order."""
+             progress: str = "value", runs_per_group: int = RUNS_PER_GROUP) -> DataFrame:
+    """Emitted records (all input columns), per key in (ts, tie) order.
+
+    Runs of equal step are numbered natively; whole runs are grouped
+    ``runs_per_group`` at a time per key, so one Python call handles many
+    short runs and a hot key is spread over many groups."""
     w = Window.partitionBy(key).orderBy(F.col(ts), F.col(tie))
     prev = F.lag(step).over(w)
     marked = events.withColumn(
         "_new", F.when(prev.isNull() | (prev != F.col(step)), 1).otherwise(0)
-    ).withColumn("_run", F.sum("_new").over(w))
+    ).withColumn("_run", F.sum("_new").over(w)).withColumn(
+        "_chunk", F.floor((F.col("_run") - 1) / F.lit(runs_per_group))
+    )
     cols = events.columns
     schema = events.schema
 
-    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, tie], kind="mergesort")
-        mask = _throttle_mask(pdf[progress].to_numpy(dtype=np.float64), delta)
+        mask = _throttle_mask(pdf["_run"].to_numpy(), pdf[progress].to_numpy(dtype=np.float64), delta)
         return pdf.loc[mask, cols]
 
-    return marked.groupBy(key, "_run").applyInPandas(per_run, schema)
+    return marked.groupBy(key, "_chunk").applyInPandas(per_chunk, schema)
 
 
 def throttle_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
