@@ -12,6 +12,15 @@ streaming  keyed progress-event operators (throttle, latest, status, time-out) a
            streaming cluster assignment
 """
 
-from cadenza.session import get_spark, checkpoint_dir  # noqa: F401
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run inside Python workers (Arrow kernels,
+# grouped-map functions) are serialised by value, so executors need nothing
+# installed and no extra files shipped.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from cadenza.session import get_spark, checkpoint_dir  # noqa: E402,F401
 
 __version__ = "0.1.0"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import sample_key
+from cadenza.operators.parallel import spread
 from cadenza.functions.vectors import sq_euclidean
 
 # A centroid table is k x d.  It is broadcast only while k stays below this
@@ -132,7 +133,7 @@ def assign_nearest(points: DataFrame, cents: DataFrame, vec: str = "embedding",
     ids, mat = centroid_matrix(cents)
     bc = spark.sparkContext.broadcast((ids, mat))
     keep = list(keep)
-    src = points.select(*keep, F.col(vec).alias("_vec"))
+    src = spread(points.select(*keep, F.col(vec).alias("_vec")))
     fields = [f for f in src.schema.fields if f.name != "_vec"]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` int"
 

@@ -1,9 +1,10 @@
 """Text -> vector encoders.
 
-``hash_encode``     default encoder: lower-case whitespace tokens, bucket
-                    ``conv(substr(md5(w),1,7),16,10) % dim`` (native), term
-                    counts per bucket (one ``np.bincount`` per Arrow batch),
-                    L2-normalised.  Row-local: no shuffle.
+``hash_encode``     default encoder: lower-case whitespace tokens (native),
+                    bucket ``int(md5(w)[:7], 16) % dim`` -- the same rule as the
+                    native :func:`token_bucket` --, term counts per bucket (one
+                    ``np.bincount`` per Arrow batch), L2-normalised.
+                    Row-local: no shuffle.
 ``tfidf_encode``    MLlib ``Tokenizer -> HashingTF -> IDF -> Normalizer``.
 ``encode``          any user encoder object with ``encode(list[str]) ->
                     array (n, d)`` run in Arrow batches by ``mapInPandas``;
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import split_ws
+from cadenza.operators.parallel import spread
 
 DEFAULT_DIM = 64
 
@@ -43,35 +45,49 @@ def _md5_bucket(words, dim: int) -> np.ndarray:
     )
 
 
-def _hash_counts_udf(dim: int):
-    @F.pandas_udf("array<double>")
-    def hash_counts(tokens: pd.Series) -> pd.Series:
-        n = len(tokens)
-        lengths = tokens.map(lambda a: 0 if a is None else len(a)).to_numpy()
-        if lengths.sum() == 0:
-            return pd.Series([np.zeros(dim) for _ in range(n)])
-        flat = np.concatenate([a for a in tokens if a is not None and len(a)])
-        # hash each distinct token of the batch once (vocabulary << tokens)
-        codes, uniques = pd.factorize(flat)
-        buckets = _md5_bucket(uniques, dim)[codes]
-        rows = np.repeat(np.arange(n), lengths)
-        counts = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.float64)
-        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
-        nz = norms > 0
-        counts[nz] /= norms[nz, None]
-        return pd.Series(list(counts))
+def _hash_batches(dim: int, id_col: str, out_col: str):
+    """``mapInArrow`` body: ``(id, tokens list<string>)`` batches ->
+    ``(id, embedding list<double>)``.  Flattening, parent indices and the
+    per-batch vocabulary are computed by Arrow in C++; only the distinct
+    tokens of a batch are hashed in Python."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return hash_counts
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            toks = b.column(1)
+            flat = pc.list_flatten(toks)
+            counts = np.zeros((n, dim))
+            if len(flat):
+                parents = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+                enc = pc.dictionary_encode(flat)
+                codes = enc.indices.to_numpy().astype(np.int64)
+                buckets = _md5_bucket(enc.dictionary.to_pylist(), dim)[codes]
+                counts = np.bincount(parents * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.float64)
+                norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+                nz = norms > 0
+                counts[nz] /= norms[nz, None]
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            emb = pa.ListArray.from_arrays(offsets, pa.array(counts.reshape(-1), pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), emb], names=[id_col, out_col])
+
+    return run
 
 
 def hash_encode(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM,
                 out_col: str = "embedding") -> DataFrame:
     """``(id, embedding array<double>)``: hashed bag-of-words, L2-normalised;
     a text without tokens (or null) gets the zero vector.  Row-local (no
-    shuffle): tokens are split natively; each Arrow batch hashes its distinct
-    tokens once and counts buckets with ``np.bincount``."""
+    shuffle): tokens are split natively in the JVM and handed over as Arrow
+    lists; each batch hashes its distinct tokens once and counts buckets with
+    ``np.bincount``."""
     toks = split_ws(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    return df.select(F.col(id_col), _hash_counts_udf(dim)(toks).alias(out_col))
+    src = spread(df.select(id_col, text_col)).select(F.col(id_col), toks.alias("_toks"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    return src.mapInArrow(_hash_batches(dim, id_col, out_col), f"{id_col} {id_type}, {out_col} array<double>")
 
 
 def hash_encode_long(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:

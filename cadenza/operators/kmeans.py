@@ -37,7 +37,7 @@ def _fit_one(feats: DataFrame, k: int, seed: int, max_iter: int, init_mode: str,
 
 def fit_best(points: DataFrame, k: int = K.DEFAULT_CLUSTERS, n_init: int = K.KMEANS_RESTARTS,
              seed: int = K.SEED, max_iter: int = K.KMEANS_MAX_ITER, vec: str = "embedding",
-             init_mode: str = "k-means||", tol: float = 1e-4, parallel: int = 4):
+             init_mode: str = "k-means||", tol: float = 1e-4, parallel: int = 10):
     """Best of ``n_init`` KMeans fits by training cost (inertia).
 
     Returns ``(model, cost, costs)``.  Raises ``ValueError`` when there are

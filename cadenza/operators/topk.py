@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.parallel import spread
+
 RANK_DECIMALS = 12
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 DEFAULT_BLOCK_ROWS = 4096
@@ -149,7 +151,7 @@ def _broadcast_candidates(spark, q, c, k, dim, out_schema):
                 names=["qkey", "ckey", "similarity"],
             )
 
-    return c.mapInArrow(score, out_schema)
+    return spread(c).mapInArrow(score, out_schema)
 
 
 def _blocked_candidates(q, c, k, n_q, n_c, block_rows, out_schema):

@@ -24,6 +24,7 @@ from cadenza.operators import clusters as CL
 from cadenza.operators import encode as EN
 from cadenza.operators import recommend as RC
 from cadenza.operators import themes as TH
+from cadenza.operators.parallel import spread
 from cadenza.operators.sample import sample_exact
 from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
 from cadenza.operators.topk import topk_cosine
@@ -154,7 +155,7 @@ def q_parse_json_props(spark, d):
 
 
 def q_clean_tokens(spark, d):
-    s = B.songs(spark, d)
+    s = spread(B.songs(spark, d))
     toks = TX.split_ws(F.lower("corpus"))
     kept = TX.theme_tokens(F.col("corpus"))
     return s.select(
@@ -166,13 +167,13 @@ def q_clean_tokens(spark, d):
 
 
 def q_clean_corpus(spark, d):
-    s = B.songs(spark, d).filter(F.col("corpus").isNotNull())
+    s = spread(B.songs(spark, d).filter(F.col("corpus").isNotNull()))
     return s.select("song_id", TX.drop_stopwords_keep_case("corpus", TX.offline_stopwords()).alias("corpus_clean"))
 
 
 def q_stopword_union(spark, d):
     words = TX.offline_stopwords()
-    toks = B.songs(spark, d).select(F.explode(TX.split_ws(F.lower("corpus"))).alias("word"))
+    toks = spread(B.songs(spark, d)).select(F.explode(TX.split_ws(F.lower("corpus"))).alias("word"))
     return toks.filter(F.col("word").isin(words)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
