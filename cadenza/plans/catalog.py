@@ -414,6 +414,18 @@ def q_event_throttle_wide(spark, d):
     return _throttled(spark, d, 100.0)
 
 
+def q_session_feed(spark, d):
+    e = B.events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
+    return PR.session_feed(e, K.THROTTLE_DELTA, K.STREAM_TIMEOUT_SECONDS)
+
+
+def q_session_feed_day(spark, d):
+    # the same feed with a one-day limit: sessions in the test data are sparse,
+    # so this variant exercises long throttled runs and completions
+    e = B.events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
+    return PR.session_feed(e, K.THROTTLE_DELTA, 86400)
+
+
 QUERIES = {
     "load_songs": q_load_songs,
     "eligible_songs": q_eligible_songs,
@@ -465,4 +477,6 @@ QUERIES = {
     "stage_timings": q_stage_timings,
     "event_throttle": q_event_throttle,
     "event_throttle_wide": q_event_throttle_wide,
+    "session_feed": q_session_feed,
+    "session_feed_day": q_session_feed_day,
 }

@@ -172,6 +172,17 @@ def q_event_throttle_stream(spark, d):
     return out.select("user_id", "event_id", "event_type", "value")
 
 
+def q_session_feed_stream(spark, d):
+    ev = _stream_of(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return _run_to_memory(PR.session_feed_stream(ev, K.THROTTLE_DELTA, 86400), "feed")
+
+
+def q_latest_per_session_stream(spark, d):
+    ev = _stream_of(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    out = _run_to_memory(PR.latest_per_key_stream(ev), "latest", mode="complete")
+    return out.select("user_id", "event_id", "event_type", "value")
+
+
 def q_assign_clusters_stream(spark, d):
     static = B.vectors(spark, d)
     cents = CL.centroids(static)
@@ -188,5 +199,7 @@ JOB_QUERIES = {
     "cluster_describe_job": q_cluster_describe_job,
     "event_throttle_stream": q_event_throttle_stream,
     "assign_clusters_stream": q_assign_clusters_stream,
+    "session_feed_stream": q_session_feed_stream,
+    "latest_per_session_stream": q_latest_per_session_stream,
 }
 del JOB_QUERIES["encode_tfidf"]

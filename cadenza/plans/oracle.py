@@ -127,6 +127,33 @@ t AS (
 SELECT user_id, event_id, event_type, value FROM t WHERE emit"""
 
 
+def _feed_sql(delta: float, limit_s: int) -> str:
+    cond = f"(e.event_type <> t.ls OR abs(e.value - t.lp) >= {delta})"
+    return f"""WITH RECURSIVE fs AS (SELECT user_id, MIN(ts) AS first_ts FROM events GROUP BY user_id),
+seen AS (SELECT ev.* FROM events ev JOIN fs USING (user_id)
+         WHERE ev.ts < fs.first_ts + INTERVAL {limit_s} SECOND),
+term AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS t_id, MIN(ts) AS t_ts
+         FROM seen WHERE event_type = '{K.TERMINAL_STEP}' GROUP BY user_id),
+bef AS (SELECT s.* FROM seen s LEFT JOIN term USING (user_id)
+        WHERE term.t_id IS NULL OR s.ts < term.t_ts OR (s.ts = term.t_ts AND s.event_id < term.t_id)),
+e AS (SELECT user_id, event_id, event_type, value,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM bef),
+t AS (
+  SELECT user_id, rn, event_id, event_type, value, event_type AS ls, value AS lp, TRUE AS emit FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.event_type, e.value,
+         CASE WHEN {cond} THEN e.event_type ELSE t.ls END,
+         CASE WHEN {cond} THEN e.value ELSE t.lp END,
+         {cond}
+  FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1)
+SELECT user_id, 'running' AS status, event_id, event_type, value FROM t WHERE emit
+UNION ALL
+SELECT s.user_id, 'completed', s.event_id, s.event_type, s.value FROM seen s JOIN term ON term.t_id = s.event_id
+UNION ALL
+SELECT user_id, 'timeout', NULL::BIGINT, NULL::VARCHAR, NULL::DOUBLE FROM fs
+WHERE user_id NOT IN (SELECT user_id FROM term)"""
+
+
 def _silhouette_sql(dist: str) -> str:
     return f"""{with_ctes('vectors')},
 p AS (SELECT song_id AS id, cluster AS c, embedding::DOUBLE[] AS e FROM vectors),
@@ -450,4 +477,6 @@ FROM per JOIN tot USING (user_id)"""
 
     q["event_throttle"] = _throttle_sql(K.THROTTLE_DELTA)
     q["event_throttle_wide"] = _throttle_sql(100.0)
+    q["session_feed"] = _feed_sql(K.THROTTLE_DELTA, K.STREAM_TIMEOUT_SECONDS)
+    q["session_feed_day"] = _feed_sql(K.THROTTLE_DELTA, 86400)
     return q

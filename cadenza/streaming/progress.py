@@ -188,3 +188,120 @@ def timings_map(per_stage: DataFrame, run: str = "user_id") -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("stage", "seconds"))).alias("timings"),
         F.first("total_seconds").alias("total_time"),
     )
+
+
+# ------------------------------------------------------------- session feed
+
+FEED_SCHEMA = "user_id bigint, status string, event_id bigint, event_type string, value double"
+
+
+def session_feed(events: DataFrame, delta: float = K.THROTTLE_DELTA,
+                 limit_seconds: int = K.STREAM_TIMEOUT_SECONDS, key: str = "user_id",
+                 ts: str = "ts", tie: str = "event_id", step: str = "event_type",
+                 progress: str = "value", terminal: str = K.TERMINAL_STEP) -> DataFrame:
+    """What a client following one session sees: throttled ``running``
+    records, then either ``completed`` at the first terminal record (nothing
+    after it) or ``timeout`` when no terminal record arrives within
+    ``limit_seconds`` of the session's first record (records after the
+    deadline are never seen).  Output ``(key, status, event_id, event_type,
+    value)``; a ``timeout`` row carries nulls."""
+    first = events.groupBy(key).agg(F.min(ts).alias("_first"))
+    deadline = F.col("_first") + F.make_dt_interval(secs=F.lit(limit_seconds))
+    seen = events.join(first, key).filter(F.col(ts) < deadline)
+    order = F.struct(F.col(ts), F.col(tie))
+    term = seen.filter(F.col(step) == terminal).groupBy(key).agg(F.min(order).alias("_t"))
+    tagged = seen.join(term, key, "left")
+    before = tagged.filter(F.col("_t").isNull() | (order < F.col("_t")))
+    running = throttle(before.select(*events.columns), delta, key, ts, tie, step, progress)
+    cols = lambda status, df: df.select(
+        F.col(key).cast("bigint").alias("user_id"), F.lit(status).alias("status"),
+        F.col(tie).cast("bigint").alias("event_id"), F.col(step).alias("event_type"),
+        F.col(progress).cast("double").alias("value"),
+    )
+    done = tagged.filter(order == F.col("_t"))
+    timed_out = first.join(term, key, "left_anti").select(
+        F.col(key).cast("bigint").alias("user_id"), F.lit("timeout").alias("status"),
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("event_type"),
+        F.lit(None).cast("double").alias("value"),
+    )
+    return cols("running", running).unionByName(cols("completed", done)).unionByName(timed_out)
+
+
+def session_feed_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA,
+                        limit_seconds: int = K.STREAM_TIMEOUT_SECONDS, watermark: str = "10 minutes",
+                        key: str = "user_id", ts: str = "ts", tie: str = "event_id",
+                        step: str = "event_type", progress: str = "value",
+                        terminal: str = K.TERMINAL_STEP) -> DataFrame:
+    """:func:`session_feed` on a stream: ``applyInPandasWithState`` keyed by
+    session with an event-time timeout at first record + ``limit_seconds``.
+    State = (deadline, last emitted step, last emitted progress, done).  A
+    session that completed or timed out keeps a tombstone so later records
+    are dropped (the terminal record ends the feed); the watermark frees it."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    state_schema = T.StructType([
+        T.StructField("deadline_ms", T.LongType()),
+        T.StructField("last_step", T.StringType()),
+        T.StructField("last_progress", T.DoubleType()),
+        T.StructField("done", T.BooleanType()),
+    ])
+    limit_ms = limit_seconds * 1000
+
+    def row(k, status, eid=None, st=None, val=None):
+        return {"user_id": k, "status": status, "event_id": eid, "event_type": st, "value": val}
+
+    def fn(keys, pdfs, state):
+        k = int(keys[0])
+        if state.hasTimedOut:
+            deadline, ls, lp, done = state.get
+            state.remove()
+            if not done:
+                yield pd.DataFrame([row(k, "timeout")])
+            return
+        if state.exists:
+            deadline, ls, lp, done = state.get
+        else:
+            deadline, ls, lp, done = None, None, None, False
+        out = []
+        for pdf in pdfs:
+            if done:
+                break
+            pdf = pdf.sort_values([ts, tie], kind="mergesort")
+            t_ms = (pdf[ts].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
+            steps = pdf[step].tolist()
+            vals = pdf[progress].to_numpy(dtype=np.float64)
+            ids = pdf[tie].to_numpy()
+            for i in range(len(pdf)):
+                if deadline is None:
+                    deadline = int(t_ms[i]) + limit_ms
+                if t_ms[i] >= deadline:
+                    out.append(row(k, "timeout"))
+                    done = True
+                    break
+                if steps[i] == terminal:
+                    out.append(row(k, "completed", int(ids[i]), steps[i], float(vals[i])))
+                    done = True
+                    break
+                if ls is None or steps[i] != ls or abs(vals[i] - lp) >= delta:
+                    out.append(row(k, "running", int(ids[i]), steps[i], float(vals[i])))
+                    ls, lp = steps[i], float(vals[i])
+        state.update((deadline, ls, lp, done))
+        state.setTimeoutTimestamp(int(deadline))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "status", "event_id", "event_type", "value"])
+
+    if events.schema[ts].dataType.typeName() == "timestamp_ntz":
+        # watermarks need TIMESTAMP; wall-clock NTZ values map 1:1 under a
+        # fixed-offset session zone (UTC here)
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (
+        events.withWatermark(ts, watermark)
+        .groupBy(key)
+        .applyInPandasWithState(fn, FEED_SCHEMA, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def latest_per_key_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Latest record per key on a stream (``max_by`` aggregation; run it with
+    output mode ``update`` or ``complete``)."""
+    return latest_per_key(events, key, ts, tie)

@@ -65,3 +65,22 @@ def test_session_status(spark):
     got = {r["session_id"]: (r["status"], r["step"], r["progress"])
            for r in PR.session_status(req, _events(spark, rows)).collect()}
     assert got == {1: ("completed", None, None), 2: ("running", "click", 20.0), 3: ("not_found", None, None)}
+
+
+def test_session_feed_stream_equals_batch(spark):
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    d = "/root/testdata/sf0.001"
+    a = sorted(tuple(r) for r in qs["session_feed_stream"](spark, d).collect())
+    b = sorted(tuple(r) for r in qs["session_feed_day"](spark, d).collect())
+    assert a == b and len(a) > 0
+
+
+def test_session_feed_terminal_ends_output(spark):
+    # W4: nothing after the first terminal record; W3: deadline cuts the feed
+    rows = [(1, 0, "view", 0), (1, 10, "view", 50), (1, 20, "purchase", 60), (1, 30, "view", 70),
+            (2, 0, "view", 0), (2, 400, "purchase", 1)]
+    got = sorted((r["user_id"], r["status"], r["value"]) for r in PR.session_feed(_events(spark, rows), 5.0, 300).collect())
+    assert got == [(1, "completed", 60.0), (1, "running", 0.0), (1, "running", 50.0),
+                   (2, "running", 0.0), (2, "timeout", None)]
