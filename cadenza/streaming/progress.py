@@ -71,7 +71,9 @@ def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "use
         mask = _throttle_mask(pdf["_run"].to_numpy(), pdf[progress].to_numpy(dtype=np.float64), delta)
         return pdf.loc[mask, cols]
 
-    return marked.groupBy(key, "_chunk").applyInPandas(per_chunk, schema)
+    # spread the chunks of one key over tasks: the window above needs a key's
+    # rows in order in one task (JVM, sort-based), the Python scan does not
+    return marked.repartition(key, "_chunk").groupBy(key, "_chunk").applyInPandas(per_chunk, schema)
 
 
 def throttle_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
