@@ -33,6 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,12 +94,16 @@ def topk_cosine(
     ``k`` most cosine-similar corpus rows per query, ranked by similarity
     descending then ``corpus_key`` ascending.  A zero vector scores 0."""
     spark = queries.sparkSession
-    q = queries.select(F.col(query_key).alias("qkey"), F.col(query_vec).alias("qvec"))
+    # the query side is sized first and then used: keep it between the two
+    q = queries.select(F.col(query_key).alias("qkey"), F.col(query_vec).alias("qvec")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     c = corpus.select(F.col(corpus_key).alias("ckey"), F.col(corpus_vec).alias("cvec"))
 
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
     n_q, dim = int(stats["n"]), stats["d"]
     if n_q == 0:
+        q.unpersist()
         return spark.createDataFrame(
             [], f"{query_key} bigint, {corpus_key} bigint, similarity double, rank int"
         )
@@ -134,6 +139,7 @@ def topk_cosine(
 def _broadcast_candidates(spark, q, c, k, dim, out_schema):
     # size proven above: n_q * dim * 8 <= max_broadcast_bytes
     tbl = q.toArrow()
+    q.unpersist()
     qkeys = tbl.column("qkey").to_numpy()
     qmat = _unit_rows(_list_to_matrix(tbl.column("qvec"), dim))
     bc = spark.sparkContext.broadcast((qkeys, qmat))
