@@ -1,0 +1,209 @@
+"""KMeans with ``n_init`` restarts that share every pass over the data.
+
+MLlib fits one model per call, so n restarts cost n scans of the vector
+table per iteration.  Here all restarts advance together:
+
+* seeding is k-means++ for every restart at once: k passes, each a
+  weighted draw per restart (Efraimidis-Spirakis keys ``-ln(u) / D^2``, the
+  minimum wins; round 1 is uniform).  ``u`` is a hash of (seed, restart,
+  round, id), so draws do not depend on partitioning or task order;
+* each Lloyd pass assigns every point to its nearest centre for every
+  still-moving restart with one BLAS product per Arrow batch, and emits per
+  (restart, cluster) partial sums; ``Summarizer.sum`` reduces them with
+  map-side partial aggregation and only restarts x k rows reach the driver;
+* a restart stops when no centre moves more than ``tol``; an empty cluster
+  keeps its centre (as MLlib does); the final pass computes every restart's
+  cost with its final centres and the cheapest restart wins (ties -> lowest
+  restart index).
+
+Each pass is one Spark job over the persisted input; centres travel as a
+broadcast of restarts x k x d numbers.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cadenza import constants as K
+from cadenza.operators.parallel import spread
+
+_MASK = (1 << 64) - 1
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser on uint64 arrays (wrapping arithmetic)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _salt(seed: int, restart: int, rnd: int) -> int:
+    h = np.array([(seed * 1_000_003 + restart * 7919 + rnd * 104_729) & _MASK], dtype=np.uint64)
+    return int(_mix(h)[0])
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = _mix(ids.astype(np.uint64) ^ np.uint64(salt))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _matrix(b: pa.RecordBatch, col: int, dim: int) -> np.ndarray:
+    return b.column(col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
+
+
+def _sq_dists(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    d2 = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (x @ c.T)
+    return np.maximum(d2, 0.0)
+
+
+def _seed_pass(src: DataFrame, dim: int, rnd: int, chosen: np.ndarray | None, salts: list[int]):
+    """One k-means++ round for all restarts -> list of (id, vector) per restart."""
+    spark = src.sparkSession
+    bc = spark.sparkContext.broadcast((chosen, salts))
+    n_r = len(salts)
+
+    def run(batches):
+        ch, sl = bc.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = _matrix(b, 1, dim)
+            rr, kk, ii, vv = [], [], [], []
+            for r in range(n_r):
+                u = _uniform(ids, sl[r])
+                if ch is None:
+                    key = -np.log(u)
+                else:
+                    w = _sq_dists(x, ch[r]).min(axis=1)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(w > 0, -np.log(u) / w, np.inf)
+                j = int(np.argmin(key))
+                rr.append(r)
+                kk.append(float(key[j]))
+                ii.append(int(ids[j]))
+                vv.append(x[j])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rr, pa.int32()), pa.array(kk, pa.float64()), pa.array(ii, pa.int64()),
+                 pa.array([list(v) for v in vv], pa.list_(pa.float64()))],
+                names=["r", "key", "id", "vec"],
+            )
+
+    cand = src.mapInArrow(run, "r int, key double, id bigint, vec array<double>")
+    best = cand.groupBy("r").agg(F.min_by(F.struct("id", "vec"), F.struct("key", "id")).alias("b"))
+    rows = best.select("r", "b.vec").collect()  # one row per restart
+    bc.unpersist()
+    out = [None] * n_r
+    for row in rows:
+        out[row["r"]] = np.array(row["vec"], dtype=np.float64)
+    return out
+
+
+def _lloyd_pass(src: DataFrame, dim: int, centers: np.ndarray, active: list[int]):
+    """Per active restart and cluster: (count, cost, vector sum)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark = src.sparkSession
+    bc = spark.sparkContext.broadcast((centers, active))
+    k = centers.shape[1]
+
+    def run(batches):
+        cs, act = bc.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = _matrix(b, 1, dim)
+            rr, cc, nn, co, ss = [], [], [], [], []
+            for r in act:
+                d2 = _sq_dists(x, cs[r])
+                lab = np.argmin(d2, axis=1)
+                best = d2[np.arange(len(lab)), lab]
+                onehot = np.zeros((len(lab), k))
+                onehot[np.arange(len(lab)), lab] = 1.0
+                sums = onehot.T @ x
+                cnt = onehot.sum(axis=0)
+                cost = np.bincount(lab, weights=best, minlength=k)
+                for c in range(k):
+                    if cnt[c] > 0:
+                        rr.append(r)
+                        cc.append(c)
+                        nn.append(int(cnt[c]))
+                        co.append(float(cost[c]))
+                        ss.append(list(sums[c]))
+            if rr:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rr, pa.int32()), pa.array(cc, pa.int32()), pa.array(nn, pa.int64()),
+                     pa.array(co, pa.float64()), pa.array(ss, pa.list_(pa.float64()))],
+                    names=["r", "c", "n", "cost", "s"],
+                )
+
+    part = src.mapInArrow(run, "r int, c int, n bigint, cost double, s array<double>")
+    agg = part.groupBy("r", "c").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+        vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
+    )
+    rows = agg.collect()  # at most restarts x k rows
+    bc.unpersist()
+    return rows
+
+
+def fit_restarts(points: DataFrame, k: int = K.DEFAULT_CLUSTERS, n_init: int = K.KMEANS_RESTARTS,
+                 seed: int = K.SEED, max_iter: int = K.KMEANS_MAX_ITER, tol: float = 1e-4,
+                 id_col: str = "song_id", vec: str = "embedding"):
+    """Best of ``n_init`` k-means++ / Lloyd runs.  Returns ``(centers (k x d),
+    cost, costs per restart, iterations per restart)``.  Raises
+    ``ValueError`` when there are fewer points than clusters."""
+    src = spread(points.select(F.col(id_col).cast("bigint"), F.col(vec).cast("array<double>"))).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        stats = src.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+        n, dim = int(stats["n"]), int(stats["d"] or 0)
+        if n < k:
+            raise ValueError(f"{n} points cannot form {k} clusters")
+        salts = [[_salt(seed, r, rnd) for r in range(n_init)] for rnd in range(k)]
+        chosen = None
+        for rnd in range(k):
+            picked = _seed_pass(src, dim, rnd, chosen, salts[rnd])
+            new = np.stack(picked)[:, None, :]
+            chosen = new if chosen is None else np.concatenate([chosen, new], axis=1)
+        centers = chosen  # restarts x k x d
+        iters = [0] * n_init
+        active = list(range(n_init))
+        for _ in range(max_iter):
+            if not active:
+                break
+            rows = _lloyd_pass(src, dim, centers, active)
+            new = centers.copy()
+            for row in rows:
+                new[row["r"], row["c"]] = np.array(row["s"]) / row["n"]
+            still = []
+            for r in active:
+                iters[r] += 1
+                moved = ((new[r] - centers[r]) ** 2).sum(axis=1).max()
+                if moved > tol * tol:
+                    still.append(r)
+            centers = new
+            active = still
+        final = _lloyd_pass(src, dim, centers, list(range(n_init)))
+        costs = [0.0] * n_init
+        for row in final:
+            costs[row["r"]] += row["cost"]
+        best = min(range(n_init), key=lambda r: (costs[r], r))
+        return centers[best], costs[best], costs, iters
+    finally:
+        src.unpersist()
+
+
+def centers_frame(spark, centers: np.ndarray) -> DataFrame:
+    """``(cluster int, centroid array<double>)`` for :func:`assign_nearest`."""
+    return spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(centers)], "cluster int, centroid array<double>"
+    )

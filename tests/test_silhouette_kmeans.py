@@ -74,3 +74,23 @@ def test_assign_nearest_and_inertia(spark):
     got = {r["song_id"]: r["cluster"] for r in CL.assign_nearest(pts, cents).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1}
     assert CL.inertia(pts, cents).first()["inertia_exact"] == 1.0
+
+
+def test_batched_restarts_invariants(spark):
+    from cadenza.operators.kmeans_batched import fit_restarts
+
+    rng = np.random.default_rng(11)
+    centers = np.array([[0, 0, 0], [8, 0, 0], [0, 8, 0], [0, 0, 8]], dtype=float)
+    x = np.vstack([c + rng.normal(scale=0.6, size=(25, 3)) for c in centers])
+    pts = _points(spark, x, np.zeros(len(x), dtype=int)).drop("cluster")
+    c, cost, costs, iters = fit_restarts(pts, 4, 5, 42)
+    assert cost == min(costs) and all(i >= 1 for i in iters)
+    # a Lloyd fixpoint: centres are the means of their nearest points
+    lab = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1), axis=1)
+    assert np.allclose(c, np.array([x[lab == j].mean(0) for j in range(4)]), atol=1e-3)
+    assert abs(cost - ((x - c[lab]) ** 2).sum()) < 1e-6
+    # the draws do not depend on partitioning
+    c2, cost2, _, _ = fit_restarts(pts.repartition(3), 4, 5, 42)
+    assert np.allclose(c, c2) and abs(cost - cost2) < 1e-9
+    labelled, _, _, _ = KM.cluster_points(pts, 4, 5, 42, engine="batched")
+    assert labelled.count() == 100 and {r["cluster"] for r in labelled.collect()} == {0, 1, 2, 3}
