@@ -12,10 +12,11 @@ the first record of a key is always emitted.  Comparing with the previous
 Batch plan: a run of consecutive same-step records always starts with an
 emission (its step differs from whatever was emitted last), so runs are
 independent.  Run numbers come from one sort-based window per key
-(``lag`` + running sum, spill-capable), and the sequential rule is applied
-to bounded groups of whole runs with ``applyInPandas``: a hot key is split
-into many groups instead of landing in one Python task.  (A single run of
-unbounded length stays sequential: the rule itself is a recurrence.)
+(``lag`` + running sum, spill-capable); buckets of whole runs are
+hash-partitioned and sorted, and one ``mapInPandas`` scan per partition
+applies the sequential rule: a hot key is split over many tasks instead of
+landing in one Python task.  (A single run of unbounded length stays
+sequential: the rule itself is a recurrence.)
 """
 
 from __future__ import annotations
@@ -32,30 +33,16 @@ from cadenza import constants as K
 RUNS_PER_GROUP = 4096
 
 
-def _throttle_mask(runs: np.ndarray, progress: np.ndarray, delta: float) -> np.ndarray:
-    """Emission mask over rows in (ts, tie) order; ``runs`` numbers the runs
-    of equal step.  The first row of every run is emitted."""
-    keep = np.zeros(len(progress), dtype=bool)
-    last = 0.0
-    prev_run = None
-    for i in range(len(progress)):
-        r = runs[i]
-        p = progress[i]
-        if r != prev_run or abs(p - last) >= delta:
-            keep[i] = True
-            last = p
-            prev_run = r
-    return keep
-
-
 def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
              ts: str = "ts", tie: str = "event_id", step: str = "event_type",
              progress: str = "value", runs_per_group: int = RUNS_PER_GROUP) -> DataFrame:
     """Emitted records (all input columns), per key in (ts, tie) order.
 
-    Runs of equal step are numbered natively; whole runs are grouped
-    ``runs_per_group`` at a time per key, so one Python call handles many
-    short runs and a hot key is spread over many groups."""
+    Runs of equal step are numbered natively; whole runs are bucketed
+    ``runs_per_group`` at a time per key and the buckets are hash-partitioned
+    and sorted, so a hot key is spread over tasks.  One ``mapInPandas`` scan
+    per sorted partition applies the rule, resetting at every new run:
+    memory is bounded by the Arrow batch, not by a group."""
     w = Window.partitionBy(key).orderBy(F.col(ts), F.col(tie))
     prev = F.lag(step).over(w)
     marked = events.withColumn(
@@ -65,15 +52,24 @@ def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "use
     )
     cols = events.columns
     schema = events.schema
+    # the window needs a key's rows in order in one task (JVM, sort-based);
+    # the Python scan only needs each run contiguous and in order
+    parts = marked.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", ts, tie)
+
+    def scan(batches):
+        pk, pr, last = None, None, 0.0
+        for pdf in batches:
+            keys = pdf[key].to_numpy()
+            runs = pdf["_run"].to_numpy()
+            vals = pdf[progress].to_numpy(dtype=np.float64)
+            keep = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                if keys[i] != pk or runs[i] != pr or abs(vals[i] - last) >= delta:
+                    keep[i] = True
+                    pk, pr, last = keys[i], runs[i], vals[i]
+            yield pdf.loc[keep, cols]
 
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="mergesort")
-        mask = _throttle_mask(pdf["_run"].to_numpy(), pdf[progress].to_numpy(dtype=np.float64), delta)
-        return pdf.loc[mask, cols]
-
-    # spread the chunks of one key over tasks: the window above needs a key's
-    # rows in order in one task (JVM, sort-based), the Python scan does not
-    return marked.repartition(key, "_chunk").groupBy(key, "_chunk").applyInPandas(per_chunk, schema)
+    return parts.mapInPandas(scan, schema)
 
 
 def throttle_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
