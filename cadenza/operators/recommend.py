@@ -9,7 +9,7 @@ other value than ``lyrics`` is song mode).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza import constants as K
@@ -39,23 +39,25 @@ def validate_requests(requests: DataFrame, min_chars: int = K.MIN_REQUEST_CHARS)
 def resolve_song_requests(song_requests: DataFrame, songs: DataFrame) -> DataFrame:
     """Song-mode requests -> lyrics of the first song (smallest ``song_id``)
     with the same normalised (title, artist); ``not_found`` otherwise.
-    Output ``(request_id, status, song_id, input_text)``."""
-    w = Window.partitionBy("_kt", "_ka").orderBy("song_id")
-    first = (
-        songs.select("song_id", "corpus", norm_key(F.col("song_title")).alias("_kt"),
-                     norm_key(F.col("artist_name")).alias("_ka"))
-        .withColumn("_r", F.row_number().over(w))
-        .filter("_r = 1")
-    )
+    Output ``(request_id, status, song_id, input_text)``.
+
+    The first song per key is a partial ``min`` aggregation over keys only;
+    texts are fetched by ``song_id`` for the matched requests alone, so the
+    song texts are never shuffled for the lookup (the matched side is small
+    and AQE broadcasts it at run time)."""
+    first = songs.groupBy(
+        norm_key(F.col("song_title")).alias("_kt"), norm_key(F.col("artist_name")).alias("_ka")
+    ).agg(F.min("song_id").alias("song_id"))
     req = song_requests.select(
         "request_id", norm_key(F.col("song_name")).alias("_kt"), norm_key(F.col("artist_name")).alias("_ka")
     )
-    j = req.join(first, ["_kt", "_ka"], "left")
-    return j.select(
+    matched = req.join(first, ["_kt", "_ka"], "left").select("request_id", "song_id")
+    texts = songs.select("song_id", F.col("corpus").alias("input_text"))
+    return matched.join(texts, "song_id", "left").select(
         "request_id",
         F.when(F.col("song_id").isNotNull(), F.lit("ok")).otherwise(F.lit("not_found")).alias("status"),
         "song_id",
-        F.col("corpus").alias("input_text"),
+        "input_text",
     )
 
 
