@@ -26,6 +26,20 @@ from cadenza.functions.text import split_ws
 from cadenza.operators.parallel import spread
 
 DEFAULT_DIM = 64
+BUILTIN_MODEL = f"hash-bow-{DEFAULT_DIM}"
+
+
+def model_dimensions(name: str) -> int:
+    """Dimensions of a registered encoder name; unknown names fail before
+    any work starts (the built-in hashed encoder is ``hash-bow-<dim>``)."""
+    from cadenza.constants import MODEL_REGISTRY
+
+    if name.startswith("hash-bow-") and name[len("hash-bow-"):].isdigit():
+        return int(name[len("hash-bow-"):])
+    for model_id, _, dims in MODEL_REGISTRY:
+        if model_id == name:
+            return dims
+    raise ValueError(f"unknown encoder {name!r}")
 
 
 def token_bucket(w, dim: int) -> F.Column:

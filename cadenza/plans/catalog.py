@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as K
 from cadenza.functions import text as TX
-from cadenza.functions.scalars import cluster_id_from_name, epoch_micros, first_image_url
+from cadenza.functions.scalars import cluster_id_from_name, epoch_micros, first_image_url, track_query
 from cadenza.functions.vectors import cosine, euclidean
 from cadenza.operators import catalogue as CAT
 from cadenza.operators import clusters as CL
@@ -361,7 +361,8 @@ def q_playlist_summary(spark, d):
 def q_track_lookup(spark, d):
     s = B.songs(spark, d).select("song_id", F.col("song_title").alias("song_name"), "artist_name")
     return CAT.lookup_tracks(s, B.catalogue(spark, d)).select(
-        "song_id", "found", "track_id", "track_url", "album_art", "preview_url"
+        "song_id", track_query(F.col("song_name"), F.col("artist_name")).alias("search_key"),
+        "found", "track_id", "track_url", "album_art", "preview_url",
     )
 
 
@@ -426,6 +427,10 @@ def q_session_feed_day(spark, d):
     return PR.session_feed(e, K.THROTTLE_DELTA, 86400)
 
 
+def q_progress_json(spark, d):
+    return PR.feed_payloads(q_session_feed_day(spark, d))
+
+
 QUERIES = {
     "load_songs": q_load_songs,
     "eligible_songs": q_eligible_songs,
@@ -479,4 +484,5 @@ QUERIES = {
     "event_throttle_wide": q_event_throttle_wide,
     "session_feed": q_session_feed,
     "session_feed_day": q_session_feed_day,
+    "progress_json": q_progress_json,
 }

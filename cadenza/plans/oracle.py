@@ -428,7 +428,8 @@ FROM inputs i LEFT JOIN playlist p USING (request_id)
 GROUP BY i.request_id, i.input_text"""
 
     q["track_lookup"] = f"""{with_ctes('songs', 'catalogue')}, {HITS}
-SELECT s.song_id, h.track_id IS NOT NULL AS found, h.track_id,
+SELECT s.song_id, 'track:' || s.song_title || ' artist:' || s.artist_name AS search_key,
+       h.track_id IS NOT NULL AS found, h.track_id,
        CASE WHEN h.track_id IS NOT NULL THEN '{TRACK}' || h.track_id END AS track_url,
        h.first_image AS album_art, h.preview_url
 FROM songs s LEFT JOIN hits h ON {NK('h.title')} = {NK('s.song_title')} AND {NK('h.artist')} = {NK('s.artist_name')}"""
@@ -479,4 +480,10 @@ FROM per JOIN tot USING (user_id)"""
     q["event_throttle_wide"] = _throttle_sql(100.0)
     q["session_feed"] = _feed_sql(K.THROTTLE_DELTA, K.STREAM_TIMEOUT_SECONDS)
     q["session_feed_day"] = _feed_sql(K.THROTTLE_DELTA, 86400)
+    q["progress_json"] = f"""WITH feed AS ({_feed_sql(K.THROTTLE_DELTA, 86400)})
+SELECT user_id, status,
+       'data: ' || CASE WHEN event_id IS NULL THEN json_object('status', status)::VARCHAR
+                        ELSE to_json({{'status': status, 'event_id': event_id, 'event_type': event_type,
+                                       'value': value}})::VARCHAR END AS payload
+FROM feed"""
     return q

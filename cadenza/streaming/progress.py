@@ -303,3 +303,10 @@ def latest_per_key_stream(events: DataFrame, key: str = "user_id", ts: str = "ts
     """Latest record per key on a stream (``max_by`` aggregation; run it with
     output mode ``update`` or ``complete``)."""
     return latest_per_key(events, key, ts, tie)
+
+
+def feed_payloads(feed: DataFrame) -> DataFrame:
+    """Render feed records as the stream's text payloads
+    ``data: {json}`` (null fields omitted)."""
+    body = F.to_json(F.struct("status", "event_id", "event_type", "value"))
+    return feed.select("user_id", "status", F.concat(F.lit("data: "), body).alias("payload"))

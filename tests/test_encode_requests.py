@@ -35,3 +35,13 @@ def test_validate_requests_routing(spark):
     got = {r["request_id"]: (r["eff_mode"], r["status"]) for r in validate_requests(df).collect()}
     assert got == {1: ("lyrics", "too_short"), 2: ("lyrics", "ok"), 3: ("song", "ok"),
                    4: ("song", "missing_song_fields"), 5: ("lyrics", "too_short")}
+
+
+def test_encoder_registry():
+    import pytest
+
+    assert EN.model_dimensions("all-MiniLM-L6-v2") == 384
+    assert EN.model_dimensions("bert-base-nli-mean-tokens") == 768
+    assert EN.model_dimensions(EN.BUILTIN_MODEL) == 64
+    with pytest.raises(ValueError):
+        EN.model_dimensions("no-such-model")
