@@ -103,6 +103,18 @@ def playlist_summary(ranked: DataFrame, inputs: DataFrame, dims: int, corpus_siz
     )
 
 
+def build_corpus_index(songs: DataFrame, path: str, dim: int = DEFAULT_DIM,
+                       mode: str = "overwrite") -> None:
+    """Encode the song corpus once and store ``(song_id, embedding)`` as
+    parquet (under the shared folder), so repeated request batches score
+    against stored vectors instead of re-encoding every text."""
+    hash_encode(songs, "song_id", "corpus", dim).write.mode(mode).parquet(path)
+
+
+def load_corpus_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def recommend(requests: DataFrame, songs: DataFrame, catalogue: DataFrame, k: int = K.PLAYLIST_SIZE,
               dim: int = DEFAULT_DIM, corpus: DataFrame | None = None, **topk_kw):
     """Full recommendation job for a table of requests.  Returns

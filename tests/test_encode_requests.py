@@ -45,3 +45,29 @@ def test_encoder_registry():
     assert EN.model_dimensions(EN.BUILTIN_MODEL) == 64
     with pytest.raises(ValueError):
         EN.model_dimensions("no-such-model")
+
+
+def test_corpus_index_gives_same_playlist(spark, tmp_path):
+    from cadenza.operators import recommend as RC
+    from cadenza.plans import bindings as B
+
+    d = "/root/testdata/sf0.001"
+    songs, req, cat = B.songs(spark, d), B.requests(spark, d), B.catalogue(spark, d)
+    RC.build_corpus_index(songs, str(tmp_path / "idx"))
+    a, _ = RC.recommend(req, songs, cat)
+    b, _ = RC.recommend(req, songs, cat, corpus=RC.load_corpus_index(spark, str(tmp_path / "idx")))
+    key = lambda r: (r["request_id"], r["rank"] or 0)
+    assert sorted(map(tuple, a.collect()), key=lambda t: (t[0], t[2] or 0)) == \
+        sorted(map(tuple, b.select(*a.columns).collect()), key=lambda t: (t[0], t[2] or 0))
+
+
+def test_silhouette_sample_size(spark):
+    import numpy as np
+    from cadenza.operators.silhouette import silhouette_exact
+    from cadenza.plans import bindings as B
+
+    v = B.vectors(spark, "/root/testdata/sf0.001")
+    full = silhouette_exact(v).first()
+    part = silhouette_exact(v, sample_size=100).first()
+    assert part["n_points"] == 100 and full["n_points"] == v.count()
+    assert -1 <= part["silhouette"] <= 1
