@@ -11,12 +11,13 @@ the first record of a key is always emitted.  Comparing with the previous
 
 Batch plan: a run of consecutive same-step records always starts with an
 emission (its step differs from whatever was emitted last), so runs are
-independent.  Run numbers come from one sort-based window per key
-(``lag`` + running sum, spill-capable); buckets of whole runs are
+independent.  Runs are labelled without any per-key task (range
+partitioning on (key, ts, tie), a per-partition boundary summary chained on
+the driver, then a vectorised labelling pass -- :func:`run_ids`); runs are
 hash-partitioned and sorted, and one ``mapInPandas`` scan per partition
-applies the sequential rule: a hot key is split over many tasks instead of
-landing in one Python task.  (A single run of unbounded length stays
-sequential: the rule itself is a recurrence.)
+applies the sequential rule.  A key holding a third of all rows is thus
+split over many tasks.  (A single run of unbounded length stays sequential:
+the rule itself is a recurrence over the last emitted record.)
 """
 
 from __future__ import annotations
@@ -33,28 +34,123 @@ from cadenza import constants as K
 RUNS_PER_GROUP = 4096
 
 
+def _run_starts(keys, steps, carry_key, carry_step, has_carry):
+    """Boolean run-start flags of rows in (key, ts, tie) order."""
+    n = len(keys)
+    starts = np.ones(n, dtype=bool)
+    if n > 1:
+        starts[1:] = (keys[1:] != keys[:-1]) | (steps[1:] != steps[:-1])
+    if n and has_carry:
+        starts[0] = not (keys[0] == carry_key and steps[0] == carry_step)
+    return starts
+
+
+def run_ids(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
+            step: str = "event_type") -> DataFrame:
+    """``events`` plus ``_run``: the ``tie`` value of the first row of each
+    row's run (maximal sequence of consecutive same-step rows of a key in
+    (ts, tie) order).
+
+    No per-key window: rows are range-partitioned and sorted on (key, ts,
+    tie) -- a hot key is split over many partitions -- and checkpointed to
+    the shared folder so both passes below read identical partitions.  Pass
+    1 emits one boundary summary per partition; the driver chains the P
+    summaries in order (bounded by the partition count) into the run in
+    progress at each partition start; pass 2 labels rows with vectorised
+    NumPy."""
+    from pyspark import TaskContext
+
+    from cadenza.session import checkpoint_dir
+
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    parts = events.repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie).checkpoint(eager=True)
+    key_type = parts.schema[key].dataType.simpleString()
+    tie_type = parts.schema[tie].dataType.simpleString()
+
+    def summarise(batches):
+        pid = TaskContext.get().partitionId()
+        first = last = None
+        n = 0
+        last_start = None
+        prev = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys, steps, ids = pdf[key].to_numpy(), pdf[step].to_numpy(), pdf[tie].to_numpy()
+            st = _run_starts(keys, steps, prev[0] if prev else None, prev[1] if prev else None, prev is not None)
+            if first is None:
+                first = (keys[0], steps[0], ids[0])
+                st[0] = False  # the first row's status depends on the carry
+            idx = np.nonzero(st)[0]
+            if len(idx):
+                last_start = ids[idx[-1]]
+            prev = (keys[-1], steps[-1])
+            last = (keys[-1], steps[-1])
+            n += len(pdf)
+        if n:
+            yield pd.DataFrame({
+                "pid": [pid], "first_key": [first[0]], "first_step": [first[1]], "first_id": [first[2]],
+                "last_key": [last[0]], "last_step": [last[1]], "last_start": [last_start],
+            })
+
+    summary_schema = (f"pid int, first_key {key_type}, first_step string, first_id {tie_type}, "
+                      f"last_key {key_type}, last_step string, last_start {tie_type}")
+    rows = sorted(parts.select(key, step, tie).mapInPandas(summarise, summary_schema).collect(),
+                  key=lambda r: r["pid"])  # one row per partition
+    carry, state = {}, None
+    for r in rows:  # range partitions are in key order
+        carry[r["pid"]] = state
+        starts0 = state is None or r["first_key"] != state[0] or r["first_step"] != state[1]
+        first_run = r["first_id"] if starts0 else state[2]
+        end_run = r["last_start"] if r["last_start"] is not None else first_run
+        state = (r["last_key"], r["last_step"], end_run)
+    bc = spark.sparkContext.broadcast(carry)
+    base = parts.schema
+    out_schema = T.StructType(list(base.fields) + [T.StructField("_run", base[tie].dataType)])
+
+    def label(batches):
+        c = bc.value.get(TaskContext.get().partitionId())
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys, steps, ids = pdf[key].to_numpy(), pdf[step].to_numpy(), pdf[tie].to_numpy()
+            st = _run_starts(keys, steps, c[0] if c else None, c[1] if c else None, c is not None)
+            pos = np.maximum.accumulate(np.where(st, np.arange(len(pdf)), -1))
+            run = np.where(pos >= 0, ids[np.maximum(pos, 0)], c[2] if c else ids[0])
+            c = (keys[-1], steps[-1], run[-1])
+            yield pdf.assign(_run=run)
+
+    return parts.mapInPandas(label, out_schema)
+
+
 def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
              ts: str = "ts", tie: str = "event_id", step: str = "event_type",
-             progress: str = "value", runs_per_group: int = RUNS_PER_GROUP) -> DataFrame:
+             progress: str = "value", strategy: str = "range",
+             runs_per_group: int = RUNS_PER_GROUP) -> DataFrame:
     """Emitted records (all input columns), per key in (ts, tie) order.
 
-    Runs of equal step are numbered natively; whole runs are bucketed
-    ``runs_per_group`` at a time per key and the buckets are hash-partitioned
-    and sorted, so a hot key is spread over tasks.  One ``mapInPandas`` scan
-    per sorted partition applies the rule, resetting at every new run:
-    memory is bounded by the Arrow batch, not by a group."""
-    w = Window.partitionBy(key).orderBy(F.col(ts), F.col(tie))
-    prev = F.lag(step).over(w)
-    marked = events.withColumn(
-        "_new", F.when(prev.isNull() | (prev != F.col(step)), 1).otherwise(0)
-    ).withColumn("_run", F.sum("_new").over(w)).withColumn(
-        "_chunk", F.floor((F.col("_run") - 1) / F.lit(runs_per_group))
-    )
+    Runs are labelled (``strategy='range'``: :func:`run_ids`, no per-key
+    task; ``'window'``: ``lag`` + running sum over a per-key window, one task
+    per key), hash-partitioned by run and sorted, and one ``mapInPandas``
+    scan per partition applies the rule, resetting at every new run: a hot
+    key is spread over tasks and memory is bounded by the Arrow batch."""
     cols = events.columns
     schema = events.schema
-    # the window needs a key's rows in order in one task (JVM, sort-based);
-    # the Python scan only needs each run contiguous and in order
-    parts = marked.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", ts, tie)
+    if strategy == "range":
+        marked = run_ids(events, key, ts, tie, step)
+        parts = marked.repartition(key, "_run").sortWithinPartitions(key, "_run", ts, tie)
+    elif strategy == "window":
+        w = Window.partitionBy(key).orderBy(F.col(ts), F.col(tie))
+        prev = F.lag(step).over(w)
+        marked = events.withColumn(
+            "_new", F.when(prev.isNull() | (prev != F.col(step)), 1).otherwise(0)
+        ).withColumn("_run", F.sum("_new").over(w)).withColumn(
+            "_chunk", F.floor((F.col("_run") - 1) / F.lit(runs_per_group))
+        )
+        parts = marked.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", ts, tie)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
 
     def scan(batches):
         pk, pr, last = None, None, 0.0

@@ -84,3 +84,34 @@ def test_session_feed_terminal_ends_output(spark):
     got = sorted((r["user_id"], r["status"], r["value"]) for r in PR.session_feed(_events(spark, rows), 5.0, 300).collect())
     assert got == [(1, "completed", 60.0), (1, "running", 0.0), (1, "running", 50.0),
                    (2, "running", 0.0), (2, "timeout", None)]
+
+
+def test_throttle_range_and_window_agree_on_hot_key(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):  # user 1 holds most rows; long runs cross partition bounds
+        u = 1 if i % 10 else 2 + (i % 7)
+        step = "A" if (i // 400) % 2 == 0 else "B"
+        if rng.random() < 0.05:
+            step = "C"
+        rows.append((u, i, step, float(rng.integers(0, 40))))
+    ev = _events(spark, rows).repartition(5)
+    exp = _reference(ev.toPandas(), 5.0)
+    a = sorted(r["event_id"] for r in PR.throttle(ev, 5.0, strategy="range").collect())
+    b = sorted(r["event_id"] for r in PR.throttle(ev, 5.0, strategy="window").collect())
+    assert a == b == exp
+
+
+def test_run_ids_cross_partitions(spark):
+    rows = [(1, i, "A" if i < 50 or i >= 90 else "B", 0.0) for i in range(120)]
+    ev = _events(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r["event_id"]: r["_run"] for r in PR.run_ids(ev).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert all(got[i] == 0 for i in range(50))
+    assert all(got[i] == 50 for i in range(50, 90))
+    assert all(got[i] == 90 for i in range(90, 120))
