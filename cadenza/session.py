@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there).  Only when it is unset -- local runs and tests --
-    a fresh scratch folder is created and registered.
+    shared folder there).  Where it is unset, a fresh scratch folder is
+    created and registered for ``local[...]`` masters only; on a cluster a
+    folder of one machine would lose rows, so that raises.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -60,11 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cadenza-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # core conf may be read-only at runtime
-            pass
+        sc.setCheckpointDir(path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
