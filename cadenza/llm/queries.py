@@ -4,19 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.decontaminate import find_leaks
+from cadenza.llm.host_rules import host_quality
+from cadenza.llm.license_scan import scan_licenses
+from cadenza.llm.mixing import mix
+from cadenza.llm.pii import find_pii
+from cadenza.llm.quality_classifier import classify
+from cadenza.llm.secret_scan import scan_secrets
 from cadenza.llm.simhash import simhash_near_duplicates
+from cadenza.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_url_filter": op3_url_filter,
+    "op4_license_scan": op4_license_scan,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_pii": op6_pii,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_host_rules": op9_host_rules,
+    "op10_mixing": op10_mixing,
 }
 
 LLM_ORACLE: dict[str, str] = {}
