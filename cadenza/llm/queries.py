@@ -12,6 +12,7 @@ from cadenza.llm.pii import find_pii
 from cadenza.llm.quality_classifier import classify
 from cadenza.llm.secret_scan import scan_secrets
 from cadenza.llm.simhash import simhash_near_duplicates
+from cadenza.llm.suffix_dedup import remove_repeats
 from cadenza.llm.url_filter import filter_urls
 
 
@@ -23,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
     "op5_secret_scan": op5_secret_scan,
