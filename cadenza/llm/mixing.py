@@ -123,17 +123,13 @@ def diffuse(sizes: np.ndarray, rate: float, cap: int, start: float) -> np.ndarra
     return copies
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), a row for each
-    document; ``taken`` = ``copies`` * ``size``, at most ``cap`` * ``size``.
-
-    Null and empty texts have size 0 and no copies.  A null source is a
-    source of its own, last in order.  Sources of size 0 have target 0.
-    Repeated rows each keep a row.  Rerunning gives the same result.  Empty
-    input: no rows.  Other columns are not read."""
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int,
+             bucket_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(ticket, source, size) of every row, and for each source (planned) its
+    size, target, rate and number of buckets; both in the shared folder."""
     rows = shared_table(docs.select(
-        F.col(id_col).cast("string").alias("ticket"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+        F.col(id_col).cast("string").alias("ticket"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size")), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = shared_table(capped_targets(sources.select("source", "source_size"), weights, cap), "mix-targets")
     rates = entropy_balance(rows, "size", {"source": targets.select("source", "target")}).select(
@@ -143,9 +139,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(sources.select(F.col("source").alias("s2"), F.ceil(F.col("n") / bucket_docs).alias("buckets")),
               F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
         .withColumnRenamed("source", "planned"), "mix-plan")
+    return rows, plan
+
+
+def _rounded(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+    """(ticket, size, source_size, target, copies) for each row."""
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned").withColumn(
         "bucket", F.xxhash64("source", F.pmod(F.xxhash64("ticket"), F.col("buckets"))))
-    kind = docs.select(id_col).schema[0].dataType
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "ticket"], ascending=[False, True], kind="stable")
@@ -153,7 +153,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         copies = diffuse(group["size"].to_numpy(), float(group["rate"].iloc[0]), cap, start)
         return group[["ticket", "size", "source_size", "target"]].assign(copies=copies)
 
-    made = dealt.groupBy("source", "bucket").applyInPandas(
+    return dealt.groupBy("source", "bucket").applyInPandas(
         rounded, "ticket string, size long, source_size long, target double, copies long")
-    return made.select(F.col("ticket").cast(kind).alias("doc_id"), "size", "source_size", "target", "copies",
-                       (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken), a row for each
+    document; ``taken`` = ``copies`` * ``size``, at most ``cap`` * ``size``.
+
+    Null and empty texts have size 0 and no copies.  A null source is a
+    source of its own, last in order.  Sources of size 0 have target 0.
+    Repeated rows each keep a row.  Rerunning gives the same result.  Empty
+    input: no rows.  Other columns are not read."""
+    rows, plan = _planned(docs, id_col, text_col, source_col, weights, cap, bucket_docs)
+    kind = docs.select(id_col).schema[0].dataType
+    return _rounded(rows, plan, cap).select(
+        F.col("ticket").cast(kind).alias("doc_id"), "size", "source_size", "target", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                 weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """``docs`` as the mix takes them: each row once for each of its copies,
+    with all its columns and ``copy`` (1, 2, ...).  An input column of that
+    name is replaced.  Rows that share an id share their copies' number: the
+    largest that :func:`mix` gives one of them."""
+    rows, plan = _planned(docs, id_col, text_col, source_col, weights, cap, bucket_docs)
+    given = shared_table(_rounded(rows, plan, cap).groupBy("ticket").agg(F.max("copies").alias("n"))
+                         .filter("n > 0").withColumnRenamed("ticket", "of"), "mix-copies")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("string").alias("ticket"))
+    taken = held.join(given, F.col("ticket").eqNullSafe(F.col("of")))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "copy"]
+    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "row").select(*kept, "copy")
