@@ -55,6 +55,13 @@ MODEL_REGISTRY = (
 )
 DEFAULT_MODEL = "all-MiniLM-L6-v2"
 
+# --- FIXED VALUES: messages of rejected requests, form sentinel --------------
+TOO_SHORT_MESSAGE = "Please enter at least {} characters of lyrics"
+MISSING_FIELDS_MESSAGE = "Please provide both song name and artist name"
+NOT_FOUND_MESSAGE = 'Could not find lyrics for "%s" by %s'
+NO_INPUT = "None"
+UNKNOWN_NAME = "Unknown"    # a song without title or artist
+
 # --- FIXED VALUES: run parameters -------------------------------------------
 DEFAULT_SAMPLES = 500
 SAMPLES_FLOOR = 100

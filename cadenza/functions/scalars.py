@@ -48,10 +48,6 @@ def sample_key_num(id_col, seed: int = K.SEED) -> Column:
     return F.conv(F.substring(sample_key(id_col, seed), 1, 15), 16, 10).cast("bigint")
 
 
-def clamp(c, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(_col(c), F.lit(hi)))
-
-
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 00:00 of a timestamp column, read as
     wall-clock time (works for TIMESTAMP_NTZ and does not depend on the

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as K
 
-# Whitespace runs.  The test data holds only space and newline; ``(?U)\s+``
-# widens this to Unicode spaces like Python's ``str.split()``.
-WS = r"\s+"
-WS_UNICODE = r"(?U)\s+"
+# Whitespace as Python's ``str.split()`` and ``str.strip()`` see it: the Unicode
+# spaces and the four information separators, which regexes do not count.
+WS_CLASS = r"[\s\x1C-\x1F\x{85}\p{Z}]"
+WS = WS_CLASS + "+"
 LETTERS_ONLY = r"^\p{L}+$"
 
 
@@ -28,30 +28,25 @@ def _distinct(words: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def split_ws(text, unicode_ws: bool = False) -> Column:
+def split_ws(text) -> Column:
     """Split on whitespace runs and drop empty tokens (Python ``str.split()``)."""
-    parts = F.split(_col(text), WS_UNICODE if unicode_ws else WS)
+    parts = F.split(_col(text), WS)
     return F.filter(parts, lambda w: w != F.lit(""))
 
 
-def theme_tokens(text, stopwords: Iterable[str] | None = None, unicode_ws: bool = False) -> Column:
+def theme_tokens(text, stopwords: Iterable[str] | None = None) -> Column:
     """Lower-case tokens kept for themes: not a stop word, longer than two
     code points and letters only.  ``love,`` and ``don't`` are dropped, not
     stripped."""
     # ``isin`` over more than a handful of literals becomes a hash-set lookup
     stop = _distinct(K.THEME_STOPWORDS_LISTED if stopwords is None else stopwords)
-    toks = split_ws(F.lower(_col(text)), unicode_ws)
+    toks = split_ws(F.lower(_col(text)))
     return F.filter(
         toks,
-        lambda w: (F.length(w) > 2) & w.rlike(LETTERS_ONLY) & ~w.isin(stop),
+        lambda w: (F.length(w) > 2) & w.rlike(LETTERS_ONLY) & (~w.isin(stop) if stop else F.lit(True)),
     )
 
 
-def theme_text(text, stopwords: Iterable[str] | None = None) -> Column:
-    """Cleaned text: kept tokens joined with one space."""
-    return F.array_join(theme_tokens(text, stopwords), " ")
-
-
 def drop_stopwords_keep_case(text, stopwords: Iterable[str]) -> Column:
     """Offline cleaning: split on whitespace, drop tokens whose lower-case form
     is a stop word, keep the original case and punctuation, join with one
@@ -64,7 +59,7 @@ def drop_stopwords_keep_case(text, stopwords: Iterable[str]) -> Column:
 def strip_ws(text) -> Column:
     """Strip leading and trailing whitespace of any kind (SQL ``trim`` only
     strips spaces)."""
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(text), rf"^{WS}|{WS}\z", "")
 
 
 def null_na_strings(c, na: Iterable[str] = K.NA_STRINGS) -> Column:

@@ -46,9 +46,3 @@ def sq_euclidean(a, b) -> Column:
 
 def euclidean(a, b) -> Column:
     return F.sqrt(sq_euclidean(a, b))
-
-
-def normalized(v) -> Column:
-    """Unit-length copy as ``array<double>``; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))

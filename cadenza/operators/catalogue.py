@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as K
 from cadenza.functions.scalars import first_image_url, track_url
+from cadenza.functions.text import strip_ws
 
 
 def norm_key(c) -> F.Column:
     """Normalised match key: lower case, surrounding whitespace removed."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(strip_ws(c))
 
 
 def first_hits(catalogue: DataFrame) -> DataFrame:

@@ -8,18 +8,23 @@ fit in one task's memory.  Nothing collects a whole cluster.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza import constants as K
 from cadenza.functions.scalars import sample_key
 from cadenza.operators.parallel import spread
 from cadenza.functions.vectors import sq_euclidean
+from cadenza.session import checkpoint_dir
+from cadenza.sources.embeddings import vector_dim
 
-# A centroid table is k x d.  It is broadcast only while k stays below this
-# bound (checked with a count); beyond it the join is left to the planner.
-MAX_BROADCAST_CENTROIDS = 100_000
+# A centroid table is k x d doubles.  Points are assigned against blocks of it
+# of at most this many bytes, each broadcast.
+MAX_CENTROID_BYTES = 64 << 20
 
 
 def cluster_distribution(clustered: DataFrame) -> DataFrame:
@@ -52,6 +57,28 @@ def first_n_per_cluster(clustered: DataFrame, n: int, order=None) -> DataFrame:
     return clustered.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
 
 
+def songs_in_order(clustered: DataFrame) -> DataFrame:
+    """Every song with ``pos``, its place (from 1) in its cluster by
+    ``song_id``; missing title and artist become ``Unknown``, a missing url is
+    empty.  Long form: no cluster is collected or sorted in one task.  Rows are
+    range-partitioned by (cluster, song_id) into a table of the shared folder;
+    places inside a partition are shifted by the rows of the cluster in the
+    partitions before it."""
+    spark = clustered.sparkSession
+    named = clustered.select(
+        "cluster", "song_id", F.coalesce("song_title", F.lit(K.UNKNOWN_NAME)).alias("song_title"),
+        F.coalesce("artist_name", F.lit(K.UNKNOWN_NAME)).alias("artist_name"), F.coalesce("song_url", F.lit("")).alias("song_url"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/songs-in-order-{uuid.uuid4().hex}"
+    named.repartitionByRange("cluster", "song_id").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    sizes = parts.groupBy("cluster", "_part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("cluster").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("cluster", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = F.row_number().over(Window.partitionBy("cluster", "_part").orderBy("song_id"))
+    return parts.withColumn("inside", inside).join(shifts, ["cluster", "_part"]).select(
+        "cluster", (F.col("shift") + F.col("inside")).alias("pos"), "song_id", "song_title", "artist_name", "song_url")
+
+
 def random_per_cluster(clustered: DataFrame, n: int, seed: int, id_col: str = "song_id") -> DataFrame:
     """``n`` seeded random rows per cluster (all rows when fewer), ``draw``
     1..n.  Order is md5 of ``seed:id`` then id -- independent of partitioning."""
@@ -107,61 +134,69 @@ def centroids(points: DataFrame, vec: str = "embedding", label: str = "cluster")
     )
 
 
-def centroid_matrix(cents: DataFrame, max_centroids: int = MAX_BROADCAST_CENTROIDS):
-    """Collect a centroid table (size checked first) as ``(ids, matrix)``,
-    ids ascending."""
-    k = cents.count()
-    if k > max_centroids:
-        raise ValueError(f"{k} centroids exceed the broadcast bound {max_centroids}")
-    tbl = cents.select("cluster", "centroid").orderBy("cluster").toArrow()
-    ids = tbl.column("cluster").to_numpy()
-    if len(ids) == 0:
+def centroid_blocks(cents: DataFrame, max_bytes: int = MAX_CENTROID_BYTES):
+    """A centroid table as ``(ids, matrix)`` blocks of at most ``max_bytes``,
+    ids ascending over all blocks.  Raises without centroids, on null ones and
+    on mixed dimensions."""
+    n, dim = vector_dim(cents, "centroid")
+    if not n:
         raise ValueError("no centroids")
-    flat = tbl.column("centroid").combine_chunks()
-    dim = len(flat[0])
-    mat = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
-    return ids, mat
+    rows = max(1, max_bytes // (8 * dim))
+    ids, vectors = [], []
+    for r in cents.select("cluster", "centroid").orderBy("cluster").toLocalIterator():
+        ids.append(r["cluster"])
+        vectors.append(np.asarray(r["centroid"], dtype=np.float64))
+        if len(ids) == rows:
+            yield np.array(ids), np.stack(vectors)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), np.stack(vectors)
 
 
 def assign_nearest(points: DataFrame, cents: DataFrame, vec: str = "embedding",
-                   out: str = "cluster", keep=("song_id",)) -> DataFrame:
+                   out: str = "cluster", keep=("song_id",), max_bytes: int = MAX_CENTROID_BYTES) -> DataFrame:
     """Label each point with its nearest centroid (Euclidean; a tie goes to
-    the lowest id).  The k x d centroid matrix is broadcast (size-checked);
-    points are scored in place by ``mapInArrow`` -- no shuffle.  Works on
+    the lowest id).  Centroids are broadcast in blocks of bounded bytes and
+    points are scored in place by ``mapInArrow``, no shuffle; a point carries
+    its best label and distance from one block to the next.  Works on
     streaming DataFrames too."""
     spark = points.sparkSession
-    ids, mat = centroid_matrix(cents)
-    bc = spark.sparkContext.broadcast((ids, mat))
-    keep = list(keep)
-    src = spread(points.select(*keep, F.col(vec).alias("_vec")))
-    fields = [f for f in src.schema.fields if f.name != "_vec"]
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` int"
-
-    def assign(batches):
-        cid, cm = bc.value
-        c2 = np.einsum("ij,ij->i", cm, cm)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            arr = b.column("_vec")
-            x = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, cm.shape[1])
-            d2 = (np.einsum("ij,ij->i", x, x)[:, None] + c2[None, :]) - 2.0 * (x @ cm.T)
-            lab = cid[np.argmin(d2, axis=1)].astype(np.int32)
-            cols = [b.column(f.name) for f in fields] + [pa.array(lab, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + [out])
-
-    return src.mapInArrow(assign, out_schema)
+    src = spread(points.select(*keep, F.col(vec).alias("_vec"), F.lit(None).cast("int").alias("_label"),
+                               F.lit(float("inf")).alias("_d2")))
+    fields = src.schema.names
+
+    def scored(src: DataFrame, ids, mat) -> DataFrame:
+        bc = spark.sparkContext.broadcast((ids, mat))
+
+        def assign(batches):
+            cid, cm = bc.value
+            c2 = np.einsum("ij,ij->i", cm, cm)
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                x = b.column("_vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, cm.shape[1])
+                d2 = (np.einsum("ij,ij->i", x, x)[:, None] + c2[None, :]) - 2.0 * (x @ cm.T)
+                at = np.argmin(d2, axis=1)
+                best, before = d2[np.arange(len(x)), at], b.column("_d2").to_numpy(zero_copy_only=False)
+                closer = best < before
+                label = b.column("_label").to_pandas().fillna(0).to_numpy(dtype=np.int32)
+                made = {"_label": pa.array(np.where(closer, cid[at], label).astype(np.int32), pa.int32()),
+                        "_d2": pa.array(np.where(closer, best, before), pa.float64())}
+                yield pa.RecordBatch.from_arrays([made.get(f, b.column(f)) for f in fields], names=fields)
+
+        return src.mapInArrow(assign, src.schema)
+
+    for ids, mat in centroid_blocks(cents, max_bytes):
+        src = scored(src, ids, mat)
+    return src.select(*keep, F.col("_label").alias(out))
 
 
 def inertia(points: DataFrame, cents: DataFrame, vec: str = "embedding") -> DataFrame:
     """Sum of squared distances of each point to its own cluster's centroid
     (``inertia`` rounded to 2 like the application, ``inertia_exact`` to 6).
-    The centroid side is k rows; it is broadcast behind a count check."""
-    k = cents.count()
-    c = cents.select("cluster", F.col("centroid"))
-    if k <= MAX_BROADCAST_CENTROIDS:
-        c = F.broadcast(c)
-    total = points.join(c, "cluster").agg(F.sum(sq_euclidean(vec, "centroid")).alias("s"))
+    The centroid side has a row for each cluster; the planner broadcasts it
+    when it is small."""
+    total = points.join(cents.select("cluster", "centroid"), "cluster").agg(F.sum(sq_euclidean(vec, "centroid")).alias("s"))
     return total.select(F.round("s", 2).alias("inertia"), F.round("s", 6).alias("inertia_exact"))
 
 

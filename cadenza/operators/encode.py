@@ -5,7 +5,7 @@
                     native :func:`token_bucket` --, term counts per bucket (one
                     ``np.bincount`` per Arrow batch), L2-normalised.
                     Row-local: no shuffle.
-``tfidf_encode``    MLlib ``Tokenizer -> HashingTF -> IDF -> Normalizer``.
+``tfidf_encode``    TF-IDF over the same buckets, in long form.
 ``encode``          any user encoder object with ``encode(list[str]) ->
                     array (n, d)`` run in Arrow batches by ``mapInPandas``;
                     the object is built once per Python worker by a factory
@@ -15,11 +15,13 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import split_ws
@@ -115,42 +117,41 @@ def hash_encode_long(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAU
     )
 
 
-def tfidf_encode(df: DataFrame, id_col: str, text_col: str, num_features: int = 1 << 12,
-                 out_col: str = "embedding") -> DataFrame:
-    """MLlib TF-IDF vectors, L2-normalised, as ``array<double>``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\s+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_n", p=2.0),
-    ])
-    src = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    model = pipe.fit(src)
-    return model.transform(src).select(id_col, vector_to_array("_n").alias(out_col))
+def tfidf_encode(df: DataFrame, id_col: str, text_col: str, num_features: int = 1 << 12) -> DataFrame:
+    """TF-IDF over the md5 buckets, L2-normalised, as ``(id, dim, weight)``
+    with a row for each non-zero entry: tf = count in the text, idf =
+    ln((N + 1) / (df + 1)).  Long form, so a row costs its own words and not
+    ``num_features``; partial aggregations throughout."""
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
+    tf = (texts.select("id", F.explode(split_ws(F.lower("t"))).alias("w"))
+          .groupBy("id", token_bucket(F.col("w"), num_features).alias("dim")).agg(F.count(F.lit(1)).alias("tf")))
+    idf = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
+    total = df.select(F.count(F.lit(1)).alias("N")).first()["N"]
+    w = F.col("tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1))
+    weighted = tf.join(idf, "dim").select("id", "dim", w.alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weighted.select("id", "dim", "w", norm.alias("n")).filter("w <> 0").select(
+        F.col("id").alias(id_col), "dim", (F.col("w") / F.col("n")).alias("weight"))
 
 
 # ------------------------------------------------------------ user encoders
 
-_ENCODERS: dict[int, object] = {}
-
-
 def encode(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], object], dim: int,
            batch_size: int = 32, out_col: str = "embedding") -> DataFrame:
     """Run a user encoder over a text column.  ``factory()`` must return an
     object with ``encode(list[str]) -> array-like (n, dim)``; it is called
-    once per Python worker and cached there.  Texts are fed ``batch_size`` at
+    once per Python worker and cached there, by a digest of the pickled factory.  Texts are fed ``batch_size`` at
     a time in input order; null text is encoded as ``""``."""
-    key = id(factory)
+    from pyspark import cloudpickle
+
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def run(batches):
-        enc = _ENCODERS.get(key)
-        if enc is None:
-            enc = factory()
-            _ENCODERS[key] = enc
+        # a module of the worker outlives a task; this function does not
+        held = sys.modules.setdefault("_cadenza_encoders", types.ModuleType("_cadenza_encoders")).__dict__
+        if key not in held:
+            held[key] = factory()
+        enc = held[key]
         for pdf in batches:
             texts = pdf[text_col].fillna("").tolist()
             parts = [np.asarray(enc.encode(texts[i:i + batch_size]), dtype=np.float64)

@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as K
 
-# above this many vector values (rows x dims) restarts share their passes
-BATCHED_MIN_VALUES = 20_000_000
-
 
 def features(points: DataFrame, vec: str = "embedding") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
@@ -68,38 +65,20 @@ def predict(model, points: DataFrame, vec: str = "embedding", keep=("song_id",))
 
 def relabel_by_min_member(labelled: DataFrame, id_col: str = "song_id") -> DataFrame:
     """Renumber clusters 0..k-1 in order of their smallest member id.  The
-    mapping table has k rows (one per cluster)."""
+    mapping table has a row for each cluster; the planner broadcasts it when
+    it is small."""
     firsts = labelled.groupBy("cluster").agg(F.min(id_col).alias("_first"))
     mapping = firsts.select(
         "cluster", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias("_new")
     )
-    return labelled.join(F.broadcast(mapping), "cluster").drop("cluster").withColumnRenamed("_new", "cluster")
+    return labelled.join(mapping, "cluster").drop("cluster").withColumnRenamed("_new", "cluster")
 
 
 def cluster_points(points: DataFrame, k: int = K.DEFAULT_CLUSTERS, n_init: int = K.KMEANS_RESTARTS,
-                   seed: int = K.SEED, vec: str = "embedding", engine: str = "auto", **kw):
+                   seed: int = K.SEED, vec: str = "embedding", **kw):
     """Fit, predict, relabel: ``(song_id, cluster)`` plus the model and cost.
-
-    ``engine='mllib'`` runs one MLlib fit per restart as concurrent jobs and
-    returns the best ``KMeansModel``; ``engine='batched'`` advances all
-    restarts in shared passes (:mod:`cadenza.operators.kmeans_batched`) and
-    returns the centre table as the model.  ``auto`` picks by size: small
-    inputs are latency-bound (concurrent fits overlap their many tiny jobs),
-    large ones are scan-bound (one pass per iteration instead of n_init)."""
-    if engine == "auto":
-        engine = "mllib"
-        if n_init > 1:
-            st = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-            if (st["n"] or 0) * (st["d"] or 0) >= BATCHED_MIN_VALUES:
-                engine = "batched"
-    if engine == "batched":
-        from cadenza.operators.clusters import assign_nearest
-        from cadenza.operators.kmeans_batched import centers_frame, fit_restarts
-
-        centers, cost, costs, _ = fit_restarts(points, k, n_init, seed, vec=vec, **kw)
-        model = centers_frame(points.sparkSession, centers)
-        labelled = relabel_by_min_member(assign_nearest(points, model, vec=vec))
-        return labelled, model, cost, costs
+    One engine at every size: an MLlib fit for each restart, as concurrent
+    jobs over one persisted feature table; the best ``KMeansModel`` wins."""
     model, cost, costs = fit_best(points, k, n_init, seed, vec=vec, **kw)
     labelled = relabel_by_min_member(predict(model, points, vec))
     return labelled, model, cost, costs

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SPLIT_BYTES = 128 << 20  # Spark's default size of a file split
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` partitions
-    (default: the context's default parallelism) when it has fewer.
 
-    A large scan already has thousands of splits and passes through
-    untouched; a small input (one Parquet row group, a filtered table) would
-    otherwise run a heavy per-row kernel (encoding, block scoring) in a
-    single task.  Streaming DataFrames pass through."""
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin a small ``df`` over ``partitions`` partitions (default: the
+    context's default parallelism).
+
+    A large scan already has thousands of splits and passes through; a small
+    input (one Parquet row group) would otherwise run a heavy per-row kernel
+    in a single task.  The size is the planner's estimate from file sizes, so
+    nothing runs; rows are the same either way.  Streams pass through."""
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    target = partitions or df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(target) if estimate < target * SPLIT_BYTES else df

@@ -1,27 +1,15 @@
 """Exact top-k cosine similarity of many query vectors against a corpus.
 
-Plan
-----
-Scores are computed block-wise in NumPy inside Python workers (one BLAS
-matrix product per Arrow batch) and only *local* top-k candidates leave a
-task; the global top-k is a ``row_number() <= k`` window, which Spark plans
-as ``WindowGroupLimit`` on both sides of the shuffle.  No pair rows are ever
-materialised.
-
-Two physical strategies:
-
-``broadcast``  the query block is small (its size is counted first and must
-               stay under ``max_broadcast_bytes``): it is shipped once to every
-               executor; the corpus is scanned in place with ``mapInArrow``
-               -- no shuffle of the corpus at all.
-``blocked``    otherwise: corpus and queries are hashed into blocks of about
-               ``block_rows`` rows and each (corpus block, query block) pair is
-               one ``cogroup`` task.  Work per task is bounded by the block
-               sizes whatever the data size; data shuffled is
-               corpus x query-blocks + queries x corpus-blocks.
-
-Local candidates keep every row tied with the k-th score, so the final
-tie-break (``song_id`` ascending) is exact.  Scores are rounded to 1e-12
+Queries are cut into chunks of bounded bytes; each chunk is broadcast and the
+corpus is scored where it lies with ``mapInArrow``: no shuffle of the corpus
+and no pair rows.  Inside a task a chunk is scored in query tiles, so that a
+block of scores stays under ``block_bytes``, and each query keeps a running
+top k over the whole task.  A task emits at most ``k`` candidates for a query,
+once at its end; the global top k is a ``row_number() <= k`` window, which
+Spark plans as ``WindowGroupLimit`` on both sides of the shuffle.
+
+The order is (similarity descending, id ascending) throughout, so ties are cut
+by id inside the kernel and the result is exact.  Scores are rounded to 1e-12
 before ranking so bit-level BLAS noise between identical vectors cannot
 reorder true ties.
 """
@@ -31,17 +19,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.parallel import spread
+from cadenza.sources.embeddings import vector_dim
 
 RANK_DECIMALS = 12
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-DEFAULT_BLOCK_ROWS = 4096
+MAX_BROADCAST_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -56,26 +44,46 @@ def _list_to_matrix(arr: pa.Array, dim: int) -> np.ndarray:
     """Arrow ``list<float|double>`` column -> dense float64 matrix."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    sizes = arr.value_lengths()
+    if arr.null_count or not pa.compute.all(pa.compute.equal(sizes, dim)).as_py():
+        raise ValueError(f"vectors must all have {dim} dimensions")
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(arr), dim)
 
 
-def _local_topk(scores: np.ndarray, k: int):
-    """Per column (query) of ``scores`` (corpus x queries): indices of the rows
-    whose score is >= the k-th largest, ties included."""
-    n = scores.shape[0]
-    if n <= k:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-        return rows, cols
-    kth = np.partition(scores, n - k, axis=0)[n - k]
-    rows, cols = np.nonzero(scores >= kth[None, :])
-    return rows, cols
-
-
-def _emit(qkeys, ckeys, scores, k):
-    scores = np.round(scores, RANK_DECIMALS)
-    r, c = _local_topk(scores, k)
-    return qkeys[c], ckeys[r], scores[r, c]
+class RunningTopK:
+    """The best ``k`` (score, id) of each query so far: score descending, then
+    id ascending.  Memory: queries x k x 16 bytes."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.scores = np.full((n_queries, k), -np.inf)
+        self.ids = np.full((n_queries, k), np.iinfo(np.int64).max)
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` (rows x queries from ``first`` on); ``ids`` ascending."""
+        n, t = scores.shape
+        k, tile = min(self.k, n), slice(first, first + t)
+        kth = np.partition(scores, n - k, axis=0)[n - k]
+        above = scores > kth
+        tied = scores == kth
+        room = k - above.sum(axis=0)
+        keep = (above | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= room))) & (scores >= self.scores[tile, -1])
+        row, col = np.nonzero(keep)
+        if not len(row):
+            return
+        q = np.concatenate([np.repeat(np.arange(t), self.k), col])
+        s = np.concatenate([self.scores[tile].ravel(), scores[row, col]])
+        i = np.concatenate([self.ids[tile].ravel(), ids[row]])
+        order = np.lexsort((i, -s, q))
+        starts = np.searchsorted(q[order], np.arange(t))
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.scores[tile], self.ids[tile] = s[best], i[best]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of all entries that are taken."""
+        q, at = np.nonzero(self.scores > -np.inf)
+        return q, self.ids[q, at], self.scores[q, at]
 
 
 def topk_cosine(
@@ -86,43 +94,28 @@ def topk_cosine(
     corpus_key: str = "song_id",
     query_vec: str = "embedding",
     corpus_vec: str = "embedding",
-    strategy: str = "auto",
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Return ``(query_key, corpus_key, similarity double, rank int)`` with the
     ``k`` most cosine-similar corpus rows per query, ranked by similarity
-    descending then ``corpus_key`` ascending.  A zero vector scores 0."""
+    descending then ``corpus_key`` ascending.  A zero vector scores 0.  Raises
+    on null vectors and mixed dimensions among the queries, and in the task
+    that meets one in the corpus.
+
+    Queries beyond ``max_broadcast_bytes`` take one pass over the corpus for
+    each chunk of that size."""
     spark = queries.sparkSession
-    # the query side is sized first and then used: keep it between the two
-    q = queries.select(F.col(query_key).alias("qkey"), F.col(query_vec).alias("qvec")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    q = queries.select(F.col(query_key).alias("qkey"), F.col(query_vec).alias("qvec"))
     c = corpus.select(F.col(corpus_key).alias("ckey"), F.col(corpus_vec).alias("cvec"))
-
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    n_q, dim = int(stats["n"]), stats["d"]
-    if n_q == 0:
-        q.unpersist()
-        return spark.createDataFrame(
-            [], f"{query_key} bigint, {corpus_key} bigint, similarity double, rank int"
-        )
-    dim = int(dim)
-    q_bytes = n_q * dim * 8
-    if strategy == "auto":
-        strategy = "broadcast" if q_bytes <= max_broadcast_bytes else "blocked"
-
+    n_q, dim = vector_dim(q, "qvec")
     out_schema = "qkey bigint, ckey bigint, similarity double"
-    if strategy == "broadcast":
-        if q_bytes > max_broadcast_bytes:
-            raise ValueError(f"query block of {q_bytes} bytes exceeds the broadcast bound")
-        cand = _broadcast_candidates(spark, q, c, k, dim, out_schema)
-    elif strategy == "blocked":
-        n_c = corpus.count()
-        cand = _blocked_candidates(q, c, k, n_q, n_c, block_rows, out_schema)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-
+    cand = spark.createDataFrame([], out_schema)
+    chunks = math.ceil(n_q * (dim * 8 + k * 16) / max_broadcast_bytes)
+    for chunk in range(chunks):
+        part = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("qkey"), F.lit(chunks)) == chunk)
+        cand = cand.unionByName(_chunk_candidates(part, c, k, dim, block_bytes, out_schema)) if chunks > 1 else \
+            _chunk_candidates(part, c, k, dim, block_bytes, out_schema)
     w = Window.partitionBy("qkey").orderBy(F.col("similarity").desc(), F.col("ckey").asc())
     return (
         cand.withColumn("rank", F.row_number().over(w))
@@ -136,56 +129,28 @@ def topk_cosine(
     )
 
 
-def _broadcast_candidates(spark, q, c, k, dim, out_schema):
-    # size proven above: n_q * dim * 8 <= max_broadcast_bytes
-    tbl = q.toArrow()
-    q.unpersist()
+def _chunk_candidates(q: DataFrame, c: DataFrame, k: int, dim: int, block_bytes: int, out_schema: str) -> DataFrame:
+    tbl = q.toArrow()  # at most max_broadcast_bytes
     qkeys = tbl.column("qkey").to_numpy()
     qmat = _unit_rows(_list_to_matrix(tbl.column("qvec"), dim))
-    bc = spark.sparkContext.broadcast((qkeys, qmat))
+    bc = q.sparkSession.sparkContext.broadcast((qkeys, qmat))
 
     def score(batches):
         keys, qm = bc.value
+        best = RunningTopK(len(keys), k)
         for b in batches:
-            if b.num_rows == 0:
+            if b.num_rows == 0 or not len(keys):
                 continue
-            ck = b.column("ckey").to_numpy(zero_copy_only=False)
-            x = _unit_rows(_list_to_matrix(b.column("cvec"), dim))
-            qq, cc, ss = _emit(keys, ck, x @ qm.T, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qq, pa.int64()), pa.array(cc, pa.int64()), pa.array(ss, pa.float64())],
-                names=["qkey", "ckey", "similarity"],
-            )
-
-    return spread(c).mapInArrow(score, out_schema)
-
-
-def _blocked_candidates(q, c, k, n_q, n_c, block_rows, out_schema):
-    nq = max(1, math.ceil(n_q / block_rows))
-    nc = max(1, math.ceil(n_c / block_rows))
-    qb = q.select(
-        "qkey", "qvec",
-        F.pmod(F.xxhash64("qkey"), F.lit(nq)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"),
-    )
-    cb = c.select(
-        "ckey", "cvec",
-        F.pmod(F.xxhash64("ckey"), F.lit(nc)).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"),
-    )
-
-    def score(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"qkey": [], "ckey": [], "similarity": []})
-        x = _unit_rows(np.vstack(cpdf["cvec"].to_numpy()).astype(np.float64))
-        qm = _unit_rows(np.vstack(qpdf["qvec"].to_numpy()).astype(np.float64))
-        qq, cc, ss = _emit(
-            qpdf["qkey"].to_numpy(), cpdf["ckey"].to_numpy(), x @ qm.T, k
+            ids = b.column("ckey").to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            x = _unit_rows(_list_to_matrix(b.column("cvec"), dim))[order]
+            tile = max(1, block_bytes // (8 * b.num_rows))
+            for at in range(0, len(keys), tile):
+                best.add(at, np.round(x @ qm[at:at + tile].T, RANK_DECIMALS), ids[order])
+        rows, found, scores = best.rows()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[rows], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
+            names=["qkey", "ckey", "similarity"],
         )
-        return pd.DataFrame({"qkey": qq, "ckey": cc, "similarity": ss})
 
-    return (
-        cb.groupBy("cb", "qb")
-        .cogroup(qb.groupBy("cb", "qb"))
-        .applyInPandas(score, out_schema)
-    )
+    return spread(c).mapInArrow(score, out_schema)

@@ -32,7 +32,7 @@ from cadenza.plans import bindings as B
 from cadenza.session import checkpoint_dir
 from cadenza.sources import store
 from cadenza.sources.embeddings import embedding_profile
-from cadenza.sources.songs import eligible_songs, table
+from cadenza.sources.songs import eligible_songs, read_songs_csv, table, write_songs_csv
 from cadenza.streaming import progress as PR
 
 CARD_CLUSTERS = 12          # requested cluster count for cards / lookups (labels are 0..9)
@@ -51,6 +51,12 @@ def q_load_songs(spark, d):
     return B.songs(spark, d)
 
 
+def q_load_songs_csv(spark, d):
+    path = _scratch(spark, "songs-csv")
+    write_songs_csv(B.songs(spark, d), path)
+    return read_songs_csv(spark, path, id_col="song_id")
+
+
 def q_eligible_songs(spark, d):
     return eligible_songs(B.songs(spark, d)).select(
         "song_id", "song_title", "artist_name", F.length("corpus").cast("bigint").alias("n_chars")
@@ -110,10 +116,9 @@ def q_run_summary(spark, d):
 
 
 def _with_centroid(spark, d):
+    # a centroid row for each cluster; the planner broadcasts them when small
     v = B.vectors(spark, d)
-    cents = CL.centroids(v).select("cluster", "centroid")
-    # k centroid rows; broadcast behind the count check in CL.inertia's bound
-    return v.join(F.broadcast(cents), "cluster")
+    return v.join(CL.centroids(v).select("cluster", "centroid"), "cluster")
 
 
 def q_cosine_scores(spark, d):
@@ -202,7 +207,7 @@ def q_cluster_artist_describe(spark, d):
 
 
 def q_songs_by_cluster(spark, d):
-    return _clustered_light(spark, d)
+    return CL.songs_in_order(B.clustered(spark, d))
 
 
 def q_cluster_samples(spark, d):
@@ -232,8 +237,11 @@ def q_cluster_lookup(spark, d):
         .otherwise("none").alias("session_id"),
         F.floor(F.col("value") / 25).cast("int").alias("cluster_id"),
     )
+    # few (session, cluster) pairs are asked for, each many times: answer the
+    # pairs, then hand the small answer to the requests
     j = (
-        req.join(runs.select(F.col("run_id").alias("session_id"), F.lit(True).alias("_run")), "session_id", "left")
+        req.select("session_id", "cluster_id").distinct()
+        .join(runs.select(F.col("run_id").alias("session_id"), F.lit(True).alias("_run")), "session_id", "left")
         .join(sizes.select(F.col("run_id").alias("session_id"), F.col("cluster").alias("cluster_id"), "n_songs"),
               ["session_id", "cluster_id"], "left")
     )
@@ -243,10 +251,11 @@ def q_cluster_lookup(spark, d):
         .when(F.col("n_songs").isNull(), F.lit("empty_cluster"))
         .otherwise(F.lit("ok"))
     )
-    return j.select(
-        "event_id", "session_id", "cluster_id", status.alias("status"),
-        F.coalesce("n_songs", F.lit(0)).cast("bigint").alias("n_songs"),
-    )
+    answers = j.select("session_id", F.col("cluster_id").alias("asked"), status.alias("status"),
+                       F.coalesce("n_songs", F.lit(0)).cast("bigint").alias("n_songs"))
+    return req.join(answers.withColumnRenamed("session_id", "of"), (F.col("session_id") == F.col("of"))
+                    & F.col("cluster_id").eqNullSafe(F.col("asked"))).select(
+        "event_id", "session_id", "cluster_id", "status", "n_songs")
 
 
 def q_random_song_per_cluster(spark, d):
@@ -296,11 +305,8 @@ def q_encode_hash(spark, d):
 
 
 def q_encode_tfidf(spark, d):
-    enc = EN.tfidf_encode(B.songs(spark, d), "song_id", "corpus")
-    return enc.select(
-        "song_id",
-        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"),
-    )
+    return EN.tfidf_encode(B.songs(spark, d), "song_id", "corpus").select(
+        "song_id", "dim", F.round("weight", 6).alias("weight"))
 
 
 def _song_vectors(spark, d):
@@ -330,7 +336,23 @@ def q_validate_requests(spark, d):
 def q_resolve_song_requests(spark, d):
     v = RC.validate_requests(B.requests(spark, d))
     ok_song = v.filter((F.col("eff_mode") == "song") & (F.col("status") == "ok"))
-    return RC.resolve_song_requests(ok_song, B.songs(spark, d)).select("request_id", "status", "song_id")
+    return RC.resolve_song_requests(ok_song, B.songs(spark, d)).select("request_id", "status", "error", "song_id")
+
+
+def q_parse_requests(spark, d):
+    r = B.requests(spark, d)
+    bodies = r.select("request_id", F.to_json(F.struct("mode", "lyrics", "song_name", "artist_name")).alias("body"))
+    v = RC.validate_requests(RC.parse_requests(bodies))
+    return v.select("request_id", "mode", F.md5("lyrics").alias("lyrics_md5"), "song_name", "artist_name", "eff_mode", "status")
+
+
+def q_form_requests(spark, d):
+    r = B.requests(spark, d)
+    # assistant turns come without a text, as the form sends them
+    forms = r.select("request_id", F.when(F.col("mode") == "song", K.NO_INPUT).otherwise(F.col("lyrics")).alias("user_input"),
+                     "song_name", "artist_name")
+    return RC.request_inputs(RC.form_requests(forms), B.songs(spark, d)).select(
+        "request_id", "status", "error", F.length("input_text").cast("bigint").alias("n_chars"))
 
 
 def q_playlist_top20(spark, d):
@@ -366,15 +388,28 @@ def q_track_lookup(spark, d):
     )
 
 
-def q_recommend_requests(spark, d):
-    rows, _ = RC.recommend(B.requests(spark, d), B.songs(spark, d), B.catalogue(spark, d),
-                           K.PLAYLIST_SIZE, ENCODE_DIM)
+def _recommended(rows):
     return rows.select(
-        "request_id", "status", "rank", "song_id", "song_name", "artist_name",
+        "request_id", "status", "error", "rank", "song_id", "song_name", "artist_name",
         F.round("similarity", 6).alias("similarity"), "track_url", "album_art", "preview_url",
     )
 
 
+def q_recommend_requests(spark, d):
+    rows, _ = RC.recommend(B.requests(spark, d), B.songs(spark, d), B.catalogue(spark, d),
+                           K.PLAYLIST_SIZE, ENCODE_DIM)
+    return _recommended(rows)
+
+
+def q_recommend_indexed(spark, d):
+    # the summary of requests scored against a stored index
+    path = _scratch(spark, "index")
+    RC.build_corpus_index(B.songs(spark, d), path, ENCODE_DIM)
+    _, summary = RC.recommend(B.requests(spark, d), B.songs(spark, d), B.catalogue(spark, d), K.PLAYLIST_SIZE,
+                              ENCODE_DIM, corpus=RC.load_corpus_index(spark, path), model=MODEL_NAME)
+    return summary
+
+
 # -------------------------------------------------------- progress events
 
 
@@ -433,6 +468,7 @@ def q_progress_json(spark, d):
 
 QUERIES = {
     "load_songs": q_load_songs,
+    "load_songs_csv": q_load_songs_csv,
     "eligible_songs": q_eligible_songs,
     "sample_songs": q_sample_songs,
     "load_embeddings": q_load_embeddings,
@@ -469,6 +505,9 @@ QUERIES = {
     "encode_tfidf": q_encode_tfidf,
     "recommend_text": q_recommend_text,
     "validate_requests": q_validate_requests,
+    "parse_requests": q_parse_requests,
+    "form_requests": q_form_requests,
+    "recommend_indexed": q_recommend_indexed,
     "resolve_song_requests": q_resolve_song_requests,
     "playlist_top20": q_playlist_top20,
     "playlist_topk": q_playlist_topk,

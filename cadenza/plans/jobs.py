@@ -1,10 +1,12 @@
-"""End-to-end jobs and the queries that cannot be checked by SQL (KMeans
-fits, Structured Streaming runs).  Checked by invariants in ``tests/``.
+"""End-to-end jobs, and registered queries over KMeans fits and streams.
 
-theme_discovery       load -> filter -> exact seeded sample -> encode -> best-of-n
-                      KMeans -> metrics -> terms -> cards
+theme_discovery       load -> filter -> (sample) -> encode -> best-of-n KMeans
+                      -> metrics -> terms -> cards
 cluster_describe_job  clean (keep case) -> encode -> KMeans -> partitioned
-                      write -> per-cluster artist describe
+                      write -> per-cluster artist describe and term table
+
+Labels of a KMeans fit are not reproducible in SQL, so the registered queries
+report what does not depend on them: counts, violations, totals over clusters.
 """
 
 from __future__ import annotations
@@ -13,8 +15,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza import constants as K
@@ -24,7 +25,7 @@ from cadenza.operators import encode as EN
 from cadenza.operators import kmeans as KM
 from cadenza.operators import themes as TH
 from cadenza.operators.sample import sample_exact
-from cadenza.operators.silhouette import silhouette_exact
+from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
 from cadenza.plans import bindings as B
 from cadenza.session import checkpoint_dir
 from cadenza.sources import store
@@ -34,8 +35,9 @@ from cadenza.streaming import progress as PR
 
 def clamp_run_params(n_samples: int = K.DEFAULT_SAMPLES, n_clusters: int = K.DEFAULT_CLUSTERS,
                      cap_samples: bool = False) -> tuple[int, int]:
-    """API-style parameter clamps: samples at least 100 (and at most 5000 only
-    when ``cap_samples``: the cap exists for a single machine), clusters 2..15."""
+    """The application's parameter clamps, for callers that want them: samples
+    at least 100 (at most 5000 only with ``cap_samples``, a single-machine
+    limit), clusters 2..15.  No job of this module applies them by itself."""
     n = max(K.SAMPLES_FLOOR, n_samples)
     if cap_samples:
         n = min(n, K.SAMPLES_CAP)
@@ -50,27 +52,47 @@ class ThemeRun:
     metrics: dict = field(default_factory=dict)
 
 
-def theme_discovery(songs: DataFrame, n_samples: int = K.DEFAULT_SAMPLES, n_clusters: int = K.DEFAULT_CLUSTERS,
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder, read by every later step."""
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def theme_discovery(songs: DataFrame, n_samples: int | None = None, n_clusters: int = K.DEFAULT_CLUSTERS,
                     n_init: int = K.KMEANS_RESTARTS, seed: int = K.SEED, dim: int = EN.DEFAULT_DIM,
-                    with_silhouette: bool = True) -> ThemeRun:
-    """The theme-discovery run as one lazy chain with actions only at the
-    KMeans fit and the metrics.  Returns cards, terms, assignments and run
-    metrics (with stage timings)."""
-    n_samples, n_clusters = clamp_run_params(n_samples, n_clusters)
+                    silhouette: str | None = "exact", top_terms: int | None = K.THEME_TERMS,
+                    clamp: bool = False) -> ThemeRun:
+    """The theme-discovery run.  Returns cards, terms, assignments and run
+    metrics (with stage timings).
+
+    All eligible songs take part; with ``n_samples`` an exact seeded sample of
+    them.  ``silhouette`` is ``"exact"`` (O(n^2)), ``"squared"`` (O(n k)) or
+    None.  ``clamp`` applies :func:`clamp_run_params`; otherwise parameters
+    that cannot work raise."""
+    if clamp:
+        n_clusters = clamp_run_params(n_clusters=n_clusters)[1]
+        n_samples = n_samples and clamp_run_params(n_samples)[0]
+    if n_clusters < 2 or (n_samples is not None and n_samples < n_clusters):
+        raise ValueError(f"{n_clusters} clusters of {n_samples or 'all'} songs")
+    if silhouette not in ("exact", "squared", None):
+        raise ValueError(f"unknown silhouette {silhouette!r}")
     timings = {}
     t0 = time.time()
-    sample = sample_exact(eligible_songs(songs), n_samples, seed, "song_id").persist(StorageLevel.MEMORY_AND_DISK)
+    sample = eligible_songs(songs)
+    if n_samples is not None:
+        sample = sample_exact(sample, n_samples, seed, "song_id")
+    sample = _stored(sample, "theme-songs")
     total = sample.count()
     timings["data_loading"] = time.time() - t0
 
     t0 = time.time()
-    vecs = EN.hash_encode(sample, "song_id", "corpus", dim).persist(StorageLevel.MEMORY_AND_DISK)
-    vecs.count()
+    vecs = _stored(EN.hash_encode(sample, "song_id", "corpus", dim), "theme-vectors")
     timings["encoding"] = time.time() - t0
 
     t0 = time.time()
     labelled, model, cost, _ = KM.cluster_points(vecs, n_clusters, n_init, seed)
-    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = _stored(labelled, "theme-labels")
     points = vecs.join(labelled, "song_id")
     metrics = {
         "total_songs": total,
@@ -79,19 +101,21 @@ def theme_discovery(songs: DataFrame, n_samples: int = K.DEFAULT_SAMPLES, n_clus
         "model_used": "hash-bow-%d" % dim,
         "inertia": round(cost, 2),
     }
-    if with_silhouette:
+    if silhouette == "exact":
         metrics["silhouette_score"] = round(silhouette_exact(points).first()["silhouette"], 4)
+    elif silhouette == "squared":
+        metrics["silhouette_score"] = round(silhouette_squared(points), 4)
     timings["clustering"] = time.time() - t0
 
     t0 = time.time()
     clustered = sample.join(labelled, "song_id")
-    terms = TH.cluster_terms(clustered, K.THEME_TERMS)
-    top_terms = terms.filter(F.col("rank") <= 10).groupBy("cluster").agg(
+    terms = TH.cluster_terms(clustered, top_terms)
+    best = terms.filter(F.col("rank") <= 10).groupBy("cluster").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ")
         .alias("top_terms")
     )
     cards = CL.cluster_cards(clustered, n_clusters, K.SAMPLE_SONGS_PER_CARD).join(
-        top_terms.withColumnRenamed("cluster", "id"), "id", "left"
+        best.withColumnRenamed("cluster", "id"), "id", "left"
     )
     timings["themes"] = time.time() - t0
     metrics["timings"] = timings
@@ -99,10 +123,19 @@ def theme_discovery(songs: DataFrame, n_samples: int = K.DEFAULT_SAMPLES, n_clus
     return ThemeRun(cards=cards, terms=terms, assignments=labelled, metrics=metrics)
 
 
+@dataclass
+class DescribeRun:
+    describe: DataFrame
+    terms: DataFrame
+    clustered: DataFrame
+
+
 def cluster_describe_job(songs: DataFrame, out_path: str, k: int = K.DEFAULT_CLUSTERS, seed: int = K.SEED,
-                         dim: int = EN.DEFAULT_DIM, n_init: int = 1) -> DataFrame:
+                         dim: int = EN.DEFAULT_DIM, n_init: int = 1,
+                         top_terms: int | None = K.OFFLINE_TERMS) -> DescribeRun:
     """Offline job: drop null corpus, clean keeping case, encode, cluster,
-    write the clustered table partitioned by cluster, describe artists."""
+    write the clustered table partitioned by cluster, describe artists and
+    list each cluster's ``top_terms`` terms (None: all)."""
     base = songs.filter(F.col("corpus").isNotNull()).withColumn(
         "corpus_clean", TX.drop_stopwords_keep_case("corpus", TX.offline_stopwords())
     )
@@ -112,7 +145,28 @@ def cluster_describe_job(songs: DataFrame, out_path: str, k: int = K.DEFAULT_CLU
     store.write_clustered(clustered.select("song_id", "song_title", "artist_name", "song_url",
                                            "corpus_clean", "cluster"), out_path)
     back = store.read_clustered(base.sparkSession, out_path)
-    return CL.describe_by_cluster(back, "artist_name")
+    return DescribeRun(CL.describe_by_cluster(back, "artist_name"),
+                       TH.cluster_terms(back, top_terms, text_col="corpus_clean"), back)
+
+
+def clustering_audit(labelled: DataFrame, points: DataFrame | None = None, model=None) -> DataFrame:
+    """One row about a clustering: points, labels, labels out of order of
+    their smallest members and, for a KMeans ``model`` over ``points``, points
+    that are not with those nearest to the same centre."""
+    spark = labelled.sparkSession
+    firsts = labelled.groupBy("cluster").agg(F.min("song_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = F.row_number().over(Window.orderBy("first")) - 1  # a row for each cluster
+    out = firsts.withColumn("moved", (placed != F.col("cluster")).cast("bigint")).agg(
+        F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_labels"), F.sum("moved").alias("n_out_of_order"))
+    if model is None:
+        return out
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
+                                    "cluster int, centroid array<double>")
+    nearest = CL.assign_nearest(points, centres, out="nearest")
+    pairs = labelled.join(nearest, "song_id").groupBy("cluster", "nearest").agg(F.count(F.lit(1)).alias("n"))
+    apart = pairs.groupBy("cluster").agg((F.sum("n") - F.max("n")).alias("apart")).agg(F.sum("apart").alias("n_misplaced"))
+    return out.unionByName(apart, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("n_points", "n_labels", "n_out_of_order", "n_misplaced")])
 
 
 # ------------------------------------------------------------ registrations
@@ -123,29 +177,56 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def q_kmeans_fit(spark, d):
-    labelled, _, _, _ = KM.cluster_points(B.vectors(spark, d), K.DEFAULT_CLUSTERS, K.KMEANS_RESTARTS, K.SEED)
-    return labelled
+    points = B.vectors(spark, d).select("song_id", "embedding")
+    labelled, model, _, _ = KM.cluster_points(points, K.DEFAULT_CLUSTERS, K.KMEANS_RESTARTS, K.SEED)
+    return clustering_audit(_stored(labelled, "kmeans"), points, model)
 
 
 def q_cluster_pluggable(spark, d):
     from pyspark.ml.clustering import BisectingKMeans
 
-    return KM.fit_estimator(B.vectors(spark, d), BisectingKMeans(k=K.DEFAULT_CLUSTERS, seed=K.SEED))
+    return clustering_audit(KM.fit_estimator(B.vectors(spark, d), BisectingKMeans(k=K.DEFAULT_CLUSTERS, seed=K.SEED)))
 
 
 def q_cluster_corpus(spark, d):
-    vecs = EN.hash_encode(B.songs(spark, d), "song_id", "corpus", EN.DEFAULT_DIM)
-    labelled, _, _, _ = KM.cluster_points(vecs, K.DEFAULT_CLUSTERS, 1, K.SEED)
-    return labelled
+    vecs = _stored(EN.hash_encode(B.songs(spark, d), "song_id", "corpus", EN.DEFAULT_DIM), "corpus-vectors")
+    labelled, model, _, _ = KM.cluster_points(vecs, K.DEFAULT_CLUSTERS, 1, K.SEED)
+    return clustering_audit(_stored(labelled, "corpus-labels"), vecs, model)
 
 
 def q_theme_discovery(spark, d):
-    run = theme_discovery(B.songs(spark, d))
-    return run.cards
+    run = theme_discovery(B.songs(spark, d), silhouette="squared")
+    return run.cards.agg(F.count(F.lit(1)).alias("n_cards"), F.sum("song_count").alias("total_songs"),
+                         F.sum((F.col("top_terms").isNull() & (F.col("song_count") > 0)).cast("bigint")).alias("n_without_terms"))
+
+
+def q_theme_metrics(spark, d):
+    m = theme_discovery(B.songs(spark, d), silhouette="squared", n_init=1).metrics
+    fine = m["inertia"] > 0 and -1 <= m["silhouette_score"] <= 1 and m["total_time"] >= max(m["timings"].values())
+    return spark.createDataFrame(
+        [(m["total_songs"], m["n_clusters"], m["embedding_dimensions"], m["model_used"], ",".join(sorted(m["timings"])), fine)],
+        "total_songs bigint, n_clusters int, embedding_dimensions int, model_used string, stages string, in_range boolean")
+
+
+def q_theme_terms(spark, d):
+    terms = theme_discovery(B.songs(spark, d), silhouette=None, n_init=1, top_terms=None).terms
+    return terms.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def q_theme_assignments(spark, d):
+    run = theme_discovery(B.songs(spark, d), silhouette=None, n_init=1)
+    artists = eligible_songs(B.songs(spark, d)).select("song_id", "artist_name")
+    return run.assignments.join(artists, "song_id").groupBy("artist_name").agg(F.count(F.lit(1)).alias("n_songs"))
 
 
 def q_cluster_describe_job(spark, d):
-    return cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"))
+    run = cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"))
+    return run.describe.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("count").alias("n_songs"))
+
+
+def q_describe_terms(spark, d):
+    run = cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"), top_terms=None)
+    return run.terms.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _stream_of(spark: SparkSession, d: str, name: str):
@@ -153,33 +234,42 @@ def _stream_of(spark: SparkSession, d: str, name: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet")
 
 
-def _run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available and return its result, written as
+    Parquet to the shared folder.  With ``complete`` mode each trigger writes
+    the whole result to a path of its own and the last one is read."""
     spark = df.sparkSession
-    qname = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (
-        df.writeStream.format("memory").queryName(qname).outputMode(mode)
-        .option("checkpointLocation", _scratch(spark, f"stream-{name}"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.table(qname)
+    path = _scratch(spark, f"stream-{name}")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out = f"{path}/rows"
+        writer.format("parquet").start(out).awaitTermination()
+    else:
+        done = []
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/{number}")
+            done.append(number)
+
+        writer.foreachBatch(keep).start().awaitTermination()
+        out = f"{path}/{done[-1]}"
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def q_event_throttle_stream(spark, d):
     ev = _stream_of(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    out = _run_to_memory(PR.throttle_stream(ev, K.THROTTLE_DELTA), "throttle")
+    out = run_stream(PR.throttle_stream(ev, K.THROTTLE_DELTA), "throttle")
     return out.select("user_id", "event_id", "event_type", "value")
 
 
 def q_session_feed_stream(spark, d):
     ev = _stream_of(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    return _run_to_memory(PR.session_feed_stream(ev, K.THROTTLE_DELTA, 86400), "feed")
+    return run_stream(PR.session_feed_stream(ev, K.THROTTLE_DELTA, 86400), "feed")
 
 
 def q_latest_per_session_stream(spark, d):
     ev = _stream_of(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    out = _run_to_memory(PR.latest_per_key_stream(ev), "latest", mode="complete")
+    out = run_stream(PR.latest_per_key_stream(ev), "latest", mode="complete")
     return out.select("user_id", "event_id", "event_type", "value")
 
 
@@ -187,19 +277,21 @@ def q_assign_clusters_stream(spark, d):
     static = B.vectors(spark, d)
     cents = CL.centroids(static)
     arriving = _stream_of(spark, d, "embeddings").select(F.col("vec_id").alias("song_id"), "embedding")
-    return _run_to_memory(CL.assign_nearest(arriving, cents), "assign")
+    return run_stream(CL.assign_nearest(arriving, cents), "assign")
 
 
 JOB_QUERIES = {
-    "encode_tfidf": None,  # filled below (lives in the catalogue module)
     "kmeans_fit": q_kmeans_fit,
     "cluster_pluggable": q_cluster_pluggable,
     "cluster_corpus": q_cluster_corpus,
     "theme_discovery": q_theme_discovery,
+    "theme_metrics": q_theme_metrics,
+    "theme_terms": q_theme_terms,
+    "theme_assignments": q_theme_assignments,
     "cluster_describe_job": q_cluster_describe_job,
+    "describe_terms": q_describe_terms,
     "event_throttle_stream": q_event_throttle_stream,
     "assign_clusters_stream": q_assign_clusters_stream,
     "session_feed_stream": q_session_feed_stream,
     "latest_per_session_stream": q_latest_per_session_stream,
 }
-del JOB_QUERIES["encode_tfidf"]

@@ -24,8 +24,11 @@ THEME_STOP = _lst(K.THEME_STOPWORDS_LISTED)
 TRACK = K.TRACK_URL_PREFIX
 
 
+WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"  # what Python's split() and strip() call whitespace
+
+
 def TOKS(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> '')"
+    return rf"list_filter(regexp_split_to_array(lower({x}), '{WS}'), lambda w: w <> '')"
 
 
 def KEPT(x: str) -> str:
@@ -34,7 +37,7 @@ def KEPT(x: str) -> str:
 
 
 def NK(x: str) -> str:
-    return rf"lower(regexp_replace({x}, '^\s+|\s+$', '', 'g'))"
+    return rf"lower(regexp_replace({x}, '^{WS}|{WS}$', '', 'g'))"
 
 
 def MD5KEY(x: str) -> str:
@@ -63,13 +66,22 @@ VALID = rf"""v AS (
   SELECT *,
     CASE WHEN COALESCE(mode, 'lyrics') = 'lyrics' THEN 'lyrics' ELSE 'song' END AS eff_mode,
     CASE WHEN COALESCE(mode, 'lyrics') = 'lyrics'
-         THEN CASE WHEN lyrics IS NULL OR length(regexp_replace(lyrics, '^\s+|\s+$', '', 'g')) < {K.MIN_REQUEST_CHARS}
+         THEN CASE WHEN lyrics IS NULL OR length(regexp_replace(lyrics, '^{WS}|{WS}$', '', 'g')) < {K.MIN_REQUEST_CHARS}
                    THEN 'too_short' ELSE 'ok' END
          ELSE CASE WHEN COALESCE(song_name, '') = '' OR COALESCE(artist_name, '') = ''
                    THEN 'missing_song_fields' ELSE 'ok' END
     END AS status
   FROM requests)"""
 
+REJECTED = (f"CASE status WHEN 'too_short' THEN '{K.TOO_SHORT_MESSAGE.format(K.MIN_REQUEST_CHARS)}' "
+            f"WHEN 'missing_song_fields' THEN '{K.MISSING_FIELDS_MESSAGE}' END")
+
+
+def NOT_FOUND(t: str) -> str:
+    before, between, after = K.NOT_FOUND_MESSAGE.split("%s")
+    return f"'{before}' || {t}.song_name || '{between}' || {t}.artist_name || '{after}'"
+
+
 FIRST_SONG = f"""first_song AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {NK('song_title')}, {NK('artist_name')} ORDER BY song_id) AS r
                  FROM songs) WHERE r = 1)"""
@@ -178,6 +190,8 @@ def oracle_sql() -> dict[str, str]:
 
     q["load_songs"] = f"{with_ctes('songs')} SELECT song_id, artist_name, song_title, corpus, song_url FROM songs"
 
+    q["load_songs_csv"] = q["load_songs"]
+
     q["eligible_songs"] = f"""{with_ctes('songs')}
 SELECT song_id, song_title, artist_name, CAST(length(corpus) AS BIGINT) AS n_chars
 FROM songs WHERE corpus IS NOT NULL AND length(corpus) > {K.MIN_CORPUS_CHARS}"""
@@ -244,7 +258,7 @@ FROM (SELECT song_id, {TOKS('corpus')} AS t, {KEPT('corpus')} AS kept FROM songs
 
     q["clean_corpus"] = rf"""{with_ctes('songs')}
 SELECT song_id,
-       array_to_string(list_filter(regexp_split_to_array(corpus, '\s+'),
+       array_to_string(list_filter(regexp_split_to_array(corpus, '{WS}'),
                                    lambda w: w <> '' AND lower(w) NOT IN {offline}), ' ') AS corpus_clean
 FROM songs WHERE corpus IS NOT NULL"""
 
@@ -279,8 +293,7 @@ tab AS (
          CAST(n12.n AS DOUBLE) AS o11, CAST(f.n1 - n12.n AS DOUBLE) AS o12,
          CAST(s.n2 - n12.n AS DOUBLE) AS o21, CAST(tot.nn0 - f.n1 - s.n2 + n12.n AS DOUBLE) AS o22,
          CAST(tot.nn0 AS DOUBLE) AS nn
-  FROM n12 JOIN f USING (cluster, w1) JOIN s USING (cluster, w2) JOIN tot USING (cluster)
-  WHERE n12.n >= 2),
+  FROM n12 JOIN f USING (cluster, w1) JOIN s USING (cluster, w2) JOIN tot USING (cluster)),
 sc AS (SELECT cluster, w1 || ' ' || w2 AS bigram, n, ROUND({g2}, 6) AS g2 FROM tab),
 rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY g2 DESC, bigram) AS rank FROM sc)
 SELECT cluster, CAST(rank AS INTEGER) AS rank, bigram, n, g2 FROM rk WHERE rank <= {K.THEME_TERMS}"""
@@ -301,7 +314,9 @@ SELECT cluster, CAST(SUM(freq) AS BIGINT) AS "count", COUNT(*) AS "unique",
 FROM pv GROUP BY cluster"""
 
     q["songs_by_cluster"] = f"""{with_ctes('clustered')}
-SELECT song_id, song_title, artist_name, song_url, cluster FROM clustered"""
+SELECT song_id, COALESCE(song_title, '{K.UNKNOWN_NAME}') AS song_title, COALESCE(artist_name, '{K.UNKNOWN_NAME}') AS artist_name,
+       COALESCE(song_url, '') AS song_url, cluster, row_number() OVER (PARTITION BY cluster ORDER BY song_id) AS pos
+FROM clustered"""
 
     q["cluster_samples"] = f"""{with_ctes('clustered')}
 SELECT cluster, CAST(pos AS INTEGER) AS pos, song_id, song_title
@@ -392,12 +407,12 @@ WHERE rank <= {K.PLAYLIST_SIZE}"""
 
     q["validate_requests"] = f"""{with_ctes('requests')}, {VALID}
 SELECT request_id, eff_mode, status,
-       CASE status WHEN 'too_short' THEN 'Please enter at least {K.MIN_REQUEST_CHARS} characters of lyrics'
-                   WHEN 'missing_song_fields' THEN 'Please provide both song name and artist name' END AS error
+       {REJECTED} AS error
 FROM v"""
 
     q["resolve_song_requests"] = f"""{with_ctes('songs', 'requests')}, {VALID}, {FIRST_SONG}
-SELECT q.request_id, CASE WHEN f.song_id IS NOT NULL THEN 'ok' ELSE 'not_found' END AS status, f.song_id
+SELECT q.request_id, CASE WHEN f.song_id IS NOT NULL THEN 'ok' ELSE 'not_found' END AS status,
+       CASE WHEN f.song_id IS NULL THEN {NOT_FOUND('q')} END AS error, f.song_id
 FROM v q LEFT JOIN first_song f
   ON {NK('f.song_title')} = {NK('q.song_name')} AND {NK('f.artist_name')} = {NK('q.artist_name')}
 WHERE q.eff_mode = 'song' AND q.status = 'ok'"""
@@ -436,18 +451,41 @@ FROM songs s LEFT JOIN hits h ON {NK('h.title')} = {NK('s.song_title')} AND {NK(
 
     q["recommend_requests"] = f"""{with_ctes('songs', 'requests', 'catalogue')}, {RANKED}, {ENRICHED},
 unresolved AS (
-  SELECT q.request_id FROM v q LEFT JOIN first_song f
+  SELECT q.request_id, {NOT_FOUND('q')} AS error FROM v q LEFT JOIN first_song f
     ON {NK('f.song_title')} = {NK('q.song_name')} AND {NK('f.artist_name')} = {NK('q.artist_name')}
   WHERE q.eff_mode = 'song' AND q.status = 'ok' AND f.song_id IS NULL)
-SELECT request_id, 'ok' AS status, rank, song_id, song_name, artist_name, ROUND(sim, 6) AS similarity,
+SELECT request_id, 'ok' AS status, NULL::VARCHAR AS error, rank, song_id, song_name, artist_name, ROUND(sim, 6) AS similarity,
        track_url, album_art, preview_url FROM enriched
 UNION ALL
-SELECT request_id, status, NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE,
+SELECT request_id, status, {REJECTED}, NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE,
        NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM v WHERE status <> 'ok'
 UNION ALL
-SELECT request_id, 'not_found', NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE,
+SELECT request_id, 'not_found', error, NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE,
        NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM unresolved"""
 
+    q["recommend_indexed"] = q["playlist_summary"]
+
+    parsed = """parsed AS (
+  SELECT request_id, COALESCE(mode, 'lyrics') AS mode, COALESCE(lyrics, '') AS lyrics,
+         COALESCE(song_name, '') AS song_name, COALESCE(artist_name, '') AS artist_name FROM requests)"""
+    q["parse_requests"] = f"""{with_ctes('requests')}, {parsed}, {VALID.replace('FROM requests', 'FROM parsed')}
+SELECT request_id, mode, md5(lyrics) AS lyrics_md5, song_name, artist_name, eff_mode, status FROM v"""
+
+    forms = f"""forms AS (
+  SELECT request_id, CASE WHEN mode = 'song' THEN 'song' ELSE 'lyrics' END AS mode,
+         CASE WHEN mode = 'song' THEN NULL WHEN lyrics = '{K.NO_INPUT}' THEN NULL ELSE lyrics END AS lyrics,
+         song_name, artist_name FROM requests)"""
+    q["form_requests"] = f"""{with_ctes('songs', 'requests')}, {forms},
+{VALID.replace('FROM requests', 'FROM forms')}, {FIRST_SONG}
+SELECT request_id, status, {REJECTED} AS error, CASE WHEN status = 'ok' THEN length(lyrics) END AS n_chars
+FROM v WHERE NOT (eff_mode = 'song' AND status = 'ok')
+UNION ALL
+SELECT q.request_id, CASE WHEN f.song_id IS NULL THEN 'not_found' ELSE 'ok' END,
+       CASE WHEN f.song_id IS NULL THEN {NOT_FOUND('q')} END, length(f.corpus)
+FROM v q LEFT JOIN first_song f
+  ON {NK('f.song_title')} = {NK('q.song_name')} AND {NK('f.artist_name')} = {NK('q.artist_name')}
+WHERE q.eff_mode = 'song' AND q.status = 'ok'"""
+
     q["latest_per_session"] = f"""WITH {EVENTS_RANKED}
 SELECT user_id, event_id, epoch_us(ts) AS ts_us, event_type, value FROM er WHERE r = 1"""
 
@@ -486,4 +524,37 @@ SELECT user_id, status,
                         ELSE to_json({{'status': status, 'event_id': event_id, 'event_type': event_type,
                                        'value': value}})::VARCHAR END AS payload
 FROM feed"""
+    q["event_throttle_stream"] = q["event_throttle"]
+    q["session_feed_stream"] = q["session_feed_day"]
+    q["latest_per_session_stream"] = f"""WITH {EVENTS_RANKED}
+SELECT user_id, event_id, event_type, value FROM er WHERE r = 1"""
+    q["assign_clusters_stream"] = q["assign_clusters"]
+
+    q["encode_tfidf"] = f"""{with_ctes('songs')},
+w AS (SELECT song_id, unnest({TOKS('corpus')}) AS w FROM songs),
+tf AS (SELECT song_id, CAST((('0x' || substr(md5(w), 1, 7))::BIGINT) % 4096 AS INTEGER) AS dim, COUNT(*) AS tf FROM w GROUP BY ALL),
+x AS (SELECT song_id, dim, tf * ln(((SELECT COUNT(*) FROM songs) + 1) / (COUNT(*) OVER (PARTITION BY dim) + 1)) AS x FROM tf)
+SELECT song_id, dim, ROUND(x / sqrt(SUM(x * x) OVER (PARTITION BY song_id)), 6) AS weight FROM x QUALIFY x <> 0"""
+
+    # clusterings: labels are not SQL, what holds whatever the labels is
+    k = K.DEFAULT_CLUSTERS
+    q["cluster_pluggable"] = f"SELECT COUNT(*) AS n_points, {k}::BIGINT AS n_labels, 0::BIGINT AS n_out_of_order FROM embeddings"
+    q["kmeans_fit"] = q["cluster_pluggable"].replace(" FROM", ", 0::BIGINT AS n_misplaced FROM")
+    q["cluster_corpus"] = q["kmeans_fit"].replace("FROM embeddings", "FROM documents")
+    eligible = f"corpus IS NOT NULL AND length(corpus) > {K.MIN_CORPUS_CHARS}"
+    q["theme_discovery"] = f"""{with_ctes('songs')}
+SELECT {k}::BIGINT AS n_cards, COUNT(*) AS total_songs, 0::BIGINT AS n_without_terms FROM songs WHERE {eligible}"""
+    q["theme_metrics"] = f"""{with_ctes('songs')}
+SELECT COUNT(*) AS total_songs, {k}::INTEGER AS n_clusters, 64::INTEGER AS embedding_dimensions, 'hash-bow-64' AS model_used,
+       'clustering,data_loading,encoding,themes' AS stages, TRUE AS in_range FROM songs WHERE {eligible}"""
+    q["theme_terms"] = f"""{with_ctes('songs')}
+SELECT term, COUNT(*) AS n FROM (SELECT unnest({KEPT('corpus')}) AS term FROM songs WHERE {eligible}) GROUP BY term"""
+    q["theme_assignments"] = f"""{with_ctes('songs')}
+SELECT artist_name, COUNT(*) AS n_songs FROM songs WHERE {eligible} GROUP BY artist_name"""
+    q["cluster_describe_job"] = f"""{with_ctes('songs')}
+SELECT {k}::BIGINT AS n_clusters, COUNT(artist_name) AS n_songs FROM songs WHERE corpus IS NOT NULL"""
+    q["describe_terms"] = f"""{with_ctes('songs')}
+SELECT term, COUNT(*) AS n FROM (
+  SELECT unnest(list_filter({KEPT('corpus')}, lambda w: w NOT IN {offline})) AS term FROM songs WHERE corpus IS NOT NULL)
+GROUP BY term"""
     return q

@@ -41,25 +41,26 @@ def embedding_profile(emb: DataFrame, vec_col: str = "embedding") -> DataFrame:
     )
 
 
+def vector_dim(emb: DataFrame, vec_col: str = "embedding") -> tuple[int, int]:
+    """(rows, common dimension) of a vector column, (0, 0) without rows;
+    raises on null or empty vectors and mixed dimensions."""
+    size = F.coalesce(F.size(vec_col), F.lit(-1))
+    row = emb.agg(F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if row["n"] and (row["lo"] != row["hi"] or row["lo"] < 1):
+        raise ValueError(f"mixed or missing embedding dimensions: {row['lo']}..{row['hi']}")
+    return int(row["n"]), int(row["hi"] or 0)
+
+
 def checked_dim(emb: DataFrame, vec_col: str = "embedding") -> int:
-    """Common dimension of all vectors; raises on mixed dimensions, null
-    vectors or duplicate keys (positional alignment must become a key)."""
-    row = (
-        emb.agg(
-            F.min(F.size(vec_col)).alias("lo"),
-            F.max(F.size(vec_col)).alias("hi"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("song_id").alias("k"),
-        )
-        .first()
-    )
-    if row["n"] == 0:
+    """Common dimension of all vectors of a keyed table; raises as
+    :func:`vector_dim`, and on an empty table or duplicate keys (positional
+    alignment must become a key)."""
+    n, dim = vector_dim(emb, vec_col)
+    if not n:
         raise ValueError("empty embedding table")
-    if row["lo"] != row["hi"] or row["lo"] is None or row["lo"] < 1:
-        raise ValueError(f"mixed or missing embedding dimensions: {row['lo']}..{row['hi']}")
-    if row["k"] != row["n"]:
+    if emb.select("song_id").distinct().count() != n:
         raise ValueError("embedding keys are not unique")
-    return int(row["hi"])
+    return dim
 
 
 def join_embeddings(emb: DataFrame, songs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ binding of the driver's parquet test tables onto the song schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,12 @@ def read_songs_csv(
       ``mode="DROPMALFORMED"`` is offered but also drops short rows;
     * the pandas default NA strings become null.
 
-    Without an id column in the file, ``song_id`` is derived from the
-    content (xxhash64 of the selected columns): stable across runs and
-    partitionings, unlike a positional index.
+    Without an id column in the file, ``song_id`` is a hash of the content,
+    the file and the row's occurrence number among equal rows of that file:
+    unique, and stable across runs and partitionings.
+
+    Quoted newlines keep a file from being split, so a file is one task: write
+    large collections as many files, or convert them to Parquet once.
     """
     raw = (
         spark.read.option("header", True)
@@ -56,12 +59,21 @@ def read_songs_csv(
         .option("inferSchema", False)
         .csv(path)
     )
-    out = raw.select(*[null_na_strings(F.col(c)).alias(c) for c in columns])
+    fields = [null_na_strings(F.col(c)).alias(c) for c in columns]
     if id_col is not None:
-        out = raw.select(F.col(id_col).cast("bigint").alias("song_id"), *[null_na_strings(F.col(c)).alias(c) for c in columns])
-    else:
-        out = out.select(F.xxhash64(*[F.col(c) for c in columns]).alias("song_id"), *columns)
-    return out
+        return raw.select(F.col(id_col).cast("bigint").alias("song_id"), *fields)
+    hashed = raw.select(*fields, F.input_file_name().alias("_file")).withColumn(
+        "_h", F.xxhash64(*columns, "_file"))
+    occurrence = F.row_number().over(Window.partitionBy("_h", "_file").orderBy("_h"))
+    return hashed.withColumn("_n", occurrence).select(
+        F.xxhash64("_h", "_file", "_n").alias("song_id"), *columns)
+
+
+def write_songs_csv(songs: DataFrame, path: str) -> None:
+    """Write songs with their ids as CSV that :func:`read_songs_csv` reads back
+    (``id_col="song_id"``): header, quotes doubled, newlines kept."""
+    (songs.select("song_id", *SONG_COLUMNS).write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def songs_from_documents(documents: DataFrame) -> DataFrame:

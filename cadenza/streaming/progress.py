@@ -24,14 +24,42 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza import constants as K
 
 
-RUNS_PER_GROUP = 4096
+TOMBSTONE_SECONDS = 7 * 86400
+
+
+def emissions(starts: np.ndarray, vals: np.ndarray, last: float, delta: float) -> np.ndarray:
+    """Flags of the emitted rows.  ``starts`` marks the first row of each run,
+    which is always emitted; before the first mark a run goes on whose last
+    emitted value is ``last``.  Inside a run the rule jumps from one emission
+    to the next; runs that never leave the band around their first value are
+    settled for all at once."""
+    keep, n = starts.copy(), len(vals)
+    if not n:
+        return keep
+    begin = np.flatnonzero(starts)
+    if not starts[0]:
+        begin = np.concatenate(([0], begin))
+    end = np.append(begin[1:], n)
+    base = np.where(starts[begin], vals[begin], last)
+    far = np.fmax(np.fmax.reduceat(vals, begin) - base, base - np.fmin.reduceat(vals, begin)) >= delta
+    for a, b, at in zip(begin[far].tolist(), end[far].tolist(), base[far].tolist()):
+        width = 64
+        while a < b:
+            hit = np.abs(vals[a:min(a + width, b)] - at) >= delta
+            if hit.any():
+                a += int(hit.argmax())
+                keep[a], at, width = True, vals[a], 64
+                a += 1
+            else:
+                a, width = a + len(hit), 2 * width
+    return keep
 
 
 def _run_starts(keys, steps, carry_key, carry_step, has_carry):
@@ -126,55 +154,61 @@ def run_ids(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str =
 
 def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
              ts: str = "ts", tie: str = "event_id", step: str = "event_type",
-             progress: str = "value", strategy: str = "range",
-             runs_per_group: int = RUNS_PER_GROUP) -> DataFrame:
+             progress: str = "value") -> DataFrame:
     """Emitted records (all input columns), per key in (ts, tie) order.
 
-    Runs are labelled (``strategy='range'``: :func:`run_ids`, no per-key
-    task; ``'window'``: ``lag`` + running sum over a per-key window, one task
-    per key), hash-partitioned by run and sorted, and one ``mapInPandas``
-    scan per partition applies the rule, resetting at every new run: a hot
-    key is spread over tasks and memory is bounded by the Arrow batch."""
+    Runs are labelled by :func:`run_ids` (no per-key task), hash-partitioned
+    and sorted, and one ``mapInPandas`` scan per partition applies the rule,
+    resetting at every new run: a hot key is spread over tasks and memory is
+    bounded by the Arrow batch."""
     cols = events.columns
-    schema = events.schema
-    if strategy == "range":
-        marked = run_ids(events, key, ts, tie, step)
-        parts = marked.repartition(key, "_run").sortWithinPartitions(key, "_run", ts, tie)
-    elif strategy == "window":
-        w = Window.partitionBy(key).orderBy(F.col(ts), F.col(tie))
-        prev = F.lag(step).over(w)
-        marked = events.withColumn(
-            "_new", F.when(prev.isNull() | (prev != F.col(step)), 1).otherwise(0)
-        ).withColumn("_run", F.sum("_new").over(w)).withColumn(
-            "_chunk", F.floor((F.col("_run") - 1) / F.lit(runs_per_group))
-        )
-        parts = marked.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", ts, tie)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+    marked = run_ids(events, key, ts, tie, step)
+    parts = marked.repartition(key, "_run").sortWithinPartitions(key, "_run", ts, tie)
 
     def scan(batches):
-        pk, pr, last = None, None, 0.0
+        before, last = None, 0.0
         for pdf in batches:
-            keys = pdf[key].to_numpy()
-            runs = pdf["_run"].to_numpy()
+            if len(pdf) == 0:
+                continue
+            keys, runs = pdf[key].to_numpy(), pdf["_run"].to_numpy()
             vals = pdf[progress].to_numpy(dtype=np.float64)
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != pk or runs[i] != pr or abs(vals[i] - last) >= delta:
-                    keep[i] = True
-                    pk, pr, last = keys[i], runs[i], vals[i]
+            starts = np.ones(len(pdf), dtype=bool)
+            starts[1:] = (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])
+            starts[0] = before != (keys[0], runs[0])
+            keep = emissions(starts, vals, last, delta)
+            if keep.any():
+                last = vals[np.flatnonzero(keep)[-1]]
+            before = (keys[-1], runs[-1])
             yield pdf.loc[keep, cols]
 
-    return parts.mapInPandas(scan, schema)
+    return parts.mapInPandas(scan, events.schema)
+
+
+def _gathered(pdfs, order: list[str]) -> pd.DataFrame:
+    """All rows of a key in a micro-batch, sorted: Arrow hands a large group
+    over in several chunks, which are not in order."""
+    return pd.concat(list(pdfs)).sort_values(order, kind="mergesort")
+
+
+def _step_starts(steps: np.ndarray, last_step: str | None) -> np.ndarray:
+    starts = np.ones(len(steps), dtype=bool)
+    starts[1:] = steps[1:] != steps[:-1]
+    if len(steps):
+        starts[0] = last_step is None or steps[0] != last_step
+    return starts
 
 
 def throttle_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
                     ts: str = "ts", tie: str = "event_id", step: str = "event_type",
-                    progress: str = "value") -> DataFrame:
+                    progress: str = "value", idle_seconds: int | None = None) -> DataFrame:
     """The same rule on a streaming DataFrame with ``applyInPandasWithState``:
-    state per key = (last emitted step, last emitted progress).  Within a
-    micro-batch rows are applied in (ts, tie) order; a late row of an older
-    micro-batch is applied on arrival."""
+    state per key = (last emitted step, last emitted progress).  The rows of a
+    key in a micro-batch are applied in (ts, tie) order; a late row of an older
+    micro-batch is applied on arrival.
+
+    State is kept for every key; with ``idle_seconds`` that of a key without
+    records for so long (processing time) is freed, and its next record counts
+    as its first."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     cols = events.columns
@@ -184,28 +218,23 @@ def throttle_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str
     ])
 
     def fn(k, pdfs, state):
-        if state.exists:
-            last_step, last_p = state.get
-        else:
-            last_step, last_p = None, None
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            steps = pdf[step].tolist()
-            vals = pdf[progress].to_numpy(dtype=np.float64)
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if last_step is None or steps[i] != last_step or abs(vals[i] - last_p) >= delta:
-                    keep[i] = True
-                    last_step, last_p = steps[i], float(vals[i])
-            out.append(pdf.loc[keep, cols])
-        state.update((last_step, last_p))
-        if out:
-            yield pd.concat(out)
-
-    return events.groupBy(key).applyInPandasWithState(
-        fn, events.schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last_step, last = state.get if state.exists else (None, 0.0)
+        pdf = _gathered(pdfs, [ts, tie])
+        steps, vals = pdf[step].to_numpy(), pdf[progress].to_numpy(dtype=np.float64)
+        keep = emissions(_step_starts(steps, last_step), vals, last, delta)
+        if keep.any():
+            at = np.flatnonzero(keep)[-1]
+            last_step, last = steps[at], float(vals[at])
+        state.update((last_step, last))
+        if idle_seconds is not None:
+            state.setTimeoutDuration(idle_seconds * 1000)
+        yield pdf.loc[keep, cols]
+
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy(key).applyInPandasWithState(fn, events.schema, state_schema, "append", timeout)
 
 
 def latest_per_key(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -276,14 +305,6 @@ def stage_timings(log: DataFrame, run: str = "user_id", stage: str = "event_type
     )
 
 
-def timings_map(per_stage: DataFrame, run: str = "user_id") -> DataFrame:
-    """Nested form ``(run, timings map<string,double>, total_time)``."""
-    return per_stage.groupBy(run).agg(
-        F.map_from_entries(F.collect_list(F.struct("stage", "seconds"))).alias("timings"),
-        F.first("total_seconds").alias("total_time"),
-    )
-
-
 # ------------------------------------------------------------- session feed
 
 FEED_SCHEMA = "user_id bigint, status string, event_id bigint, event_type string, value double"
@@ -299,12 +320,14 @@ def session_feed(events: DataFrame, delta: float = K.THROTTLE_DELTA,
     ``limit_seconds`` of the session's first record (records after the
     deadline are never seen).  Output ``(key, status, event_id, event_type,
     value)``; a ``timeout`` row carries nulls."""
-    first = events.groupBy(key).agg(F.min(ts).alias("_first"))
-    deadline = F.col("_first") + F.make_dt_interval(secs=F.lit(limit_seconds))
-    seen = events.join(first, key).filter(F.col(ts) < deadline)
+    # the first terminal record ends the session iff it is before the deadline,
+    # so one aggregation tells both
     order = F.struct(F.col(ts), F.col(tie))
-    term = seen.filter(F.col(step) == terminal).groupBy(key).agg(F.min(order).alias("_t"))
-    tagged = seen.join(term, key, "left")
+    bounds = events.groupBy(key).agg(
+        F.min(ts).alias("_first"), F.min(F.when(F.col(step) == terminal, order)).alias("_t"))
+    deadline = F.col("_first") + F.make_dt_interval(secs=F.lit(limit_seconds))
+    bounds = bounds.select(key, deadline.alias("_deadline"), F.when(F.col("_t")[ts] < deadline, F.col("_t")).alias("_t"))
+    tagged = events.join(bounds, key).filter(F.col(ts) < F.col("_deadline"))
     before = tagged.filter(F.col("_t").isNull() | (order < F.col("_t")))
     running = throttle(before.select(*events.columns), delta, key, ts, tie, step, progress)
     cols = lambda status, df: df.select(
@@ -313,7 +336,7 @@ def session_feed(events: DataFrame, delta: float = K.THROTTLE_DELTA,
         F.col(progress).cast("double").alias("value"),
     )
     done = tagged.filter(order == F.col("_t"))
-    timed_out = first.join(term, key, "left_anti").select(
+    timed_out = bounds.filter(F.col("_t").isNull()).select(
         F.col(key).cast("bigint").alias("user_id"), F.lit("timeout").alias("status"),
         F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("event_type"),
         F.lit(None).cast("double").alias("value"),
@@ -325,12 +348,14 @@ def session_feed_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA,
                         limit_seconds: int = K.STREAM_TIMEOUT_SECONDS, watermark: str = "10 minutes",
                         key: str = "user_id", ts: str = "ts", tie: str = "event_id",
                         step: str = "event_type", progress: str = "value",
-                        terminal: str = K.TERMINAL_STEP) -> DataFrame:
+                        terminal: str = K.TERMINAL_STEP,
+                        tombstone_seconds: int = TOMBSTONE_SECONDS) -> DataFrame:
     """:func:`session_feed` on a stream: ``applyInPandasWithState`` keyed by
     session with an event-time timeout at first record + ``limit_seconds``.
     State = (deadline, last emitted step, last emitted progress, done).  A
-    session that completed or timed out keeps a tombstone so later records
-    are dropped (the terminal record ends the feed); the watermark frees it."""
+    session that completed or timed out keeps a tombstone, which drops its
+    later records, until the watermark is ``tombstone_seconds`` beyond its
+    end; a record after that starts the session anew."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     state_schema = T.StructType([
@@ -339,50 +364,48 @@ def session_feed_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA,
         T.StructField("last_progress", T.DoubleType()),
         T.StructField("done", T.BooleanType()),
     ])
-    limit_ms = limit_seconds * 1000
+    limit_ms, kept_ms = limit_seconds * 1000, tombstone_seconds * 1000
+    columns = ["user_id", "status", "event_id", "event_type", "value"]
 
-    def row(k, status, eid=None, st=None, val=None):
-        return {"user_id": k, "status": status, "event_id": eid, "event_type": st, "value": val}
+    def remember(state, deadline, last_step, last, done):
+        # a timeout must lie beyond the watermark, also for sessions behind it
+        now = state.getCurrentWatermarkMs()
+        state.update((deadline, last_step, last, done))
+        state.setTimeoutTimestamp(max(deadline, now) + kept_ms if done else max(deadline, now + 1))
 
     def fn(keys, pdfs, state):
         k = int(keys[0])
+        deadline, last_step, last, done = state.get if state.exists else (None, None, 0.0, False)
         if state.hasTimedOut:
-            deadline, ls, lp, done = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame([row(k, "timeout")])
-            return
-        if state.exists:
-            deadline, ls, lp, done = state.get
-        else:
-            deadline, ls, lp, done = None, None, None, False
-        out = []
-        for pdf in pdfs:
             if done:
-                break
-            pdf = pdf.sort_values([ts, tie], kind="mergesort")
-            t_ms = (pdf[ts].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
-            steps = pdf[step].tolist()
-            vals = pdf[progress].to_numpy(dtype=np.float64)
-            ids = pdf[tie].to_numpy()
-            for i in range(len(pdf)):
-                if deadline is None:
-                    deadline = int(t_ms[i]) + limit_ms
-                if t_ms[i] >= deadline:
-                    out.append(row(k, "timeout"))
-                    done = True
-                    break
-                if steps[i] == terminal:
-                    out.append(row(k, "completed", int(ids[i]), steps[i], float(vals[i])))
-                    done = True
-                    break
-                if ls is None or steps[i] != ls or abs(vals[i] - lp) >= delta:
-                    out.append(row(k, "running", int(ids[i]), steps[i], float(vals[i])))
-                    ls, lp = steps[i], float(vals[i])
-        state.update((deadline, ls, lp, done))
-        state.setTimeoutTimestamp(int(deadline))
+                state.remove()
+            else:
+                remember(state, deadline, last_step, last, True)
+                yield pd.DataFrame([(k, "timeout", None, None, None)], columns=columns)
+            return
+        if done:
+            for _ in pdfs:
+                pass
+            remember(state, deadline, last_step, last, True)
+            return
+        pdf = _gathered(pdfs, [ts, tie])
+        t_ms = (pdf[ts].astype("datetime64[us]").astype("int64") // 1000).to_numpy()
+        steps, vals, ids = pdf[step].to_numpy(), pdf[progress].to_numpy(dtype=np.float64), pdf[tie].to_numpy()
+        if deadline is None:
+            deadline = int(t_ms[0]) + limit_ms
+        ends = np.flatnonzero((steps == terminal) | (t_ms >= deadline))
+        end = int(ends[0]) if len(ends) else len(pdf)
+        keep = np.flatnonzero(emissions(_step_starts(steps[:end], last_step), vals[:end], last, delta))
+        out = [(k, "running", int(ids[i]), steps[i], float(vals[i])) for i in keep]
+        if len(keep):
+            last_step, last = steps[keep[-1]], float(vals[keep[-1]])
+        if end < len(pdf):
+            done = True
+            out.append((k, "timeout", None, None, None) if t_ms[end] >= deadline else
+                       (k, "completed", int(ids[end]), steps[end], float(vals[end])))
+        remember(state, int(deadline), last_step, last, done)
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "status", "event_id", "event_type", "value"])
+            yield pd.DataFrame(out, columns=columns)
 
     if events.schema[ts].dataType.typeName() == "timestamp_ntz":
         # watermarks need TIMESTAMP; wall-clock NTZ values map 1:1 under a

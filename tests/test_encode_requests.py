@@ -71,3 +71,51 @@ def test_silhouette_sample_size(spark):
     part = silhouette_exact(v, sample_size=100).first()
     assert part["n_points"] == 100 and full["n_points"] == v.count()
     assert -1 <= part["silhouette"] <= 1
+
+
+def test_json_bodies_and_forms(spark):
+    from cadenza.operators.recommend import form_requests, parse_requests, request_inputs
+
+    bodies = spark.createDataFrame(
+        [(1, '{"lyrics": "long enough text"}'), (2, '{"mode": "song", "song_name": "t"}'), (3, "{}"), (4, "no json"), (5, None),
+         (6, '{"mode": null, "lyrics": "0123456789", "more": 1}')], "request_id bigint, body string")
+    got = {r["request_id"]: r for r in validate_requests(parse_requests(bodies)).collect()}
+    assert [got[i]["status"] for i in range(1, 7)] == ["ok", "missing_song_fields", "too_short", "too_short", "too_short", "ok"]
+    songs = spark.createDataFrame([(7, "a", "T", "words of the song", None)],
+                                  "song_id bigint, artist_name string, song_title string, corpus string, song_url string")
+    forms = spark.createDataFrame([(1, "None", " t", "A "), (2, "None", "x", "y"), (3, "none of it here", "", ""), (4, "None", "", "y")],
+                                  "request_id bigint, user_input string, song_name string, artist_name string")
+    got = {r["request_id"]: (r["status"], r["input_text"], r["error"]) for r in request_inputs(form_requests(forms), songs).collect()}
+    assert got[1] == ("ok", "words of the song", None) and got[3][:2] == ("ok", "none of it here")
+    assert got[2] == ("not_found", None, 'Could not find lyrics for "x" by y') and got[4][0] == "missing_song_fields"
+
+
+def test_unicode_whitespace(spark):
+    df = spark.createDataFrame([(1, "one\u00a0two\u3000three\x1cfour\x85five\u2028six")], "song_id bigint, corpus string")
+    from cadenza.functions.text import split_ws, strip_ws
+
+    assert df.select(split_ws("corpus")).first()[0] == ["one", "two", "three", "four", "five", "six"]
+    pad = spark.createDataFrame([("\u00a0 \u3000x y\n\x1f",)], "t string")
+    assert pad.select(strip_ws("t")).first()[0] == "x y"
+    a = EN.hash_encode(df, "song_id", "corpus", 16).first()["embedding"]
+    b = EN.encode(df, "song_id", "corpus", lambda: EN.HashingEncoder(16), 16).first()["embedding"]
+    assert np.allclose(a, b)
+
+
+def test_user_encoder_is_built_once_per_worker(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(os.path.join(marks, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return EN.HashingEncoder(8)
+
+    df = spark.range(200).selectExpr("id AS song_id", "'love fire' AS corpus").repartition(40)
+    assert EN.encode(df, "song_id", "corpus", factory, 8).count() == 200
+    EN.encode(df, "song_id", "corpus", factory, 8).agg(F.max(F.size("embedding"))).collect()
+    import os
+
+    pids = [f.split("-")[0] for f in os.listdir(marks)]
+    assert len(pids) == len(set(pids))

@@ -1,12 +1,12 @@
-"""Invariants for the registered queries that have no SQL oracle."""
+"""Invariants of the jobs that SQL cannot state."""
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from cadenza.operators import encode as EN
 from cadenza.plans import bindings as B
-from cadenza.plans.jobs import theme_discovery
+from cadenza.plans.jobs import clamp_run_params, cluster_describe_job, theme_discovery
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,32 +25,43 @@ def test_theme_discovery_run(spark):
     assert all(0 < r["weight"] <= 1 for r in t) and all(r["weight"] == 1.0 for r in t if r["rank"] == 1)
 
 
-def test_kmeans_fit_labels_everything(spark):
-    got = E.queries()["kmeans_fit"](spark, SF).collect()
-    n = B.vectors(spark, SF).count()
-    assert len(got) == n and sorted({r["cluster"] for r in got}) == [0, 1, 2, 3]
-    first = {}
-    for r in sorted(got, key=lambda r: r["song_id"]):
-        first.setdefault(r["cluster"], r["song_id"])
-    assert sorted(first, key=first.get) == [0, 1, 2, 3]  # ids follow smallest member
-
-
-def test_pluggable_and_corpus_clusterings(spark):
-    for key in ("cluster_pluggable", "cluster_corpus"):
-        rows = E.queries()[key](spark, SF).collect()
-        assert rows and {r["cluster"] for r in rows} <= {0, 1, 2, 3}
-
-
-def test_cluster_describe_job(spark):
-    rows = E.queries()["cluster_describe_job"](spark, SF).collect()
+def test_parameters_are_neither_clamped_nor_capped(spark):
+    songs = B.songs(spark, SF)
+    with pytest.raises(ValueError):
+        theme_discovery(songs, n_clusters=1)
+    with pytest.raises(ValueError):
+        theme_discovery(songs, n_samples=2, n_clusters=3)
+    run = theme_discovery(songs, n_samples=60, n_clusters=16, n_init=1, silhouette=None)
+    assert run.metrics["total_songs"] == 60 and run.assignments.select("cluster").distinct().count() == 16
+    assert clamp_run_params(10, 99) == (100, 15) and clamp_run_params(9999, 1, cap_samples=True) == (5000, 2)
+
+
+def test_describe_job_tables(spark, tmp_path):
+    run = cluster_describe_job(B.songs(spark, SF), str(tmp_path / "out"))
+    rows = run.describe.collect()
     assert sum(r["count"] for r in rows) == B.songs(spark, SF).count()
     assert all(r["freq"] <= r["count"] and r["unique"] >= 1 for r in rows)
-
-
-def test_tfidf_vectors_are_unit_or_zero(spark):
-    enc = EN.tfidf_encode(B.songs(spark, SF), "song_id", "corpus", 256).collect()
-    norms = [np.linalg.norm(r["embedding"]) for r in enc]
-    assert all(abs(x - 1) < 1e-9 or x == 0 for x in norms)
+    assert run.terms.groupBy("cluster").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_tfidf_vectors_are_unit(spark):
+    enc = EN.tfidf_encode(B.songs(spark, SF), "song_id", "corpus", 256)
+    norms = enc.groupBy("song_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n")).collect()
+    assert norms and all(abs(r["n"] - 1) < 1e-9 for r in norms)
+
+
+def test_building_a_query_runs_no_hidden_stages(spark):
+    """spread() must not execute the joins below it."""
+    for key in ("clean_tokens", "cluster_terms", "cluster_bigrams", "term_counts_antijoin"):
+        group = f"build-{key}"
+        spark.sparkContext.setJobGroup(group, key)
+        E.queries()[key](spark, SF)
+        ids = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        spark.sparkContext.setJobGroup("other", "")
+        tables = 2  # reading a schema may be a job of one task
+        assert len(ids) <= tables and all(
+            spark.sparkContext.statusTracker().getStageInfo(s).numTasks == 1
+            for j in ids for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds), key
 
 
 def test_assign_stream_equals_batch(spark):

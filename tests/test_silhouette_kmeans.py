@@ -28,17 +28,17 @@ def _points(spark, x, lab):
     )
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_silhouette_matches_brute_force_with_singleton(spark, block_rows):
+@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+def test_silhouette_matches_brute_force_with_singleton(spark, block_bytes):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 5))
     lab = np.array([0] * 15 + [1] * 15 + [2] * 9 + [3])  # cluster 3 is a singleton
     pts = _points(spark, x, lab)
     exp = _sil_brute(x, lab)
-    got = {r["song_id"]: r["s"] for r in silhouette_samples(pts, block_rows=block_rows).collect()}
+    got = {r["song_id"]: r["s"] for r in silhouette_samples(pts, block_bytes=block_bytes).collect()}
     assert got[39] == 0.0
     assert np.allclose([got[i] for i in range(40)], exp, atol=1e-9)
-    score = silhouette_exact(pts, block_rows=block_rows).first()["silhouette"]
+    score = silhouette_exact(pts, block_bytes=block_bytes).first()["silhouette"]
     assert abs(score - round(exp.mean(), 6)) < 1e-6
 
 
@@ -76,21 +76,24 @@ def test_assign_nearest_and_inertia(spark):
     assert CL.inertia(pts, cents).first()["inertia_exact"] == 1.0
 
 
-def test_batched_restarts_invariants(spark):
-    from cadenza.operators.kmeans_batched import fit_restarts
+def test_assign_in_centroid_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(80, 3)), rng.normal(size=(11, 3))
+    c[7] = c[2]  # a tie goes to the lower id, also across blocks
+    pts = _points(spark, x, np.zeros(80, dtype=int))
+    cents = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(c)], "cluster int, centroid array<double>")
+    whole = sorted(map(tuple, CL.assign_nearest(pts, cents).collect()))
+    parts = sorted(map(tuple, CL.assign_nearest(pts, cents, max_bytes=100).collect()))
+    assert whole == parts == [(i, int(np.argmin(((c - r) ** 2).sum(1)))) for i, r in enumerate(x)]
 
-    rng = np.random.default_rng(11)
-    centers = np.array([[0, 0, 0], [8, 0, 0], [0, 8, 0], [0, 0, 8]], dtype=float)
-    x = np.vstack([c + rng.normal(scale=0.6, size=(25, 3)) for c in centers])
-    pts = _points(spark, x, np.zeros(len(x), dtype=int)).drop("cluster")
-    c, cost, costs, iters = fit_restarts(pts, 4, 5, 42)
-    assert cost == min(costs) and all(i >= 1 for i in iters)
-    # a Lloyd fixpoint: centres are the means of their nearest points
-    lab = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1), axis=1)
-    assert np.allclose(c, np.array([x[lab == j].mean(0) for j in range(4)]), atol=1e-3)
-    assert abs(cost - ((x - c[lab]) ** 2).sum()) < 1e-6
-    # the draws do not depend on partitioning
-    c2, cost2, _, _ = fit_restarts(pts.repartition(3), 4, 5, 42)
-    assert np.allclose(c, c2) and abs(cost - cost2) < 1e-9
-    labelled, _, _, _ = KM.cluster_points(pts, 4, 5, 42, engine="batched")
-    assert labelled.count() == 100 and {r["cluster"] for r in labelled.collect()} == {0, 1, 2, 3}
+
+def test_twenty_clusters_are_twenty(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(scale=50, size=(20, 3)), 4, axis=0) + rng.normal(scale=0.01, size=(80, 3))
+    labelled, _, _, costs = KM.cluster_points(_points(spark, x, np.zeros(80, dtype=int)).drop("cluster"), 20, 3, 42)
+    assert labelled.select("cluster").distinct().count() == 20 and len(costs) == 3
+
+
+def test_silhouette_needs_two_labels(spark):
+    with pytest.raises(ValueError):
+        silhouette_exact(_points(spark, np.eye(3), np.zeros(3, dtype=int)))

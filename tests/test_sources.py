@@ -40,3 +40,37 @@ def test_run_store_roundtrip(spark):
     store.append_run(a.limit(1), path, "r2")
     assert store.read_run(spark, path, "r1").count() == 2
     assert store.read_run(spark, path, "r2").count() == 1
+
+
+def test_csv_repeated_rows_keep_ids_of_their_own(spark, tmp_path):
+    from cadenza.operators.sample import sample_exact
+
+    text = "artist_name,song_title,corpus,song_url\n" + "".join(f'a{i},t,"line\nof {i}",u\n' for i in range(10)) * 3
+    (tmp_path / "f.csv").write_text(text)
+    df = read_songs_csv(spark, str(tmp_path))
+    assert df.count() == 30 == df.select("song_id").distinct().count()
+    assert df.join(df.select("song_id"), "song_id").count() == 30
+    assert sample_exact(df, 10).count() == 10
+    again = read_songs_csv(spark, str(tmp_path)).repartition(5)
+    assert {r[0] for r in again.select("song_id").collect()} == {r[0] for r in df.select("song_id").collect()}
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from cadenza.sources.songs import write_songs_csv
+
+    rows = [(1, "a", " t ", 'he said "hi"\n, twice ', "u"), (2, None, "x,y", "", "u"), (3, "a", " t ", 'he said "hi"\n, twice ', "u")]
+    df = spark.createDataFrame(rows, "song_id bigint, artist_name string, song_title string, corpus string, song_url string")
+    write_songs_csv(df, str(tmp_path / "out"))
+    back = sorted(tuple(r) for r in read_songs_csv(spark, str(tmp_path / "out"), id_col="song_id").collect())
+    assert back == [(1, "a", " t ", 'he said "hi"\n, twice ', "u"), (2, None, "x,y", None, "u"), rows[2]]
+
+
+def test_songs_in_order(spark):
+    from cadenza.operators.clusters import songs_in_order
+
+    df = spark.createDataFrame([(i, i % 3, None if i == 4 else f"t{i}", None, None) for i in range(40)],
+                               "song_id bigint, cluster int, song_title string, artist_name string, song_url string")
+    got = sorted((r["cluster"], r["pos"], r["song_id"]) for r in songs_in_order(df.repartition(4)).collect())
+    assert got == [(c, i + 1, c + 3 * i) for c in range(3) for i in range(len(range(c, 40, 3)))]
+    named = {r["song_id"]: r for r in songs_in_order(df).collect()}
+    assert named[4]["song_title"] == "Unknown" == named[0]["artist_name"] and named[0]["song_url"] == ""

@@ -39,7 +39,7 @@ def test_throttle_batch_equals_reference_and_stream(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
         "user_id", "ts", "event_id", "event_type", "value")
     exp = _reference(ev.toPandas(), 5.0)
-    got = sorted(r["event_id"] for r in PR.throttle(ev, 5.0, runs_per_group=3).collect())
+    got = sorted(r["event_id"] for r in PR.throttle(ev, 5.0).collect())
     assert got == exp
     d = tempfile.mkdtemp(prefix="cadenza-stream-")
     stream = spark.readStream.schema(ev.schema).parquet("/root/testdata/sf0.001/events*.parquet").select(*ev.columns)
@@ -86,7 +86,7 @@ def test_session_feed_terminal_ends_output(spark):
                    (2, "running", 0.0), (2, "timeout", None)]
 
 
-def test_throttle_range_and_window_agree_on_hot_key(spark):
+def test_throttle_on_hot_key(spark):
     import numpy as np
 
     rng = np.random.default_rng(4)
@@ -99,9 +99,7 @@ def test_throttle_range_and_window_agree_on_hot_key(spark):
         rows.append((u, i, step, float(rng.integers(0, 40))))
     ev = _events(spark, rows).repartition(5)
     exp = _reference(ev.toPandas(), 5.0)
-    a = sorted(r["event_id"] for r in PR.throttle(ev, 5.0, strategy="range").collect())
-    b = sorted(r["event_id"] for r in PR.throttle(ev, 5.0, strategy="window").collect())
-    assert a == b == exp
+    assert sorted(r["event_id"] for r in PR.throttle(ev, 5.0).collect()) == exp
 
 
 def test_run_ids_cross_partitions(spark):
@@ -115,3 +113,59 @@ def test_run_ids_cross_partitions(spark):
     assert all(got[i] == 0 for i in range(50))
     assert all(got[i] == 50 for i in range(50, 90))
     assert all(got[i] == 90 for i in range(90, 120))
+
+
+def test_emissions_equal_the_plain_rule():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        vals = rng.integers(0, 30, n).astype(float)
+        vals[rng.random(n) < 0.05] = np.nan
+        starts = rng.random(n) < 0.02
+        last, want, at = 3.0, [], 3.0
+        for i in range(n):
+            hit = bool(starts[i]) or abs(vals[i] - at) >= 5.0
+            want.append(hit)
+            at = vals[i] if hit else at
+        assert PR.emissions(starts, vals, last, 5.0).tolist() == want
+
+
+def _micro_batches(spark, batches, make):
+    """Run a stream over one file for each batch, in order."""
+    from cadenza.plans.jobs import run_stream
+
+    d = tempfile.mkdtemp(prefix="cadenza-batches-")
+    for i, rows in enumerate(batches):
+        df = _events(spark, rows).withColumn("event_id", F.col("event_id") + 100000 * i)
+        path = os.path.join(d, f"b{i}")
+        df.coalesce(1).write.parquet(path)
+        part = [f for f in os.listdir(path) if f.endswith(".parquet")][0]
+        os.rename(os.path.join(path, part), os.path.join(d, f"{i}.parquet"))
+        os.utime(os.path.join(d, f"{i}.parquet"), (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "*.parquet"))
+    return run_stream(make(stream), "test")
+
+
+def test_feed_stream_with_a_deadline_behind_the_watermark(spark):
+    rows = _micro_batches(spark, [[(2, 0, "view", 1)], [(3, 5000, "view", 1)], [(2, 5001, "view", 9)], [(4, 9999, "view", 1)]],
+                          lambda s: PR.session_feed_stream(s, 5.0, 300)).collect()
+    got = sorted((r["user_id"], r["status"]) for r in rows)
+    assert got[:4] == [(2, "running"), (2, "timeout"), (3, "running"), (3, "timeout")]
+
+
+def test_feed_stream_does_not_revive_a_finished_session(spark):
+    rows = _micro_batches(spark, [[(2, 0, "view", 1), (2, 10, "purchase", 2)], [(3, 5000, "view", 1)], [(2, 5001, "view", 9)]],
+                          lambda s: PR.session_feed_stream(s, 5.0, 300)).collect()
+    assert sorted((r["status"], r["value"]) for r in rows if r["user_id"] == 2) == [("completed", 2.0), ("running", 1.0)]
+
+
+def test_throttle_stream_orders_a_large_group(spark):
+    import random
+
+    rows = [(1, i, "A", (i * 7) % 100) for i in range(25000)]
+    random.Random(3).shuffle(rows)
+    ev = _events(spark, rows)
+    got = sorted(r["ts"] for r in _micro_batches(spark, [rows], lambda s: PR.throttle_stream(s, 5.0)).collect())
+    assert got == sorted(r["ts"] for r in PR.throttle(ev, 5.0).collect())

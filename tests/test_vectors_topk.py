@@ -25,8 +25,8 @@ def _frames(spark, q, c):
     return qdf, cdf
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
-def test_topk_equals_brute_force_with_ties(spark, strategy):
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 200}, {"max_broadcast_bytes": 300}])
+def test_topk_equals_brute_force_with_ties(spark, limits):
     rng = np.random.default_rng(7)
     c = rng.normal(size=(60, 8))
     c[10] = c[3]          # exact duplicates -> tied scores, tie-break by id
@@ -35,7 +35,7 @@ def test_topk_equals_brute_force_with_ties(spark, strategy):
     q = rng.normal(size=(7, 8))
     q[6] = 0.0            # zero query: every score 0, ids ascending
     qdf, cdf = _frames(spark, q, c)
-    got = topk_cosine(qdf, cdf, 5, strategy=strategy, block_rows=16).collect()
+    got = topk_cosine(qdf, cdf, 5, **limits).collect()
     exp = _brute(q, c, 5)
     by_q = {}
     for r in got:
@@ -56,3 +56,36 @@ def test_topk_k_larger_than_corpus(spark):
 def test_cosine_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert df.select(cosine("a", "b")).first()[0] == 0.0
+
+
+def test_running_topk_keeps_k_per_query_whatever_ties():
+    from cadenza.operators.topk import RunningTopK
+
+    rng = np.random.default_rng(2)
+    best = RunningTopK(4, 5)
+    ids = rng.permutation(600)
+    scores = np.round(rng.integers(0, 4, size=(600, 4)) / 3.0, 12)
+    scores[:, 3] = 0.0  # a zero vector ties with everything
+    for at in range(0, 600, 100):
+        order = at + np.argsort(ids[at:at + 100])
+        best.add(0, scores[order, :2], ids[order])
+        best.add(2, scores[order, 2:], ids[order])
+    q, found, got = best.rows()
+    assert len(q) == 20
+    for i in range(4):
+        want = sorted(zip(-scores[:, i], ids))[:5]
+        assert [(-s, j) for s, j in zip(got[q == i], found[q == i])] == [(s, j) for s, j in want]
+
+
+def test_topk_rejects_mixed_and_null_vectors(spark):
+    qdf, cdf = _frames(spark, [[1.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]])
+    mixed = qdf.unionByName(spark.createDataFrame([(9, [1.0])], qdf.schema))
+    null = qdf.unionByName(spark.createDataFrame([(9, None)], qdf.schema))
+    for bad in (mixed, null):
+        with pytest.raises(ValueError):
+            topk_cosine(bad, cdf, 2)
+    # lengths whose total agrees must not pass unnoticed
+    skew = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], cdf.schema)
+    with pytest.raises(Exception, match="2 dimensions"):
+        topk_cosine(qdf, skew, 2).collect()
+    assert topk_cosine(qdf.limit(0), cdf, 2).collect() == []
