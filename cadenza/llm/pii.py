@@ -106,7 +106,9 @@ _SPELLED = re.compile(rf"(?:\b(?:plus)[ -]+|\+)?\b(?:{_DIGIT_WORD})(?:[ ,.-]{{1,
 _SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]+|plus|\+", re.I)
 _AT = re.compile(r" ?[(\[{<] ?(?:at|@) ?[)\]}>] ?", re.I)
 _DOT = re.compile(r" ?[(\[{<] ?(?:dot|punkt|point|punto|\.) ?[)\]}>] ?", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)+", re.I)
+#: without brackets only where the last part is letters, as in a name of a host
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)*"
+                   r" +dot +[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
 _BARE_DOT = re.compile(r" +dot +", re.I)
 
 
