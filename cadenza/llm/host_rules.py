@@ -110,4 +110,4 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verdicts = shared_table(host_verdicts(judged, max_rate), "host-verdicts")
     named = verdicts.withColumnRenamed("host", "of_host")
     return judged.join(named, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host").withColumn(
-        "kept", ~F.col("base_failed") & F.col("host_ok")).drop("host_ok")
+        "kept", ~F.col("base_failed") & F.col("host_ok")).withColumn("host_rate", F.round("host_rate", 6)).drop("host_ok")

@@ -9,6 +9,7 @@ from cadenza.llm.decontaminate import find_leaks
 from cadenza.llm.host_rules import host_quality
 from cadenza.llm.license_scan import scan_licenses
 from cadenza.llm.mixing import mix
+from cadenza.llm.oracle import llm_oracle
 from cadenza.llm.pii import find_pii
 from cadenza.llm.quality_classifier import classify
 from cadenza.llm.secret_scan import scan_secrets
@@ -79,4 +80,4 @@ LLM_QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = llm_oracle()
