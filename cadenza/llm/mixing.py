@@ -145,7 +145,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
 def _rounded(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     """(ticket, size, source_size, target, copies) for each row."""
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned").withColumn(
-        "bucket", F.xxhash64("source", F.pmod(F.xxhash64("ticket"), F.col("buckets"))))
+        "bucket", F.xxhash64("source", F.pmod(F.xxhash64("ticket", "size"), F.col("buckets"))))
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "ticket"], ascending=[False, True], kind="stable")
