@@ -34,6 +34,7 @@ MIN_COVERAGE = 0.5
 MIN_PLAIN = 0.5  # of a window's tokens, so that slots alone never match
 CHUNK_WINDOWS = 2_000_000
 CACHE_WORDS = 500_000
+SLICE_CHARS = 2_000_000
 
 #: Units of measure after a number.
 UNITS = frozenset((
@@ -193,11 +194,21 @@ def chunks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Benchmark(items)
 
 
-def _batches(held, texts: list, words: Words) -> Iterator[tuple[int, int, int, float]]:
-    if len(words) > CACHE_WORDS:
-        words.__init__()
-        words.clear()
-    yield from held.hits(texts, words)
+def _batches(held: Benchmark, texts: list, words: Words) -> Iterator[tuple[int, int, int, float]]:
+    """Hits of a batch, found slice by slice: the words of a slice are held at
+    once, those of a batch need not fit."""
+    at = 0
+    while at < len(texts):
+        if len(words) > CACHE_WORDS:
+            words.clear()
+            words.__init__()
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < SLICE_CHARS):
+            size += len(texts[end] or "")
+            end += 1
+        for r, *rest in held.hits(texts[at:end], words):
+            yield at + r, *rest
+        at = end
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
