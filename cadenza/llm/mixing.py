@@ -183,6 +183,7 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = shared_table(_rounded(rows, plan, cap).groupBy("ticket").agg(F.max("copies").alias("n"))
                          .filter("n > 0").withColumnRenamed("ticket", "of"), "mix-copies")
     held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("string").alias("ticket"))
-    taken = held.join(given, F.col("ticket").eqNullSafe(F.col("of")))
+    # the ids grow with the documents, so they are never broadcast
+    taken = held.join(given.hint("merge"), F.col("ticket").eqNullSafe(F.col("of")))
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "copy"]
     return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "row").select(*kept, "copy")

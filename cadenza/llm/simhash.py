@@ -267,9 +267,21 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the
     least id (a null id only where no member has one; of rows that share that
-    id, one).  All columns are returned as they were."""
-    _, classes = simhash_components(docs, id_col, text_col, shingle, max_bits)
+    id, one).  All columns are returned as they were.
+
+    Rows with an id of their own are told apart by it: texts move once, in an
+    anti-join with the ids that go.  Only rows that share an id or have none
+    are told apart by fingerprint and component."""
+    fps, classes = simhash_components(docs, id_col, text_col, shingle, max_bits)
+    shared_ids = shared_table(fps.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "simhash-shared-ids")
+    copies = fps.join(classes, "fp").filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    going = shared_table(copies.unionByName(shared_ids).distinct().withColumnRenamed("doc_id", "going"), "simhash-going")
+    # the ids grow with the documents, so they are never broadcast
+    own = docs.filter(F.col(id_col).isNotNull())
+    own = own.join(going.hint("merge"), own[id_col] == going["going"], "left_anti")
     row = F.struct(*docs.columns)
-    held = docs.select(row.alias("row"), F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
-    best = held.join(classes, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    return best.dropDuplicates(["component"]).select("row.*")
+    held = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("held_text"))
+    alike = held.filter("id IS NULL").unionByName(held.join(shared_ids, held["id"] == shared_ids["doc_id"], "left_semi"))
+    best = alike.select("row", "id", fingerprint_column(F.col("held_text"), shingle).alias("fp")).join(classes, "fp").filter(
+        F.col("id").eqNullSafe(F.col("component_id")))
+    return own.unionByName(best.dropDuplicates(["component"]).select("row.*"))
