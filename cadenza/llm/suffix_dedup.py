@@ -10,7 +10,8 @@ so equal strings are first brought together:
 2. *Fragments.*  A string that repeats has only repeated samples.  The maximal
    runs of such strings with one least sample (the key) are cut out of the
    texts as fragments; equal strings lie in fragments of one key.
-3. *Equal fragments* become one row with a count; two or more repeat as a whole.
+3. *Equal fragments* are counted with partial sums; two or more repeat as a
+   whole.  Their bytes travel once from each task.
 4. *Suffix sorting.*  The different fragments of a key meet in a task, which
    sorts their suffixes in two stages: suffixes smaller than their successors
    are sorted directly, all others are induced by scanning the buckets of
@@ -44,6 +45,7 @@ GRAM = 16
 SAMPLE = 128  # grams in a sampling window; with GRAM at most LENGTH bytes
 HOT_FRAGMENTS = 400
 SORT_BYTES = 2_000_000
+SEEN_FRAGMENTS = 200_000  # equal fragments that a task remembers
 SCAN_STRINGS = 1 << 20  # longer texts are scanned piece by piece
 PARTITION_BYTES = 16_000_000
 _U = np.uint64
@@ -206,49 +208,64 @@ def _ranges(flags: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _sample_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        k1, k2, found = [], [], []
-        for a, b, text in zip(batch["k1"], batch["k2"], batch["text"]):
+        keys, found = [], []
+        for k, text in zip(batch["k1"], batch["text"]):
             own = [samples(piece) for _, piece in pieces(text.encode("utf-8"))]
             found += own
-            k1 += [a] * len(own)
-            k2 += [b] * len(own)
-        n = [len(x) for x in found]
+            keys += [k] * len(own)
         if found:
-            yield pd.DataFrame({"k1": np.repeat(np.array(k1, dtype=np.int64), n), "k2": np.repeat(np.array(k2, dtype=np.int64), n),
+            yield pd.DataFrame({"k1": np.repeat(np.array(keys, dtype=np.int64), [len(x) for x in found]),
                                 "sample": np.concatenate(found).view(np.int64)})
 
 
 def _fragment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each fragment; its bytes come with the first of equal ones."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         rows = []
         for k1, k2, text, known in zip(batch["k1"], batch["k2"], batch["text"], batch["known"]):
             raw = text.encode("utf-8")
             for key, start, strings, inner in fragments(raw, np.sort(np.asarray(known, dtype=np.int64).view(np.uint64))):
                 part = raw[start:start + strings + LENGTH - 1]
-                f = np.frombuffer(xxhash.xxh3_128_digest(part), dtype=np.int64)
-                rows.append((key, int(f[0]), int(f[1]), k1, k2, start, inner, part))
+                f = np.frombuffer(xxhash.xxh3_128_digest(part), dtype=np.int64).tolist()
+                new = (f[0], f[1]) not in seen
+                if new:
+                    if len(seen) >= SEEN_FRAGMENTS:
+                        seen.clear()
+                    seen.add((f[0], f[1]))
+                rows.append((key, f[0], f[1], k1, k2, start, strings, inner, part if new else None))
         if rows:
-            out = pd.DataFrame(rows, columns=["key", "f1", "f2", "k1", "k2", "start", "inner", "part"])
+            out = pd.DataFrame(rows, columns=["key", "f1", "f2", "k1", "k2", "start", "strings", "inner", "part"])
             yield out.assign(key=out["key"].to_numpy(dtype=np.uint64).view(np.int64))
 
 
 def _sort_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fragments ordered by key to ranges of repeated strings: whole keys are
-    gathered to about ``SORT_BYTES`` and sorted together."""
+    gathered to about ``SORT_BYTES`` and sorted together.  Equal fragments
+    from several tasks are one."""
 
-    def solved(rows: list) -> pd.DataFrame:
-        flags = repeated_strings([r[3] for r in rows])
-        out = [(f1, f2, a, b) for (_, f1, f2, _), own in zip(rows, flags) for a, b in _ranges(own)]
+    def solved(held: dict) -> pd.DataFrame:
+        flags = repeated_strings(list(held.values()))
+        out = [(*f, a, b) for f, own in zip(held, flags) for a, b in _ranges(own)]
         return pd.DataFrame(out, columns=["f1", "f2", "first", "last"])
 
-    held, size = [], 0
+    held: dict[tuple[int, int], bytes] = {}
+    own: dict[tuple[int, int], bytes] = {}  # of the key at hand
+    key, several, size = None, False, 0
     for batch in batches:
-        for row in zip(batch["key"], batch["f1"], batch["f2"], batch["part"]):
-            if size >= SORT_BYTES and row[0] != held[-1][0]:
-                yield solved(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+        for k, f1, f2, inner, part in zip(batch["key"], batch["f1"], batch["f2"], batch["inner"], batch["part"]):
+            if k != key:
+                if several or len(own) > 1:  # one fragment without its key twice has nothing to sort
+                    held |= own
+                    size += sum(map(len, own.values()))
+                key, own, several = k, {}, False
+                if size >= SORT_BYTES:
+                    yield solved(held)
+                    held, size = {}, 0
+            own[f1, f2] = part
+            several |= inner
+    if several or len(own) > 1:
+        held |= own
     if held:
         yield solved(held)
 
@@ -285,34 +302,54 @@ def _deal_rows(buckets: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         n = [len(h) for h in hashes]
         packed = np.column_stack([np.concatenate(hashes), np.repeat(batch[["f1", "f2"]].to_numpy(dtype=np.int64).view(np.uint64), n, axis=0),
                                   np.concatenate([np.arange(x, dtype=np.uint64) for x in n])])
-        bucket = (packed[:, 0] % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.diff(bucket[order])) + 1
-        yield pd.DataFrame([(int(bucket[own[0]]), packed[own].tobytes()) for own in np.split(order, cut)], columns=["bucket", "packed"])
+        yield _packed("bucket", packed, (packed[:, 0] % _U(buckets)).astype(np.int64))
 
 
-def _compare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole buckets, in order, to the repeated strings in them."""
-
-    def solved(parts: list[bytes]) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(p, dtype=np.uint64).reshape(-1, 5) for p in parts])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))
-        rows = rows[_tied(new)]
-        rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2]))]
-        f, at = rows[:, 2:4].view(np.int64), rows[:, 4].astype(np.int64)
-        return pd.DataFrame({"f1": f[:, 0], "f2": f[:, 1], "first": at, "last": at + 1})
-
+def _by_bucket(name: str, batches: Iterator[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
+    """The packed rows of each whole bucket, from rows in order of bucket."""
     bucket, held = None, []
     for batch in batches:
-        for b, packed in zip(batch["bucket"], batch["packed"]):
+        for b, packed in zip(batch[name], batch["packed"]):
             if held and b != bucket:
-                yield solved(held)
+                yield np.concatenate(held)
                 held = []
             bucket = b
-            held.append(packed)
+            held.append(np.frombuffer(packed, dtype=np.uint64).reshape(-1, width))
     if held:
-        yield solved(held)
+        yield np.concatenate(held)
+
+
+def _packed(name: str, rows: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    return pd.DataFrame([(int(bucket[own[0]]), rows[own].tobytes()) for own in np.split(order, cut) if len(own)],
+                        columns=[name, "packed"])
+
+
+def _sorted_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows in order, each once."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate(([True], np.any(rows[1:] != rows[:-1], axis=1)))]
+
+
+def _compare_rows(buckets: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strings dealt by hash to the repeated ones, packed by fragment."""
+    for rows in _by_bucket("bucket", batches, 5):
+        rows = _sorted_rows(rows)
+        rows = rows[_tied(np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))), 2:]
+        yield _packed("home", rows, (rows[:, 0] % _U(buckets)).astype(np.int64))
+
+
+def _range_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated strings of a fragment to ranges of them."""
+    for rows in _by_bucket("home", batches, 3):
+        rows = _sorted_rows(rows)
+        new = np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1) | (rows[1:, 2] != rows[:-1, 2] + _U(1))))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(rows)) - 1
+        f = rows[first, :2].view(np.int64)
+        yield pd.DataFrame({"f1": f[:, 0], "f2": f[:, 1], "first": rows[first, 2].astype(np.int64),
+                            "last": rows[last, 2].astype(np.int64) + 1})
 
 
 def remove_spans(raw: bytes, starts, ends) -> tuple[int, int, bytes]:
@@ -335,29 +372,32 @@ def remove_spans(raw: bytes, starts, ends) -> tuple[int, int, bytes]:
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(k1, k2, starts, ends): for each text with repeated strings, ranges of
     their starts, from (k1, k2, text) with a 128-bit key of each row.  Rows
-    that share a key are repeats of one another."""
-    schema = "key long, f1 long, f2 long, k1 long, k2 long, start long, inner boolean, part binary"
-    spans = "f1 long, f2 long, first long, last long"
-    sampled = shared_table(texts.mapInPandas(_sample_rows, "k1 long, k2 long, sample long"), "suffix-samples")
+    that share a key are repeats of one another.
+
+    Samples carry half of the key: texts that share it would only be handed
+    each other's repeated samples too, which changes no result."""
+    schema = "key long, f1 long, f2 long, k1 long, k2 long, start long, strings long, inner boolean, part binary"
+    spans, packed = "f1 long, f2 long, first long, last long", "long, packed binary"
+    sampled = shared_table(texts.select("k1", "text").mapInPandas(_sample_rows, "k1 long, sample long"), "suffix-samples")
     repeated = shared_table(sampled.groupBy("sample").count().filter("count > 1").select("sample"), "suffix-repeated")
-    known = sampled.join(repeated, "sample").groupBy("k1", "k2").agg(F.collect_set("sample").alias("known"))
-    cut = shared_table(texts.join(known, ["k1", "k2"]).mapInPandas(_fragment_rows, schema), "suffix-fragments")
-    parts = shared_table(cut.groupBy("key", "f1", "f2").agg(
-        F.first("part").alias("part"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")), "suffix-parts")
-    keys = shared_table(parts.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(F.length("part")).alias("size"),
-                                                 F.max("inner").alias("inner")).filter("different > 1 OR inner"), "suffix-keys")
-    size = keys.groupBy((F.col("different") > HOT_FRAGMENTS).alias("hot")).agg(F.sum("size").alias("size")).collect()  # two rows
-    size = {r["hot"]: r["size"] for r in size}
-    many = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n_cold = max(many, math.ceil(size.get(False, 0) / PARTITION_BYTES))
-    n_hot = max(many, math.ceil(40 * size.get(True, 0) / PARTITION_BYTES))
-    shared = parts.join(keys.select("key", "different"), "key")
-    cold = (shared.filter(F.col("different") <= HOT_FRAGMENTS).select("key", "f1", "f2", "part").repartition(n_cold, "key")
+    known = sampled.join(repeated, "sample").groupBy("k1").agg(F.collect_set("sample").alias("known"))
+    cut = shared_table(texts.join(known, "k1").mapInPandas(_fragment_rows, schema), "suffix-fragments")
+    counts = shared_table(cut.groupBy("key", "f1", "f2", "strings").agg(F.count(F.lit(1)).alias("n")), "suffix-counts")
+    hot_keys = shared_table(counts.groupBy("key").count().filter(F.col("count") > HOT_FRAGMENTS).select("key"), "suffix-hot")
+    parts = cut.filter("part IS NOT NULL").select("key", "f1", "f2", "inner", "part")
+    size = cut.agg(F.sum(F.length("part"))).first()[0] or 0
+    hot_strings = counts.join(hot_keys, "key", "left_semi").agg(F.sum("strings")).first()[0] or 0
+    at_least = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_cold = max(at_least, math.ceil(size / PARTITION_BYTES))
+    n_hot = max(at_least, math.ceil(40 * hot_strings / PARTITION_BYTES))
+    cold = (parts.join(hot_keys, "key", "left_anti").repartition(n_cold, "key")
             .sortWithinPartitions("key").mapInPandas(_sort_rows, spans))
-    hot = (shared.filter(F.col("different") > HOT_FRAGMENTS).select("f1", "f2", "part")
-           .mapInPandas(lambda b: _deal_rows(n_hot, b), "bucket long, packed binary").repartition(n_hot, "bucket")
-           .sortWithinPartitions("bucket").mapInPandas(_compare_rows, spans))
-    whole = parts.filter("n > 1").select("f1", "f2", F.lit(0).cast("long").alias("first"), (F.length("part") - (LENGTH - 1)).cast("long").alias("last"))
+    dealt = (parts.join(hot_keys, "key", "left_semi").select("f1", "f2", "part")
+             .mapInPandas(lambda b: _deal_rows(n_hot, b), f"bucket {packed}"))
+    hot = (dealt.repartition(n_hot, "bucket").sortWithinPartitions("bucket")
+           .mapInPandas(lambda b: _compare_rows(n_hot, b), f"home {packed}")
+           .repartition(n_hot, "home").sortWithinPartitions("home").mapInPandas(_range_rows, spans))
+    whole = counts.filter("n > 1").select("f1", "f2", F.lit(0).cast("long").alias("first"), F.col("strings").alias("last"))
     found = shared_table(whole.unionByName(cold).unionByName(hot), "suffix-found")
     return (cut.select("f1", "f2", "k1", "k2", "start").join(found, ["f1", "f2"]).groupBy("k1", "k2").agg(
         F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("own"))
