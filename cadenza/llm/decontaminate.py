@@ -4,12 +4,14 @@ Texts become sequences of canonical tokens: numbers, units after a number and
 names inside a sentence are typed placeholders (slots), other tokens their
 lower-case letters and digits.  Windows of ``WINDOW`` canonical tokens of all
 benchmark items form a hash table; windows of the documents are looked up in
-it.  Hits of one item on one diagonal (same distance between positions) belong
-together.  A document is contaminated by an item if such hits cover at least
-``MIN_COVERAGE`` of the item's windows and the slots they cover are consistent:
-each value of the item stands for one value of the document throughout and the
-other way round.  A verbatim copy maps every value to itself; a question with
-other numbers, names or units is caught as well.
+it.  A hit is extended to both sides, over gaps of at most ``MAX_SHIFT`` words
+on either side after which ``RESYNC`` words agree again, to a chain of matched
+words.  A chain is split where a value of the item would stand for a second
+value of the document.  A document is contaminated by an item if a chain fills
+at least ``MIN_COVERAGE`` of the item's windows: with n matched words as many
+as n words in a row have.  A verbatim copy maps every value to itself; a
+question with other numbers, names or units, or with words put in, left out or
+changed, is caught as well.
 
 The benchmark is read in chunks of at most ``CHUNK_WINDOWS`` windows, so what
 a task holds is bounded whatever its size; each chunk is one pass over the
@@ -32,6 +34,8 @@ WINDOW = 8
 MIN_WORDS = 5  # shorter items are too common to tell a leak
 MIN_COVERAGE = 0.5
 MIN_PLAIN = 0.5  # of a window's tokens, so that slots alone never match
+MAX_SHIFT = 8  # words of a gap in a chain, on either side
+RESYNC = 3  # words that agree after a gap
 CHUNK_WINDOWS = 2_000_000
 CACHE_WORDS = 500_000
 SLICE_CHARS = 2_000_000
@@ -100,13 +104,45 @@ def rolling(hashes: np.ndarray, window: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+_GAP = np.arange(MAX_SHIFT + 1)
+_GAP_COST = 2 * np.add.outer(_GAP, _GAP) + np.abs(np.subtract.outer(_GAP, _GAP))
+
+
+def _agree(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether two rows of hashes agree, column by column."""
+    return (item == text).any(axis=0)
+
+
+def runs(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(place, at, length) of the runs of words in which item and text agree,
+    from the start of both on, over gaps.  Hashes have a row for each kind."""
+    p = a = 0
+    while n := min(item.shape[1] - p, text.shape[1] - a):
+        same = _agree(item[:, p:p + n], text[:, a:a + n])
+        length = n if same.all() else int(same.argmin())
+        if length:
+            yield p, a, length
+        if length == n:
+            return
+        p, a, span = p + length, a + length, MAX_SHIFT + RESYNC
+        same = _agree(item[:, p:p + span, None], text[:, None, a:a + span])
+        rows, cols = (max(0, k - RESYNC + 1) for k in same.shape)
+        again = np.ones((rows, cols), dtype=bool)
+        for k in range(RESYNC):
+            again &= same[k:rows + k, k:cols + k]
+        if not again.any():
+            return
+        skip, skipped = divmod(int(np.where(again, _GAP_COST[:rows, :cols], 99).argmin()), cols)
+        p, a = p + skip, a + skipped
+
+
 class Benchmark:
     """A chunk of benchmark items with its hash tables, one for each window
     length: ``WINDOW``, and the lengths of items that are shorter."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         words = Words()
-        self.ids, self.cores, self.slots, self.n_windows = [], [], [], []
+        self.ids, self.cores, self.slots, self.hashes, self.usable = [], [], [], [], []
         entries: dict[int, list] = {}
         for item_id, text in items:
             ids = np.array([words[w] for w in (text or "").split()], dtype=np.int64)
@@ -122,16 +158,18 @@ class Benchmark:
             self.ids.append(item_id)
             self.cores.append([words.core[i] for i in ids])
             self.slots.append(slot)
-            self.n_windows.append(max(1, int(usable.sum())))
-            rolled = rolling(hashes, length)
-            entries.setdefault(length, []).extend((int(rolled[p]), at, int(p)) for p in np.flatnonzero(usable))
+            self.hashes.append(hashes[None])
+            self.usable.append(usable)
+            places = np.flatnonzero(usable)
+            entries.setdefault(length, []).append((rolling(hashes, length)[places], np.full(len(places), at), places))
         self.tables = {}
-        for length, rows in entries.items():
-            rows.sort()
-            h = np.array([r[0] for r in rows], dtype=np.uint64)
+        for length, parts in entries.items():
+            h, item, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((place, item, h))
+            h = h[order]
             seen = np.zeros(2**20, dtype=bool)  # a quick no for almost all windows
             seen[(h & np.uint64(2**20 - 1)).astype(np.int64)] = True
-            self.tables[length] = h, seen, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            self.tables[length] = h, seen, item[order], place[order]
 
     def hits(self, texts: list[str | None], words: Words) -> Iterator[tuple[int, int, int, float]]:
         """(row, item_id, windows, coverage) of the contaminated texts."""
@@ -143,9 +181,9 @@ class Benchmark:
         row = np.repeat(np.arange(len(split)), lengths)
         first = np.concatenate(([True], row[1:] != row[:-1]))
         begins = np.concatenate(([0], np.cumsum(lengths)))
-        hashes, slot = canonical(words, ids, first, words.tables())
+        hashes = canonical(words, ids, first, words.tables())[0][None]
         for length, (known, seen, items, places) in self.tables.items():
-            rolled = rolling(hashes, length)
+            rolled = rolling(hashes[0], length)
             at = np.flatnonzero(seen[(rolled & np.uint64(2**20 - 1)).astype(np.int64)])
             at = at[row[at] == row[at + length - 1]]
             lo, hi = np.searchsorted(known, rolled[at], "left"), np.searchsorted(known, rolled[at], "right")
@@ -155,29 +193,58 @@ class Benchmark:
             entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             at = np.repeat(at, n)
             item, place = items[entry], places[entry]
-            order = np.lexsort((place, at - place, item, row[at]))
-            key = np.stack([row[at], item, at - place])[:, order]
+            order = np.lexsort((place, at, item, row[at]))
+            key = np.stack([row[at], item])[:, order]
             cuts = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-            best: dict[tuple[int, int], int] = {}
             for group in np.split(order, cuts):
-                r, k, diagonal = int(row[at[group[0]]]), int(item[group[0]]), int(at[group[0]] - place[group[0]])
-                count = len(group)
-                if count >= MIN_COVERAGE * self.n_windows[k] and count > best.get((r, k), 0) and self._consistent(
-                        k, place[group], length, words, ids, diagonal):
-                    best[r, k] = count
-            for (r, k), count in best.items():
-                yield r, self.ids[k], count, min(1.0, count / self.n_windows[k])
-
-    def _consistent(self, k: int, places: np.ndarray, length: int, words: Words, ids: np.ndarray, diagonal: int) -> bool:
-        """Whether the covered slots map one to one between item and text."""
-        covered = np.unique((places[:, None] + np.arange(length)).ravel())
+                r, k = int(row[at[group[0]]]), int(item[group[0]])
+                lo, hi = begins[r], begins[r + 1]
+                filled, coverage = self._best(k, place[group], at[group] - lo, length, hashes[:, lo:hi], words, ids[lo:hi])
+                if coverage >= MIN_COVERAGE:
+                    yield r, self.ids[k], filled, coverage
+
+    def _best(self, k: int, places: np.ndarray, at: np.ndarray, length: int, text: np.ndarray,
+              words: Words, ids: np.ndarray) -> tuple[int, float]:
+        """(windows, coverage) of the best chain through hits of one item."""
+        codes, left, best = places + at * len(self.cores[k]), np.ones(len(at), dtype=bool), (0, 0.0)
+        while best[1] < 1.0 and left.any():
+            one = int(left.argmax())
+            p, a = self._chain(k, int(places[one]), int(at[one]), text)
+            left &= ~np.isin(codes, p + a * len(self.cores[k]))
+            left[one] = False
+            for part in self._consistent(k, p, a, words, ids):
+                best = max(best, self._filled(k, p[part], a[part], length), key=lambda x: x[1])
+        return best
+
+    def _chain(self, k: int, place: int, at: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matched places and positions around a hit, both rising."""
+        item = self.hashes[k]
+        before = [(place - p - n, at - a - n, n) for p, a, n in runs(item[:, :place][:, ::-1], text[:, :at][:, ::-1])]
+        found = before[::-1] + [(place + p, at + a, n) for p, a, n in runs(item[:, place:], text[:, at:])]
+        return tuple(np.concatenate([np.arange(f[i], f[i] + f[2]) for f in found]) for i in (0, 1))
+
+    def _consistent(self, k: int, p: np.ndarray, a: np.ndarray, words: Words, ids: np.ndarray) -> Iterator[slice]:
+        """Parts of a chain in which each value of the item stands for one
+        value of the text."""
         there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        for p in covered[self.slots[k][covered] != PLAIN].tolist():
-            kind, own, other = int(self.slots[k][p]), self.cores[k][p], words.core[ids[diagonal + p]]
-            if there.setdefault((kind, own), other) != other or back.setdefault((kind, other), own) != own:
-                return False
-        return True
+        start = 0
+        for i in np.flatnonzero(self.slots[k][p] != PLAIN).tolist():
+            own = int(self.slots[k][p[i]]), self.cores[k][p[i]]
+            other = words.core[ids[a[i]]]
+            if there.setdefault(own, other) != other:
+                yield slice(start, i)
+                start, there = i, {own: other}
+        yield slice(start, len(p))
+
+    def _filled(self, k: int, p: np.ndarray, a: np.ndarray, length: int) -> tuple[int, float]:
+        """Windows that so many words in a row have, and their share; where
+        windows of slots are out of the table, at least the share of those in it."""
+        n = max(0, len(p) - length + 1)
+        if not n:
+            return 0, 0.0
+        usable = self.usable[k]
+        whole = (p[length - 1:] - p[:n] == length - 1) & (a[length - 1:] - a[:n] == length - 1)
+        return n, float(max(n / len(usable), usable[p[:n][whole]].sum() / max(1, usable.sum())))
 
 
 def chunks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",

@@ -250,6 +250,26 @@ def test_leaks_verbatim_reparameterised_and_inconsistent(spark, docs_of):
     assert DE.find_leaks(docs_of(rows), items.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [20, 40, 200])
+@pytest.mark.parametrize("change", ["insert", "drop", "replace", "two"])
+def test_leaks_with_changed_words(size, change):
+    draw = random.Random(size)
+    item = [f"w{i}{draw.choice(WORDS)}" for i in range(size)]
+    for at in (7, size // 2, size - 9):
+        copy = {"insert": item[:at] + ["new"] + item[at:], "drop": item[:at] + item[at + 1:], "replace": item[:at] + ["new"] + item[at + 1:],
+                "two": item[:at] + ["new", "ones"] + item[at + 1:]}[change]
+        text = " ".join([_prose(draw, 30), *copy, _prose(draw, 30)])
+        (_, found, _, coverage), = DE.Benchmark([(5, " ".join(item))]).hits([text], DE.Words())
+        assert found == 5 and 0.75 <= coverage <= 1.0, at
+
+
+def test_leaks_with_slots_of_other_lengths_and_equal_values():
+    bench = DE.Benchmark([ITEMS[1]])
+    text = ITEMS[1][1].replace("Anna", "Mary Ann").replace("12", "twenty five")
+    got = list(bench.hits([text, ITEMS[1][1].replace("9", "3"), " ".join(ITEMS[1][1].split()[:12])], DE.Words()))
+    assert [(r, k) for r, k, _, _ in got] == [(0, 2), (1, 2)]  # two values may become one; the first half is no leak
+
+
 def test_chunks_of_the_benchmark_give_the_same(spark, docs_of):
     draw = random.Random(8)
     items = [(i, _prose(draw, draw.randint(5, 60))) for i in range(60)]
