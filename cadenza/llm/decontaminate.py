@@ -3,8 +3,10 @@
 Texts become sequences of canonical tokens: numbers, units after a number and
 names inside a sentence are typed placeholders (slots), other tokens their
 lower-case letters and digits.  Windows of ``WINDOW`` canonical tokens of all
-benchmark items form a hash table; windows of the documents are looked up in
-it.  A hit is extended to both sides, over gaps of at most ``MAX_SHIFT`` words
+benchmark items form a hash table, and so do their windows of lower-case words
+as they are, also those of mostly slots: a copy in other case, or with a name
+where a sentence begins, is found by the second.  Windows of the documents are
+looked up in both forms, and a word agrees in either.  A hit is extended to both sides, over gaps of at most ``MAX_SHIFT`` words
 on either side after which ``RESYNC`` words agree again, to a chain of matched
 words.  A chain is split where a value of the item would stand for a second
 value of the document.  A document is contaminated by an item if a chain fills
@@ -158,10 +160,13 @@ class Benchmark:
             self.ids.append(item_id)
             self.cores.append([words.core[i] for i in ids])
             self.slots.append(slot)
-            self.hashes.append(hashes[None])
+            plain_hashes = words.tables()[0][ids]
+            self.hashes.append(np.stack([hashes, plain_hashes]))
             self.usable.append(usable)
-            places = np.flatnonzero(usable)
-            entries.setdefault(length, []).append((rolling(hashes, length)[places], np.full(len(places), at), places))
+            rolled, exact = rolling(hashes, length), rolling(plain_hashes, length)
+            places, slotted = np.flatnonzero(usable), np.flatnonzero(~usable | (rolled != exact))
+            entries.setdefault(length, []).append((np.concatenate([rolled[places], exact[slotted]]),
+                                                   np.full(len(places) + len(slotted), at), np.concatenate([places, slotted])))
         self.tables = {}
         for length, parts in entries.items():
             h, item, place = (np.concatenate(x) for x in zip(*parts))
@@ -181,12 +186,17 @@ class Benchmark:
         row = np.repeat(np.arange(len(split)), lengths)
         first = np.concatenate(([True], row[1:] != row[:-1]))
         begins = np.concatenate(([0], np.cumsum(lengths)))
-        hashes = canonical(words, ids, first, words.tables())[0][None]
+        tables = words.tables()
+        hashes = np.stack([canonical(words, ids, first, tables)[0], tables[0][ids]])
         for length, (known, seen, items, places) in self.tables.items():
-            rolled = rolling(hashes[0], length)
-            at = np.flatnonzero(seen[(rolled & np.uint64(2**20 - 1)).astype(np.int64)])
-            at = at[row[at] == row[at + length - 1]]
-            lo, hi = np.searchsorted(known, rolled[at], "left"), np.searchsorted(known, rolled[at], "right")
+            rolled, exact = rolling(hashes[0], length), rolling(hashes[1], length)
+            other = np.flatnonzero(rolled != exact)
+            window, at = np.concatenate([rolled, exact[other]]), np.concatenate([np.arange(len(rolled)), other])
+            maybe = seen[(window & np.uint64(2**20 - 1)).astype(np.int64)]
+            window, at = window[maybe], at[maybe]
+            inside = row[at] == row[at + length - 1]
+            window, at = window[inside], at[inside]
+            lo, hi = np.searchsorted(known, window, "left"), np.searchsorted(known, window, "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             if not len(at):
                 continue
@@ -242,7 +252,7 @@ class Benchmark:
         n = max(0, len(p) - length + 1)
         if not n:
             return 0, 0.0
-        usable = self.usable[k]
+        usable = self.usable[k]  # none: only the share of all counts
         whole = (p[length - 1:] - p[:n] == length - 1) & (a[length - 1:] - a[:n] == length - 1)
         return n, float(max(n / len(usable), usable[p[:n][whole]].sum() / max(1, usable.sum())))
 

@@ -270,6 +270,19 @@ def test_leaks_with_slots_of_other_lengths_and_equal_values():
     assert [(r, k) for r, k, _, _ in got] == [(0, 2), (1, 2)]  # two values may become one; the first half is no leak
 
 
+@pytest.mark.parametrize("item, text", [
+    ("3 14 15 92 65 35 89 79 32 38 46", "pi is 3 14 15 92 65 35 89 79 32 38 46 and so on"),  # slots only
+    ("The Old Man And The Sea By Ernest Hemingway From Cuba", "I read The Old Man And The Sea By Ernest Hemingway From Cuba twice"),
+    ("What is the capital of France?", "Question 5\nWhat is the capital of France?\nAnswer"),
+    ("Today Anna has many apples and gives some of them to Boris", "x today anna has many apples and gives some of them to boris"),
+    ("Today Anna has many apples and gives some of them to Boris", "X TODAY ANNA HAS MANY APPLES AND GIVES SOME OF THEM TO BORIS"),
+])
+def test_verbatim_copies_in_any_case_are_leaks(item, text):
+    (_, found, _, coverage), = DE.Benchmark([(5, item)]).hits([text], DE.Words())
+    assert found == 5 and coverage == 1.0
+    assert not list(DE.Benchmark([(5, item)]).hits([" ".join(text.split()[:5]), "1 2 3 4 5 6 7 8 9 10 11 12"], DE.Words()))
+
+
 def test_chunks_of_the_benchmark_give_the_same(spark, docs_of):
     draw = random.Random(8)
     items = [(i, _prose(draw, draw.randint(5, 60))) for i in range(60)]
