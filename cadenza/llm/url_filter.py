@@ -49,6 +49,7 @@ RULES = (
 LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 LINK_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+BASE_TAG = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 REFRESH_URL = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -85,22 +86,80 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def _resolved(href: Column, url: Column) -> Column:
+#: Named references that stand in urls; numbers are decoded whatever they are.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "equals": "=",
+            "num": "#", "period": ".", "percnt": "%", "comma": ",", "semi": ";", "plus": "+", "lowbar": "_"}
+ABSOLUTE = r"(?i)^[a-z][a-z0-9+.-]*://"
+SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _decoded(href: Column) -> Column:
+    """Character references replaced, each once."""
+    def first(part: Column) -> Column:
+        rest = F.regexp_replace(part, "^&[^;]*;", "")
+        number = F.coalesce(F.conv(F.nullif(F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]{1,8});", 1), F.lit("")), 16, 10),
+                            F.nullif(F.regexp_extract(part, "^&#([0-9]{1,9});", 1), F.lit(""))).cast("long")
+        fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        named = F.lit(None).cast("string")
+        for name, value in ENTITIES.items():
+            named = F.when(part.startswith(f"&{name};"), F.concat(F.lit(value), rest)).otherwise(named)
+        return F.when(fits, F.concat(char, rest)).otherwise(F.coalesce(named, part))
+
+    return F.when(href.contains("&"), F.array_join(F.transform(F.split(href, "(?=&)"), first), "")).otherwise(href)
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments."""
+    def step(kept: Column, part: Column) -> Column:
+        return (F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+                .when(part == ".", kept).otherwise(F.concat(kept, F.array(part))))
+
+    parts = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def _resolved(href: Column, base: Column) -> Column:
     """A link target as an absolute url; null for targets without a place."""
-    scheme = F.regexp_extract(url, r"^(.*?)://", 1)
+    scheme = F.regexp_extract(base, r"^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    query = F.regexp_extract(base, r"://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_replace(F.when(path_of(base) == "", "/").otherwise(path_of(base)), "[^/]*$", "")
     return (F.when(href == "", None)
-            .when(href.contains("://"), href)
+            .when(href.rlike(ABSOLUTE), href)
             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), href)))
+            .when(href.rlike(SCHEME), None)
+            .when(host_of(base) == "", None)
+            .when(href.startswith("/"), F.concat(root, _without_dots(path), rest))
+            .when(href.startswith("?"), F.concat(root, path_of(base), href))
+            .when(href.startswith("#"), F.concat(root, path_of(base), query, href))
+            .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest)))
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target) for each canonical link and meta refresh of a page."""
-    url, html = F.col(url_col), F.col(html_col)
-    href = lambda tag, value: F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-    targets = F.array(href(LINK_TAG, LINK_HREF), href(REFRESH_TAG, REFRESH_URL))
-    return (pages.select(url.alias("url"), F.explode(F.filter(targets, lambda t: t != "")).alias("href"))
-            .select("url", _resolved(F.col("href"), F.col("url")).alias("target"))
+    """(url, target) for each canonical link and meta refresh of a page,
+    relative ones against its base tag or else its url."""
+    url, html = F.col("url"), F.col("html")
+
+    def hrefs(tag: str, value: str) -> Column:
+        tags = F.coalesce(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), F.array().cast("array<string>"))
+        return F.transform(tags, lambda x: F.regexp_extract(x, value, 1))
+
+    def targets(found: Column) -> Column:
+        own = _let(_decoded(F.regexp_extract(F.regexp_extract(html, BASE_TAG, 0), LINK_HREF, 1)), lambda b: _resolved(b, url))
+        resolve = lambda base: F.transform(F.transform(found, _decoded), lambda h: _resolved(h, base))
+        return F.when(F.size(found) > 0, _let(F.coalesce(own, url), resolve))
+
+    each = F.filter(F.concat(hrefs(LINK_TAG, LINK_HREF), hrefs(REFRESH_TAG, REFRESH_URL)), lambda t: t != "")
+    return (pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+            .select("url", F.explode(_let(each, targets)).alias("target"))
             .filter(address_of(F.col("url")).isNotNull() & address_of(F.col("target")).isNotNull()))
 
 
