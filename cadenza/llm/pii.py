@@ -2,7 +2,8 @@
 
 Plain identifiers are found in the text itself.  Then transducers rewrite the
 text: look-alike letters and digits to ASCII, invisible characters to
-nothing, spelled digits to digits, and at/dot disguises to ``@`` and ``.``.
+nothing, at/dot disguises to ``@`` and ``.``, and spelled digits to digits;
+short runs of those, beside digits, last, with a look before and after.
 Each keeps, for every character it writes, the source characters it stands
 for, so what the same detectors find in the rewritten text is mapped back to
 spans of the source.  Spans that rest on a rewritten character are added;
@@ -98,7 +99,7 @@ DIGIT_WORDS = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-MIN_SPELLED = 4  # fewer digit words in a row are prose
+MIN_SPELLED = 4  # fewer digit words in a row, without digits beside them, are prose
 
 _WORD_DIGIT = {w: str(i) for words in DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0"}
 _DIGIT_WORD = "|".join(sorted(_WORD_DIGIT, key=len, reverse=True))
@@ -106,10 +107,16 @@ _SPELLED = re.compile(rf"(?:\b(?:plus)[ -]+|\+)?\b(?:{_DIGIT_WORD})(?:[ ,.-]{{1,
 _SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]+|plus|\+", re.I)
 _AT = re.compile(r" ?[(\[{<] ?(?:at|@) ?[)\]}>] ?", re.I)
 _DOT = re.compile(r" ?[(\[{<] ?(?:dot|punkt|point|punto|\.) ?[)\]}>] ?", re.I)
-#: without brackets only where the last part is letters, as in a name of a host
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)*"
-                   r" +dot +[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
-_BARE_DOT = re.compile(r" +dot +", re.I)
+#: words of digits next to each other; with digits on either side they count however few they are
+_SHORT = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[ -]{{1,3}}(?:{_DIGIT_WORD}))*\b", re.I)
+_SHORT_WORD = re.compile(_DIGIT_WORD, re.I)
+_DIGIT_BEFORE = re.compile(r"(?:[0-9][ ().-]{0,3}|\+)\Z")
+_DIGIT_AFTER = re.compile(r"[ ().-]{0,3}[0-9]")
+#: without brackets only where the last part is letters, as in a name of a host; a spaced '.' only after a sign
+_BARE = re.compile(r"(?:(?<! ) +at +|(?P<sign>(?<! ) +@ +|@ *))(?P<host>[A-Za-z0-9-]+(?:(?:(?:\.| +dot +)[A-Za-z0-9-]+)*(?:\.| +dot +)[A-Za-z]{2,24}"
+                   r"|(?(sign)(?:(?: +\. +|\.)[A-Za-z0-9-]+)*(?: +\. +|\.)[A-Za-z]{2,24}|(?!)))(?![A-Za-z0-9-]))", re.I)
+_BARE_DOT = re.compile(r" +(?:dot|\.) +", re.I)
+_DOT_BEFORE = re.compile(r"(?<! ) +dot +\Z", re.I)
 
 
 def _simple(char: str) -> str | None:
@@ -120,12 +127,15 @@ def _simple(char: str) -> str | None:
         return ""
     if "！" <= char <= "～":  # full-width forms follow ASCII
         return chr(ord(char) - 0xFEE0)
+    if "\U0001d400" <= char <= "\U0001d7ff":  # mathematical letters and digits
+        plain = unicodedata.normalize("NFKC", char)
+        return plain if plain.isascii() else LOOK_ALIKES.get(plain)
     digit = unicodedata.decimal(char, None)
     return None if digit is None else str(digit)
 
 
-_FOREIGN = re.compile("[" + "".join(map(re.escape, sorted(LOOK_ALIKES))) + INVISIBLE
-                      + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
+_FOREIGN = re.compile(r"(?![0-9])[\d" + "".join(map(re.escape, sorted(LOOK_ALIKES))) + INVISIBLE
+                      + "！-～\U0001d400-\U0001d7ff]")
 
 
 class Rewritten:
@@ -170,10 +180,35 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
 
 
 def _bare_at(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, free = [], 0
     for m in _BARE.finditer(text):
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end(1), m.end())]
+        dots, start, at = [], m.start(), m.start()
+        while start > free:  # the part before the sign, with its spelled dots
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
+            if start == at:
+                break
+            at, low = start, max(free, start - 16)
+            if not (d := _DOT_BEFORE.search(text, low, start)) or d.start() <= free or text[d.start() - 1] not in LOCAL:
+                break
+            dots.append((d.start(), d.end(), "."))
+            start = at = d.start()
+        if at < m.start():
+            if m.start("host") - m.start() > 1:
+                dots.append((m.start(), m.start("host"), "@"))
+            dots += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start("host"), m.end())]
+            edits += sorted(dots)
+            free = m.end()
+    return edits
+
+
+def _beside_digits(text: str) -> list[tuple[int, int, str]]:
+    edits, end = [], -9
+    for m in _SHORT.finditer(text):
+        a, b = m.span()
+        if _DIGIT_BEFORE.search(text, max(0, a - 4), a) or _DIGIT_AFTER.match(text, b) or 0 <= a - end <= 3 and not text[end:a].strip(" ().-"):
+            edits.append((a, b, "".join(_WORD_DIGIT[w.lower()] for w in _SHORT_WORD.findall(m[0]))))
+            end = b
     return edits
 
 
@@ -189,7 +224,7 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 TRANSDUCERS: tuple[tuple[Callable[[str], bool], Callable[[str], list]], ...] = (
     (lambda t: not t.isascii() and bool(_FOREIGN.search(t)), _look_alikes),
     (lambda t: "(" in t or "[" in t or "{" in t or "<" in t, _at_and_dot),
-    (lambda t: "dot" in t.lower(), _bare_at),
+    (lambda t: "@" in t or " at " in t.lower(), _bare_at),
     (lambda t: True, _spelled),
 )
 
@@ -202,10 +237,22 @@ def personal_data(text: str | None) -> tuple[list[Span], list[Span]]:
     for useful, transducer in TRANSDUCERS:
         if useful(new.text):
             new.apply(transducer(new.text))
-    if new.starts is None:
-        return base, []
-    mapped = {s for x in plain_spans(new.text) if (s := new.source(x)) is not None}
-    return base, sorted(mapped - set(base))
+    mapped = set() if new.starts is None else {s for x in plain_spans(new.text) if (s := new.source(x)) is not None}
+    if DIGIT.search(new.text) and (edits := _beside_digits(new.text)):
+        new.apply(edits)
+        mapped |= {s for x in plain_spans(new.text) if (s := new.source(x)) is not None}
+    return base, _widest(mapped - set(base))
+
+
+def _widest(spans: set[Span]) -> list[Span]:
+    """Spans, sorted, without those inside another of their kind."""
+    out: list[Span] = []
+    reach: dict[int, int] = {}
+    for a, k, b in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        if b > reach.get(k, -1):
+            out.append((a, k, b))
+            reach[k] = b
+    return out
 
 
 def listed(spans: list[Span]) -> str:

@@ -60,6 +60,34 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert PI.redacted(text) == text.replace(source, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize("text, kind, source", [
+    ("mail jane at example.com now", "email", "jane at example.com"),
+    ("mail jane @ example . com now", "email", "jane @ example . com"),
+    ("mail jane@ example.com, please", "email", "jane@ example.com"),
+    ("mail jane dot doe at example dot com now", "email", "jane dot doe at example dot com"),
+    ("mail j dot m dot doe at mail.example dot com.", "email", "j dot m dot doe at mail.example dot com"),
+    ("ip ๑๙๒.168.0.1 here", "ip", "๑๙๒.168.0.1"),
+    ("ip ১৯২.১৬৮.০.১ here", "ip", "১৯২.১৬৮.০.১"),
+    ("mail 𝐣𝐚𝐧𝐞@𝑒𝓍𝖺𝗆𝗉𝗅𝖾.com", "email", "𝐣𝐚𝐧𝐞@𝑒𝓍𝖺𝗆𝗉𝗅𝖾.com"),
+    ("call +49 30 12 34 five six seven", "phone", "+49 30 12 34 five six seven"),
+    ("ip 192.168.zero.1 here", "ip", "192.168.zero.1"),
+    ("card 4035 7874 5564 one eight seven 1", "card", "4035 7874 5564 one eight seven 1"),
+])
+def test_disguises_without_brackets_or_of_few_words(text, kind, source):
+    _, added = PI.personal_data(text)
+    assert [(PI.KINDS[k], text[a:b]) for a, k, b in added] == [(kind, source)]
+    assert PI.redacted(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+def test_spelled_dots_before_a_plain_address():
+    assert PI.redacted("ask jane dot doe@example.com or ｊoe@x.org six") == "ask <EMAIL> or <EMAIL> six"
+    assert PI.redacted("card ４035787455641871 one") == "card <CARD> one"  # the word beside it hides nothing
+    for text in ("hi @user.name and bye", "he was at home . Then he left", "a.b@ c", "12 of two 3 at 4", " at " * 30000, "a dot " * 20000 + "@x.org"):
+        PI.redacted(text)
+    for text in ("hi @user.name and bye", "he was at home . Then he left", "a.b@ c", "12 of two 3 at 4", " at " * 30000):
+        assert PI.redacted(text) == text
+
+
 @pytest.mark.parametrize("text", [
     "", "we met at noon and the dot on the map was red", "one two three four five six", "eins zwei drei vier", "f(at) cats and [dot] matrix",
     "null eins", "La émentelletion éen éoipa", "price at 5 dot 3", "a" * 50000 + "@" * 3, "1" * 100000])
