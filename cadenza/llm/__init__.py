@@ -10,6 +10,9 @@ decontaminate       benchmark leaks by template windows and slot consistency
 simhash             near copies by SimHash and a Gray-order index
 host_rules          text quality rules shrunk per host
 mixing              entropy balancing of sources to target weights
+lexical_search      ranked search, pruned by hashed max-sketches
+language_id         averaged subword embeddings with a linear softmax
+prefix_trie         conversation prefixes in minimal-perfect-hash slots
 
 Every operator selects the columns it needs first, so further columns of its
 input, whatever their names, never clash with its own.

@@ -155,6 +155,62 @@ SELECT j.*, ROUND(rate, 6) AS host_rate, NOT base_failed AND rate <= {HR.MAX_HOS
 FROM judged j JOIN verdicts v ON v.host IS NOT DISTINCT FROM j.host"""
 
 
+# --- lexical search -----------------------------------------------------------------
+
+def lexical_search_sql() -> str:
+    def terms(table: str, key: str) -> str:
+        lowered = f"translate(COALESCE(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+        return (f"SELECT row_number() OVER () AS r, {key}, "
+                rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table}")
+
+    return f"""WITH docs AS (SELECT * FROM ({terms('documents', 'doc_id')}) WHERE len(w) > 0),
+items AS ({terms('benchmark', 'item_id')}),
+total AS (SELECT COUNT(*) AS n_docs, CAST(SUM(len(w)) AS BIGINT) AS n_terms FROM docs),
+sized AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, total),
+occurs AS (SELECT r, t, COUNT(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * COUNT(*) + 1))) AS BIGINT) AS weight
+            FROM occurs, total GROUP BY t),
+asked AS (SELECT r AS q, item_id, unnest(list_distinct(w)) AS t FROM items),
+scored AS (SELECT q, item_id, o.r, CAST(SUM(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM asked JOIN occurs o USING (t) JOIN weights USING (t) JOIN sized s ON s.r = o.r GROUP BY q, item_id, o.r),
+ranked AS (SELECT item_id, doc_id, score,
+                  row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+           FROM scored JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+# --- prefix trie --------------------------------------------------------------------
+
+def _crc32(value: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(acc, x), range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    codes = f"list_transform(string_split({value}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda acc, x: {byte}), 4294967295)"
+
+
+def prefix_trie_sql() -> str:
+    return f"""WITH given AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS sha, length(text) AS n FROM given),
+turns AS (SELECT conv_id, sha, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha) AS pos FROM hashed),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM turns),
+parts AS (SELECT c.conv_id, 0 AS part, pos, sha, n FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+          UNION ALL SELECT c.conv_id, 1, pos, sha, n FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h),
+paths AS (SELECT conv_id, n, row_number() OVER w AS depth, string_agg(sha, '') OVER w AS path FROM parts
+          WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+          UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+members AS (SELECT path, conv_id, depth, n, depth = MAX(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+nodes AS (SELECT path, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, any_value(n) AS n,
+                 string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last) AS ends FROM members GROUP BY path, depth),
+children AS (SELECT path[:64 * (depth - 1)] AS path, COUNT(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path),
+up AS (SELECT path[:64 * i] AS above, saved, leaf FROM (
+         SELECT path, (n_convs - 1) * n AS saved, (n_children = 0)::INT AS leaf, unnest(range(0, depth + 1)) AS i FROM full_nodes)),
+sums AS (SELECT above, SUM(saved) AS saved_tokens, SUM(leaf) AS n_leaves FROM up GROUP BY above)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(COALESCE(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.above = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[:64 * (n.depth - 1)]"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {"op3_url_filter": url_filter_sql(), "op4_license_scan": license_scan_sql(), "op5_secret_scan": secret_scan_sql(),
-            "op9_host_rules": host_rules_sql()}
+            "op9_host_rules": host_rules_sql(), "op11_lexical_search": lexical_search_sql(), "op13_prefix_trie": prefix_trie_sql()}

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from cadenza.llm.decontaminate import find_leaks
 from cadenza.llm.host_rules import host_quality
+from cadenza.llm.language_id import identify_languages
+from cadenza.llm.lexical_search import rank_documents
 from cadenza.llm.license_scan import scan_licenses
 from cadenza.llm.mixing import mix
 from cadenza.llm.oracle import llm_oracle
 from cadenza.llm.pii import find_pii
+from cadenza.llm.prefix_trie import prefix_trie
 from cadenza.llm.quality_classifier import classify
 from cadenza.llm.secret_scan import scan_secrets
 from cadenza.llm.simhash import simhash_near_duplicates
@@ -62,6 +65,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -78,6 +93,9 @@ LLM_QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_host_rules": op9_host_rules,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_language_id": op12_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LLM_ORACLE: dict[str, str] = llm_oracle()
