@@ -450,6 +450,12 @@ def q_event_throttle_wide(spark, d):
     return _throttled(spark, d, 100.0)
 
 
+def q_event_throttle_one_run(spark, d):
+    # all events as one session in one step: a single run over all partitions
+    e = B.events(spark, d).select("ts", "event_id", "value").withColumns({"user_id": F.lit(0).cast("bigint"), "event_type": F.lit("all")})
+    return PR.throttle(e, K.THROTTLE_DELTA).select("event_id", "value")
+
+
 def q_session_feed(spark, d):
     e = B.events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
     return PR.session_feed(e, K.THROTTLE_DELTA, K.STREAM_TIMEOUT_SECONDS)
@@ -521,6 +527,7 @@ QUERIES = {
     "stage_timings": q_stage_timings,
     "event_throttle": q_event_throttle,
     "event_throttle_wide": q_event_throttle_wide,
+    "event_throttle_one_run": q_event_throttle_one_run,
     "session_feed": q_session_feed,
     "session_feed_day": q_session_feed_day,
     "progress_json": q_progress_json,

@@ -516,6 +516,10 @@ FROM per JOIN tot USING (user_id)"""
 
     q["event_throttle"] = _throttle_sql(K.THROTTLE_DELTA)
     q["event_throttle_wide"] = _throttle_sql(100.0)
+    q["event_throttle_one_run"] = f"""WITH seq AS (SELECT list({{'v': value, 'ids': [event_id]}} ORDER BY ts, event_id) AS l FROM events),
+emitted AS (SELECT unnest(list_reduce(l, lambda acc, x: CASE WHEN abs(x.v - acc.v) >= {K.THROTTLE_DELTA}
+              THEN {{'v': x.v, 'ids': list_concat(acc.ids, x.ids)}} ELSE acc END).ids) AS event_id FROM seq)
+SELECT event_id, value FROM events JOIN emitted USING (event_id)"""
     q["session_feed"] = _feed_sql(K.THROTTLE_DELTA, K.STREAM_TIMEOUT_SECONDS)
     q["session_feed_day"] = _feed_sql(K.THROTTLE_DELTA, 86400)
     q["progress_json"] = f"""WITH feed AS ({_feed_sql(K.THROTTLE_DELTA, 86400)})

@@ -11,13 +11,12 @@ the first record of a key is always emitted.  Comparing with the previous
 
 Batch plan: a run of consecutive same-step records always starts with an
 emission (its step differs from whatever was emitted last), so runs are
-independent.  Runs are labelled without any per-key task (range
-partitioning on (key, ts, tie), a per-partition boundary summary chained on
-the driver, then a vectorised labelling pass -- :func:`run_ids`); runs are
-hash-partitioned and sorted, and one ``mapInPandas`` scan per partition
-applies the sequential rule.  A key holding a third of all rows is thus
-split over many tasks.  (A single run of unbounded length stays sequential:
-the rule itself is a recurrence over the last emitted record.)
+independent.  Rows are range-partitioned and sorted on (key, ts, tie), with no
+per-key task, and stay there.  One pass gives a boundary summary of each
+partition, which the driver chains; the last one scans every partition with
+``mapInPandas``, knowing the value that is pending where it begins inside a
+run.  For runs that fill whole partitions those values come from
+:mod:`cadenza.streaming.runs`, so even one run of all rows is no long task.
 """
 
 from __future__ import annotations
@@ -62,17 +61,35 @@ def emissions(starts: np.ndarray, vals: np.ndarray, last: float, delta: float) -
     return keep
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    return (x[1:] != x[:-1]) & ~(pd.isna(x[1:]) & pd.isna(x[:-1]))
+
+
 def _run_starts(keys, steps, carry_key, carry_step, has_carry):
     """Boolean run-start flags of rows in (key, ts, tie) order."""
     n = len(keys)
     starts = np.ones(n, dtype=bool)
     if n > 1:
-        starts[1:] = (keys[1:] != keys[:-1]) | (steps[1:] != steps[:-1])
+        starts[1:] = _changes(keys) | _changes(steps)
     if n and has_carry:
-        starts[0] = not (keys[0] == carry_key and steps[0] == carry_step)
+        starts[0] = not (_same(keys[0], carry_key) and _same(steps[0], carry_step))
     return starts
 
 
+def _same(a, b) -> bool:
+    return bool(a == b) or bool(pd.isna(a) and pd.isna(b))
+
+
+def in_order(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Rows range-partitioned and sorted, checkpointed to the shared folder, so
+    that several passes see the same partitions.  A hot key has many."""
+    from cadenza.session import checkpoint_dir
+
+    checkpoint_dir(events.sparkSession)
+    return events.repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie).checkpoint(eager=True)
+
+
 def run_ids(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
             step: str = "event_type") -> DataFrame:
     """``events`` plus ``_run``: the ``tie`` value of the first row of each
@@ -88,11 +105,8 @@ def run_ids(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str =
     NumPy."""
     from pyspark import TaskContext
 
-    from cadenza.session import checkpoint_dir
-
     spark = events.sparkSession
-    checkpoint_dir(spark)
-    parts = events.repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie).checkpoint(eager=True)
+    parts = in_order(events, key, ts, tie)
     key_type = parts.schema[key].dataType.simpleString()
     tie_type = parts.schema[tie].dataType.simpleString()
 
@@ -152,38 +166,81 @@ def run_ids(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str =
     return parts.mapInPandas(label, out_schema)
 
 
+def _boundaries(parts: DataFrame, key: str, step: str, progress: str, delta: float) -> list:
+    """A row for each partition that has rows, in order: its first and last key
+    and step, whether one run fills it, its least and largest value, and the
+    value pending at its end if its last run begins in it."""
+    from pyspark import TaskContext
+
+    def summarise(pdfs):
+        first = last = None
+        whole, low, high, pending = True, np.nan, np.nan, 0.0
+        for pdf in pdfs:
+            if len(pdf) == 0:
+                continue
+            keys, steps, vals = pdf[key].to_numpy(), pdf[step].to_numpy(), pdf[progress].to_numpy(dtype=np.float64)
+            starts = _run_starts(keys, steps, *(last or (None, None)), last is not None)
+            first = first or (keys[0], steps[0])
+            whole = whole and not starts[1 if last is None else 0:].any()
+            keep = emissions(starts, vals, pending, delta)
+            if keep.any():
+                pending = vals[np.flatnonzero(keep)[-1]]
+            low, high = np.fmin(low, np.fmin.reduce(vals)), np.fmax(high, np.fmax.reduce(vals))
+            last = (keys[-1], steps[-1])
+        if first is not None:
+            yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "first_key": [first[0]], "first_step": [first[1]], "last_key": [last[0]],
+                                "last_step": [last[1]], "whole": [whole], "low": [low], "high": [high], "pending": [pending]})
+
+    kinds = {c: parts.schema[c].dataType.simpleString() for c in (key, step)}
+    schema = (f"pid int, first_key {kinds[key]}, first_step {kinds[step]}, last_key {kinds[key]}, last_step {kinds[step]}, "
+              "whole boolean, low double, high double, pending double")
+    return sorted(parts.select(key, step, progress).mapInPandas(summarise, schema).collect(), key=lambda r: r["pid"])  # one row per partition
+
+
 def throttle(events: DataFrame, delta: float = K.THROTTLE_DELTA, key: str = "user_id",
              ts: str = "ts", tie: str = "event_id", step: str = "event_type",
              progress: str = "value") -> DataFrame:
     """Emitted records (all input columns), per key in (ts, tie) order.
 
-    Runs are labelled by :func:`run_ids` (no per-key task), hash-partitioned
-    and sorted, and one ``mapInPandas`` scan per partition applies the rule,
-    resetting at every new run: a hot key is spread over tasks and memory is
-    bounded by the Arrow batch."""
-    cols = events.columns
-    marked = run_ids(events, key, ts, tie, step)
-    parts = marked.repartition(key, "_run").sortWithinPartitions(key, "_run", ts, tie)
+    A null key is a key of its own, and so is a null step a step; a null value
+    is emitted only where a run begins, and nothing after it in that run."""
+    from pyspark import TaskContext
 
-    def scan(batches):
-        before, last = None, 0.0
-        for pdf in batches:
+    from cadenza.streaming.runs import pending_values
+
+    parts = in_order(events, key, ts, tie)
+    bounds = _boundaries(parts, key, step, progress, delta)
+    goes_on = [False] + [_same(b["first_key"], a["last_key"]) and _same(b["first_step"], a["last_step"]) for a, b in zip(bounds, bounds[1:])]
+    inner, starts, ranges, run = {}, {}, {}, 0
+    for i, r in enumerate(bounds):
+        if not goes_on[i] or not r["whole"]:
+            run, begin = run + 1, (r["pid"], _number(r["pending"]))
+        elif i + 1 < len(bounds) and goes_on[i + 1]:
+            inner[r["pid"]], starts[run], ranges[r["pid"]] = run, begin, (_number(r["low"]), _number(r["high"]))
+    after = pending_values(parts, progress, inner, starts, ranges, delta) if inner else {}
+    before, pending = {}, None
+    for i, r in enumerate(bounds):
+        before[r["pid"]] = (r["first_key"], r["first_step"], pending) if goes_on[i] else None
+        pending = after.get(r["pid"], pending) if r["pid"] in inner else _number(r["pending"])
+
+    def scan(pdfs):
+        carry = before.get(TaskContext.get().partitionId())
+        for pdf in pdfs:
             if len(pdf) == 0:
                 continue
-            keys, runs = pdf[key].to_numpy(), pdf["_run"].to_numpy()
-            vals = pdf[progress].to_numpy(dtype=np.float64)
-            starts = np.ones(len(pdf), dtype=bool)
-            starts[1:] = (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])
-            starts[0] = before != (keys[0], runs[0])
-            keep = emissions(starts, vals, last, delta)
-            if keep.any():
-                last = vals[np.flatnonzero(keep)[-1]]
-            before = (keys[-1], runs[-1])
-            yield pdf.loc[keep, cols]
+            keys, steps, vals = pdf[key].to_numpy(), pdf[step].to_numpy(), pdf[progress].to_numpy(dtype=np.float64)
+            last = carry[2] if carry else 0.0
+            keep = emissions(_run_starts(keys, steps, *(carry[:2] if carry else (None, None)), carry is not None), vals, last, delta)
+            carry = (keys[-1], steps[-1], vals[np.flatnonzero(keep)[-1]] if keep.any() else last)
+            yield pdf.loc[keep]
 
     return parts.mapInPandas(scan, events.schema)
 
 
+def _number(x) -> float:
+    return float("nan") if x is None else float(x)
+
+
 def _gathered(pdfs, order: list[str]) -> pd.DataFrame:
     """All rows of a key in a micro-batch, sorted: Arrow hands a large group
     over in several chunks, which are not in order."""
