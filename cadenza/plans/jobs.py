@@ -31,6 +31,8 @@ from cadenza.session import checkpoint_dir
 from cadenza.sources import store
 from cadenza.sources.songs import eligible_songs
 from cadenza.streaming import progress as PR
+from cadenza.streaming.upserts import read_upserts, start_upserts
+from cadenza.streaming.reorder import rocksdb_state, session_feed_late, throttle_late
 
 
 def clamp_run_params(n_samples: int = K.DEFAULT_SAMPLES, n_clusters: int = K.DEFAULT_CLUSTERS,
@@ -234,26 +236,66 @@ def _stream_of(spark: SparkSession, d: str, name: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet")
 
 
-def run_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available and return its result, written as
-    Parquet to the shared folder.  With ``complete`` mode each trigger writes
-    the whole result to a path of its own and the last one is read."""
-    spark = df.sparkSession
-    path = _scratch(spark, f"stream-{name}")
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        out = f"{path}/rows"
-        writer.format("parquet").start(out).awaitTermination()
-    else:
-        done = []
+def run_stream(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is available and return its result, appended as
+    Parquet to the shared folder."""
+    path = _scratch(df.sparkSession, f"stream-{name}")
+    df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format(
+        "parquet").start(f"{path}/rows").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def run_upserts(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Run a keyed streaming aggregation over what is available and return its
+    result, kept in the shared folder as the rows that changed."""
+    path = _scratch(df.sparkSession, f"upserts-{name}")
+    start_upserts(df, path).awaitTermination()
+    return read_upserts(df.sparkSession, path, df.schema, key)
+
+
+def run_late(events: DataFrame, make, name: str, lateness_seconds: int, pieces: int = 3, key: str = "user_id", ts: str = "ts",
+             tie: str = "event_id") -> DataFrame:
+    """What ``make(stream)`` gives when ``events`` arrive out of order: each row
+    up to ``lateness_seconds`` after its time (by a hash of ``tie``), in
+    ``pieces`` deliveries.  The stream is stopped and started again from its
+    checkpoint between deliveries; a last row far ahead moves the watermark
+    past all others and is not in the result."""
+    spark = events.sparkSession
+    path = _scratch(spark, f"late-{name}")
+    arrival = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000 + F.pmod(F.xxhash64(tie), F.lit(lateness_seconds))
+    late = events.withColumn("arrival", arrival)
+    cuts = late.agg(F.percentile_approx("arrival", [i / pieces for i in range(1, pieces)])).first()[0] or []
+    piece = sum(((F.col("arrival") > c).cast("int") for c in cuts), F.lit(0))
+    end = events.agg(F.max(ts).alias(ts)).select(*[
+        (F.col(ts) + F.make_dt_interval(F.lit(30))).alias(ts) if c == ts else
+        F.lit(-1).cast(t).alias(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+    deliveries = [late.filter(piece == i).drop("arrival") for i in range(pieces)] + [end.withColumn(tie, F.lit(-1).cast("bigint"))]
+    out = None
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = make(spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+        with rocksdb_state(spark):
+            stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format(
+                "parquet").start(f"{path}/out").awaitTermination()
+        out = stream.schema
+    return spark.read.schema(out).parquet(f"{path}/out").filter(F.col(key) != -1)
+
+
+LATENESS_SECONDS = 2 * 86400  # of the test events, which span a month
+
+
+def _event_columns(spark, d):
+    return B.events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
+
+
+def q_event_throttle_late(spark, d):
+    out = run_late(_event_columns(spark, d), lambda s: throttle_late(s, f"{LATENESS_SECONDS} seconds"), "throttle", LATENESS_SECONDS)
+    return out.select("user_id", "event_id", "event_type", "value")
 
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/{number}")
-            done.append(number)
 
-        writer.foreachBatch(keep).start().awaitTermination()
-        out = f"{path}/{done[-1]}"
-    return spark.read.schema(df.schema).parquet(out)
+def q_session_feed_late(spark, d):
+    feed = lambda s: session_feed_late(s, f"{LATENESS_SECONDS} seconds", limit_seconds=86400, tombstone_seconds=366 * 86400)
+    return run_late(_event_columns(spark, d), feed, "feed", LATENESS_SECONDS)
 
 
 def q_event_throttle_stream(spark, d):
@@ -269,7 +311,7 @@ def q_session_feed_stream(spark, d):
 
 def q_latest_per_session_stream(spark, d):
     ev = _stream_of(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    out = run_stream(PR.latest_per_key_stream(ev), "latest", mode="complete")
+    out = run_upserts(PR.latest_per_key_stream(ev), "latest", "user_id")
     return out.select("user_id", "event_id", "event_type", "value")
 
 
@@ -291,6 +333,8 @@ JOB_QUERIES = {
     "cluster_describe_job": q_cluster_describe_job,
     "describe_terms": q_describe_terms,
     "event_throttle_stream": q_event_throttle_stream,
+    "event_throttle_late": q_event_throttle_late,
+    "session_feed_late": q_session_feed_late,
     "assign_clusters_stream": q_assign_clusters_stream,
     "session_feed_stream": q_session_feed_stream,
     "latest_per_session_stream": q_latest_per_session_stream,

@@ -530,6 +530,8 @@ SELECT user_id, status,
 FROM feed"""
     q["event_throttle_stream"] = q["event_throttle"]
     q["session_feed_stream"] = q["session_feed_day"]
+    q["event_throttle_late"] = q["event_throttle"]
+    q["session_feed_late"] = q["session_feed_day"]
     q["latest_per_session_stream"] = f"""WITH {EVENTS_RANKED}
 SELECT user_id, event_id, event_type, value FROM er WHERE r = 1"""
     q["assign_clusters_stream"] = q["assign_clusters"]

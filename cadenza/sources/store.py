@@ -20,11 +20,14 @@ def read_clustered(spark: SparkSession, path: str, cluster: int | None = None) -
 
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Store a run's result keyed by ``run_id``: one atomic write per run into
-    its own partition, so a reader never sees a half-stored run."""
+    """Store a run's result keyed by ``run_id``: one write per run into its own
+    partition, committed at its end.  A second try of a run replaces the first
+    and leaves other runs alone; only a second try without rows leaves the
+    first's."""
     (
         df.withColumn("run_id", F.lit(run_id))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(path)
     )

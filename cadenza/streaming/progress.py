@@ -476,8 +476,8 @@ def session_feed_stream(events: DataFrame, delta: float = K.THROTTLE_DELTA,
 
 
 def latest_per_key_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Latest record per key on a stream (``max_by`` aggregation; run it with
-    output mode ``update`` or ``complete``)."""
+    """Latest record per key on a stream, a ``max_by`` aggregation;
+    :mod:`cadenza.streaming.upserts` stores it by the keys that change."""
     return latest_per_key(events, key, ts, tie)
 
 
