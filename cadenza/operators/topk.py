@@ -60,10 +60,11 @@ class RunningTopK:
         self.scores = np.full((n_queries, k), -np.inf)
         self.ids = np.full((n_queries, k), np.iinfo(np.int64).max)
 
-    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` (rows x queries from ``first`` on); ``ids`` ascending."""
+    def add(self, first: int | np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` (rows x queries from ``first`` on, or the queries
+        ``first`` lists); ``ids`` ascending."""
         n, t = scores.shape
-        k, tile = min(self.k, n), slice(first, first + t)
+        k, tile = min(self.k, n), first if isinstance(first, np.ndarray) else slice(first, first + t)
         kth = np.partition(scores, n - k, axis=0)[n - k]
         above = scores > kth
         tied = scores == kth

@@ -24,6 +24,7 @@ from cadenza.operators import clusters as CL
 from cadenza.operators import encode as EN
 from cadenza.operators import recommend as RC
 from cadenza.operators import themes as TH
+from cadenza.operators import vector_index as VI
 from cadenza.operators.parallel import spread
 from cadenza.operators.sample import sample_exact
 from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
@@ -369,6 +370,16 @@ def q_playlist_topk(spark, d):
     return _ranked(spark, d).withColumn("similarity", F.round("similarity", 6))
 
 
+def q_playlist_indexed(spark, d):
+    # the playlists of q_playlist_topk through the stored inverted file
+    index = VI.build_vector_index(_song_vectors(spark, d), _scratch(spark, "vector-index"))
+    qv = EN.hash_encode(_ok_inputs(spark, d), "request_id", "input_text", ENCODE_DIM)
+    top, _ = VI.search(index, qv, K.PLAYLIST_SIZE)
+    meta = B.songs(spark, d).select("song_id", F.col("song_title").alias("song_name"), "artist_name")
+    return top.join(meta, "song_id", "left").select(
+        "request_id", "rank", "song_id", "song_name", "artist_name", F.round("similarity", 6).alias("similarity"))
+
+
 def q_enrich_topk(spark, d):
     e = CAT.enrich_ranked(_ranked(spark, d), B.catalogue(spark, d))
     return e.select("request_id", "rank", "song_id", "track_url", "album_art", "preview_url")
@@ -517,6 +528,7 @@ QUERIES = {
     "resolve_song_requests": q_resolve_song_requests,
     "playlist_top20": q_playlist_top20,
     "playlist_topk": q_playlist_topk,
+    "playlist_indexed": q_playlist_indexed,
     "enrich_topk": q_enrich_topk,
     "playlist_summary": q_playlist_summary,
     "track_lookup": q_track_lookup,

@@ -431,6 +431,8 @@ LEFT JOIN songs s USING (song_id) WHERE rank <= {K.PLAYLIST_SIZE}"""
     q["playlist_topk"] = f"""{with_ctes('songs', 'requests')}, {RANKED}
 SELECT request_id, rank, song_id, song_name, artist_name, ROUND(sim, 6) AS similarity FROM playlist"""
 
+    q["playlist_indexed"] = q["playlist_topk"]
+
     q["enrich_topk"] = f"""{with_ctes('songs', 'requests', 'catalogue')}, {RANKED}, {ENRICHED}
 SELECT request_id, rank, song_id, track_url, album_art, preview_url FROM enriched"""
 
