@@ -88,7 +88,12 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M",
     "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Ζ": "Z", "ı": "i", "ɡ": "g", "ⅼ": "l",
-    "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
+    "ӏ": "l", "У": "Y", "Ү": "Y", "ү": "y", "ѵ": "v", "ԛ": "q", "ԝ": "w", "Ԍ": "G", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "κ": "k", "τ": "t",
+    "υ": "u", "γ": "y", "σ": "o", "Υ": "Y", "ϲ": "c", "ϳ": "j", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "Ս": "U", "Օ": "O", "Լ": "L",
+    "Տ": "S", "ց": "g", "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "l",
+    "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z", "ɑ": "a", "ɩ": "i",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "﹫": "@", "﹒": ".", "·": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
 }
 #: Characters without a mark of their own.
 INVISIBLE = "­​‌‍⁠﻿"
@@ -99,6 +104,15 @@ DIGIT_WORDS = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
+#: Last parts of host names that an address without brackets may end in.
+LAST_PARTS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev co me tv cc cloud online site shop store tech blog email mail news club xyz agency "
+    "ac ae ar at au be bg bo br ca ch cl cn cr cy cz de dk do ec ee eg es eu fi fr gr gt hk hr hu id ie il in ir is it jp ke kr lt lu lv ma mx my "
+    "ng nl no nz pe ph pk pl pt py ro rs ru sa se sg si sk th tn tr tw ua ug uk us uy ve vn za example test invalid local".split())
+#: Words that announce an address, and words before "at" that are no name.
+CUES = ("e-?mails?|mail(?:ed|ing|s)?|mailto|contact|reach|write|writes|wrote|address(?:es)?|reply|send|courriel|adresse|correo|direcci[oó]n|schreib\\w*|"
+        "kontakt\\w*|[eé]crire|[eé]crivez|escrib\\w*")
+NO_NAMES = frozenset("i me us you him her it them we they he she this that these those now here there available found online live back home".split())
 MIN_SPELLED = 4  # fewer digit words in a row, without digits beside them, are prose
 
 _WORD_DIGIT = {w: str(i) for words in DIGIT_WORDS for i, w in enumerate(words.split())} | {"oh": "0"}
@@ -115,6 +129,11 @@ _DIGIT_AFTER = re.compile(r"[ ().-]{0,3}[0-9]")
 #: without brackets only where the last part is letters, as in a name of a host; a spaced '.' only after a sign
 _BARE = re.compile(r"(?:(?<! ) +at +|(?P<sign>(?<! ) +@ +|@ *))(?P<host>[A-Za-z0-9-]+(?:(?:(?:\.| +dot +)[A-Za-z0-9-]+)*(?:\.| +dot +)[A-Za-z]{2,24}"
                    r"|(?(sign)(?:(?: +\. +|\.)[A-Za-z0-9-]+)*(?: +\. +|\.)[A-Za-z]{2,24}|(?!)))(?![A-Za-z0-9-]))", re.I)
+_CUE_BEFORE = re.compile(rf"\b(?:{CUES})\b[^.!?\n]*\Z", re.I)
+CUE_REACH = 40  # characters before the name
+_SPELLED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?: +(?:dot|punkt|point|punto) +|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
+_SPELLED_DOT = re.compile(r"[0-9] +(?:dot|punkt|point|punto) +[0-9]", re.I)
+_IP_DOT = re.compile(r" +[a-z]+ +", re.I)
 _BARE_DOT = re.compile(r" +(?:dot|\.) +", re.I)
 _DOT_BEFORE = re.compile(r"(?<! ) +dot +\Z", re.I)
 
@@ -127,7 +146,7 @@ def _simple(char: str) -> str | None:
         return ""
     if "！" <= char <= "～":  # full-width forms follow ASCII
         return chr(ord(char) - 0xFEE0)
-    if "\U0001d400" <= char <= "\U0001d7ff":  # mathematical letters and digits
+    if "\U0001d400" <= char <= "\U0001d7ff" or "Ⓐ" <= char <= "ⓩ":  # mathematical letters and digits, letters in circles
         plain = unicodedata.normalize("NFKC", char)
         return plain if plain.isascii() else LOOK_ALIKES.get(plain)
     digit = unicodedata.decimal(char, None)
@@ -135,7 +154,7 @@ def _simple(char: str) -> str | None:
 
 
 _FOREIGN = re.compile(r"(?![0-9])[\d" + "".join(map(re.escape, sorted(LOOK_ALIKES))) + INVISIBLE
-                      + "！-～\U0001d400-\U0001d7ff]")
+                      + "！-～Ⓐ-ⓩ\U0001d400-\U0001d7ff]")
 
 
 class Rewritten:
@@ -179,6 +198,27 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
+def _is_address(text: str, start: int, m: re.Match, spelled: bool) -> bool:
+    """Whether a sign without brackets, with a name from ``start`` on, is meant
+    as one.  The last part must be one that hosts have, in one case, as words
+    that begin a sentence after a missing space are not.  A bare "at" needs a
+    second sign of disguise: a spelled dot, a name that prose has not, or a
+    word before it that announces an address."""
+    host, name = m["host"], text[start:m.start()]
+    last = re.split(r"[. ]+", host)[-1]
+    if last.lower() not in LAST_PARTS or last not in (last.lower(), last.upper()):
+        return False
+    if m["sign"] or spelled or _BARE_DOT.search(host):
+        return True
+    if any(c in "._%+" or c.isdigit() for c in name[1:-1]) or name[-1].isdigit():
+        return not name.isdigit()
+    return name.lower() not in NO_NAMES and bool(_CUE_BEFORE.search(text, max(0, start - CUE_REACH), start))
+
+
+def _spelled_ip(text: str) -> list[tuple[int, int, str]]:
+    return [(d.start(), d.end(), ".") for m in _SPELLED_IP.finditer(text) for d in _IP_DOT.finditer(text, m.start(), m.end())]
+
+
 def _bare_at(text: str) -> list[tuple[int, int, str]]:
     edits, free = [], 0
     for m in _BARE.finditer(text):
@@ -193,7 +233,7 @@ def _bare_at(text: str) -> list[tuple[int, int, str]]:
                 break
             dots.append((d.start(), d.end(), "."))
             start = at = d.start()
-        if at < m.start():
+        if at < m.start() and _is_address(text, at, m, bool(dots)):
             if m.start("host") - m.start() > 1:
                 dots.append((m.start(), m.start("host"), "@"))
             dots += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start("host"), m.end())]
@@ -226,6 +266,7 @@ TRANSDUCERS: tuple[tuple[Callable[[str], bool], Callable[[str], list]], ...] = (
     (lambda t: "(" in t or "[" in t or "{" in t or "<" in t, _at_and_dot),
     (lambda t: "@" in t or " at " in t.lower(), _bare_at),
     (lambda t: True, _spelled),
+    (lambda t: bool(_SPELLED_DOT.search(t)), _spelled_ip),
 )
 
 

@@ -95,6 +95,30 @@ def test_clean_texts_stay(text):
     assert PI.personal_data(text) == ([], []) and PI.redacted(text) == text
 
 
+#: prose where nothing may be redacted, and disguises with what must be
+PROSE = [
+    "He stayed at home.Then he left.", "visit us at example.com today", "prices @ 5.Each one", "I was at work.It rained all day.",
+    "She looked at him.He smiled.", "we meet at noon.In the evening we ate", "available at example.org now", "more at www.example.com and elsewhere",
+    "they arrived at 5.Two of them slept", "find it at shop.example.net", "the cat sat at the door.It was open", "score @ home.Not away",
+    "look at this.me and you", "room 12 at example.com is free", "version 2 point 5 point 1 is out", "192 points at home.Then 168", "sold @ 3.Please pay",
+    "he pointed at me.you know", "I bought 4 @ 20.The rest @ 30.", "we live at number 5.no more", "contact us at example.com", "reach them at example.org",
+    "It ended at last.So we went.", "born at sea.Or so they say", "dot at dot", "meet at cafe.now or never", "She works at Acme.Com they say"]
+DISGUISED = [
+    ("mail jane at example.com now", "jane at example.com"), ("j.doe at example.com", "j.doe at example.com"), ("ask jane99 at example.org", "jane99 at example.org"),
+    ("jane at example dot com", "jane at example dot com"), ("jane @ example . com", "jane @ example . com"), ("jane@ example.com", "jane@ example.com"),
+    ("jane (at) example.com", "jane (at) example.com"), ("jane dot doe at example dot co dot uk", "jane dot doe at example dot co dot uk"),
+    ("write to peter at firm.de", "peter at firm.de"), ("her email is anna at post.at", "anna at post.at"), ("first_last at corp.io", "first_last at corp.io"),
+    ("ɴᴀᴍᴇ@example.com", "ɴᴀᴍᴇ@example.com"), ("ⓙⓐⓝⓔ@example.com", "ⓙⓐⓝⓔ@example.com"), ("jane﹫example.com", "jane﹫example.com"),
+    ("host 192 dot 168 dot 0 dot 1 is up", "192 dot 168 dot 0 dot 1"), ("at 10 punkt 0 punkt 0 punkt 7", "10 punkt 0 punkt 0 punkt 7"),
+    ("192 dot 168.0 dot 1", "192 dot 168.0 dot 1"), ("JANE AT EXAMPLE DOT COM", "JANE AT EXAMPLE DOT COM")]
+
+
+def test_precision_and_recall_of_disguises():
+    wrong = [t for t in PROSE if PI.redacted(t) != t]
+    found = [t for t, source in DISGUISED if [t[a:b] for a, _, b in PI.personal_data(t)[1]] == [source]]
+    assert not wrong and len(found) == len(DISGUISED), (wrong, [t for t, _ in DISGUISED if t not in found])
+
+
 def test_pii_query_edges(docs_of):
     rows = [(1, None), (2, ""), (3, "a@b.com 1.2.3.4"), (3, "a@b.com 1.2.3.4"), (None, "x (at) y (dot) org"), (4, "é " * 40000 + "a@b.co")]
     got = PI.find_pii(docs_of(rows).withColumn("spans", F.lit("mine"))).collect()
