@@ -45,21 +45,57 @@ def _rule(host: str, path: str, value) -> str:
     return f"CASE {cases} END"
 
 
+def _ascii_cases(pattern: str) -> str:
+    """A pattern of ``(?is)`` whose letters match in either ASCII case only."""
+    cases = re.sub(r"\\.|[a-z]", lambda m: m[0] if m[0][0] == "\\" else f"[{m[0].upper()}{m[0]}]", pattern.removeprefix("(?is)"))
+    return _text("(?s)" + cases)
+
+
+def _decode(href: str) -> str:
+    """Character references of a link replaced, each once."""
+    rest = "regexp_replace(p, '^&[^;]*;', '')"
+    number = ("CASE WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]{1,8};') THEN ('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]{1,8});', 1))::BIGINT "
+              "WHEN regexp_matches(p, '^&#[0-9]{1,9};') THEN regexp_extract(p, '^&#([0-9]{1,9});', 1)::BIGINT END")
+    named = " ".join(f"WHEN starts_with(p, '&{name};') THEN {_text(value)} || {rest}" for name, value in UF.ENTITIES.items())
+    part = (f"CASE WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) || {rest} "
+            f"{named} ELSE p END")
+    return (f"(string_split({href}, '&')[1] || array_to_string(list_transform(list_transform(string_split({href}, '&')[2:], "
+            f"lambda p: '&' || p), lambda p: {part}), ''))")
+
+
+def _undotted(path: str) -> str:
+    parts = f"string_split(regexp_replace({path}, '/(\\.\\.?)$', '/\\1/'), '/')[2:]"
+    return (f"('/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda x: [x])), lambda kept, x: "
+            "CASE WHEN x[1] = '..' THEN CASE WHEN len(kept) > 1 THEN kept[1:len(kept) - 1] ELSE CAST([] AS VARCHAR[]) END "
+            "WHEN x[1] = '.' THEN kept ELSE list_concat(kept, x) END), '/'))")
+
+
+def _resolve(href: str, base: str) -> str:
+    scheme, root = f"regexp_extract({base}, '^(.*?)://', 1)", f"regexp_extract({base}, '^(.*?)://', 1) || '://' || {_host(base)}"
+    path, rest = f"regexp_extract({href}, '(?s)^([^?#]*)', 1)", f"regexp_extract({href}, '(?s)^[^?#]*(.*)$', 1)"
+    query = rf"regexp_extract({base}, '://[^/?#]*[^?#]*(\?[^#]*)', 1)"
+    folder = f"regexp_replace(CASE WHEN {_path(base)} = '' THEN '/' ELSE {_path(base)} END, '[^/]*$', '')"
+    return f"""CASE WHEN {href} = '' THEN NULL WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {href}
+    WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN {_host(base)} = '' THEN NULL WHEN starts_with({href}, '/') THEN {root} || {_undotted(path)} || {rest}
+    WHEN starts_with({href}, '?') THEN {root} || {_path(base)} || {href} WHEN starts_with({href}, '#') THEN {root} || {_path(base)} || {query} || {href}
+    ELSE {root} || {_undotted(f"{folder} || {path}")} || {rest} END"""
+
+
 def url_filter_sql() -> str:
-    def href(tag: str, value: str) -> str:
-        return f"regexp_extract(regexp_extract(html, {_text(tag)}), {_text(value)}, 1)"
+    def hrefs(tag: str, value: str) -> str:
+        return f"list_transform(COALESCE(regexp_extract_all(html, {_ascii_cases(tag)}), []), lambda x: regexp_extract(x, {_ascii_cases(value)}, 1))"
 
+    own = f"regexp_extract(regexp_extract(html, {_ascii_cases(UF.BASE_TAG)}), {_ascii_cases(UF.LINK_HREF)}, 1)"
     verdict = _rule(_host("url"), _path("url"), lambda r: r.verdict)
     return f"""WITH RECURSIVE found AS (
-  SELECT url, {href(UF.LINK_TAG, UF.LINK_HREF)} AS href FROM pages
-  UNION ALL SELECT url, {href(UF.REFRESH_TAG, UF.REFRESH_URL)} FROM pages),
-links AS (
-  SELECT url, CASE WHEN contains(href, '://') THEN href
-                   WHEN starts_with(href, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || href
-                   WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || {_host('url')} || href END AS target
-  FROM found WHERE href <> ''),
-ends AS (SELECT url, {_address('url')} AS node FROM (SELECT url FROM links WHERE target IS NOT NULL
-         UNION ALL SELECT target FROM links WHERE target IS NOT NULL)),
+  SELECT url, {own} AS own, list_filter(list_concat({hrefs(UF.LINK_TAG, UF.LINK_HREF)}, {hrefs(UF.REFRESH_TAG, UF.REFRESH_URL)}),
+                                        lambda t: t <> '') AS hrefs FROM pages),
+based AS (SELECT url, {_decode('own')} AS own, unnest(hrefs) AS raw FROM found),
+given AS (SELECT url, COALESCE({_resolve('own', 'url')}, url) AS base, {_decode('raw')} AS href FROM based),
+resolved AS (SELECT url, {_resolve('href', 'base')} AS target FROM given),
+links AS (SELECT url, target FROM resolved WHERE {_address('url')} IS NOT NULL AND {_address('target')} IS NOT NULL),
+ends AS (SELECT url, {_address('url')} AS node FROM (SELECT url FROM links UNION ALL SELECT target FROM links)),
 edges AS (SELECT DISTINCT a, b FROM (
   SELECT {_address('url')} AS a, {_address('target')} AS b FROM links
   UNION ALL SELECT {_address('target')}, {_address('url')} FROM links) WHERE a <> b),

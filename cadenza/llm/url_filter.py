@@ -7,10 +7,11 @@ links and redirects found in the pages.  In a component one explicitly
 allowed member outranks any number of blocked ones; without either the
 verdict is allow.
 
-DataFrame functions only.  Rules are a literal list (an argument, at most
-``MAX_RULES``) and become one expression; links are found in one scan of the
-pages and only they enter the component search, so pages without links cost
-no shuffle beyond one join with the decided addresses.
+DataFrame functions only.  Up to ``MAX_RULES`` rules become one expression;
+more of them are a table, joined on the rule's host (each suffix of the url's
+host) and on as long a prefix of the path as some rule of that host has.  Links
+are found in one scan of the pages and only they enter the component search, so
+pages without links cost no shuffle beyond one join with the decided addresses.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.components import connected_components
 from cadenza.llm.shared import shared_table
 
-MAX_RULES = 500  # rules are compiled into the plan
+MAX_RULES = 500  # so many are compiled into the plan, more are joined
 
 
 @dataclass(frozen=True)
@@ -76,8 +77,6 @@ def address_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """(rule, verdict) of the longest rule that fits, else null; among rules
     of one length an allow comes first, then the smaller text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     best_last = sorted(rules, key=lambda r: (len(r.text), r.verdict == "allow", [-ord(c) for c in r.text]))
     for r in best_last:  # the last one wraps all others, so it is asked first
@@ -86,6 +85,25 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
+def with_rule(urls: DataFrame, rules: tuple[Rule, ...], host: str = "host", path: str = "path") -> DataFrame:
+    """``urls`` with ``found``, the (rule, verdict) of :func:`rule_of`."""
+    if len(rules) <= MAX_RULES:
+        return urls.withColumn("found", rule_of(F.col(host), F.col(path), rules))
+    listed = urls.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, said string")
+    lengths = listed.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    asked = urls.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    labels = asked.withColumn("labels", F.split("h", r"\.")).withColumn(
+        "rule_host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")))
+    tried = labels.join(lengths, "rule_host").select("h", "p", "rule_host", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("p")).select(
+        "h", "p", "rule_host", F.substring("p", F.lit(1), F.col("n")).alias("rule_path"))
+    # the longest rule; of one length an allow, then the smaller text, as in rule_of
+    text = F.concat("rule_host", "rule_path")
+    rank = F.struct(-F.length(text), F.col("said") != "allow", text)
+    best = tried.join(listed, ["rule_host", "rule_path"]).groupBy("h", "p").agg(
+        F.min_by(F.struct(text.alias("rule"), F.col("said").alias("verdict")), rank).alias("found"))
+    return urls.join(best, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left").drop("h", "p")
+
+
 #: Named references that stand in urls; numbers are decoded whatever they are.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "equals": "=",
             "num": "#", "period": ".", "percnt": "%", "comma": ",", "semi": ";", "plus": "+", "lowbar": "_"}
@@ -174,7 +192,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     edges = links.select(address_of(F.col("url")).alias("src"), address_of(F.col("target")).alias("dst"))
     members = connected_components(edges)
     ends = links.select("url").unionByName(links.select(F.col("target").alias("url"))).distinct()
-    ruled = ends.select(address_of(F.col("url")).alias("node"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("said"))
+    ended = ends.select(address_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    ruled = with_rule(ended, rules).select("node", F.col("found.verdict").alias("said"))
     groups = members.join(ruled, "node").groupBy("component").agg(
         F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
     decided = shared_table(
@@ -183,9 +202,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
             F.when(F.col("blocked") & ~F.coalesce("allowed", F.lit(False)), "block").otherwise("allow").alias("alias_verdict")),
         "url-decided")
     url = F.col("url")
-    judged = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select(
-        "page_id", host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("address"),
-        rule_of(host_of(url), path_of(url), rules).alias("found"))
+    judged = with_rule(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select(
+        "page_id", host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("address")), rules)
     return judged.join(decided, "address", "left").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", "alias_verdict", F.lit("allow")).alias("verdict"))

@@ -42,25 +42,29 @@ def test_aliases_take_block_and_allow_outranks_it(spark):
     assert got[1]["rule"] is None
 
 
+CANON, REFRESH = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+LINK_CASES = [
+    ("http://a.com/d/p.html", CANON.format("page.html"), ["http://a.com/d/page.html"]),
+    ("http://a.com/d/p?x=1", CANON.format("?id=2"), ["http://a.com/d/p?id=2"]),
+    ("http://a.com/d/e/p", CANON.format("../x?q=../y"), ["http://a.com/d/x?q=../y"]),
+    ("http://a.com", CANON.format("./x/./y/.."), ["http://a.com/x/"]),
+    ("http://a.com/d/", CANON.format("/../a/../b"), ["http://a.com/b"]),
+    ("http://a.com/d/p", CANON.format("/login?next=https://spam.net/x"), ["http://a.com/login?next=https://spam.net/x"]),
+    ("http://a.com/d/p", CANON.format("go?u=http://spam.net/"), ["http://a.com/d/go?u=http://spam.net/"]),
+    ("http://a.com/", CANON.format("http://b.com/?x=1&amp;y=2&#38;z=&#x33;&amp;lt;&unknown;&copy=1"),
+     ["http://b.com/?x=1&y=2&z=3&lt;&unknown;&copy=1"]),
+    ("http://a.com/", CANON.format("/1") + REFRESH.format("/3") + CANON.format("/2") + REFRESH.format("4"),
+     ["http://a.com/1", "http://a.com/2", "http://a.com/3", "http://a.com/4"]),
+    ("http://a.com/d/p", '<base href="//c.org/e/f">' + CANON.format("g"), ["http://c.org/e/g"]),
+    ("http://a.com/d/p", '<base href="../h/">' + CANON.format("g"), ["http://a.com/h/g"]),
+    ("http://a.com/d/p", CANON.format("mailto:x@y.z") + CANON.format("HTTPS://B.com/"), ["HTTPS://B.com/"]),
+    (None, CANON.format("x"), []), ("none", CANON.format("x"), []), ("http://a.com/", None, []),
+]
+
+
 def test_link_targets_are_resolved(spark):
-    canon, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
-    cases = [
-        ("http://a.com/d/p.html", canon.format("page.html"), ["http://a.com/d/page.html"]),
-        ("http://a.com/d/p?x=1", canon.format("?id=2"), ["http://a.com/d/p?id=2"]),
-        ("http://a.com/d/e/p", canon.format("../x?q=../y"), ["http://a.com/d/x?q=../y"]),
-        ("http://a.com", canon.format("./x/./y/.."), ["http://a.com/x/"]),
-        ("http://a.com/d/", canon.format("/../a/../b"), ["http://a.com/b"]),
-        ("http://a.com/d/p", canon.format("/login?next=https://spam.net/x"), ["http://a.com/login?next=https://spam.net/x"]),
-        ("http://a.com/d/p", canon.format("go?u=http://spam.net/"), ["http://a.com/d/go?u=http://spam.net/"]),
-        ("http://a.com/", canon.format("http://b.com/?x=1&amp;y=2&#38;z=&#x33;&amp;lt;&unknown;&copy=1"),
-         ["http://b.com/?x=1&y=2&z=3&lt;&unknown;&copy=1"]),
-        ("http://a.com/", canon.format("/1") + refresh.format("/3") + canon.format("/2") + refresh.format("4"),
-         ["http://a.com/1", "http://a.com/2", "http://a.com/3", "http://a.com/4"]),
-        ("http://a.com/d/p", '<base href="//c.org/e/f">' + canon.format("g"), ["http://c.org/e/g"]),
-        ("http://a.com/d/p", '<base href="../h/">' + canon.format("g"), ["http://a.com/h/g"]),
-        ("http://a.com/d/p", canon.format("mailto:x@y.z") + canon.format("HTTPS://B.com/"), ["HTTPS://B.com/"]),
-        (None, canon.format("x"), []), ("none", canon.format("x"), []), ("http://a.com/", None, []),
-    ]
+    canon = CANON
+    cases = LINK_CASES
     got = {}
     rows = [(i, u, h) for i, (u, h, _) in enumerate(cases)]
     for i, (u, h, want) in enumerate(cases):
@@ -72,6 +76,18 @@ def test_link_targets_are_resolved(spark):
     assert [blocked[i]["verdict"] for i in (1, 2, 3)] == ["allow", "block", "block"]
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    """The joined table gives what the expression gives."""
+    rules = UF.RULES + (UF.Rule("block", "a.com", "/x"), UF.Rule("allow", "a.com", "/x/y"), UF.Rule("block", "b.a.com", "/"), UF.Rule("allow", "com", "/x/yyy"),
+                        UF.Rule("allow", "x.org", "/f"), UF.Rule("block", "x.org", "/f"), UF.Rule("block", "q", ""))
+    urls = [f"http://{h}{p}" for h in ("a.com", "b.a.com", "c.b.a.com", "xa.com", "com", "x.org", "example.net", "q", "z.q", "") for p in (
+        "", "/", "/x", "/x/y", "/x/yyyy", "/f/1", "/fr/", "/en/q?x")] + [None, "none"]
+    frame = spark.createDataFrame([(i, u, CANON.format("http://b.a.com/k") if i % 9 == 0 else None) for i, u in enumerate(urls)], PAGES)
+    want = sorted(map(repr, UF.filter_urls(frame, rules).collect()))
+    monkeypatch.setattr(UF, "MAX_RULES", 3)
+    assert sorted(map(repr, UF.filter_urls(frame, rules).collect())) == want
+
+
 def test_urls_empty_and_clashing_columns(spark):
     assert UF.filter_urls(spark.createDataFrame([], PAGES)).collect() == []
     df = spark.createDataFrame([(1, "http://x.net/", None, "mine")], PAGES + ", verdict string")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from cadenza.llm.queries import LLM_ORACLE, LLM_QUERIES
+from test_native_scans import LINK_CASES
 
 
 def _same(spark, key, path, tables):
@@ -26,6 +27,11 @@ def test_urls_with_links(spark, tmp_path):
     rows += [(20, "http://h12.com/p?q=12", refresh.format("https://bad.net/a")), (21, "http://h30.com/", canon.format("//good.org/fr/1")),
              (22, "http://h31.com/", canon.format("//h30.com/") + refresh.format("/local")), (23, "http://h31.com/local", canon.format("http://bad.net/a2")),
              (24, "http://bad.net/a2", None), (25, None, canon.format("http://x.net/")), (26, "none", ""), (27, "http://sub.example.com/de/1", "")]
+    rows += [(100 + i, u, h) for i, (u, h, _) in enumerate(LINK_CASES)]
+    rows += [(200, "http://a.com/p", canon.format("/login?next=https://spam.net/x")), (201, "http://a.com/q", canon.format("r.html?x=1&amp;y=2")),
+             (202, "http://a.com/r.html?x=1&y=2", canon.format("//bad.net/")), (203, "http://b.com/d/e", canon.format("../q.html") + refresh.format("r.html")),
+             (204, "http://b.com/q.html", "<BASE HREF='//deep.net/x/y'>" + canon.format("z")), (205, "http://b.com/d/r.html", canon.format("#frag")),
+             (206, "http://c.com/\u212a", "<lin\u212a rel=canonical href=//bad.net/>"), (207, "http://c.com/..%2f", canon.format("&#0;&#xD800;&#x110000;&#65;&lt"))]
     _same(spark, "op3_url_filter", tmp_path, {"pages": spark.createDataFrame(rows, "page_id long, url string, html string")})
 
 
