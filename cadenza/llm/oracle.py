@@ -173,21 +173,30 @@ windows AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, w[i], w[i + 1]
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
 repeats AS (SELECT doc_id, COUNT(DISTINCT p) AS n FROM (
               SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)
+lines AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)
           WHERE regexp_replace(l, '{space}', '', 'g') <> '' GROUP BY doc_id),
 measured AS (
   SELECT w.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{space}', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         COALESCE(l.n, 0) AS n_dup_lines, COALESCE(r.n, 0) AS n_repeat_words
+         COALESCE(l.n, 0) AS n_dup_lines, COALESCE(r.n, 0) AS n_repeat_words, COALESCE(l.n_lines, 0) AS n_lines
   FROM words w LEFT JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN repeats r ON r.doc_id = w.doc_id),
-judged AS (SELECT *, n_words < {HR.MIN_WORDS} OR 100 * n_repeat_words > {HR.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured),
-hosts AS (SELECT host, COUNT(*) AS n, CAST(SUM(base_failed::INT) AS BIGINT) AS f FROM judged GROUP BY host),
-total AS (SELECT SUM(n)::DOUBLE AS nn, SUM(f) / SUM(n)::DOUBLE AS mean, COUNT(*) AS h, SUM(f * f / n::DOUBLE) AS ff FROM hosts),
-spread AS (SELECT nn, mean, ff / nn - mean * mean - mean * (1 - mean) * h / nn AS between_hosts FROM total),
-prior AS (SELECT mean, CASE WHEN between_hosts > 1e-12 THEN greatest(1.0, least(nn, mean * (1 - mean) / between_hosts - 1)) ELSE nn END AS weight
+judged AS (SELECT *, n_words < {HR.MIN_WORDS} AS fails_short, 100 * n_repeat_words > {HR.MAX_REPEAT_PERCENT} * n_words AS fails_repeats,
+                  100 * n_symbols > {HR.MAX_SYMBOL_PERCENT} * word_chars AS fails_symbols,
+                  100 * n_dup_lines > {HR.MAX_DUP_LINE_PERCENT} * n_lines AS fails_dup_lines FROM measured),
+each AS (SELECT host, rule, COUNT(*) AS n, CAST(SUM(fails::INT) AS BIGINT) AS f FROM (
+           SELECT host, unnest(['short', 'repeats', 'symbols', 'dup_lines']) AS rule,
+                  unnest([fails_short, fails_repeats, fails_symbols, fails_dup_lines]) AS fails FROM judged) GROUP BY host, rule),
+total AS (SELECT rule, SUM(n)::DOUBLE AS nn, SUM(f) / SUM(n)::DOUBLE AS mean, COUNT(*) AS h, SUM(f * f / n::DOUBLE) AS ff FROM each GROUP BY rule),
+spread AS (SELECT rule, nn, mean, ff / nn - mean * mean - mean * (1 - mean) * h / nn AS between_hosts FROM total),
+prior AS (SELECT rule, mean, CASE WHEN between_hosts > 1e-12 THEN greatest(1.0, least(nn, mean * (1 - mean) / between_hosts - 1)) ELSE nn END AS weight
           FROM spread),
-verdicts AS (SELECT host, (f + mean * weight) / (n + weight) AS rate FROM hosts, prior)
-SELECT j.*, ROUND(rate, 6) AS host_rate, NOT base_failed AND rate <= {HR.MAX_HOST_RATE} AS kept
+rates AS (SELECT host, rule, (f + mean * weight) / (n + weight) AS rate FROM each JOIN prior USING (rule)),
+verdicts AS (SELECT host, MAX(rate) FILTER (rule = 'short') AS rate_short, MAX(rate) FILTER (rule = 'repeats') AS rate_repeats,
+                    MAX(rate) FILTER (rule = 'symbols') AS rate_symbols, MAX(rate) FILTER (rule = 'dup_lines') AS rate_dup_lines,
+                    MAX(rate) AS host_rate FROM rates GROUP BY host)
+SELECT j.*, fails_short OR fails_repeats AS base_failed, ROUND(rate_short, 6) AS rate_short, ROUND(rate_repeats, 6) AS rate_repeats,
+       ROUND(rate_symbols, 6) AS rate_symbols, ROUND(rate_dup_lines, 6) AS rate_dup_lines, ROUND(host_rate, 6) AS host_rate,
+       NOT (fails_short OR fails_repeats) AND host_rate <= {HR.MAX_HOST_RATE} AS kept
 FROM judged j JOIN verdicts v ON v.host IS NOT DISTINCT FROM j.host"""
 
 

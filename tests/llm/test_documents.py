@@ -190,10 +190,14 @@ def _plain_measures(text):
     for i in range(len(words) - 2):
         at.setdefault(tuple(words[i:i + 3]), []).append(i)
     covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
-    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in flags), dup, len(covered)
+    n_lines = sum(bool(line.strip(" \t\r\x0b\x0c")) for line in lines)
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in flags), dup, len(covered), n_lines
 
 
-def test_measures():
+@pytest.mark.parametrize("piece", [HR.PIECE, 7])
+def test_measures(monkeypatch, piece):
+    monkeypatch.setattr(HR, "PIECE", piece)
+    monkeypatch.setattr(HR, "SHORT_LINE", 3)
     draw = random.Random(6)
     texts = [None, "", "a b c a b c", "a a a a", "x\n\nx\n \n \ny#|", "w " * 5000, "é ü ö\x0bä"]
     texts += ["".join(draw.choice(["a", "b", " ", "\n", "#", "é"]) for _ in range(draw.randint(0, 80))) for _ in range(300)]
@@ -213,6 +217,10 @@ def test_host_verdicts(docs_of):
     assert by[105]["base_failed"] is False and by[105]["host_rate"] > 0.5  # a good text of a bad host
     assert by[201]["kept"] and by[200]["base_failed"] and not by[None]["kept"] and by[None]["n_words"] == 0
     assert 0.1 < by[201]["host_rate"] < 0.9  # two texts say little about a host
+    assert by[105]["rate_repeats"] > 0.5 > by[105]["rate_symbols"]
+    rows = [(i, "| # " * 40 + good(), "pipes") for i in range(40)] + [(50 + i, good(), "fine") for i in range(80)]
+    by = {r["doc_id"]: r for r in HR.host_quality(docs_of(rows).withColumn("n_words", F.lit(1)).withColumn("host", F.lit("x"))).collect()}
+    assert not any(by[i]["kept"] or by[i]["base_failed"] for i in range(40)) and all(by[50 + i]["kept"] for i in range(80))  # by the host's symbols alone
     assert HR.host_quality(docs_of([])).collect() == []
     assert [r["kept"] for r in HR.host_quality(docs_of([(1, good(), "x")] * 3)).collect()] == [True] * 3
 
