@@ -5,8 +5,9 @@ theme_discovery       load -> filter -> (sample) -> encode -> best-of-n KMeans
 cluster_describe_job  clean (keep case) -> encode -> KMeans -> partitioned
                       write -> per-cluster artist describe and term table
 
-Labels of a KMeans fit are not reproducible in SQL, so the registered queries
-report what does not depend on them: counts, violations, totals over clusters.
+Labels of an MLlib fit are not reproducible in SQL, so the registered queries
+over one report what does not depend on them: counts, violations, totals over
+clusters.  Those over the seeded fit return labels, cards, terms and scores.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from cadenza.functions import text as TX
 from cadenza.operators import clusters as CL
 from cadenza.operators import encode as EN
 from cadenza.operators import kmeans as KM
+from cadenza.operators import kmeans_seeded as KS
 from cadenza.operators import themes as TH
 from cadenza.operators.sample import sample_exact
 from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
@@ -64,10 +66,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def theme_discovery(songs: DataFrame, n_samples: int | None = None, n_clusters: int = K.DEFAULT_CLUSTERS,
                     n_init: int = K.KMEANS_RESTARTS, seed: int = K.SEED, dim: int = EN.DEFAULT_DIM,
                     silhouette: str | None = "exact", top_terms: int | None = K.THEME_TERMS,
-                    clamp: bool = False) -> ThemeRun:
+                    clamp: bool = False, fit=KM.cluster_points) -> ThemeRun:
     """The theme-discovery run.  Returns cards, terms, assignments and run
     metrics (with stage timings).
 
+    ``fit`` clusters: MLlib's KMeans, or
+    :func:`~cadenza.operators.kmeans_seeded.cluster_seeded`, whose labels any
+    engine can recompute.
+
     All eligible songs take part; with ``n_samples`` an exact seeded sample of
     them.  ``silhouette`` is ``"exact"`` (O(n^2)), ``"squared"`` (O(n k)) or
     None.  ``clamp`` applies :func:`clamp_run_params`; otherwise parameters
@@ -93,7 +99,7 @@ def theme_discovery(songs: DataFrame, n_samples: int | None = None, n_clusters:
     timings["encoding"] = time.time() - t0
 
     t0 = time.time()
-    labelled, model, cost, _ = KM.cluster_points(vecs, n_clusters, n_init, seed)
+    labelled, _, cost, _ = fit(vecs, n_clusters, n_init, seed)
     labelled = _stored(labelled, "theme-labels")
     points = vecs.join(labelled, "song_id")
     metrics = {
@@ -134,7 +140,7 @@ class DescribeRun:
 
 def cluster_describe_job(songs: DataFrame, out_path: str, k: int = K.DEFAULT_CLUSTERS, seed: int = K.SEED,
                          dim: int = EN.DEFAULT_DIM, n_init: int = 1,
-                         top_terms: int | None = K.OFFLINE_TERMS) -> DescribeRun:
+                         top_terms: int | None = K.OFFLINE_TERMS, fit=KM.cluster_points) -> DescribeRun:
     """Offline job: drop null corpus, clean keeping case, encode, cluster,
     write the clustered table partitioned by cluster, describe artists and
     list each cluster's ``top_terms`` terms (None: all)."""
@@ -142,7 +148,7 @@ def cluster_describe_job(songs: DataFrame, out_path: str, k: int = K.DEFAULT_CLU
         "corpus_clean", TX.drop_stopwords_keep_case("corpus", TX.offline_stopwords())
     )
     vecs = EN.hash_encode(base, "song_id", "corpus_clean", dim)
-    labelled, _, _, _ = KM.cluster_points(vecs, k, n_init, seed)
+    labelled, _, _, _ = fit(_stored(vecs, "describe-vectors"), k, n_init, seed)
     clustered = base.join(labelled, "song_id")
     store.write_clustered(clustered.select("song_id", "song_title", "artist_name", "song_url",
                                            "corpus_clean", "cluster"), out_path)
@@ -197,13 +203,13 @@ def q_cluster_corpus(spark, d):
 
 
 def q_theme_discovery(spark, d):
-    run = theme_discovery(B.songs(spark, d), silhouette="squared")
+    run = theme_discovery(B.songs(spark, d), silhouette="squared")  # theme_metrics has the exact one
     return run.cards.agg(F.count(F.lit(1)).alias("n_cards"), F.sum("song_count").alias("total_songs"),
                          F.sum((F.col("top_terms").isNull() & (F.col("song_count") > 0)).cast("bigint")).alias("n_without_terms"))
 
 
 def q_theme_metrics(spark, d):
-    m = theme_discovery(B.songs(spark, d), silhouette="squared", n_init=1).metrics
+    m = theme_discovery(B.songs(spark, d)).metrics  # the job as it is by default
     fine = m["inertia"] > 0 and -1 <= m["silhouette_score"] <= 1 and m["total_time"] >= max(m["timings"].values())
     return spark.createDataFrame(
         [(m["total_songs"], m["n_clusters"], m["embedding_dimensions"], m["model_used"], ",".join(sorted(m["timings"])), fine)],
@@ -231,6 +237,39 @@ def q_describe_terms(spark, d):
     return run.terms.groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _seeded_run(spark, d, silhouette=None):
+    return theme_discovery(B.songs(spark, d), n_init=1, silhouette=silhouette, fit=KS.cluster_seeded)
+
+
+def q_kmeans_labels(spark, d):
+    return KS.cluster_seeded(B.vectors(spark, d).select("song_id", "embedding"), n_init=1)[0].select("song_id", "cluster")
+
+
+def q_theme_labels(spark, d):
+    return _seeded_run(spark, d).assignments.select("song_id", "cluster")
+
+
+def q_theme_cards(spark, d):
+    return _seeded_run(spark, d).cards.select("id", "song_count", "heading", "badge", "subtitle", "sample_titles", "top_terms")
+
+
+def q_theme_cluster_terms(spark, d):
+    return _seeded_run(spark, d).terms
+
+
+def q_theme_scores(spark, d):
+    m = _seeded_run(spark, d, "exact").metrics
+    return spark.createDataFrame([(m["total_songs"], m["inertia"], m["silhouette_score"])], "total_songs bigint, inertia double, silhouette_score double")
+
+
+def q_describe_clusters(spark, d):
+    return cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"), fit=KS.cluster_seeded).describe
+
+
+def q_describe_cluster_terms(spark, d):
+    return cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"), fit=KS.cluster_seeded).terms
+
+
 def _stream_of(spark: SparkSession, d: str, name: str):
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet")
@@ -332,6 +371,13 @@ JOB_QUERIES = {
     "theme_assignments": q_theme_assignments,
     "cluster_describe_job": q_cluster_describe_job,
     "describe_terms": q_describe_terms,
+    "kmeans_labels": q_kmeans_labels,
+    "theme_labels": q_theme_labels,
+    "theme_cards": q_theme_cards,
+    "theme_cluster_terms": q_theme_cluster_terms,
+    "theme_scores": q_theme_scores,
+    "describe_clusters": q_describe_clusters,
+    "describe_cluster_terms": q_describe_cluster_terms,
     "event_throttle_stream": q_event_throttle_stream,
     "event_throttle_late": q_event_throttle_late,
     "session_feed_late": q_session_feed_late,

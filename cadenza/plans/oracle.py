@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from cadenza import constants as K
 from cadenza.functions.text import offline_stopwords
+from cadenza.operators.kmeans_seeded import ROUNDS
 from cadenza.plans.bindings import with_ctes
+from cadenza.plans.oracle_kmeans import SILHOUETTE, dense_hash_ctes, kmeans_ctes
 
 
 def _lst(words) -> str:
@@ -544,7 +546,41 @@ tf AS (SELECT song_id, CAST((('0x' || substr(md5(w), 1, 7))::BIGINT) % 4096 AS I
 x AS (SELECT song_id, dim, tf * ln(((SELECT COUNT(*) FROM songs) + 1) / (COUNT(*) OVER (PARTITION BY dim) + 1)) AS x FROM tf)
 SELECT song_id, dim, ROUND(x / sqrt(SUM(x * x) OVER (PARTITION BY song_id)), 6) AS weight FROM x QUALIFY x <> 0"""
 
-    # clusterings: labels are not SQL, what holds whatever the labels is
+    # the seeded clustering, step by step
+    eligible_songs = f"eligible AS (SELECT * FROM songs WHERE corpus IS NOT NULL AND length(corpus) > {K.MIN_CORPUS_CHARS})"
+    theme = f"""{with_ctes('songs')}, {eligible_songs},
+{dense_hash_ctes('eligible', 'corpus', HASH_LONG('h', 'eligible', 'song_id', 'corpus'), 64)},
+{kmeans_ctes('points')},
+clustered AS (SELECT s.*, l.cluster FROM eligible s JOIN labels l USING (song_id))"""
+    described = f"""{with_ctes('songs')},
+based AS (SELECT song_id, artist_name, array_to_string(list_filter(list_filter(regexp_split_to_array(corpus, '{WS}'), lambda w: w <> ''),
+            lambda w: lower(w) NOT IN {offline}), ' ') AS corpus_clean FROM songs WHERE corpus IS NOT NULL),
+{dense_hash_ctes('based', 'corpus_clean', HASH_LONG('h', 'based', 'song_id', 'corpus_clean'), 64)},
+{kmeans_ctes('points')},
+clustered AS (SELECT s.song_id, s.artist_name, s.corpus_clean AS corpus, l.cluster FROM based s JOIN labels l USING (song_id))"""
+    own_ctes = with_ctes('clustered')
+
+    def over(query: str, ctes: str) -> str:
+        assert q[query].startswith(own_ctes)
+        return ctes + q[query][len(own_ctes):]
+
+    q["kmeans_labels"] = f"""{with_ctes('vectors')}, points AS (SELECT song_id, embedding::DOUBLE[] AS e FROM vectors),
+{kmeans_ctes('points')} SELECT song_id, cluster FROM labels"""
+    q["theme_labels"] = f"{theme} SELECT song_id, cluster FROM labels"
+    q["theme_cluster_terms"] = over("cluster_terms", theme)
+    best_terms = q["theme_cluster_terms"][len(theme):]
+    ctes, _, select = best_terms.rpartition("\nSELECT cluster, CAST(rank")
+    cards = over("cluster_cards", theme + ctes).replace("range(12)", f"range({K.DEFAULT_CLUSTERS})")
+    q["theme_cards"] = cards.replace("AS sample_titles", "AS sample_titles, top.top_terms").replace(
+        "LEFT JOIN fs USING (cluster)", "LEFT JOIN fs USING (cluster) LEFT JOIN (SELECT cluster, string_agg(term, ' ' ORDER BY rank) AS top_terms "
+        f"FROM (SELECT cluster, CAST(rank{select}) WHERE rank <= 10 GROUP BY cluster) top USING (cluster)")
+    q["theme_scores"] = f"""{theme}, {SILHOUETTE},
+spread AS (SELECT SUM(pow(list_distance(l.e, c.c), 2)) AS inertia FROM near{ROUNDS} l JOIN final_centres c USING (cluster))
+SELECT (SELECT COUNT(*) FROM eligible) AS total_songs, (SELECT ROUND(inertia, 2) FROM spread) AS inertia, ROUND(AVG(s), 4) AS silhouette_score FROM scored"""
+    q["describe_clusters"] = over("cluster_artist_describe", described)
+    q["describe_cluster_terms"] = over("cluster_terms", described).replace(f"rank <= {K.THEME_TERMS}", f"rank <= {K.OFFLINE_TERMS}")
+
+    # MLlib's clusterings: labels are not SQL, what holds whatever the labels is
     k = K.DEFAULT_CLUSTERS
     q["cluster_pluggable"] = f"SELECT COUNT(*) AS n_points, {k}::BIGINT AS n_labels, 0::BIGINT AS n_out_of_order FROM embeddings"
     q["kmeans_fit"] = q["cluster_pluggable"].replace(" FROM", ", 0::BIGINT AS n_misplaced FROM")
