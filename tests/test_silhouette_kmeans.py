@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import clusters as CL
 from cadenza.operators import kmeans as KM
-from cadenza.operators.silhouette import silhouette_exact, silhouette_samples
+from cadenza.operators.silhouette import asked_clusters, silhouette_exact, silhouette_samples
 
 
 def _sil_brute(x, lab):
@@ -42,6 +42,21 @@ def test_silhouette_matches_brute_force_with_singleton(spark, block_bytes):
     assert abs(score - round(exp.mean(), 6)) < 1e-6
 
 
+def test_bounds_change_nothing_and_leave_far_clusters_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(scale=30, size=(12, 4))
+    lab = rng.integers(0, 12, 360)
+    x = centres[lab] + rng.normal(scale=0.3, size=(360, 4))
+    x[:5], lab[:5] = x[0], 0  # one vector several times
+    x[200:220] = rng.normal(scale=30, size=(20, 4))  # some points between the clusters
+    pts = _points(spark, x, lab)
+    plain = {r["song_id"]: r["s"] for r in silhouette_samples(pts, block_bytes=600, bounded=False).collect()}
+    got = {r["song_id"]: r["s"] for r in silhouette_samples(pts, block_bytes=600).collect()}
+    assert sorted(got) == list(range(360)) and np.allclose([got[i] for i in range(360)], [plain[i] for i in range(360)], atol=1e-9)
+    assert np.allclose([got[i] for i in range(360)], _sil_brute(x, lab), atol=1e-9)
+    assert asked_clusters(pts).count() < 4 * 360  # of 12 * 360
+
+
 def test_kmeans_invariants(spark):
     rng = np.random.default_rng(5)
     centers = np.array([[0, 0], [10, 0], [0, 10]], dtype=float)
