@@ -8,8 +8,6 @@ fit in one task's memory.  Nothing collects a whole cluster.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,9 +15,9 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as K
 from cadenza.functions.scalars import sample_key
+from cadenza.operators.numbering import dense_number
 from cadenza.operators.parallel import spread
 from cadenza.functions.vectors import sq_euclidean
-from cadenza.session import checkpoint_dir
 from cadenza.sources.embeddings import vector_dim
 
 # A centroid table is k x d doubles.  Points are assigned against blocks of it
@@ -60,23 +58,12 @@ def first_n_per_cluster(clustered: DataFrame, n: int, order=None) -> DataFrame:
 def songs_in_order(clustered: DataFrame) -> DataFrame:
     """Every song with ``pos``, its place (from 1) in its cluster by
     ``song_id``; missing title and artist become ``Unknown``, a missing url is
-    empty.  Long form: no cluster is collected or sorted in one task.  Rows are
-    range-partitioned by (cluster, song_id) into a table of the shared folder;
-    places inside a partition are shifted by the rows of the cluster in the
-    partitions before it."""
-    spark = clustered.sparkSession
+    empty.  Long form: no cluster is collected or sorted in one task
+    (:func:`~cadenza.operators.numbering.dense_number`)."""
     named = clustered.select(
         "cluster", "song_id", F.coalesce("song_title", F.lit(K.UNKNOWN_NAME)).alias("song_title"),
         F.coalesce("artist_name", F.lit(K.UNKNOWN_NAME)).alias("artist_name"), F.coalesce("song_url", F.lit("")).alias("song_url"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/songs-in-order-{uuid.uuid4().hex}"
-    named.repartitionByRange("cluster", "song_id").withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    parts = spark.read.parquet(path)
-    sizes = parts.groupBy("cluster", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("cluster").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("cluster", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = F.row_number().over(Window.partitionBy("cluster", "_part").orderBy("song_id"))
-    return parts.withColumn("inside", inside).join(shifts, ["cluster", "_part"]).select(
-        "cluster", (F.col("shift") + F.col("inside")).alias("pos"), "song_id", "song_title", "artist_name", "song_url")
+    return dense_number(named, ["song_id"], ["cluster"], "pos", 1).select("cluster", "pos", "song_id", "song_title", "artist_name", "song_url")
 
 
 def random_per_cluster(clustered: DataFrame, n: int, seed: int, id_col: str = "song_id") -> DataFrame:

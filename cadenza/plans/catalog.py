@@ -22,11 +22,14 @@ from cadenza.functions.vectors import cosine, euclidean
 from cadenza.operators import catalogue as CAT
 from cadenza.operators import clusters as CL
 from cadenza.operators import encode as EN
+from cadenza.operators import heavy_hitters as HH
 from cadenza.operators import recommend as RC
+from cadenza.operators import song_search as SS
 from cadenza.operators import themes as TH
 from cadenza.operators import vector_index as VI
+from cadenza.operators.numbering import dense_number
 from cadenza.operators.parallel import spread
-from cadenza.operators.sample import sample_exact
+from cadenza.operators.sample import bottom_k, merge_bottom_k, sample_exact
 from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
 from cadenza.operators.topk import topk_cosine
 from cadenza.plans import bindings as B
@@ -183,6 +186,28 @@ def q_stopword_union(spark, d):
     return toks.filter(F.col("word").isin(words)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_sample_merged(spark, d):
+    # a stored sketch for each artist, merged: the sample of q_sample_songs
+    path = _scratch(spark, "sketches")
+    bottom_k(eligible_songs(B.songs(spark, d)).select("song_id", "artist_name"), K.DEFAULT_SAMPLES, K.SEED, part=["artist_name"]).write.parquet(path)
+    return merge_bottom_k(spark.read.parquet(path), K.DEFAULT_SAMPLES).select("song_id")
+
+
+def q_song_numbers(spark, d):
+    return dense_number(eligible_songs(B.songs(spark, d)).select("song_id", "song_title"), ["song_id"])
+
+
+def q_song_search(spark, d):
+    # free texts as people type them: other case, a letter left out, spaces
+    text = F.concat_ws("  ", F.upper(F.regexp_replace("song_name", "song_", "sng ")), "artist_name")
+    asked = B.requests(spark, d).select("request_id", text.alias("text"))
+    return SS.search_songs(asked, B.catalogue(spark, d)).select("request_id", "found", "track_id", F.round("similarity", 6).alias("similarity"))
+
+
+def q_cluster_terms_sketched(spark, d):
+    return HH.top_terms(B.clustered(spark, d), K.THEME_TERMS)[0]
+
+
 def q_cluster_terms(spark, d):
     return TH.cluster_terms(B.clustered(spark, d), K.THEME_TERMS)
 
@@ -488,6 +513,10 @@ QUERIES = {
     "load_songs_csv": q_load_songs_csv,
     "eligible_songs": q_eligible_songs,
     "sample_songs": q_sample_songs,
+    "sample_merged": q_sample_merged,
+    "song_numbers": q_song_numbers,
+    "song_search": q_song_search,
+    "cluster_terms_sketched": q_cluster_terms_sketched,
     "load_embeddings": q_load_embeddings,
     "join_embeddings": q_join_embeddings,
     "scan_clustered": q_scan_clustered,

@@ -203,6 +203,8 @@ SELECT song_id, song_title, artist_name FROM songs
 WHERE corpus IS NOT NULL AND length(corpus) > {K.MIN_CORPUS_CHARS}
 ORDER BY {MD5KEY('song_id')}, song_id LIMIT {K.DEFAULT_SAMPLES}"""
 
+    q["sample_merged"] = q["sample_songs"].replace("SELECT song_id, song_title, artist_name FROM", "SELECT song_id FROM")
+
     q["load_embeddings"] = f"""{with_ctes('vectors')}
 SELECT COUNT(*) AS n_rows, COUNT(DISTINCT song_id) AS n_keys,
        CAST(MIN(len(embedding)) AS INTEGER) AS min_dim, CAST(MAX(len(embedding)) AS INTEGER) AS max_dim,
@@ -277,6 +279,25 @@ SELECT cluster, CAST(rank AS INTEGER) AS rank, term, n,
        ROUND(CAST(n AS DOUBLE) / MAX(n) OVER (PARTITION BY cluster), 6) AS weight
 FROM ranked WHERE rank <= {K.THEME_TERMS} AND cluster IN (SELECT cluster FROM keep)"""
 
+    q["cluster_terms_sketched"] = q["cluster_terms"]
+
+    q["song_numbers"] = f"""{with_ctes('songs')}
+SELECT song_id, song_title, row_number() OVER (ORDER BY song_id) - 1 AS row_number FROM songs
+WHERE corpus IS NOT NULL AND length(corpus) > {K.MIN_CORPUS_CHARS}"""
+
+    def TEXT(x: str) -> str:
+        return f"array_to_string(list_filter(regexp_split_to_array(lower({x}), '{WS}'), lambda w: w <> ''), ' ')"
+
+    grams = "list_distinct(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3)))"
+    q["song_search"] = f"""{with_ctes('requests', 'catalogue')},
+asked AS (SELECT request_id, {TEXT("concat_ws('  ', upper(replace(song_name, 'song_', 'sng ')), artist_name)")} AS text FROM requests),
+given AS (SELECT text, MIN(track_id) AS track_id, {grams} AS b FROM (SELECT track_id, {TEXT("concat_ws(' ', title, artist)")} AS text FROM catalogue) GROUP BY text),
+wanted AS (SELECT DISTINCT text, {grams} AS a FROM asked),
+scored AS (SELECT w.text, track_id, len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS n FROM wanted w, given),
+best AS (SELECT text, track_id, shared / n AS similarity, row_number() OVER (PARTITION BY text ORDER BY shared / n DESC, track_id) AS r
+         FROM scored WHERE 100 * shared >= 50 * n)
+SELECT request_id, b.text IS NOT NULL AS found, track_id, ROUND(similarity, 6) AS similarity FROM asked a LEFT JOIN best b ON b.text = a.text AND r = 1"""
+
     def T(o, r, c):
         return f"(CASE WHEN {o} > 0 THEN {o} * ln({o} / ({r} * {c} / nn)) ELSE 0.0 END)"
 
