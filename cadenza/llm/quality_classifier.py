@@ -3,21 +3,22 @@
 A labelled good document is preferred to a labelled bad one with probability
 sigmoid(w . (x_good - x_bad)).  The weights minimise the logistic loss over
 such pairs of feature differences; a document's strength is w . x.  The cut
-between good and bad is a quantile of the strengths of the labelled sample:
+between good and bad is a quantile of the strengths of all labelled documents:
 the share of bad labels.  Strengths are mapped to scores in (0, 1) so that the
 cut has the score ``CUT_SCORE``.
 
 Features describe the form of a whole text (shares of character classes and
 of pairs of them, word and line statistics) and are computed by one function
 in the fit and in scoring.  Only the fit is bounded: it takes a sample of about
-``FIT_ROWS`` labelled documents, drawn by a hash of the id, and
-``PAIRS_PER_ROW`` pairs for each.  Scoring is one pass without a shuffle.
+``FIT_ROWS`` labelled documents, drawn row by row, so that an id with many rows
+is no heavier than others, and ``PAIRS_PER_ROW`` pairs for each.  Scoring is one
+pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -127,24 +128,39 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on labelled rows outside the held-out fifth.  Labels other than 0
-    and 1 and null ids are not used."""
-    usable = labels.select(F.col("doc_id").alias("lid"), "quality").filter(
-        F.col("quality").isin(0, 1) & F.col("lid").isNotNull() & (remainder(F.col("lid")) != 0))
-    n = usable.count()
+    and 1 and null ids are not used; an id with several labels has that of the
+    majority, good if even."""
+    usable = shared_table(labels.select(F.col("doc_id").alias("lid"), "quality").filter(
+        F.col("quality").isin(0, 1) & F.col("lid").isNotNull() & (remainder(F.col("lid")) != 0)).groupBy("lid").agg(
+        (F.avg("quality") >= 0.5).cast("int").alias("quality")), "quality-labels")
+    ids = docs.select(F.col(id_col).alias("doc_id")).join(usable, F.col("doc_id") == F.col("lid"))
+    n, bad = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
     share = min(1.0, fit_rows / max(1, n))
-    drawn = usable.filter(F.pmod(F.xxhash64("lid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = shared_table(drawn, "quality-sample")
 
     @F.pandas_udf("array<double>")
     def described(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t).tolist() for t in texts], dtype=object)
 
-    side = F.broadcast(drawn) if drawn.count() <= 4 * fit_rows else drawn
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(side, F.col("doc_id") == F.col("lid"))
-    sample = rows.select("quality", described(F.col("text")).alias("x"), F.hash("doc_id", "text").alias("h"))
-    held = sample.sort("h", "quality").toPandas()  # about fit_rows rows
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    drawn = given.filter(F.pmod(F.xxhash64("doc_id", "text", "place", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = drawn.join(usable, F.col("doc_id") == F.col("lid")).select("quality", described(F.col("text")).alias("x"), F.hash("doc_id", "text").alias("h"))
+    held = sample.sort("h", "quality").toPandas()  # about fit_rows rows: each is drawn by itself
     x = np.array(held["x"].tolist(), dtype=float).reshape(len(held), N_FEATURES)
-    return fit_bradley_terry(x, held["quality"].to_numpy() == 1)
+    good = held["quality"].to_numpy() == 1
+    model = fit_bradley_terry(x, good)
+    if not 0 < bad < n or not model.weights.any():
+        return model
+    strengths = given.join(usable, F.col("doc_id") == F.col("lid")).select(strength_column(F.col("text"), model).alias("s"))
+    cut = strengths.agg(F.percentile_approx("s", F.lit(bad / n), F.lit(10_000))).first()[0]
+    return replace(model, cut=cut, slope=_slope(model.strength(x) - cut, good))
+
+
+def strength_column(text: Column, model: Model) -> Column:
+    @F.pandas_udf("double")
+    def strong(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.strength(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)))
+
+    return strong(text)
 
 
 def score_column(text: Column, model: Model) -> Column:

@@ -254,6 +254,38 @@ def test_classifier_without_labels(spark, docs_of):
     assert QC.classify(docs_of([]), ones).collect() == []
 
 
+def test_an_id_with_many_rows_is_drawn_row_by_row(spark, monkeypatch):
+    """One labelled id with most rows: what the fit sees stays about fit_rows."""
+    docs = spark.range(6000).selectExpr("case when id < 4000 then 7 else id end as doc_id", "concat('some words of row ', id % 97) as text").unionByName(
+        spark.range(50).selectExpr("10000 + id as doc_id", "'$$$ !!! ###' as text")).repartition(4)
+    labels = spark.range(10050).selectExpr("id as doc_id", "int(id < 10000) as quality", "0 as toxic")
+    labels = labels.unionByName(labels.limit(3000).withColumn("quality", F.lit(0)))  # repeated ids of two minds
+    seen = []
+    fit = QC.fit_bradley_terry
+    monkeypatch.setattr(QC, "fit_bradley_terry", lambda x, good: (seen.append(len(x)), fit(x, good))[1])
+    got = QC.classify(docs, labels, fit_rows=300)
+    assert got.count() == 6050 and 150 < seen[0] < 500
+
+
+def test_the_fit_is_at_the_optimum_of_its_loss():
+    """The gradient is zero there, and plain gradient descent finds nothing lower."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 4))
+    good = x @ [1.0, -0.5, 0.0, 0.3] + draw.normal(size=300) > 0.4
+    model = QC.fit_bradley_terry(x, good)
+    z = np.clip((x - model.mean) / model.scale, -QC.CLIP, QC.CLIP)
+    ups, downs, rng = np.flatnonzero(good), np.flatnonzero(~good), np.random.default_rng(QC.SEED)
+    n = QC.PAIRS_PER_ROW * max(len(ups), len(downs))
+    diff = z[np.resize(rng.permutation(ups), n)] - z[rng.choice(downs, n)]
+    loss = lambda w: np.log1p(np.exp(-(diff @ w))).mean() + QC.RIDGE / 2 * (w @ w)
+    slope = lambda w: -(diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) + QC.RIDGE * w
+    assert np.abs(slope(model.weights)).max() < 1e-5
+    w = np.zeros(4)
+    for _ in range(3000):
+        w -= 0.5 * slope(w)
+    assert loss(model.weights) <= loss(w) + 1e-9 and np.allclose(w, model.weights, atol=1e-3)
+
+
 def test_fit_ranks_by_the_feature_that_tells():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 5))
