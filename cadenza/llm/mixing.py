@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.shared import WORD_PATTERN, shared_table
+from cadenza.operators.numbering import dense_number
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -48,23 +49,21 @@ def capped_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
     repeating, and share all words; a target stops at ``cap`` times its
     source's size and the excess goes to the others by weight.
 
-    That is one water level: target = min(cap * size, weight * level).  With
-    sources in order of cap * size / weight the level is known from running
-    sums.  The windows run over the source table, one row for each source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    k = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (k % len(weights) + 1).cast("int")).cast("double")
-    rows = sources.select("source", "source_size", weight.alias("w"), (cap * F.col("source_size")).cast("double").alias("most"))
-    rising = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    full = F.coalesce(F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy()).cast("double")
-    levels = rows.withColumn("level", (total - full) / left)
-    # the first source that its level does not fill sets the level of all after it
-    level = F.first(F.when(F.col("w") * F.col("level") <= F.col("most"), F.col("level")), ignorenulls=True).over(
-        rising.rowsBetween(Window.unboundedPreceding, 0))
-    return levels.withColumn("at", level).select(
-        "source", "source_size", F.when(F.col("at").isNull(), F.col("most")).otherwise(F.col("w") * F.col("at")).alias("target"))
+    That is one water level: target = min(cap * size, weight * level).  The
+    level rises from all words over all weights; each round takes the sources
+    that it fills out of the sum, until no more are.  Sources are numbered over
+    ranges, so a table of millions of them is no single task."""
+    numbered = dense_number(sources.select("source", "source_size", F.col("source").isNull().alias("_last")), ["_last", "source"], out="k")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double")
+    rows = shared_table(numbered.select("source", "source_size", weight.alias("w"), (cap * F.col("source_size")).cast("double").alias("most")), "mix-sources")
+    total, level, filled = float(rows.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:  # a row each; ends as no source is ever put back
+        over = (F.col("most") <= F.col("w") * level) & F.lit(filled >= 0)
+        now, full, left = rows.agg(F.sum(over.cast("int")), F.sum(F.when(over, F.col("most")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+        if not left or now == filled:
+            break
+        filled, level = now, (total - full) / left
+    return rows.select("source", "source_size", F.least(F.col("most"), F.col("w") * level).alias("target"))
 
 
 def _newton(mass: Column, target: Column) -> Column:
@@ -129,7 +128,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     size, target, rate and number of buckets; both in the shared folder."""
     rows = shared_table(docs.select(
         F.col(id_col).cast("string").alias("ticket"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size")), "mix-sizes")
+        word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("place")), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = shared_table(capped_targets(sources.select("source", "source_size"), weights, cap), "mix-targets")
     rates = entropy_balance(rows, "size", {"source": targets.select("source", "target")}).select(
@@ -142,10 +141,24 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     return rows, plan
 
 
-def _rounded(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+def _dealt(rows: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
+    """Rows with their source's plan and a bucket.  Rows that share source, id
+    and size beyond a bucket's number are spread by their place in the written
+    table; all others have the bucket of their hash."""
+    many = shared_table(rows.groupBy(*[F.col(c).alias(f"m_{c}") for c in ("source", "ticket", "size")]).agg(F.count(F.lit(1)).alias("m")).filter(
+        F.col("m") > bucket_docs).withColumn("salts", F.ceil(F.col("m") / bucket_docs)), "mix-many")
+    salted = rows.withColumn("salt", F.lit(0).cast("long"))
+    if not many.isEmpty():
+        same = F.col("source").eqNullSafe(F.col("m_source")) & F.col("ticket").eqNullSafe(F.col("m_ticket")) & (F.col("size") == F.col("m_size"))
+        salted = rows.join(many, same, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("place"), F.col("salts")), F.lit(0))).drop(
+            "m_source", "m_ticket", "m_size", "m", "salts")
+    hashed = F.when(F.col("salt") == 0, F.xxhash64("ticket", "size")).otherwise(F.xxhash64("ticket", "size", "salt"))
+    return salted.join(plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned").withColumn(
+        "bucket", F.xxhash64("source", F.pmod(hashed, F.col("buckets"))))
+
+
+def _rounded(rows: DataFrame, plan: DataFrame, cap: int, bucket_docs: int) -> DataFrame:
     """(ticket, size, source_size, target, copies) for each row."""
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned").withColumn(
-        "bucket", F.xxhash64("source", F.pmod(F.xxhash64("ticket", "size"), F.col("buckets"))))
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "ticket"], ascending=[False, True], kind="stable")
@@ -153,7 +166,7 @@ def _rounded(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
         copies = diffuse(group["size"].to_numpy(), float(group["rate"].iloc[0]), cap, start)
         return group[["ticket", "size", "source_size", "target"]].assign(copies=copies)
 
-    return dealt.groupBy("source", "bucket").applyInPandas(
+    return _dealt(rows, plan, bucket_docs).groupBy("source", "bucket").applyInPandas(
         rounded, "ticket string, size long, source_size long, target double, copies long")
 
 
@@ -168,7 +181,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     input: no rows.  Other columns are not read."""
     rows, plan = _planned(docs, id_col, text_col, source_col, weights, cap, bucket_docs)
     kind = docs.select(id_col).schema[0].dataType
-    return _rounded(rows, plan, cap).select(
+    return _rounded(rows, plan, cap, bucket_docs).select(
         F.col("ticket").cast(kind).alias("doc_id"), "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -180,7 +193,7 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name is replaced.  Rows that share an id share their copies' number: the
     largest that :func:`mix` gives one of them."""
     rows, plan = _planned(docs, id_col, text_col, source_col, weights, cap, bucket_docs)
-    given = shared_table(_rounded(rows, plan, cap).groupBy("ticket").agg(F.max("copies").alias("n"))
+    given = shared_table(_rounded(rows, plan, cap, bucket_docs).groupBy("ticket").agg(F.max("copies").alias("n"))
                          .filter("n > 0").withColumnRenamed("ticket", "of"), "mix-copies")
     held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("string").alias("ticket"))
     # the ids grow with the documents, so they are never broadcast

@@ -147,6 +147,29 @@ def test_mix_meets_targets(docs_of):
         assert abs(taken[s] - want[s]) <= 60 + 0.01 * want[s], s
 
 
+def test_rows_of_one_id_and_size_are_spread(spark):
+    """A third of all rows share id, source and size: no bucket gathers them."""
+    rows = spark.range(9000).selectExpr("case when id < 3000 then null else id end as doc_id", "case when id < 3000 then 'a b' else repeat('w ', int(id % 50)) end as text",
+                                        "'en' as lang", "cast(id % 2 as string) as source", "id as n_chars").selectExpr("*", "1 as place", "2 as salt").repartition(6)
+    dealt = MX._dealt(*MX._planned(rows, "doc_id", "text", "source", MX.WEIGHTS, 3, 100), 100)
+    assert dealt.groupBy("source", "bucket").count().agg(F.max("count")).first()[0] < 400
+    got = MX.mix(rows, bucket_docs=100).collect()
+    assert len(got) == 9000 and sum(r["doc_id"] is None for r in got) == 3000
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 60 for s in target)
+
+
+def test_the_level_of_many_sources(spark):
+    draw = random.Random(4)
+    sizes = {f"h{i:03}": draw.choice([0, 1, 7, 100, 5000, 10**6]) for i in range(200)} | {None: 50, "ä": 3}
+    got = {r["source"]: r["target"] for r in MX.capped_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    want = _plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+
+
 def test_mix_edges(docs_of):
     assert MX.mix(docs_of([])).collect() == []
     got = {r["doc_id"]: r for r in MX.mix(docs_of([(1, None, "a"), (2, "x y", "a"), (None, "z", None)])).collect()}
