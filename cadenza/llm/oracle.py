@@ -3,6 +3,7 @@ tables; it shares only rules, templates and thresholds with the operators."""
 
 from __future__ import annotations
 
+import math
 import re
 import string
 
@@ -113,13 +114,21 @@ FROM judged LEFT JOIN decided d ON d.node = judged.address"""
 # --- licences -----------------------------------------------------------------------
 
 def license_scan_sql() -> str:
-    rows = []
-    for name, text in LI.TEMPLATES:
-        words = re.sub(r"[\W_]+", " ", text.lower()).split()
-        grams = dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))
-        rows.append(f"('{name}', [{', '.join(map(_text, grams))}])")
+    rows, windows, anchors = [], [], []
+    for k, (name, text) in enumerate(LI.TEMPLATES + LI.FULL_TEXTS):
+        words = LI.template_words(text)
+        grams = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
+        if k < len(LI.TEMPLATES):
+            rows.append(f"('{name}', [{', '.join(map(_text, grams))}])")
+        windows.append(f"({k}, '{name}', {len(words)}, [{', '.join(map(_text, grams))}])")
+        # the longest bigrams, one more than a match may lack
+        rare = set(sorted(grams, key=lambda g: (-len(g), g))[:len(grams) - math.ceil(LI.THRESHOLD * len(grams) / (2 - LI.THRESHOLD) - 1e-9) + 1])
+        anchors += [f"({k}, {_text(f'{a} {b}')}, {i})" for i, (a, b) in enumerate(zip(words, words[1:])) if f"{a} {b}" in rare]
     return rf"""WITH tpl(license, tb) AS (VALUES {', '.join(rows)}),
-norm AS (SELECT doc_id, regexp_replace(lower(COALESCE(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS n FROM documents),
+wtpl(k, license, n_words, tb) AS (VALUES {', '.join(windows)}),
+anchor(k, g, place) AS (VALUES {', '.join(anchors)}),
+norm AS (SELECT doc_id, regexp_replace(lower(COALESCE(text, '')), '[^\p{{L}}\p{{N}}
+]+', ' ', 'g') AS n FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(n, chr(10))) AS l, unnest(range(len(string_split(n, chr(10))))) AS line FROM norm
           UNION ALL SELECT doc_id, replace(n, chr(10), ' '), -1 FROM norm),
 words AS (SELECT doc_id, line, list_filter(string_split(l, ' '), lambda w: w <> '') AS w FROM lines),
@@ -127,10 +136,19 @@ grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), la
           FROM words WHERE len(w) > 1),
 scored AS (SELECT doc_id, line, license, 2 * len(list_intersect(b, tb)) / CAST(len(b) + len(tb) AS DOUBLE) AS score FROM grams, tpl),
 near AS (SELECT * FROM scored WHERE score >= {LI.THRESHOLD} QUALIFY score = MAX(score) OVER (PARTITION BY doc_id, line)),
+places AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words WHERE line = -1)),
+starts AS (SELECT DISTINCT doc_id, k, i - place AS begins FROM places JOIN anchor USING (g)),
+spans AS (SELECT doc_id, license, tb, w, greatest(begins, 0) AS s, least(begins + n_words, len(w)) AS e FROM starts JOIN wtpl USING (k)
+          JOIN (SELECT * FROM words WHERE line = -1) USING (doc_id)),
+windows AS (SELECT doc_id, license, s, e, tb, list_distinct(list_transform(range(s + 1, e), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM spans),
+reached AS (SELECT * FROM (SELECT doc_id, license, s, e, 2 * len(list_intersect(b, tb)) / CAST(len(b) + len(tb) AS DOUBLE) AS score FROM windows)
+            WHERE score >= {LI.THRESHOLD}),
+free AS (SELECT * FROM reached x WHERE NOT EXISTS (SELECT 1 FROM reached y WHERE y.doc_id = x.doc_id AND y.score > x.score AND y.s < x.e AND x.s < y.e)),
+every AS (SELECT doc_id, line, NULL AS s, license, score FROM near UNION ALL SELECT doc_id, NULL, s, license, score FROM free),
 hits AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
                 first(license ORDER BY score DESC, license) AS best_license, MAX(score) AS best_score,
-                greatest(COUNT(DISTINCT line) FILTER (line >= 0), 1) AS n_passages
-         FROM near GROUP BY doc_id)
+                greatest(COUNT(DISTINCT line) FILTER (line >= 0), COUNT(DISTINCT s), 1) AS n_passages
+         FROM every GROUP BY doc_id)
 SELECT d.doc_id, COALESCE(licenses, '') AS licenses, best_license, COALESCE(best_score, 0.0) AS best_score,
        COALESCE(n_passages, 0) AS n_passages FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id"""
 

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from cadenza.llm import license_scan as LI
 from cadenza.llm import secret_scan as SE
 from cadenza.llm import url_filter as UF
@@ -115,20 +117,60 @@ def _dice(a, b):
     return 2 * len(a & b) / max(1, len(a) + len(b))
 
 
+def _best_licence(text):
+    """The highest score over the text, its lines and all windows that have a bigram of a template's rarest in its place."""
+    found = [_dice(p, t) for p in [text, *text.split("\n")] for _, t in LI.TEMPLATES]
+    words = LI.template_words(text)
+    for _, t in LI.TEMPLATES + LI.FULL_TEXTS:
+        tw = LI.template_words(t)
+        grams = list(dict.fromkeys(zip(tw, tw[1:])))
+        rare = sorted(grams, key=lambda g: (-len(" ".join(g)), " ".join(g)))[:len(grams) - -(-2 * len(grams) // 3) + 1]
+        for at in range(-len(tw), len(words)):
+            if any((words[at + i], words[at + i + 1]) in rare and (words[at + i], words[at + i + 1]) == (tw[i], tw[i + 1])
+                   for i in range(max(0, -at), min(len(tw) - 1, len(words) - 1 - at))):
+                found.append(_dice(" ".join(words[max(0, at):at + len(tw)]), t))
+    return max(x if x >= LI.THRESHOLD else 0 for x in found)
+
+
 def test_licence_pruning_loses_nothing(docs_of):
     import random
 
     draw = random.Random(3)
     rows = []
     for i in range(150):
-        words = draw.choice(LI.TEMPLATES)[1].split()
-        for _ in range(draw.randint(0, 3)):
+        words = draw.choice(LI.TEMPLATES + LI.FULL_TEXTS)[1].split()
+        for _ in range(draw.randint(0, 3 + len(words) // 12)):
             words[draw.randrange(len(words))] = draw.choice(["x", "the", "License"])
-        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            words = ["some", "prose"] * draw.randint(0, 9) + words + ["more"] * draw.randint(0, 9)
+        rows.append((i, "".join(w + draw.choice([" ", " ", " ", "\n", "\n * "]) for w in words)))
     got = _licences(docs_of(rows))
     for i, text in rows:
-        best = max(_dice(text, t) for _, t in LI.TEMPLATES)
-        assert abs(got[i]["best_score"] - (best if best >= LI.THRESHOLD else 0)) < 1e-12, text
+        assert abs(got[i]["best_score"] - _best_licence(text)) < 1e-12, text
+
+
+@pytest.mark.parametrize("wrap", [40, 75])
+def test_full_texts_and_headers_are_found(docs_of, wrap):
+    """Wrapped, in comments, inside longer files and lines, with a few words changed."""
+    import textwrap
+
+    rows, want = [], {}
+    for i, (name, text) in enumerate(LI.FULL_TEXTS):
+        lines = textwrap.wrap(text, wrap)
+        words = text.split()
+        words[len(words) // 2] = "another"
+        for j, made in enumerate(["\n".join(lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint main() {}", "\n".join(f"# {x}" for x in lines),
+                                  "Readme\n\nSome words about it.\n\n" + "\n".join(lines) + "\n\nand so on. " * 40, " ".join(words)]):
+            rows.append((10 * i + j, made))
+            want[10 * i + j] = name
+    rows += [(900, "MIT License\n\nCopyright (c) 2020 A B\n\n" + "\n".join(textwrap.wrap(LI.FULL_TEXTS[0][1], wrap))),
+             (901, "This project is Licensed under the MIT License. See file."), (902, "Permission was granted to go, free of charge, to any person."),
+             (903, "\n".join(textwrap.wrap(LI.FULL_TEXTS[0][1], wrap)) + "\n\nThird party\n\n" + "\n".join(textwrap.wrap(LI.FULL_TEXTS[1][1], wrap)))]
+    got = _licences(docs_of(rows))
+    for i, name in want.items():
+        assert got[i]["best_license"] == name, (i, name, got[i])
+    assert got[900]["licenses"] == "MIT" and got[901]["licenses"] == "MIT" and got[902]["licenses"] == ""
+    assert got[903]["licenses"] == "ISC,MIT" and got[903]["n_passages"] == 2
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

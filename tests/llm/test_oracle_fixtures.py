@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from cadenza.llm.license_scan import FULL_TEXTS
 from cadenza.llm.queries import LLM_ORACLE, LLM_QUERIES
 from test_native_scans import LINK_CASES
 
@@ -41,4 +42,7 @@ def test_odd_documents(spark, docs_of, tmp_path, key):
             (4, "token=secret=abcdef password : 'x/y+z_1' TOKEN=abc AKIA" + "Z" * 20 + " 0123456789abcdef01234567", "b"),
             (5, "é𝄞 api-key api_key=abcdef\n" * 40, None), (6, "w " * 60 + "#|", "c"), (7, "one two three four five " * 12, "c"),
             (8, "\x0b\x0c tab\tseparated\r\nlines \n \nlines ", "d"), (9, "ſecret=abcdefgh toKen=abcdefgh", "d")]
+    words = [w for _, t in FULL_TEXTS for w in t.split()]
+    rows += [(20 + i, ("\n# " if i % 2 else " ").join(words[40 * i:40 * i + 90])) for i in range(12)]
+    rows += [(50, "see This project is Licensed under the MIT License. Licensed under the MIT\nlicense, or Licensed under the Apache License, Version 2.0 now")]
     _same(spark, key, tmp_path, {"documents": docs_of(rows)})
