@@ -15,6 +15,11 @@ as n words in a row have.  A verbatim copy maps every value to itself; a
 question with other numbers, names or units, or with words put in, left out or
 changed, is caught as well.
 
+Items under ``LONG_WORDS`` words start from shorter windows, so that one changed
+word leaves a whole one.  Items under ``MIN_WORDS`` words are too common inside
+other text; they leak as a line or text of their own.  Scripts written without
+spaces have a word for each character.
+
 The benchmark is read in chunks of at most ``CHUNK_WINDOWS`` windows, so what
 a task holds is bounded whatever its size; each chunk is one pass over the
 documents, without a shuffle.  Hits are checked in the task that finds them,
@@ -33,11 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-MIN_WORDS = 5  # shorter items are too common to tell a leak
+LONG_WORDS = 16
+SHORT_WINDOWS = ((8, 3), (LONG_WORDS, 4))  # of items under so many words
+MIN_WORDS = 5  # shorter items leak as a line of their own only
 MIN_COVERAGE = 0.5
 MIN_PLAIN = 0.5  # of a window's tokens, so that slots alone never match
 MAX_SHIFT = 8  # words of a gap in a chain, on either side
-RESYNC = 3  # words that agree after a gap
+RESYNC, SHORT_RESYNC = 3, 2  # words that agree after a gap, in items of LONG_WORDS words and in shorter ones
 CHUNK_WINDOWS = 2_000_000
 CACHE_WORDS = 500_000
 SLICE_CHARS = 2_000_000
@@ -48,6 +55,13 @@ UNITS = frozenset((
     "ounces ton tons ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours h day days week "
     "weeks month months year years percent dollar dollars euro euros cent cents degree degrees watt watts volt volts mph").split())
 
+#: Numbers as words ("one" is more often none).
+NUMBER_WORDS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty "
+    "forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+
+#: Ranges of scripts that are written without spaces (Thai to Lao, Burmese, Khmer, kana, ideographs).
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
 _NUMBER = re.compile(r"[$€£+-]?[0-9]+(?:[.,:/][0-9]+)*(?:%|st|nd|rd|th)?$")
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -55,6 +69,18 @@ _SLOT_HASH = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E37
 _BASE = 0x5851F42D4C957F2D
 
 
+def split_words(text: str | None) -> list[str]:
+    """The words of a text; each character of a script without spaces is one."""
+    if not text:
+        return []
+    return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()
+
+
+def seed_window(n_words: int, window: int) -> int:
+    """The window length from which a copy of an item is found."""
+    return min(window, next((w for under, w in SHORT_WINDOWS if n_words < under), window))
+
+
 class Words(dict):
     """Facts about raw words, computed once for each: row number in the
     tables.  ``core`` is the lower-case word without punctuation around it."""
@@ -69,7 +95,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         core = _EDGES.sub("", word)
         low = core.lower()
-        number = bool(_NUMBER.match(core))
+        number = bool(_NUMBER.match(core)) or low in NUMBER_WORDS
         capital = core[:1].isupper() and core[1:].islower() and len(core) > 1
         self[word] = row = len(self.core)
         self.core.append(low)
@@ -115,9 +141,10 @@ def _agree(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return (item == text).any(axis=0)
 
 
-def runs(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def runs(item: np.ndarray, text: np.ndarray, resync: int = RESYNC) -> Iterator[tuple[int, int, int]]:
     """(place, at, length) of the runs of words in which item and text agree,
-    from the start of both on, over gaps.  Hashes have a row for each kind."""
+    from the start of both on, over gaps after which ``resync`` words agree.
+    Hashes have a row for each kind."""
     p = a = 0
     while n := min(item.shape[1] - p, text.shape[1] - a):
         same = _agree(item[:, p:p + n], text[:, a:a + n])
@@ -126,11 +153,11 @@ def runs(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield p, a, length
         if length == n:
             return
-        p, a, span = p + length, a + length, MAX_SHIFT + RESYNC
+        p, a, span = p + length, a + length, MAX_SHIFT + resync
         same = _agree(item[:, p:p + span, None], text[:, None, a:a + span])
-        rows, cols = (max(0, k - RESYNC + 1) for k in same.shape)
+        rows, cols = (max(0, k - resync + 1) for k in same.shape)
         again = np.ones((rows, cols), dtype=bool)
-        for k in range(RESYNC):
+        for k in range(resync):
             again &= same[k:rows + k, k:cols + k]
         if not again.any():
             return
@@ -140,20 +167,23 @@ def runs(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 class Benchmark:
     """A chunk of benchmark items with its hash tables, one for each window
-    length: ``WINDOW``, and the lengths of items that are shorter."""
+    length (:func:`seed_window`), and the short items as a whole."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         words = Words()
         self.ids, self.cores, self.slots, self.hashes, self.usable = [], [], [], [], []
+        self.whole: dict[tuple[str, ...], list] = {}
         entries: dict[int, list] = {}
         for item_id, text in items:
-            ids = np.array([words[w] for w in (text or "").split()], dtype=np.int64)
+            ids = np.array([words[w] for w in split_words(text)], dtype=np.int64)
             if len(ids) < MIN_WORDS:
+                if len(ids):
+                    self.whole.setdefault(tuple(words.core[i] for i in ids), []).append(item_id)
                 continue
             first = np.zeros(len(ids), dtype=bool)
             first[0] = True
             hashes, slot = canonical(words, ids, first, words.tables())
-            length = min(window, len(ids))
+            length = seed_window(len(ids), window)
             plain = np.concatenate(([0], np.cumsum(slot == PLAIN)))
             usable = plain[length:] - plain[:-length] >= MIN_PLAIN * length
             at = len(self.ids)
@@ -178,7 +208,9 @@ class Benchmark:
 
     def hits(self, texts: list[str | None], words: Words) -> Iterator[tuple[int, int, int, float]]:
         """(row, item_id, windows, coverage) of the contaminated texts."""
-        split = [t.split() if t else [] for t in texts]
+        if self.whole:
+            yield from self._alone(texts, words)
+        split = [split_words(t) for t in texts]
         lengths = np.array([len(w) for w in split], dtype=np.int64)
         if not lengths.sum():
             return
@@ -213,6 +245,15 @@ class Benchmark:
                 if coverage >= MIN_COVERAGE:
                     yield r, self.ids[k], filled, coverage
 
+    def _alone(self, texts: list[str | None], words: Words) -> Iterator[tuple[int, int, int, float]]:
+        """Short items that a line, or the whole text, consists of."""
+        for row, text in enumerate(texts):
+            found = {}
+            for line in {text or "", *(text or "").split("\n")}:
+                if len(line) and len(w := split_words(line)) < MIN_WORDS:
+                    found |= dict.fromkeys(self.whole.get(tuple(words.core[words[x]] for x in w), ()))
+            yield from ((row, item_id, 1, 1.0) for item_id in found)
+
     def _best(self, k: int, places: np.ndarray, at: np.ndarray, length: int, text: np.ndarray,
               words: Words, ids: np.ndarray) -> tuple[int, float]:
         """(windows, coverage) of the best chain through hits of one item."""
@@ -229,8 +270,9 @@ class Benchmark:
     def _chain(self, k: int, place: int, at: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matched places and positions around a hit, both rising."""
         item = self.hashes[k]
-        before = [(place - p - n, at - a - n, n) for p, a, n in runs(item[:, :place][:, ::-1], text[:, :at][:, ::-1])]
-        found = before[::-1] + [(place + p, at + a, n) for p, a, n in runs(item[:, place:], text[:, at:])]
+        resync = RESYNC if item.shape[1] >= LONG_WORDS else SHORT_RESYNC
+        before = [(place - p - n, at - a - n, n) for p, a, n in runs(item[:, :place][:, ::-1], text[:, :at][:, ::-1], resync)]
+        found = before[::-1] + [(place + p, at + a, n) for p, a, n in runs(item[:, place:], text[:, at:], resync)]
         return tuple(np.concatenate([np.arange(f[i], f[i] + f[2]) for f in found]) for i in (0, 1))
 
     def _consistent(self, k: int, p: np.ndarray, a: np.ndarray, words: Words, ids: np.ndarray) -> Iterator[slice]:
@@ -259,14 +301,19 @@ class Benchmark:
 
 def chunks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
            most: int = CHUNK_WINDOWS) -> Iterator[Benchmark]:
-    """The benchmark in chunks of bounded size, fetched a partition at a time."""
+    """The benchmark in chunks of at most ``most`` words, fetched a partition
+    at a time; an item beyond that is cut into pieces, each an item."""
     items, size = [], 0
     for item_id, text in benchmark.select(id_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        items.append((item_id, text))
-        size += 1 + text.count(" ")
-        if size >= most:
-            yield Benchmark(items)
-            items, size = [], 0
+        n = len(split_words(text))
+        pieces = [text] if n <= most else [" ".join(split_words(text)[a:a + most]) for a in range(0, n, most)]
+        for piece in pieces:
+            n = min(n, most)
+            if items and size + n > most:
+                yield Benchmark(items)
+                items, size = [], 0
+            items.append((item_id, piece))
+            size += n
     if items:
         yield Benchmark(items)
 
@@ -293,9 +340,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     document and item that leaks into it, ``contaminated`` true.  Clean
     documents have no row.
 
-    Null and empty texts are clean, and so are null and empty items and those
-    of fewer than ``MIN_WORDS`` words.  Repeated documents or items each have
-    their rows; null ids stay null.  Empty input: no rows.  Other columns are
+    Null and empty texts are clean, and so are null and empty items.  An item
+    under ``MIN_WORDS`` words leaks into documents with a line, or a whole
+    text, of its words only.  Repeated documents or items each have their rows,
+    and so has each piece of an item beyond ``CHUNK_WINDOWS`` words; null ids
+    stay null.  Empty input: no rows.  Other columns are
     not read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("ticket"), F.col(text_col).alias("text"))

@@ -323,3 +323,42 @@ def test_chunks_of_the_benchmark_give_the_same(spark, docs_of):
     assert {(r["doc_id"], r["item_id"]) for r in DE.find_leaks(docs_of(rows), bench).collect()} >= want
     sizes = [len(c.ids) for c in DE.chunks(bench, most=200)]
     assert len(sizes) > 3 and sum(sizes) == 60
+
+
+@pytest.mark.parametrize("size", [5, 6, 8, 9, 12, 15])
+def test_short_items_with_a_changed_word(size):
+    """One word changed anywhere: a window must be left, and half of the windows matched."""
+    draw = random.Random(size)
+    item = [f"w{i}{draw.choice(WORDS)}" for i in range(size)]
+    window = DE.seed_window(size, DE.WINDOW)
+    bench = DE.Benchmark([(5, " ".join(item))])
+    for at in range(size):
+        text = " ".join([_prose(draw, 30), *item[:at], "new", *item[at + 1:], _prose(draw, 30)])
+        less, more = sorted([at, size - at - 1])
+        matched = more + (less if less >= DE.SHORT_RESYNC else 0)
+        found = more >= window and matched - window + 1 >= DE.MIN_COVERAGE * (size - window + 1)
+        assert [r[1] for r in bench.hits([text], DE.Words())] == [5] * found, at
+        assert found or size == 5
+    assert not list(bench.hits([_prose(draw, 400), " ".join(item[:2] + item[-2:])], DE.Words()))
+
+
+def test_spelled_numbers_are_numbers():
+    bench = DE.Benchmark([(1, "Ann buys twelve apples and eats five of them today so how many remain")])
+    text = "Ann buys seven apples and eats three of them today so how many remain"
+    assert [(r[1], r[3]) for r in bench.hits([text], DE.Words())] == [(1, 1.0)]
+
+
+def test_items_without_spaces_and_very_short_ones(spark, docs_of):
+    items = spark.createDataFrame([(1, "中国的首都是哪一座城市请回答"), (2, "short one"), (3, "Yes!"), (4, "東京"), (5, "日本で一番高い山は何ですか")], "item_id long, text string")
+    rows = [(1, "他问我中国的首都是哪一座城市请回答我不知道"), (2, "first line\nSHORT one.\nlast"), (3, "short one " * 30), (4, "yes"), (5, "oh yes it is"),
+            (6, "東京"), (7, "東京は大きい"), (8, "昔日本で一番高い山は何ですかと聞いた"), (9, "中国的山"), (10, None)]
+    got = {(r["doc_id"], r["item_id"]) for r in DE.find_leaks(docs_of(rows), items).collect()}
+    assert got == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 5)}
+    assert {r["doc_id"] for r in DE.drop_leaks(docs_of(rows), items).collect()} == {3, 5, 7, 9, 10}
+
+
+def test_a_benchmark_item_beyond_a_chunk_is_cut(spark):
+    words = [f"w{i}" for i in range(900)]
+    bench = spark.createDataFrame([(1, "\n".join(words)), (2, "\t".join(words[:50]))], "item_id long, text string")
+    sizes = [[len(c) for c in chunk.cores] for chunk in DE.chunks(bench, most=200)]
+    assert max(map(sum, sizes)) <= 200 and sum(map(sum, sizes)) == 950
