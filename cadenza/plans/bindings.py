@@ -60,7 +60,11 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
+    return requests_of(table(spark, d, "conversations"))
+
+
+def requests_of(c: DataFrame) -> DataFrame:
+    """Requests of a conversations table or stream."""
     return c.select(
         (F.col("conv_id") * 10 + F.col("turn")).alias("request_id"),
         F.when(F.col("role") == "user", F.lit("lyrics"))

@@ -25,7 +25,11 @@ from cadenza.operators import clusters as CL
 from cadenza.operators import encode as EN
 from cadenza.operators import kmeans as KM
 from cadenza.operators import kmeans_seeded as KS
+from cadenza.operators import recommend as RC
 from cadenza.operators import themes as TH
+from cadenza.operators import vector_index as VI
+from cadenza.operators.estimator import MiniBatchKMeans, MiniBatchKMeansModel
+from cadenza.operators.kmeans import relabel_by_min_member
 from cadenza.operators.sample import sample_exact
 from cadenza.operators.silhouette import silhouette_exact, silhouette_squared
 from cadenza.plans import bindings as B
@@ -245,6 +249,45 @@ def q_kmeans_labels(spark, d):
     return KS.cluster_seeded(B.vectors(spark, d).select("song_id", "embedding"), n_init=1)[0].select("song_id", "cluster")
 
 
+def q_cluster_minibatch(spark, d):
+    # fitted, saved and loaded again
+    points = B.vectors(spark, d).select("song_id", "embedding")
+    path = _scratch(spark, "minibatch")
+    MiniBatchKMeans(batchRows=MINIBATCH_ROWS, featuresCol="embedding").fit(points).save(path)
+    return relabel_by_min_member(MiniBatchKMeansModel.load(path).transform(points)).select("song_id", "cluster")
+
+
+def recommend_stream(requests: DataFrame, songs: DataFrame, index: VI.VectorIndex, path: str, k: int = K.PLAYLIST_SIZE, dim: int = EN.DEFAULT_DIM):
+    """Answer a stream of requests against a stored vector index: each
+    micro-batch is validated, resolved, encoded and searched, and its ranked
+    songs are written to a folder of its number, so a second try replaces the
+    first.  An index does not change once written: a new version has a path of
+    its own, which a restarted query is given."""
+    spark = requests.sparkSession
+
+    def answer(batch: DataFrame, number: int) -> None:
+        inputs = RC.request_inputs(batch, songs).filter(F.col("status") == "ok")
+        found, _ = VI.search(index, EN.hash_encode(inputs, "request_id", "input_text", dim), k)
+        found.write.mode("overwrite").parquet(f"{path}/ranked/batch={number}")
+
+    spark.createDataFrame([], RANKED).write.mode("overwrite").parquet(f"{path}/ranked/batch=-1")
+    return requests.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(answer).start()
+
+
+RANKED = "request_id long, song_id long, similarity double, rank int"
+
+
+def q_playlist_stream(spark, d):
+    songs = B.songs(spark, d)
+    index = VI.build_vector_index(EN.hash_encode(songs, "song_id", "corpus", EN.DEFAULT_DIM), _scratch(spark, "vector-index"))
+    path = _scratch(spark, "playlist-stream")
+    recommend_stream(B.requests_of(_stream_of(spark, d, "conversations")), songs, index, path).awaitTermination()
+    ranked = spark.read.schema(RANKED).parquet(f"{path}/ranked")
+    meta = songs.select("song_id", F.col("song_title").alias("song_name"), "artist_name")
+    return ranked.join(meta, "song_id", "left").select(
+        "request_id", "rank", "song_id", "song_name", "artist_name", F.round("similarity", 6).alias("similarity"))
+
+
 def q_theme_labels(spark, d):
     return _seeded_run(spark, d).assignments.select("song_id", "cluster")
 
@@ -320,6 +363,7 @@ def run_late(events: DataFrame, make, name: str, lateness_seconds: int, pieces:
     return spark.read.schema(out).parquet(f"{path}/out").filter(F.col(key) != -1)
 
 
+MINIBATCH_ROWS = 200  # of the test vectors, 500 and more
 LATENESS_SECONDS = 2 * 86400  # of the test events, which span a month
 
 
@@ -372,6 +416,8 @@ JOB_QUERIES = {
     "cluster_describe_job": q_cluster_describe_job,
     "describe_terms": q_describe_terms,
     "kmeans_labels": q_kmeans_labels,
+    "cluster_minibatch": q_cluster_minibatch,
+    "playlist_stream": q_playlist_stream,
     "theme_labels": q_theme_labels,
     "theme_cards": q_theme_cards,
     "theme_cluster_terms": q_theme_cluster_terms,

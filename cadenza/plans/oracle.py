@@ -11,7 +11,7 @@ from cadenza import constants as K
 from cadenza.functions.text import offline_stopwords
 from cadenza.operators.kmeans_seeded import ROUNDS
 from cadenza.plans.bindings import with_ctes
-from cadenza.plans.oracle_kmeans import SILHOUETTE, dense_hash_ctes, kmeans_ctes
+from cadenza.plans.oracle_kmeans import SILHOUETTE, dense_hash_ctes, kmeans_ctes, minibatch_sql
 
 
 def _lst(words) -> str:
@@ -587,6 +587,9 @@ clustered AS (SELECT s.song_id, s.artist_name, s.corpus_clean AS corpus, l.clust
 
     q["kmeans_labels"] = f"""{with_ctes('vectors')}, points AS (SELECT song_id, embedding::DOUBLE[] AS e FROM vectors),
 {kmeans_ctes('points')} SELECT song_id, cluster FROM labels"""
+    vector_points = f"{with_ctes('vectors')}, points AS (SELECT song_id, embedding::DOUBLE[] AS e FROM vectors)"
+    q["cluster_minibatch"] = minibatch_sql(vector_points, 200, 10)
+    q["playlist_stream"] = q["playlist_topk"]
     q["theme_labels"] = f"{theme} SELECT song_id, cluster FROM labels"
     q["theme_cluster_terms"] = over("cluster_terms", theme)
     best_terms = q["theme_cluster_terms"][len(theme):]

@@ -38,6 +38,26 @@ def kmeans_ctes(points: str, k: int = K.DEFAULT_CLUSTERS, seed: int = K.SEED, ro
     return ",\n".join(out)
 
 
+def minibatch_sql(with_points: str, batch_rows: int, steps: int, k: int = K.DEFAULT_CLUSTERS, seed: int = K.SEED) -> str:
+    """Labels of the mini-batch clustering, step by step from the same seeds."""
+    ctes = kmeans_ctes("points", k, seed, rounds=0).split(",\nnear0 AS")[0]
+    out = [ctes, f"parts AS (SELECT greatest(1, CAST(ceil(COUNT(*) / {float(batch_rows)!r}) AS BIGINT)) AS m FROM points)",
+           "state0 AS MATERIALIZED (SELECT cluster, c, 0 AS seen FROM centres0)"]
+    near = ("near{r} AS MATERIALIZED (SELECT p.song_id, any_value(p.e) AS e, MIN({{'d': list_distance(p.e, c.c), 'cluster': c.cluster}}).cluster AS cluster "
+            "FROM {src} p, state{r} c GROUP BY p.song_id)")
+    for r in range(steps):
+        draw = f"('0x' || substr(md5('{seed}:batch:{r}:' || CAST(song_id AS VARCHAR)), 1, 8))::BIGINT % m = 0"
+        out.append(near.format(r=r, src=f"(SELECT song_id, e FROM points, parts WHERE {draw})"))
+        out.append(f"sums{r} AS (SELECT cluster, list(m ORDER BY i) AS c, any_value(n) AS n FROM (SELECT cluster, i, avg(x) AS m, COUNT(*) AS n FROM ("
+                   f"SELECT cluster, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM near{r}) GROUP BY cluster, i) GROUP BY cluster)")
+        moved = "list_transform(list_zip(o.c, s.c), lambda z: z[1] + (z[2] - z[1]) * (s.n / (o.seen + s.n)))"
+        out.append(f"state{r + 1} AS MATERIALIZED (SELECT o.cluster, CASE WHEN s.n IS NULL THEN o.c ELSE {moved} END AS c, o.seen + COALESCE(s.n, 0) AS seen "
+                   f"FROM state{r} o LEFT JOIN sums{r} s USING (cluster))")
+    out.append(near.format(r=steps, src="points"))
+    out.append(f"ranked AS (SELECT cluster AS old, CAST(row_number() OVER (ORDER BY MIN(song_id)) - 1 AS INTEGER) AS cluster FROM near{steps} GROUP BY cluster)")
+    return f"{with_points},\n" + ",\n".join(out) + f"\nSELECT n.song_id, r.cluster FROM near{steps} n JOIN ranked r ON r.old = n.cluster"
+
+
 def dense_hash_ctes(src: str, text: str, hash_long: str, dim: int) -> str:
     """``points`` from the long-form hash encoding ``h`` of a table's texts."""
     return f"""{hash_long},
