@@ -21,6 +21,6 @@ from pyspark import cloudpickle as _cloudpickle
 # installed and no extra files shipped.
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
-from cadenza.session import get_spark, checkpoint_dir  # noqa: E402,F401
+from cadenza.session import checkpoint_dir, clear_intermediate, get_spark  # noqa: E402,F401
 
 __version__ = "0.1.0"

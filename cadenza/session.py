@@ -48,6 +48,21 @@ def get_spark(master: str | None = None, app: str = "cadenza", **conf) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The run's own folder, by application id, for intermediate tables, stream
+    results and their checkpoints, inside the folder that driver and executors
+    share.  :func:`clear_intermediate` deletes it."""
+    return f"{shared_folder(spark).rstrip('/')}/cadenza-{spark.sparkContext.applicationId}"
+
+
+def clear_intermediate(spark: SparkSession) -> bool:
+    """Delete what this run has written to its folder; results that are still
+    to be read from it are lost.  Whether there was anything."""
+    jvm, path = spark.sparkContext._jvm, checkpoint_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+
+
+def shared_folder(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a

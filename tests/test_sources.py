@@ -74,3 +74,16 @@ def test_songs_in_order(spark):
     assert got == [(c, i + 1, c + 3 * i) for c in range(3) for i in range(len(range(c, 40, 3)))]
     named = {r["song_id"]: r for r in songs_in_order(df).collect()}
     assert named[4]["song_title"] == "Unknown" == named[0]["artist_name"] and named[0]["song_url"] == ""
+
+
+def test_intermediate_tables_lie_in_the_runs_folder_and_can_be_cleared(spark):
+    import os
+
+    from cadenza.session import checkpoint_dir, clear_intermediate, shared_folder
+
+    folder = checkpoint_dir(spark)
+    assert folder.startswith(shared_folder(spark)) and spark.sparkContext.applicationId in folder
+    spark.range(3).write.mode("overwrite").parquet(f"{folder}/some-table")
+    local = folder.removeprefix("file:")
+    assert os.path.exists(f"{local}/some-table")
+    assert clear_intermediate(spark) and not os.path.exists(local) and not clear_intermediate(spark)
