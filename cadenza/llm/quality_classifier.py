@@ -10,9 +10,9 @@ cut has the score ``CUT_SCORE``.
 Features describe the form of a whole text (shares of character classes and
 of pairs of them, word and line statistics) and are computed by one function
 in the fit and in scoring.  Only the fit is bounded: it takes a sample of about
-``FIT_ROWS`` labelled documents, drawn row by row, so that an id with many rows
-is no heavier than others, and ``PAIRS_PER_ROW`` pairs for each.  Scoring is one
-pass without a shuffle.
+``FIT_ROWS`` labelled documents, drawn by a hash of the id and, of an id with
+more than ``ID_ROWS`` rows, about so many of them, and ``PAIRS_PER_ROW`` pairs for
+each.  Texts are scored where they lie; only ids and strengths are shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.shared import shared_table
 
 FIT_ROWS = 10_000
+ID_ROWS = 20
 PAIRS_PER_ROW = 4
 RIDGE = 3e-3
 CUT_SCORE = 0.3
@@ -126,32 +127,52 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+@dataclass(frozen=True)
+class Trained:
+    model: Model
+    labelled: DataFrame  # (lid, quality, n): each usable labelled id and its rows
+    bad_share: float  # of all labelled rows
+    sample: tuple[np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Trained:
     """Fit on labelled rows outside the held-out fifth.  Labels other than 0
     and 1 and null ids are not used; an id with several labels has that of the
     majority, good if even."""
-    usable = shared_table(labels.select(F.col("doc_id").alias("lid"), "quality").filter(
+    usable = labels.select(F.col("doc_id").alias("lid"), "quality").filter(
         F.col("quality").isin(0, 1) & F.col("lid").isNotNull() & (remainder(F.col("lid")) != 0)).groupBy("lid").agg(
-        (F.avg("quality") >= 0.5).cast("int").alias("quality")), "quality-labels")
-    ids = docs.select(F.col(id_col).alias("doc_id")).join(usable, F.col("doc_id") == F.col("lid"))
-    n, bad = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
-    share = min(1.0, fit_rows / max(1, n))
+        (F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    rows_of = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    labelled = shared_table(usable.join(rows_of, F.col("doc_id") == F.col("lid")).select("lid", "quality", "n"), "quality-labels")
+    n, bad, weighed = labelled.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (
+        F.col("n"), F.when(F.col("quality") == 0, F.col("n")).otherwise(0), F.least("n", F.lit(ID_ROWS)))]).first()
+    share = min(1.0, fit_rows / max(1, weighed))
+    drawn = shared_table(labelled.filter(F.pmod(F.xxhash64("lid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)), "quality-sample")
 
     @F.pandas_udf("array<double>")
     def described(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t).tolist() for t in texts], dtype=object)
 
+    side = F.broadcast(drawn) if drawn.count() <= 4 * fit_rows else drawn
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
-    drawn = given.filter(F.pmod(F.xxhash64("doc_id", "text", "place", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = drawn.join(usable, F.col("doc_id") == F.col("lid")).select("quality", described(F.col("text")).alias("x"), F.hash("doc_id", "text").alias("h"))
-    held = sample.sort("h", "quality").toPandas()  # about fit_rows rows: each is drawn by itself
+    one_row = F.pmod(F.xxhash64("doc_id", "place", F.lit(SEED)), F.lit(1_000_000)) < F.lit(1_000_000) * ID_ROWS / F.col("n")
+    rows = given.join(side, F.col("doc_id") == F.col("lid")).filter(one_row)
+    sample = rows.select("quality", described(F.col("text")).alias("x"), F.hash("doc_id", "text").alias("h"))
+    held = sample.sort("h", "quality").toPandas()  # about fit_rows rows
     x = np.array(held["x"].tolist(), dtype=float).reshape(len(held), N_FEATURES)
     good = held["quality"].to_numpy() == 1
-    model = fit_bradley_terry(x, good)
-    if not 0 < bad < n or not model.weights.any():
+    return Trained(fit_bradley_terry(x, good), labelled, bad / max(1, n), (x, good))
+
+
+def with_cut(trained: Trained, strengths: DataFrame) -> Model:
+    """The model with the cut at the quantile of bad labels among all labelled
+    rows of ``strengths`` (doc_id, strength); with one label the fit's own."""
+    model = trained.model
+    if not 0 < trained.bad_share < 1 or not model.weights.any():
         return model
-    strengths = given.join(usable, F.col("doc_id") == F.col("lid")).select(strength_column(F.col("text"), model).alias("s"))
-    cut = strengths.agg(F.percentile_approx("s", F.lit(bad / n), F.lit(10_000))).first()[0]
+    mine = strengths.join(trained.labelled, F.col("doc_id") == F.col("lid"))
+    cut = mine.agg(F.percentile_approx("strength", F.lit(trained.bad_share), F.lit(10_000))).first()[0]
+    x, good = trained.sample
     return replace(model, cut=cut, slope=_slope(model.strength(x) - cut, good))
 
 
@@ -163,12 +184,10 @@ def strength_column(text: Column, model: Model) -> Column:
     return strong(text)
 
 
-def score_column(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)))
-
-    return scored(text)
+def score_of(strength: Column, model: Model) -> Column:
+    at = math.log(CUT_SCORE / (1 - CUT_SCORE))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * (strength - F.lit(model.cut)) + F.lit(at)))
+    return 1 / (1 + F.exp(-z))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -178,13 +197,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     id is not held out.  Repeated rows each keep a row.  Without usable labels
     of both kinds all documents get one score.  Empty input: no rows.  Other
     columns are not read."""
-    model = train(docs, labels, id_col, text_col, fit_rows)
-    scored = docs.select(F.col(id_col).alias("doc_id"), score_column(F.col(text_col), model).alias("score"))
+    trained = train(docs, labels, id_col, text_col, fit_rows)
+    strengths = shared_table(docs.select(F.col(id_col).alias("doc_id"), strength_column(F.col(text_col), trained.model).alias("strength")), "quality-strengths")
+    scored = strengths.select("doc_id", score_of(F.col("strength"), with_cut(trained, strengths)).alias("score"))
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the documents that :func:`classify` predicts 0."""
-    model = train(docs, labels, id_col, text_col, fit_rows)
-    return docs.filter(score_column(F.col(text_col), model) >= CUT_SCORE)
+    trained = train(docs, labels, id_col, text_col, fit_rows)
+    # each text's strength is computed once; it travels with its row in a written table
+    held = shared_table(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
+                                    strength_column(F.col(text_col), trained.model).alias("strength")), "quality-strengths")
+    model = with_cut(trained, held.select("doc_id", "strength"))
+    return held.filter(score_of(F.col("strength"), model) >= CUT_SCORE).select("row.*")
