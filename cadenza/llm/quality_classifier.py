@@ -29,6 +29,7 @@ from cadenza.llm.shared import shared_table
 
 FIT_ROWS = 10_000
 ID_ROWS = 20
+SLICE_ROWS = 256
 PAIRS_PER_ROW = 4
 RIDGE = 3e-3
 CUT_SCORE = 0.3
@@ -179,7 +180,11 @@ def with_cut(trained: Trained, strengths: DataFrame) -> Model:
 def strength_column(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def strong(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.strength(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)))
+        out = np.empty(len(texts))
+        for a in range(0, len(texts), SLICE_ROWS):  # the features of a slice are held at once
+            part = texts.iloc[a:a + SLICE_ROWS]
+            out[a:a + len(part)] = model.strength(np.array([features(t) for t in part]).reshape(len(part), N_FEATURES))
+        return pd.Series(out)
 
     return strong(text)
 
