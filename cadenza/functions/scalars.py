@@ -42,12 +42,6 @@ def sample_key(id_col, seed: int = K.SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), _col(id_col).cast("string")))
 
 
-def sample_key_num(id_col, seed: int = K.SEED) -> Column:
-    """First 15 hex digits of :func:`sample_key` as a bigint in [0, 16**15).
-    Same order as the hex string up to ties in those 60 bits."""
-    return F.conv(F.substring(sample_key(id_col, seed), 1, 15), 16, 10).cast("bigint")
-
-
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 00:00 of a timestamp column, read as
     wall-clock time (works for TIMESTAMP_NTZ and does not depend on the

@@ -51,18 +51,6 @@ def vector_dim(emb: DataFrame, vec_col: str = "embedding") -> tuple[int, int]:
     return int(row["n"]), int(row["hi"] or 0)
 
 
-def checked_dim(emb: DataFrame, vec_col: str = "embedding") -> int:
-    """Common dimension of all vectors of a keyed table; raises as
-    :func:`vector_dim`, and on an empty table or duplicate keys (positional
-    alignment must become a key)."""
-    n, dim = vector_dim(emb, vec_col)
-    if not n:
-        raise ValueError("empty embedding table")
-    if emb.select("song_id").distinct().count() != n:
-        raise ValueError("embedding keys are not unique")
-    return dim
-
-
 def join_embeddings(emb: DataFrame, songs: DataFrame) -> DataFrame:
     """Attach song metadata to vectors: inner 1:1 equi-join on ``song_id``
     (a shuffle join of two tables of the same size; AQE may turn it into a
