@@ -89,3 +89,50 @@ def test_topk_rejects_mixed_and_null_vectors(spark):
     with pytest.raises(Exception, match="2 dimensions"):
         topk_cosine(qdf, skew, 2).collect()
     assert topk_cosine(qdf.limit(0), cdf, 2).collect() == []
+
+
+@pytest.mark.parametrize("limits", [{"part_bytes": 2000}, {"part_bytes": 1 << 20}, {"part_bytes": 2000, "block_bytes": 64}])
+def test_a_grid_of_parts_equals_brute_force(spark, limits):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(300, 8))
+    c[40:140] = c[3]  # more copies than k
+    c[20] = c[21] = 0.0
+    q = np.vstack([rng.normal(size=(30, 8)), c[3:4], np.zeros((1, 8))])
+    qdf, cdf = _frames(spark, q, c)
+    got = {}
+    for r in topk_cosine(qdf, cdf, 5, scan_bytes=0, **limits).collect():
+        got.setdefault(r["request_id"], []).append((r["rank"], r["song_id"], r["similarity"]))
+    exp = _brute(q, c, 5)
+    assert sorted(got) == list(range(len(q)))
+    for i, rows in got.items():
+        assert [(n, j) for n, j, _ in sorted(rows)] == [(n + 1, j) for n, (j, _) in enumerate(exp[i])]
+        assert np.allclose([s for _, _, s in sorted(rows)], [s for _, s in exp[i]])
+
+
+def test_a_task_of_the_grid_holds_candidates_of_its_own_queries_only(spark):
+    """What many queries send on does not grow with the tasks that the corpus is read in."""
+    rng = np.random.default_rng(9)
+    qdf, cdf = _frames(spark, rng.normal(size=(50, 4)), rng.normal(size=(400, 4)))
+    from cadenza.operators import topk as T
+
+    q = qdf.toDF("qkey", "qvec")
+    c = cdf.toDF("ckey", "cvec").repartition(16)
+    assert T._grid(q, c, 3, 50, 4, 1 << 20, 1 << 20).count() == 50
+
+
+def test_enrichment_ranks_once(spark, tmp_path, monkeypatch):
+    from cadenza.plans import catalog as CT
+
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    schema = "request_id long, rank int, song_id long, song_name string, artist_name string, similarity double"
+    ranked = spark.createDataFrame([(1, 1, 5, "a", "b", 0.5), (1, 11, 6, "c", "d", 0.4)], schema).mapInArrow(counted, schema)
+    tracks = spark.createDataFrame([("t5", "A", "b ", [], None)], "track_id string, title string, artist string, images array<struct<url:string>>, preview_url string")
+    monkeypatch.setattr(CT, "_ranked", lambda *_: ranked)
+    monkeypatch.setattr(CT.B, "catalogue", lambda *_: tracks)
+    assert len(CT.q_enrich_topk(spark, "").collect()) == 2 and ran.value == 2
