@@ -28,6 +28,9 @@ from cadenza.functions.text import split_ws
 from cadenza.operators.parallel import spread
 
 DEFAULT_DIM = 64
+SLICE_TOKENS = 1 << 17  # counted at once, whatever a batch holds
+SLICE_ROWS = 2048
+KNOWN_WORDS = 1 << 16  # whose buckets a task remembers
 BUILTIN_MODEL = f"hash-bow-{DEFAULT_DIM}"
 
 
@@ -54,41 +57,55 @@ def token_buckets(text, dim: int) -> F.Column:
     return F.transform(split_ws(F.lower(text)), lambda w: token_bucket(w, dim))
 
 
-def _md5_bucket(words, dim: int) -> np.ndarray:
-    return np.fromiter(
-        (int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim for w in words),
-        dtype=np.int64, count=len(words),
-    )
+def _md5_bucket(words: list[str], dim: int, known: dict | None = None) -> np.ndarray:
+    """Buckets of distinct words; ``known`` holds those of words met before."""
+    known = {} if known is None else known
+    for w in words:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim
+    return np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+
+
+def _slices(batch, tokens: int):
+    """A batch ``(id, tokens)`` in runs of rows of at most ``tokens`` tokens,
+    or of one row."""
+    ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, before + tokens, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _hash_batches(dim: int, id_col: str, out_col: str):
     """``mapInArrow`` body: ``(id, tokens list<string>)`` batches ->
     ``(id, embedding list<double>)``.  Flattening, parent indices and the
-    per-batch vocabulary are computed by Arrow in C++; only the distinct
-    tokens of a batch are hashed in Python."""
+    vocabulary are computed by Arrow in C++, for a bounded slice of a batch at
+    a time; only distinct tokens are hashed in Python."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            toks = b.column(1)
-            flat = pc.list_flatten(toks)
-            counts = np.zeros((n, dim))
-            if len(flat):
-                parents = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
-                enc = pc.dictionary_encode(flat)
-                codes = enc.indices.to_numpy().astype(np.int64)
-                buckets = _md5_bucket(enc.dictionary.to_pylist(), dim)[codes]
-                counts = np.bincount(parents * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.float64)
-                norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
-                nz = norms > 0
-                counts[nz] /= norms[nz, None]
-            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-            emb = pa.ListArray.from_arrays(offsets, pa.array(counts.reshape(-1), pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), emb], names=[id_col, out_col])
+        known: dict = {}
+        for batch in batches:
+            for b in _slices(batch, SLICE_TOKENS):
+                n, toks = b.num_rows, b.column(1)
+                flat = pc.list_flatten(toks)
+                counts = np.zeros((n, dim))
+                if len(flat):
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
+                    parents = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+                    enc = pc.dictionary_encode(flat)
+                    buckets = _md5_bucket(enc.dictionary.to_pylist(), dim, known)[enc.indices.to_numpy()]
+                    counts = np.bincount(parents * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.float64)
+                    norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+                    nz = norms > 0
+                    counts[nz] /= norms[nz, None]
+                offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+                emb = pa.ListArray.from_arrays(offsets, pa.array(counts.reshape(-1), pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), emb], names=[id_col, out_col])
 
     return run
 

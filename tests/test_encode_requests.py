@@ -119,3 +119,18 @@ def test_user_encoder_is_built_once_per_worker(spark, tmp_path):
 
     pids = [f.split("-")[0] for f in os.listdir(marks)]
     assert len(pids) == len(set(pids))
+
+
+def test_a_batch_is_counted_in_slices_of_bounded_tokens():
+    import pyarrow as pa
+
+    from cadenza.operators import encode as EN
+
+    lists = [["a"] * 40, None, [], ["b"] * EN.SLICE_TOKENS, ["c"] * 2, ["d"]] + [["e"] * 100] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "t"])
+    parts = list(EN._slices(batch, EN.SLICE_TOKENS))
+    assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches([batch]).combine_chunks())
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= EN.SLICE_TOKENS for p in parts)
+    out = list(EN._hash_batches(64, "id", "v")([batch]))
+    assert len(out) == len(parts) and sum(b.num_rows for b in out) == len(lists)
+    assert out[0].column("v")[1].as_py() == [0.0] * 64
