@@ -61,10 +61,12 @@ def _list_to_matrix(arr: pa.Array, dim: int) -> np.ndarray:
 
 class RunningTopK:
     """The best ``k`` (score, id) of each query so far: score descending, then
-    id ascending.  Memory: queries x k x 16 bytes."""
+    id ascending.  Memory: queries x k x 16 bytes.  ``least`` has scores below
+    which nothing can be among the best of a query; such are not kept."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, least: np.ndarray | None = None):
         self.k = k
+        self.least = np.full(n_queries, -np.inf) if least is None else least
         self.scores = np.full((n_queries, k), -np.inf)
         self.ids = np.full((n_queries, k), np.iinfo(np.int64).max)
 
@@ -98,7 +100,8 @@ class RunningTopK:
         for to in range(0, len(places), tile):
             at = places[to:to + tile]
             q, waiting, n = queries[at], [], 0
-            q32, floor = q.astype(np.float32), (self.scores[at, -1] - slack).astype(np.float32)
+            floor_of = lambda: (np.maximum(self.scores[at, -1], self.least[at]) - slack).astype(np.float32)
+            q32, floor = q.astype(np.float32), floor_of()
             for begin in range(0, len(x), step):
                 near = q32 @ x32[begin:begin + step].T
                 if near.shape[1] > self.k and np.isneginf(floor).any():  # no k rows seen yet
@@ -111,7 +114,7 @@ class RunningTopK:
                 n += len(found)
                 if n >= len(at) * self.k:
                     self._merge(at, q, x, ids, waiting)
-                    waiting, n, floor = [], 0, np.maximum(floor, (self.scores[at, -1] - slack).astype(np.float32))
+                    waiting, n, floor = [], 0, np.maximum(floor, floor_of())
             if waiting:
                 self._merge(at, q, x, ids, waiting)
 
@@ -123,7 +126,7 @@ class RunningTopK:
             s[i:i + PAIRS] = np.einsum("ij,ij->i", q[col[i:i + PAIRS]], x[row[i:i + PAIRS]])
         s, i = np.round(s, RANK_DECIMALS) + 0.0, ids[row]
         last, last_id = self.scores[at, -1][col], self.ids[at, -1][col]
-        better = (s > last) | ((s == last) & (i < last_id))
+        better = ((s > last) | ((s == last) & (i < last_id))) & (s >= self.least[at][col])
         col, s, i = col[better], s[better], i[better]
         if not len(col):
             return

@@ -16,15 +16,17 @@ ties included.  Cells that no query needs are not read (partition pruning).
 Where bounds do not help, the second round is a scan of the whole index.
 
 A task decides for itself which queries need a block, from the broadcast
-distances of queries to centroids; there is no table of (query, block) pairs.
-Rows are cut into blocks where they lie after a range partitioning, so a cell
+queries and centroids; there is no table of (query, block) pairs.  Corpus and
+queries are stored before the passes over them, so neither is encoded again.
+Blocks are scored in single precision against the threshold, and what reaches
+it exactly, as :mod:`~cadenza.operators.topk` does; a task of the second round
+returns only rows that reach the threshold.  Rows are cut into blocks where they lie after a range partitioning, so a cell
 with a third of the corpus is many tasks and many blocks.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.sample import sample_exact
-from cadenza.operators.topk import MAX_BROADCAST_BYTES, RANK_DECIMALS, RunningTopK, _list_to_matrix, _unit_rows
-from cadenza.session import checkpoint_dir
+from cadenza.operators.topk import MAX_BROADCAST_BYTES, RunningTopK, _list_to_matrix, _unit_rows, _written, first_copies
 from cadenza.sources.embeddings import vector_dim
 
 FIT_ROWS = 20_000  # vectors that the centroids are fitted to
@@ -44,7 +45,10 @@ FIT_ROUNDS = 8
 MAX_CELLS = 4096
 BLOCK_ROWS = 2048
 MAX_BLOCKS = 1 << 18  # rows of the block table; blocks grow beyond
-SLACK = 1e-9  # far above the rounding of distances, far below what matters
+SLACK = 1e-7  # above the rounding of distances, far below what matters
+ROUNDED = 4e-12  # of squared distances, by the rounding of similarities
+TILE_QUERIES = 1024  # whose distances to all centroids are held at once
+FOUND = "qkey long, ckey long, similarity double"
 ROWS = "cell int, block long, ckey long, dist double, cvec array<double>"
 
 
@@ -99,7 +103,7 @@ def build_vector_index(corpus: DataFrame, path: str, key: str = "song_id", vec:
     dimensions and repeated keys at the cut of the sample.  A zero vector has
     a cell of its own."""
     spark = corpus.sparkSession
-    src = corpus.select(F.col(key).cast("long").alias("ckey"), F.col(vec).alias("cvec"))
+    src = _written(corpus.select(F.col(key).cast("long").alias("ckey"), F.col(vec).cast("array<double>").alias("cvec")), "index-corpus")
     n, dim = vector_dim(src, "cvec")
     cells = min(cells or max(1, math.isqrt(n)), MAX_CELLS)
     block_rows = max(block_rows, -(-n // MAX_BLOCKS))
@@ -157,24 +161,19 @@ def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, size["n"], size["dim"], matrix, blocks)
 
 
-class _Round:
-    """Which blocks each query needs: those with a bound within ``limit``,
-    but for the cells the first round has scored (centroid within ``done``)."""
+def _needed(index: VectorIndex, cell: int, least: float, largest: float, to_centre: np.ndarray, limit: np.ndarray, done: np.ndarray | None) -> np.ndarray:
+    """The queries that need a block: those with a bound within ``limit``, but
+    for the cells the first round has scored (centroid within ``done``)."""
+    if cell < 0:  # zero vectors are similar to nothing; the first round has them
+        return np.arange(len(limit)) if done is None else np.zeros(0, dtype=np.int64)
+    if done is None:
+        return np.flatnonzero(to_centre <= limit + SLACK)
+    near = np.maximum(np.maximum(to_centre - largest, least - to_centre), 0.0) - SLACK
+    return np.flatnonzero((near <= limit) & (to_centre > done + SLACK))
 
-    def __init__(self, index: VectorIndex, to_centres: np.ndarray, limit: np.ndarray, done: np.ndarray | None):
-        self.to_centres, self.limit, self.done = to_centres, limit, done
-        b = index.blocks
-        self.places = dict(zip(b["block"].tolist(), zip(b["cell"].tolist(), b["least"].tolist(), b["largest"].tolist())))
 
-    def queries(self, block: int) -> np.ndarray:
-        cell, least, largest = self.places[block]
-        if cell < 0:  # zero vectors are similar to nothing; the first round has them
-            return np.arange(len(self.limit)) if self.done is None else np.zeros(0, dtype=np.int64)
-        d = self.to_centres[:, cell]
-        if self.done is None:
-            return np.flatnonzero(d <= self.limit)
-        near = np.maximum(np.maximum(d - largest, least - d), 0.0) - SLACK
-        return np.flatnonzero((near <= self.limit) & (d > self.done))
+def _to_cell(index: VectorIndex, vectors: np.ndarray, cell: int) -> np.ndarray:
+    return _distances(vectors, index.centres[cell:cell + 1])[:, 0] if cell >= 0 and len(index.centres) else np.zeros(len(vectors))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, query_key: str = "request_id", corpus_key: str = "song_id", vec: str = "embedding",
@@ -183,81 +182,114 @@ def search(index: VectorIndex, queries: DataFrame, k: int, query_key: str = "req
     :func:`~cadenza.operators.topk.topk_cosine` has them, and the work done.
     Queries are taken in chunks of at most ``max_broadcast_bytes``."""
     spark = queries.sparkSession
-    q = queries.select(F.col(query_key).cast("long").alias("qkey"), F.col(vec).alias("qvec"))
+    q = _written(queries.select(F.col(query_key).cast("long").alias("qkey"), F.col(vec).cast("array<double>").alias("qvec")), "index-queries")
     n_q, dim = vector_dim(q, "qvec")
-    schema, work = "qkey long, ckey long, similarity double", Work(cells=index.blocks["cell"].nunique())
-    found = spark.createDataFrame([], schema)
+    work, found = Work(pairs=n_q * index.n, cells=index.blocks["cell"].nunique()), spark.createDataFrame([], FOUND)
     if n_q and index.n:
         if dim != index.dim:
             raise ValueError(f"queries of {dim} dimensions for an index of {index.dim}")
-        chunks = math.ceil(n_q * (8 * dim + 8 * (len(index.centres) + 2) + 16 * k) / max_broadcast_bytes)
-        for chunk in range(chunks):
-            part = q.filter(F.pmod(F.xxhash64("qkey"), F.lit(chunks)) == chunk) if chunks > 1 else q
-            table = part.toArrow()  # at most max_broadcast_bytes
-            if table.num_rows:
-                found = found.unionByName(_search_chunk(index, spark, table, k, first_rows or max(4 * k, BLOCK_ROWS), schema, work))
+        chunks = math.ceil(n_q * (8 * dim + 16 * k + 64) / max_broadcast_bytes)
+        reached = _reach(index, q, first_rows or max(4 * k, BLOCK_ROWS))
+        first = _written(_score(index, reached, k, None, chunks, work), "first-round")
+        by_score = Window.partitionBy("qkey").orderBy(F.col("similarity").desc(), F.col("ckey").asc())
+        kth = first.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") == k).select(F.col("qkey").alias("of"), F.col("similarity").alias("kth"))
+        least = F.coalesce("kth", F.lit(-1.0))
+        limits = _written(reached.join(kth, F.col("qkey").eqNullSafe(F.col("of")), "left").select(
+            "qkey", "qvec", (F.sqrt(F.greatest(2 - 2 * least, F.lit(0.0)) + ROUNDED) + SLACK).alias("limit"), F.col("limit").alias("done"), least.alias("least")), "index-limits")
+        found = first.unionByName(_score(index, limits, k, "done", chunks, work))
     best = Window.partitionBy("qkey").orderBy(F.col("similarity").desc(), F.col("ckey").asc())
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("qkey").alias(query_key), F.col("ckey").alias(corpus_key), "similarity", F.col("rank").cast("int").alias("rank")), work
 
 
-def _search_chunk(index, spark, table, k, first_rows, schema, work) -> DataFrame:
-    keys = table.column("qkey").to_numpy()
-    vectors = _unit_rows(_list_to_matrix(table.column("qvec"), index.dim))
-    to_centres = _distances(vectors, index.centres) if len(index.centres) else np.zeros((len(keys), 1))
-    in_cell = index.blocks.groupby("cell")["rows"].sum()
-    sizes = np.zeros(to_centres.shape[1], dtype=np.int64)
-    for cell, rows in in_cell.items():
-        if cell >= 0:
-            sizes[cell] = rows
-    order = np.argsort(to_centres, axis=1, kind="stable")
-    enough = (np.cumsum(sizes[order], axis=1) >= first_rows).argmax(axis=1)
-    enough[sizes.sum() < first_rows] = to_centres.shape[1] - 1
-    reach = np.take_along_axis(to_centres, order, axis=1)[np.arange(len(keys)), enough]
-    reach[~vectors.any(axis=1)] = np.inf  # a zero query is as near to everything
-    rounds = lambda limit, done: _score(index, spark, (keys, vectors, _Round(index, to_centres, limit, done)), k, schema, work)
-    first = rounds(reach, None)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/first-round-{uuid.uuid4().hex[:12]}"
-    first.write.parquet(path)
-    first = spark.read.schema(schema).parquet(path)
-    by_score = Window.partitionBy("qkey").orderBy(F.col("similarity").desc(), F.col("ckey").asc())
-    kth = first.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select("qkey", "similarity").collect()  # a row for each query
-    kth = {r["qkey"]: r["similarity"] for r in kth}
-    threshold = np.array([kth.get(x, -1.0) for x in keys.tolist()])
-    limit = np.sqrt(np.maximum(2 - 2 * threshold, 0.0)) + SLACK
-    work.pairs += len(keys) * index.n
-    return first.unionByName(rounds(limit, reach))
-
-
-def _score(index: VectorIndex, spark: SparkSession, chunk: tuple, k: int, schema: str, work: Work) -> DataFrame:
+def _reach(index: VectorIndex, q: DataFrame, first_rows: int) -> DataFrame:
+    """Queries with the distance to the last of the nearest centroids whose
+    cells hold ``first_rows`` rows (``limit``), stored."""
+    in_cell = index.blocks[index.blocks["cell"] >= 0].groupby("cell")["rows"].sum()
+    sizes = np.zeros(max(1, len(index.centres)), dtype=np.int64)
+    sizes[in_cell.index.to_numpy(dtype=np.int64)] = in_cell.to_numpy()
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TILE_QUERIES):
+                part = b.slice(at, TILE_QUERIES)
+                x = _unit_rows(_list_to_matrix(part.column("qvec"), index.dim))
+                d = _distances(x, index.centres) if len(index.centres) else np.zeros((len(x), 1))
+                order = np.argsort(d, axis=1, kind="stable")
+                enough = (np.cumsum(sizes[order], axis=1) >= first_rows).argmax(axis=1)
+                if sizes.sum() < first_rows:
+                    enough[:] = d.shape[1] - 1
+                limit = np.take_along_axis(d, order, axis=1)[np.arange(len(x)), enough]
+                limit[~x.any(axis=1)] = np.inf  # a zero query is as near to everything
+                yield pa.RecordBatch.from_arrays([part.column("qkey"), part.column("qvec"), pa.array(limit)], names=["qkey", "qvec", "limit"])
+
+    return _written(q.mapInArrow(reach, "qkey long, qvec array<double>, limit double"), "index-reach")
+
+
+def _asked(index: VectorIndex, q: DataFrame, done: str | None) -> dict[int, int]:
+    """How many queries need each block."""
+    places = list(index.blocks[["block", "cell", "least", "largest"]].itertuples(index=False, name=None))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.zeros(len(places), dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, TILE_QUERIES):
+                part = b.slice(at, TILE_QUERIES)
+                x = _unit_rows(_list_to_matrix(part.column("qvec"), index.dim))
+                limit, before = part.column("limit").to_numpy(), part.column(done).to_numpy() if done else None
+                d = _distances(x, index.centres) if len(index.centres) else np.zeros((len(x), 1))
+                for i, (_, cell, least, largest) in enumerate(places):
+                    asked[i] += len(_needed(index, cell, least, largest, d[:, cell], limit, before))
+        at = np.flatnonzero(asked)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(asked[at])], names=["at", "n"])
+
+    rows = q.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row for each block at most
+    return {places[r["at"]][0]: r["n"] for r in rows}
+
+
+def _score(index: VectorIndex, q: DataFrame, k: int, done: str | None, chunks: int, work: Work) -> DataFrame:
     """The k best rows of each query in each task, among the blocks it needs."""
-    cells = set()
-    for block, cell, rows in index.blocks[["block", "cell", "rows"]].itertuples(index=False, name=None):
-        if asked := len(chunk[2].queries(block)):
-            cells.add(cell)
-            work.scored += asked * rows
+    spark = q.sparkSession
+    asked = _asked(index, q, done)
+    needed = index.blocks[index.blocks["block"].isin(asked.keys())]
+    work.scored += sum(asked[block] * rows for block, rows in needed[["block", "rows"]].itertuples(index=False, name=None))
+    cells = sorted(needed["cell"].unique().tolist())
     work.cells_read = max(work.cells_read, len(cells))
+    found = spark.createDataFrame([], FOUND)
     if not cells:
-        return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(chunk)
-
+        return found
+    places = {block: place for block, *place in needed[["block", "cell", "least", "largest"]].itertuples(index=False, name=None)}
+    rows = index.rows(spark)
+    if len(cells) < work.cells:
+        rows = rows.filter(F.col("cell").isin(cells))
+    for chunk in range(chunks):
+        table = (q.filter(F.pmod(F.xxhash64("qkey"), F.lit(chunks)) == chunk) if chunks > 1 else q).toArrow()  # at most max_broadcast_bytes
+        if table.num_rows:
+            of = [table.column(c).to_numpy() for c in ("limit", *((done, "least") if done else ()))]
+            held = spark.sparkContext.broadcast((table.column("qkey").combine_chunks(), _unit_rows(_list_to_matrix(table.column("qvec"), index.dim)), places, *of))
+            found = found.unionByName(rows.select("block", "ckey", "cvec").mapInArrow(_scorer(index, held, k), FOUND))
+    return found
+
+
+def _scorer(index: VectorIndex, held, k: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vectors, asked = held.value
-        best = RunningTopK(len(keys), k)
+        keys, vectors, places, limit, *second = held.value
+        done, least = second or (None, None)
+        best, near = RunningTopK(len(keys), k, least), (None, None)
         for b in batches:
-            blocks, ids = b.column("block").to_numpy(), b.column("ckey").to_numpy()
+            blocks, ids = b.column("block").to_numpy(), b.column("ckey").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(blocks)) + 1
             for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
-                if at == to or not len(of := asked.queries(int(blocks[at]))):
+                if at == to or int(blocks[at]) not in places:
                     continue
-                x = _unit_rows(_list_to_matrix(b.column("cvec").slice(at, to - at), index.dim))
-                order = np.argsort(ids[at:to], kind="stable")
-                best.add(of, np.round(x[order] @ vectors[of].T, RANK_DECIMALS), ids[at:to][order])
+                cell, smallest, largest = places[int(blocks[at])]
+                if near[0] != cell:
+                    near = cell, _to_cell(index, vectors, cell)
+                if not len(of := _needed(index, cell, smallest, largest, near[1], limit, done)):
+                    continue
+                x, some = first_copies(_unit_rows(_list_to_matrix(b.column("cvec").slice(at, to - at), index.dim)), ids[at:to], k)
+                best.score(of, vectors, x, some)
         rows, found, scores = best.rows()
-        yield pa.RecordBatch.from_arrays([pa.array(keys[rows], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
-                                         names=["qkey", "ckey", "similarity"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["qkey", "ckey", "similarity"])
 
-    rows = index.rows(spark)
-    if len(cells) < index.blocks["cell"].nunique():
-        rows = rows.filter(F.col("cell").isin(sorted(cells)))
-    return rows.select("block", "ckey", "cvec").mapInArrow(scored, schema)
+    return scored

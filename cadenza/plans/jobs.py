@@ -274,6 +274,7 @@ def recommend_stream(requests: DataFrame, songs: DataFrame, index: VI.VectorInde
     return requests.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(answer).start()
 
 
+ANSWERED_FILES = 16  # in a micro-batch at most: each looks through the songs and the index once
 RANKED = "request_id long, song_id long, similarity double, rank int"
 
 
@@ -281,7 +282,7 @@ def q_playlist_stream(spark, d):
     songs = B.songs(spark, d)
     index = VI.build_vector_index(EN.hash_encode(songs, "song_id", "corpus", EN.DEFAULT_DIM), _scratch(spark, "vector-index"))
     path = _scratch(spark, "playlist-stream")
-    recommend_stream(B.requests_of(_stream_of(spark, d, "conversations")), songs, index, path).awaitTermination()
+    recommend_stream(B.requests_of(_stream_of(spark, d, "conversations", ANSWERED_FILES)), songs, index, path).awaitTermination()
     ranked = spark.read.schema(RANKED).parquet(f"{path}/ranked")
     meta = songs.select("song_id", F.col("song_title").alias("song_name"), "artist_name")
     return ranked.join(meta, "song_id", "left").select(
@@ -313,9 +314,9 @@ def q_describe_cluster_terms(spark, d):
     return cluster_describe_job(B.songs(spark, d), _scratch(spark, "describe"), fit=KS.cluster_seeded).terms
 
 
-def _stream_of(spark: SparkSession, d: str, name: str):
+def _stream_of(spark: SparkSession, d: str, name: str, files: int = 1):
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{d}/{name}*.parquet")
 
 
 def run_stream(df: DataFrame, name: str) -> DataFrame:
