@@ -5,7 +5,8 @@
                     native :func:`token_bucket` --, term counts per bucket (one
                     ``np.bincount`` per Arrow batch), L2-normalised.
                     Row-local: no shuffle.
-``tfidf_encode``    TF-IDF over the same buckets, in long form.
+``tfidf_encode``    TF-IDF over the same buckets, in long form; counted like
+                    that, merged by id.
 ``encode``          any user encoder object with ``encode(list[str]) ->
                     array (n, d)`` run in Arrow batches by ``mapInPandas``;
                     the object is built once per Python worker by a factory
@@ -17,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import sys
 import types
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import split_ws
 from cadenza.operators.parallel import spread
+from cadenza.session import checkpoint_dir
 
 DEFAULT_DIM = 64
 SLICE_TOKENS = 1 << 17  # counted at once, whatever a batch holds
@@ -47,6 +50,12 @@ def model_dimensions(name: str) -> int:
     raise ValueError(f"unknown encoder {name!r}")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def token_bucket(w, dim: int) -> F.Column:
     return F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
@@ -134,21 +143,109 @@ def hash_encode_long(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAU
     )
 
 
+def _count_batches(dim: int):
+    """``mapInArrow`` body: ``(id, tokens)`` -> ``(id, dims, tfs)``, for each
+    slice of a batch one row for each id that has tokens."""
+    import pyarrow.compute as pc
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for b in _slices(batch, SLICE_TOKENS):
+                flat = pc.list_flatten(b.column(1))
+                if not len(flat):
+                    continue
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                ids = b.column(0).dictionary_encode(null_encoding="encode")
+                parents = ids.indices.to_numpy().astype(np.int64)[pc.list_parent_indices(b.column(1)).to_numpy()]
+                enc = pc.dictionary_encode(flat)
+                buckets = _md5_bucket(enc.dictionary.to_pylist(), dim, known)[enc.indices.to_numpy()]
+                yield _packed(ids.dictionary, parents * dim + buckets, None, dim)
+
+    return run
+
+
+def _packed(ids, entries: np.ndarray, counts: np.ndarray | None, dim: int):
+    """A row for each id with its dims and their counts, of entries (place of
+    the id x dim + bucket)."""
+    import pyarrow as pa
+
+    entries, at = np.unique(entries, return_inverse=True)
+    tfs = np.bincount(at, weights=counts, minlength=len(entries)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(entries // dim, prepend=-1))
+    ends = pa.array(np.append(starts, len(entries)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(entries[starts] // dim)), pa.ListArray.from_arrays(ends, pa.array((entries % dim).astype(np.int32))),
+                                       pa.ListArray.from_arrays(ends, pa.array(tfs))], names=["id", "dims", "tfs"])
+
+
+def _merge_batches(dim: int):
+    """``mapInArrow`` body over rows in order of id: one row for each id."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        last = None  # the id that may go on in the next batch, its dims and tfs
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, parents = b.column(0), pc.list_parent_indices(b.column(1)).to_numpy().astype(np.int64)
+            dims, tfs = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            if last is not None:
+                ids, parents = pa.concat_arrays([last.column(0).cast(ids.type), ids]), np.concatenate([np.zeros(len(last.column(1)[0]), dtype=np.int64), parents + 1])
+                dims, tfs = (np.concatenate([last.column(i).flatten().to_numpy(), x]) for i, x in ((1, dims), (2, tfs)))
+            ids = ids.dictionary_encode(null_encoding="encode")
+            place = ids.indices.to_numpy().astype(np.int64)
+            merged = _packed(ids.dictionary, place[parents] * dim + dims, tfs, dim)
+            last = merged.slice(merged.num_rows - 1)
+            yield merged.slice(0, merged.num_rows - 1)
+        if last is not None:
+            yield last
+
+    return run
+
+
 def tfidf_encode(df: DataFrame, id_col: str, text_col: str, num_features: int = 1 << 12) -> DataFrame:
     """TF-IDF over the md5 buckets, L2-normalised, as ``(id, dim, weight)``
     with a row for each non-zero entry: tf = count in the text, idf =
     ln((N + 1) / (df + 1)).  Long form, so a row costs its own words and not
-    ``num_features``; partial aggregations throughout."""
-    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
-    tf = (texts.select("id", F.explode(split_ws(F.lower("t"))).alias("w"))
-          .groupBy("id", token_bucket(F.col("w"), num_features).alias("dim")).agg(F.count(F.lit(1)).alias("tf")))
-    idf = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
+    ``num_features``.  A text is counted where it lies; the counts, packed in a
+    row for each id, are shuffled once and stored, and the ``num_features``
+    weights go to the tasks."""
+    import pyarrow as pa
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    packed = f"id {id_type}, dims array<int>, tfs array<bigint>"
+    toks = split_ws(F.lower(F.col(text_col)))
+    texts = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), toks.alias("toks"))
+    counted = texts.mapInArrow(_count_batches(num_features), packed).repartition("id").sortWithinPartitions("id")
+    counted = _written(counted.mapInArrow(_merge_batches(num_features), packed), "tfidf-counts")
     total = df.select(F.count(F.lit(1)).alias("N")).first()["N"]
-    w = F.col("tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1))
-    weighted = tf.join(idf, "dim").select("id", "dim", w.alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return weighted.select("id", "dim", "w", norm.alias("n")).filter("w <> 0").select(
-        F.col("id").alias(id_col), "dim", (F.col("w") / F.col("n")).alias("weight"))
+
+    def holders(batches):
+        n = np.zeros(num_features, dtype=np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=num_features)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["dim", "df"])
+
+    idf = np.zeros(num_features)
+    seen = counted.select("dims").mapInArrow(holders, "dim int, df bigint").groupBy("dim").agg(F.sum("df").alias("df"))
+    for r in seen.select("dim", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf")).collect():  # num_features rows at most
+        idf[r["dim"]] = r["idf"]
+
+    def weigh(batches):
+        for b in batches:
+            for part in (b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS)):
+                dims, tfs = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+                row = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                w = tfs * idf[dims]
+                norm = np.sqrt(np.bincount(row, weights=w * w, minlength=part.num_rows))
+                at = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), pa.array(dims[at]), pa.array(w[at] / norm[row[at]])],
+                                                 names=[id_col, "dim", "weight"])
+
+    return counted.mapInArrow(weigh, f"{id_col} {id_type}, dim int, weight double")
 
 
 # ------------------------------------------------------------ user encoders

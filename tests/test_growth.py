@@ -1,7 +1,13 @@
 """Steps whose work must grow no faster than their input."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 
+from cadenza.operators import encode as EN
+from cadenza.operators import heavy_hitters as HH
+from cadenza.operators import themes as TH
 from cadenza.operators import vector_index as VI
 from cadenza.operators.topk import RunningTopK, topk_cosine
 from test_vectors_topk import _frames
@@ -40,3 +46,34 @@ def test_best_rows_keep_nothing_below_what_is_known():
         best.score(slice(None), x[:5], x, np.arange(200))
     taken = lambda best: {(int(q), int(i)): s for q, i, s in zip(*best.rows())}
     assert taken(some) == {at: s for at, s in taken(every).items() if s >= 0.5}
+
+
+def _plan(spark, df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_moves_packed_counts_only_and_merges_rows_of_an_id(spark):
+    words = ["rain", "sun", "wind", "snow", "fog"]
+    texts = [(None if i % 7 == 0 else i // 3, None if i % 11 == 5 else " ".join(words[(i * j) % 5] for j in range(i % 6))) for i in range(60)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # an id goes on from batch to batch
+    try:
+        got = EN.tfidf_encode(df, "id", "text", 64)
+        assert "Exchange" not in _plan(spark, got)  # weights need no other rows
+        rows = {(r["id"], r["dim"]): r["weight"] for r in got.collect()}
+        assert got.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tf = Counter((i, int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 64) for i, t in texts for w in (t or "").split())
+    holders = Counter(d for _, d in tf)
+    w = {at: n * np.log((len(texts) + 1) / (holders[at[1]] + 1)) for at, n in tf.items()}
+    norm = {i: np.sqrt(sum(x * x for (j, _), x in w.items() if j == i)) for i, _ in w}
+    assert rows.keys() == {at for at, x in w.items() if x} and all(abs(x - w[at] / norm[at[0]]) < 1e-9 for at, x in rows.items())
+
+
+def test_sketched_terms_read_the_texts_once(spark):
+    df = spark.createDataFrame([(i, i % 3, " ".join(f"w{chr(97 + (i * j) % 13)}x" for j in range(30))) for i in range(90)], "song_id long, cluster int, corpus string")
+    counted, made = _counted(spark, df)
+    got, full = HH.top_terms(counted, 5, capacity=4)
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    assert rows(got) == rows(TH.cluster_terms(df, 5)) and made.value == 90 and full  # counted in full, too
