@@ -38,11 +38,16 @@ def _reduced(counts: pd.Series, capacity: int) -> tuple[pd.Series, int]:
     return counts[counts > 0], off
 
 
-def term_summaries(clustered: DataFrame, text_col: str, stopwords=None, capacity: int = CAPACITY) -> DataFrame:
-    """``(cluster, term, n, off, chars)``: the summaries of all tasks; a row with
-    a null term has a task's amount taken off, its tokens (n) and their
-    characters."""
-    tokens = clustered.select("cluster", theme_tokens(F.col(text_col), stopwords).alias("terms"))
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def term_summaries(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``(cluster, term, n, off, chars)``: the summaries of all tasks over
+    ``(cluster, terms)``; a row with a null term has a task's amount taken off,
+    its tokens (n) and their characters."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -60,25 +65,24 @@ def term_summaries(clustered: DataFrame, text_col: str, stopwords=None, capacity
             yield pd.DataFrame({"cluster": cluster, "term": [None, *counts.index], "n": [n, *counts.to_numpy()],
                                 "off": [off] + [0] * len(counts), "chars": [chars] + [0] * len(counts)})
 
-    return tokens.mapInPandas(summarise, f"cluster {clustered.schema['cluster'].dataType.simpleString()}, term string, n long, off long, chars long")
+    return tokens.mapInPandas(summarise, f"cluster {tokens.schema['cluster'].dataType.simpleString()}, term string, n long, off long, chars long")
 
 
 def top_terms(clustered: DataFrame, top: int = K.THEME_TERMS, text_col: str = "corpus", min_chars: int = K.MIN_THEME_CHARS, stopwords=None,
               capacity: int = CAPACITY) -> tuple[DataFrame, int]:
     """What :func:`~cadenza.operators.themes.cluster_terms` returns, and how
     many clusters had to be counted in full."""
-    spark = clustered.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/term-summaries-{uuid.uuid4().hex[:12]}"
-    term_summaries(clustered, text_col, stopwords, capacity).groupBy("cluster", "term").agg(
-        F.sum("n").alias("n"), F.sum("off").alias("off"), F.sum("chars").alias("chars")).write.parquet(path)
-    summed = spark.read.parquet(path)
+    listed = _written(clustered.select("cluster", theme_tokens(F.col(text_col), stopwords).alias("terms")), "cluster-tokens")  # the texts move once
+    summed = _written(term_summaries(listed, capacity).groupBy("cluster", "term").agg(
+        F.sum("n").alias("n"), F.sum("off").alias("off"), F.sum("chars").alias("chars")), "term-summaries")
     totals = summed.filter("term IS NULL").filter(F.col("chars") + F.col("n") - 1 >= min_chars).select("cluster", F.col("off").alias("taken_off"))
     kept = summed.filter("term IS NOT NULL").select("cluster", "term", "n").join(totals, "cluster")
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("n").desc()))
     least = kept.withColumn("place", place).filter(F.col("place") <= top).groupBy("cluster").agg(
         F.when(F.count(F.lit(1)) == top, F.min("n")).otherwise(1).alias("least"))
-    candidates = kept.join(least, "cluster").filter(F.col("n") + F.col("taken_off") >= F.col("least")).select("cluster", "term")
-    tokens = clustered.select("cluster", F.explode(theme_tokens(F.col(text_col), stopwords)).alias("term"))
+    # stored, so that the planner knows how few they are and the tokens stay where they lie
+    candidates = _written(kept.join(least, "cluster").filter(F.col("n") + F.col("taken_off") >= F.col("least")).select("cluster", "term"), "term-candidates")
+    tokens = listed.select("cluster", F.explode("terms").alias("term"))
     counted = tokens.join(candidates, ["cluster", "term"], "left_semi").groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     by_count = Window.partitionBy("cluster").orderBy(F.col("n").desc(), F.col("term").asc())
     ranked = counted.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= top)
