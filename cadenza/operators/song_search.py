@@ -7,7 +7,8 @@ is that of the greatest similarity, then of the smallest track id.
 A set-similarity join without all pairs: trigrams have one global order, rarest
 in the catalogue first, and two sets that are similar enough share one of the
 first ``size - ceil(t * size) + 1`` of each.  Only those are joined, and only
-pairs whose sizes allow the similarity are compared.  Equal texts on either side
+pairs whose sizes allow the similarity are compared, once what may follow the
+first shared trigram on either side is enough for it.  Equal texts on either side
 are one row, so copies of a song or of a request cost nothing.
 """
 
@@ -36,13 +37,13 @@ def trigrams(text: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, min_percent: int) -> DataFrame:
-    """A row for each trigram of a set's prefix: (text, size, tokens, token)."""
+    """A row for each trigram of a set's prefix: (text, size, tokens, place, token)."""
     token = sets.select("text", F.explode("tokens").alias("token")).join(frequency, "token", "left")
     ordered = token.groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("by_rarity"))  # of one text
     size = F.size("by_rarity")
     least = F.floor((size * min_percent + 99) / 100)
     return ordered.select("text", size.alias("size"), F.col("by_rarity.token").alias("tokens"),
-                          F.explode(F.slice(F.col("by_rarity.token"), F.lit(1), (size - least + 1).cast("int"))).alias("token"))
+                          F.posexplode(F.slice(F.col("by_rarity.token"), F.lit(1), (size - least + 1).cast("int"))).alias("place", "token"))
 
 
 def search_songs(requests: DataFrame, catalogue: DataFrame, text: str = "text", min_percent: int = MIN_PERCENT,
@@ -55,9 +56,11 @@ def search_songs(requests: DataFrame, catalogue: DataFrame, text: str = "text",
     given = songs.select("text", trigrams(F.col("text")).alias("tokens"))
     wanted = asked.select(F.col("_text").alias("text")).distinct().select("text", trigrams(F.col("text")).alias("tokens"))
     frequency = given.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    left = _prefixes(wanted, frequency, min_percent).select(F.col("text").alias("_text"), F.col("size").alias("n"), F.col("tokens").alias("a"), "token")
-    right = _prefixes(given, frequency, min_percent).select("text", F.col("size").alias("m"), F.col("tokens").alias("b"), "token")
-    near = left.join(right, "token").filter(100 * F.least("n", "m") >= min_percent * F.greatest("n", "m"))
+    left = _prefixes(wanted, frequency, min_percent).select(F.col("text").alias("_text"), F.col("size").alias("n"), F.col("tokens").alias("a"), F.col("place").alias("i"), "token")
+    right = _prefixes(given, frequency, min_percent).select("text", F.col("size").alias("m"), F.col("tokens").alias("b"), F.col("place").alias("j"), "token")
+    # at the first trigram they share, a pair has at most the shorter rest in common; s of n + m - s are shared
+    enough = (100 + min_percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= min_percent * (F.col("n") + F.col("m"))
+    near = left.join(right, "token").filter((100 * F.least("n", "m") >= min_percent * F.greatest("n", "m")) & enough)
     shared = F.size(F.array_intersect("a", "b"))
     scored = near.select("_text", "text", shared.alias("shared"), (F.col("n") + F.col("m") - shared).alias("union")).filter(
         100 * F.col("shared") >= min_percent * F.col("union"))

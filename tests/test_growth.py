@@ -7,6 +7,7 @@ import numpy as np
 
 from cadenza.operators import encode as EN
 from cadenza.operators import heavy_hitters as HH
+from cadenza.operators import song_search as SS
 from cadenza.operators import themes as TH
 from cadenza.operators import vector_index as VI
 from cadenza.operators.topk import RunningTopK, topk_cosine
@@ -77,3 +78,25 @@ def test_sketched_terms_read_the_texts_once(spark):
     got, full = HH.top_terms(counted, 5, capacity=4)
     rows = lambda t: sorted(map(tuple, t.collect()))
     assert rows(got) == rows(TH.cluster_terms(df, 5)) and made.value == 90 and full  # counted in full, too
+
+
+def test_song_search_looks_at_what_may_follow_a_shared_trigram(spark):
+    draw = np.random.default_rng(8)
+    text = lambda: "".join(draw.choice(list("abc "), 9))
+    songs, asked = [(f"t{i}", text(), None) for i in range(60)], [(i, text()) for i in range(40)]
+    grams = lambda t: {f" {t} "[i:i + 3] for i in range(len(t))}
+    clean = lambda t: " ".join(t.lower().split())
+    for percent in (30, 50, 80):
+        got = SS.search_songs(spark.createDataFrame(asked, "request_id long, text string"), spark.createDataFrame(songs, "track_id string, title string, artist string"),
+                              min_percent=percent)
+        assert "place" in SS._prefixes(spark.createDataFrame([("a", ["a"])], "text string, tokens array<string>"),
+                                       spark.createDataFrame([("a", 1)], "token string, df long"), percent).columns
+        found = {r["request_id"]: (r["track_id"], r["similarity"]) for r in got.collect()}
+        for i, t in asked:
+            a, best = grams(clean(t)), (None, None)
+            for track, title, _ in songs:
+                b = grams(clean(title))
+                s = len(a & b) / len(a | b) if a | b else 0.0
+                if a and 100 * s >= percent and (best[0] is None or (-s, track) < (-best[1], best[0])):
+                    best = track, s
+            assert found[i] == best
