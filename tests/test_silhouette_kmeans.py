@@ -82,6 +82,49 @@ def test_kmeans_too_few_points(spark):
         KM.fit_best(pts, k=3, n_init=1)
 
 
+def _plain_lloyd(x, c, steps, tol):
+    cost = 0.0
+    for _ in range(steps):
+        d2 = ((x[:, None, :] - c[None]) ** 2).sum(-1)
+        at, cost = d2.argmin(1), d2.min(1).sum()
+        moved = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+        far, c = ((moved - c) ** 2).sum(1).max() > tol * tol, moved
+        if not far:
+            break
+    return c, cost
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("steps", [2, 300])
+def test_restarts_moved_together_are_those_moved_alone(spark, kind, steps):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 3)).astype(np.float32).astype(float)
+    starts = [x[:4], x[50:54], np.vstack([x[7], x[7] + 900, x[9]])]  # the last has a centre without points, and one fewer
+    pts = _points(spark, x, np.zeros(300, dtype=int)).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    centres, costs = KM.lloyd_together(KM._blocks(pts.repartition(5), "embedding", 3), starts, steps, 1e-4)
+    for start, centre, cost in zip(starts, centres, costs):
+        want, want_cost = _plain_lloyd(x, start, steps, 1e-4)
+        assert np.allclose(centre, want, atol=1e-9) and abs(cost - want_cost) < 1e-6
+
+
+def test_jobs_do_not_grow_with_restarts_times_steps(spark):
+    x = np.random.default_rng(12).normal(size=(2000, 2))  # no clusters: many steps
+    pts = _points(spark, x, np.zeros(2000, dtype=int)).drop("cluster").cache()
+    pts.count()
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    _, cost, costs = KM.fit_best(pts, k=8, n_init=6, max_iter=40, tol=0.0)
+    jobs = len(tracker.getJobIdsForGroup()) - before
+    assert cost == min(costs) and len(costs) == 6
+    assert jobs < 6 * 20 + 40  # alone, each restart has a job for each of its steps
+
+
+def test_model_of_fewer_vectors_than_clusters(spark):
+    pts = _points(spark, np.ones((6, 2)), np.zeros(6, dtype=int)).drop("cluster")
+    labelled, model, cost, _ = KM.cluster_points(pts, 3, 2)
+    assert len(model.clusterCenters()) == 1 and cost == 0 and {r["cluster"] for r in labelled.collect()} == {0}
+
+
 def test_assign_nearest_and_inertia(spark):
     x = np.array([[0.0, 0.0], [1.0, 0.0], [10.0, 0.0], [11.0, 0.0]])
     pts = _points(spark, x, np.array([0, 0, 1, 1]))
