@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import clusters as CL
 from cadenza.operators import kmeans as KM
+from cadenza.operators import silhouette as S
 from cadenza.operators.silhouette import asked_clusters, silhouette_exact, silhouette_samples
 
 
@@ -57,6 +58,48 @@ def test_bounds_change_nothing_and_leave_far_clusters_out(spark):
     assert asked_clusters(pts).count() < 4 * 360  # of 12 * 360
 
 
+def test_blocks_meet_once_in_even_tasks():
+    sizes = np.array([7000.0, 5000.0, 1.0, 3000.0])
+    asked = np.array([[0, 7000, 0, 10], [5000, 0, 3, 0], [1, 0, 0, 0], [0, 3000, 0, 0]], dtype=float)
+    grid = S._Grid(sizes, asked, 2048)
+    assert grid.joint[0, 1] and grid.joint[1, 0] and not grid.joint[0, 3]  # all of both ask: computed once for both
+    met = {}
+    for c, n in enumerate(grid.members):
+        for block in range(n):
+            for task in grid.of_member(c, block):
+                met.setdefault(task, []).append((c, block))
+    for c, n in enumerate(grid.askers):
+        for block in range(n):
+            for task in grid.of_asker(c, block):
+                met.setdefault(task, []).append(("asks", c, block))
+    assert sorted(met) == list(range(grid.tasks))  # every task has its blocks, and no others
+    assert all(len(sides) == grid.family(task)[3] for task, sides in met.items())
+    assert len({tuple(sorted(map(str, sides))) for sides in met.values()}) == len(met)
+    assert sum(grid.family(t)[0] == "own" for t in met) == 4 * 5 // 2 + 3 * 4 // 2 + 2 * 3 // 2
+
+
+def test_empty_blocks_same_keys_and_no_keys(spark):
+    rng = np.random.default_rng(9)
+    x, lab = rng.normal(size=(90, 3)), np.repeat([0, 1, 2], 30)
+    pts = _points(spark, x, lab).withColumn("song_id", F.when(F.col("song_id") % 10 == 3, F.lit(None)).when(F.col("song_id") % 10 > 5, F.lit(6)).otherwise(F.col("song_id")))
+    rows = lambda sums: {(r["key"], r["own"], r["lab"]): r["dsum"] for r in sums.collect()}
+    want = rows(S.distance_sums(pts))
+    for block_bytes in (24, 24 * 7, 1 << 20):  # one row: most of the rows share few blocks, others are empty
+        got = rows(S.bounded_sums(pts, block_bytes=block_bytes))
+        assert got and all(abs(v - want[at]) < 1e-6 for at, v in got.items())
+        assert {(at[0], at[1]) for at in got} == {(at[0], at[1]) for at in want}
+
+
+def test_a_block_with_itself_is_computed_in_half():
+    x = np.random.default_rng(10).normal(size=(S.TILE_ROWS * 2 + 5, 3))
+    keys = np.ma.masked_array(np.arange(len(x)), mask=False)
+    want = np.sqrt(np.square(x[:, None] - x[None]).sum(-1)).sum(1)
+    assert np.allclose(S._pair_sums(x, keys, x, keys)[0], want)
+    both = S._pair_sums(x[:700], keys[:700], x[700:], keys[700:], both=True)
+    apart = np.sqrt(np.square(x[:700, None] - x[None, 700:]).sum(-1))
+    assert np.allclose(both[0], apart.sum(1)) and np.allclose(both[1], apart.sum(0))
+
+
 def test_kmeans_invariants(spark):
     rng = np.random.default_rng(5)
     centers = np.array([[0, 0], [10, 0], [0, 10]], dtype=float)
