@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cadenza.operators import encode as EN
 from cadenza.operators import heavy_hitters as HH
@@ -100,3 +101,39 @@ def test_song_search_looks_at_what_may_follow_a_shared_trigram(spark):
                 if a and 100 * s >= percent and (best[0] is None or (-s, track) < (-best[1], best[0])):
                     best = track, s
             assert found[i] == best
+
+
+def _odd_texts(spark):
+    draw = np.random.default_rng(1)
+    parts = ["love", "Über", "İstanbul", "ΣΑΣ", "don't", "a1b", "the", "it", "日本語", "rain-drop", "ab", "abc", "_abc", "𝒜𝒷𝒸"]
+    parts += [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0x200B, 0x180E, 0xFEFF)]
+    texts = ["".join(draw.choice(parts, draw.integers(0, 40))) for _ in range(120)] + ["", " ", None]
+    return spark.createDataFrame([(i, i % 3 if i % 7 else None, t) for i, t in enumerate(texts)], "id long, cluster int, corpus string")
+
+
+def test_texts_are_split_in_the_tasks_as_natively(spark):
+    df = _odd_texts(spark)
+    assert "regex" not in _plan(spark, EN.hash_encode(df, "id", "corpus", 16)) and "split(" not in _plan(spark, EN.hash_encode(df, "id", "corpus", 16))
+    counts = {r["id"]: np.zeros(16) for r in df.collect()}
+    for r in df.select("id", F.explode(EN.token_buckets("corpus", 16)).alias("b")).collect():
+        counts[r["id"]][r["b"]] += 1
+    for r in EN.hash_encode(df, "id", "corpus", 16).collect():
+        assert np.allclose(r["embedding"], counts[r["id"]] / max(np.linalg.norm(counts[r["id"]]), 1e-9))
+
+
+def test_terms_are_counted_before_they_are_rows(spark):
+    df = _odd_texts(spark)
+    assert "Generate" not in _plan(spark, TH.cluster_terms(df, 5, min_chars=1))  # no row for each token
+    rows = lambda t: sorted(map(str, t.collect()))
+    for stop in (None, [], ["love"]):
+        assert rows(TH.term_counts(df, "corpus", stop)) == rows(TH.cluster_tokens(df, "corpus", stop).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_text_is_split_in_bounded_slices():
+    import pyarrow as pa
+
+    texts = ["a b"] * 50 + [None, "", " c  c "] + ["x" * 500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    runs = list(EN.split_slices(batch, 60))
+    assert sum(b.num_rows for b, *_ in runs) == len(texts) and all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 60 for b, *_ in runs)
+    assert sum(len(rows) for _, rows, _, _ in runs) == 50 * 2 + 2 + 1
