@@ -55,6 +55,39 @@ def test_rows_beyond_the_delay_are_dropped_and_late_ones_reordered(spark, tmp_pa
     assert "RocksDB" not in spark.conf.get(PROVIDER)
 
 
+def _deliver(spark, folder, make, deliveries, schema=SCHEMA):
+    """Run a stream over deliveries, stopped and started again between them; its rows and its queries."""
+    queries = []
+    for df in deliveries:
+        df.write.mode("append").parquet(f"{folder}/in")
+        stream = make(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        with rocksdb_state(spark):
+            queries.append(stream.writeStream.option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).format("parquet").start(f"{folder}/out"))
+            queries[-1].awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), queries
+
+
+def test_state_of_late_rows_does_not_grow_by_calls_for_each_key(spark, tmp_path):
+    """1,500 keys with a row each in one time bucket: state entries are those of slots."""
+    ev = _events(spark, [(u, 1, "A", 0.0) for u in range(1500)])
+    end = _events(spark, [(-1, 9000, "end", 0.0)]).withColumn("event_id", F.lit(-1).cast("bigint"))
+    rows, queries = _deliver(spark, tmp_path, lambda s: throttle_late(s, "4 minutes"), [ev, end])
+    assert sorted(r["event_id"] for r in rows.collect()) == list(range(1500))
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for q in queries for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(updated) < 1500
+
+
+def test_nulls_and_great_ids_among_keys_of_a_slot(spark, tmp_path):
+    great = 2**53 + 1
+    rows = [(great + u if u else None, s, great + 100 * u + s if s != 20 else None, step, v) for u in range(300)
+            for s, step, v in ((10, "A", 0.0), (20, "A", 9.0), (30, "A", None), (40, None, 1.0), (50, None, 2.0), (60, "B", None), (70, "B", 9.0))]
+    ev = spark.createDataFrame([(u, T0 + dt.timedelta(seconds=s), i, step, v) for u, s, i, step, v in rows], SCHEMA)
+    end = _events(spark, [(-1, 9000, "end", 0.0)])
+    got, _ = _deliver(spark, tmp_path, lambda s: throttle_late(s, "4 minutes"), [ev, end])
+    shown = sorted(repr((r["user_id"], (r["ts"] - T0).seconds, r["event_id"], r["event_type"], r["value"])) for r in got.collect())
+    assert shown == sorted(repr(r) for r in rows if r[1] in (10, 20, 40, 60))
+
+
 def _latest(spark, folder):
     return PR.latest_per_key_stream(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in").select("user_id", "event_id", "ts", "event_type", "value"))
 
