@@ -88,6 +88,18 @@ def test_nulls_and_great_ids_among_keys_of_a_slot(spark, tmp_path):
     assert shown == sorted(repr(r) for r in rows if r[1] in (10, 20, 40, 60))
 
 
+def test_an_ended_session_drops_what_waits_and_begins_anew_after_its_tombstone(spark, tmp_path):
+    """Bucket 60 s.  Key 1 ends at 10 s while its row of 1000 s waits; the row of 1100 s
+    meets the tombstone, that of 9100 s comes after it."""
+    deliveries = [[(1, 0, "A", 0.0), (1, 10, "purchase", 1.0), (1, 1000, "A", 90.0), (2, 0, "A", 0.0), (2, 1000, "A", 90.0)],
+                  [(1, 1100, "B", 0.0), (3, 9000, "A", 0.0)], [(1, 9100, "C", 0.0)], [(9, 90_000, "end", 0.0)]]
+    frames = [_events(spark, rows).withColumn("event_id", F.col("event_id") + 10 * i) for i, rows in enumerate(deliveries)]
+    got, _ = _deliver(spark, tmp_path, lambda s: session_feed_late(s, "4 minutes", limit_seconds=1500, tombstone_seconds=3600), frames)
+    assert sorted((r["user_id"], r["status"], r["event_id"] if r["event_id"] is not None else -1) for r in got.collect()) == [
+        (1, "completed", 1), (1, "running", 0), (1, "running", 20), (1, "timeout", -1),
+        (2, "running", 3), (2, "running", 4), (2, "timeout", -1), (3, "running", 11), (3, "timeout", -1)]
+
+
 def _latest(spark, folder):
     return PR.latest_per_key_stream(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in").select("user_id", "event_id", "ts", "event_type", "value"))
 
