@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -134,3 +135,11 @@ def test_a_batch_is_counted_in_slices_of_bounded_tokens():
     out = list(EN._hash_batches(64, "id", "v")([batch]))
     assert len(out) == len(parts) and sum(b.num_rows for b in out) == len(lists)
     assert out[0].column("v")[1].as_py() == [0.0] * 64
+
+
+def test_buckets_of_words_that_come_once(spark):
+    """The hashing of a word keeps nothing of it for later."""
+    words = [f"w{i}é" for i in range(3000)]
+    assert list(EN._md5_bucket(words, 64)) == list(EN._md5_bucket([w.encode() for w in words], 64))
+    assert list(EN._md5_bucket(words[:5], 7)) == [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 7 for w in words[:5]]
+    assert len(EN._md5_bucket([], 64)) == 0
